@@ -1,13 +1,23 @@
 """Queries by name, and the SQL that gives the same rows."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
 
-def oracle_sql():
-    return {}
+from . import catalog_text
 
+CATALOGS = [catalog_text]
 
-def flagship(spark, sf_dir):
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {k: f for c in CATALOGS for k, f in c.QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: s for c in CATALOGS for k, s in c.SQL.items()}
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     raise NotImplementedError
