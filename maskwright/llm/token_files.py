@@ -217,6 +217,17 @@ class PieceEncoder:
         return out
 
 
+#: the encoder of this Python worker, which Spark reuses from task to task
+_KEPT: dict[str, PieceEncoder] = {}
+
+
+def encoder(path: str) -> PieceEncoder:
+    if path not in _KEPT:
+        _KEPT.clear()
+        _KEPT[path] = PieceEncoder(path)
+    return _KEPT[path]
+
+
 _MANIFEST = "part int, number int, path string, docs long, tokens long, first_key {kind}, last_key {kind}"
 
 
@@ -228,8 +239,8 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, path: str | None
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        context, encoder = TaskContext.get(), PieceEncoder(tokenizer)
-        part, end = context.partitionId(), np.array([end_id], encoder.dtype).tobytes()
+        context, own = TaskContext.get(), encoder(tokenizer)
+        part, end = context.partitionId(), np.array([end_id], own.dtype).tobytes()
         width = len(end)
         fs, base = _fs(_uri(folder))
         fs.create_dir(base, recursive=True)
@@ -240,7 +251,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, path: str | None
             stage = f"{name}.{context.taskAttemptId()}"
             column = np.array([NULL_KEY if k is None else k for k in keys], np.int64)
             with fs.open_output_stream(stage) as out:
-                out.write(shard_bytes(column, np.array([len(x) // width for x in ids], np.int64), b"".join(ids), encoder.dtype))
+                out.write(shard_bytes(column, np.array([len(x) // width for x in ids], np.int64), b"".join(ids), own.dtype))
             fs.move(stage, name)
             row = [[part], [number], [f"{folder}/part-{part:06d}-{number:04d}.bin"], [len(keys)], [size // width], [keys[0]], [keys[-1]]]
             return pa.RecordBatch.from_arrays(
@@ -252,7 +263,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, path: str | None
             key_type = batch.schema.field(0).type
             for at in range(0, batch.num_rows, 256):
                 piece = batch.slice(at, 256)
-                for key, x in zip(piece.column(0).to_pylist(), encoder.encode(pc.fill_null(piece.column(1), "").to_pylist(), end)):
+                for key, x in zip(piece.column(0).to_pylist(), own.encode(pc.fill_null(piece.column(1), "").to_pylist(), end)):
                     keys.append(key)
                     ids.append(x)
                     size += len(x)
