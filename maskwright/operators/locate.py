@@ -59,20 +59,21 @@ def dedup_spans(found: DataFrame) -> DataFrame:
 
 def detect_structured(docs: DataFrame, text: str = "text") -> DataFrame:
     """L4: entities by pattern (EMAIL, PHONE, SNILS) and digit tokens by length (KPP, INN, OGRN, OGRNIP)."""
-    c = F.col(text)
+    docs, c = docs.select("doc_id", F.col(text).alias("text")), F.col("text")
     # a cheap test first: most texts have none of the signs a pattern needs
     signs = {"EMAIL": F.contains(c, F.lit("@")), "PHONE": F.contains(c, F.lit("+")), "SNILS": c.rlike("[0-9]-[0-9]{3} ")}
     none = F.array().cast(NO_SPANS)
-    typed = [
-        F.transform(F.when(signs[kind], spans(c, F.lit(p))).otherwise(none), lambda s, kind=kind: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("type")))
-        for kind, p in PATTERNS.items()
-    ]
+
+    def named(kind: str):
+        return lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("type"))
+
+    typed = [F.transform(F.when(signs[kind], spans(c, F.lit(p))).otherwise(none), named(kind)) for kind, p in PATTERNS.items()]
     size = lambda s: s["end"] - s["start"]
     kinds = F.create_map(*[F.lit(x) for pair in DIGITS.items() for x in pair])
     digits = F.filter(F.when(c.rlike("[0-9]{9}"), spans(c, F.lit(TOKEN))).otherwise(none), lambda s: size(s).isin(list(DIGITS)))
     digits = F.filter(digits, lambda s: F.substring(c, s["start"] + 1, size(s)).rlike("^[0-9]+$"))
     typed.append(F.transform(digits, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), kinds[size(s)].alias("type"))))
-    rows = docs.select("doc_id", c.alias("text"), F.explode(F.concat(*typed)).alias("s"))
+    rows = docs.select("doc_id", "text", F.explode(F.concat(*typed)).alias("s"))
     return rows.select(
         "doc_id", F.substring(F.col("text"), F.col("s.start") + 1, size(F.col("s"))).alias("original_text"), redacted(F.col("s.type")).alias("masked_text"),
         F.col("s.start").alias("start_pos"), F.col("s.end").alias("end_pos"), F.col("s.type").alias("entity_type"), F.lit(1.0).alias("confidence"),

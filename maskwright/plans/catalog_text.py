@@ -88,9 +88,9 @@ def c3(spark, d):
  every as (select job_id, list_concat(ticked, list_filter(list_transform(string_split_regex(coalesce(custom, ''), '[,;\\n]'), lambda t: {S.strip('t')}), lambda t: len(t) > 0)) as e from job_types),
  rows as (select job_id, e[i] as type, i from (select job_id, e, unnest(range(1, len(e) + 1)) as i from every)),
  firsts as (select job_id, arg_min(type, i) as type, min(i) as i from rows group by job_id, lower(type))""") + """
- select job_id, list(type order by i) as types from firsts group by job_id""")
+ select job_id, string_agg(type, ',' order by i) as types from firsts group by job_id""")
 def c4(spark, d):
-    return C.resolve_target_types(load(spark, d, "job_types"))
+    return C.resolve_target_types(load(spark, d, "job_types")).withColumn("types", F.array_join("types", ","))
 
 
 _CHUNKED = f"chunks as ({_chunks(6000, 400)}), short as (select doc_id, chunk_no, {S.n8('chunk')} as chunk from chunks where len({S.n8('chunk')}) >= 20)"
@@ -139,7 +139,7 @@ def p3(spark, d):
 @query("p4_balanced_objects")
 def p4(spark, d):
     rows = load(spark, d, "responses").withColumn("object", P.extract_json_object(F.col("raw"))).filter("object is not null")
-    return rows.select("doc_id", P.balanced_objects("object").alias("objects"))
+    return rows.select("doc_id", F.array_join(P.balanced_objects("object"), "|").alias("objects"))
 
 
 _LOOSE = '"original_text"\\s*:\\s*"((?:[^"\\\\]|\\\\.)*?)"\\s*,\\s*"entity_type"\\s*:\\s*"([^"]*)"(?:\\s*,\\s*"confidence"\\s*:\\s*([0-9.]+))?'

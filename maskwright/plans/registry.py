@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import catalog_text
+from . import catalog_docs, catalog_mask, catalog_text
 
-CATALOGS = [catalog_text]
+CATALOGS = [catalog_text, catalog_mask, catalog_docs]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,4 +20,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return catalog_docs.w1_lang(spark, sf_dir)

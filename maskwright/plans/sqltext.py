@@ -53,8 +53,8 @@ def occurrences(needle: str, text: str) -> str:
 
 def kept(text: str, entries: str) -> str:
     """Leftmost, then longest, then first by rank. ``entries``: list of {r, p, m}."""
-    hits = f"list_transform({spans(text, 'd.p')}, lambda s: {{'s': s.s, 'n': s.s - s.e, 'r': d.r, 'e': s.e, 'm': d.m}})"
-    pooled = f"list_sort(flatten(list_transform({entries}, lambda d: {hits})))"
+    hits = f"list_transform({spans(text, 'entry.p')}, lambda s: {{'s': s.s, 'n': s.s - s.e, 'r': entry.r, 'e': s.e, 'm': entry.m}})"
+    pooled = f"list_sort(flatten(list_transform({entries}, lambda entry: {hits})))"
     return (
         f"case when len(coalesce({pooled}, [])) = 0 then [] else list_reduce(list_transform({pooled}, lambda x: [x]), "
         "lambda a, x: case when x[1].s >= a[-1].e then list_concat(a, x) else a end) end"
