@@ -1,11 +1,12 @@
 """Quality and toxicity: document evidence under hierarchical empirical Bayes sites.
 
-*Document classifier*: naive Bayes on what stands in a text or doesn't: hashed words,
-single other characters, and the binned shape of the text (length, share of capitals,
-of other characters, of distinct words, of the commonest word, mean word length).
-Counts by label come from a sample of at most ``train_rows`` labelled rows (those
-with the least hash of doc_id; a stated parameter). Only features whose shares in the two
-classes differ by ``z_least`` standard errors count, so noise doesn't add up.
+*Document classifier*: logistic regression on what stands in a text or doesn't: hashed
+words, single other characters, and the binned shape of the text (length, share of
+capitals, of other characters, of distinct words, of the commonest word, mean word
+length). It learns from at most ``train_rows`` labelled rows (those with the least hash
+of doc_id; a stated parameter). Tasks count the features by label first; only those
+whose shares in the two classes differ by ``z_least`` standard errors are used, and only
+these features of the sample's rows come to the driver, where the weights are fitted.
 
 *Sites*: labelled documents, all of them, are counted by host and by path below the host.
 The global rate is the prior of the hosts, each host's posterior the prior of
@@ -76,17 +77,25 @@ def features(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarra
 WIDTH = BUCKETS + 256 + SHAPES * BINS
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000, z_least: float = 5.0) -> np.ndarray:
-    """Weights (feature x task): log odds of the label when the feature is there."""
+def sample(docs: DataFrame, labels: DataFrame, train_rows: int) -> DataFrame:
+    """(text, y_quality, y_toxic) of the labelled rows to learn from."""
     ids = labels.filter("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
     asked = ids.select("doc_id", *[F.col(t).cast("int").alias(f"y_{t}") for t in TASKS])
-    rows = docs.select("doc_id", "text").join(F.broadcast(asked), "doc_id")  # at most train_rows small rows
+    # at most train_rows small rows
+    return docs.select("doc_id", "text").join(F.broadcast(asked), "doc_id").select("text", *[f"y_{t}" for t in TASKS])
+
+
+def _labels(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [np.array([-1 if y is None else y for y in batch.column(1 + t).to_pylist()], np.int64) for t in range(len(TASKS))]
+
+
+def telling(rows: DataFrame, z_least: float) -> list[np.ndarray]:
+    """For each task the features whose shares in the classes differ."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = np.zeros((len(TASKS), 2, WIDTH), np.int64)
-        size = np.zeros((len(TASKS), 2), np.int64)
+        got, size = np.zeros((len(TASKS), 2, WIDTH), np.int64), np.zeros((len(TASKS), 2), np.int64)
         for batch in batches:
-            ys = [np.array([-1 if y is None else y for y in batch.column(1 + t).to_pylist()], np.int64) for t in range(len(TASKS))]
+            ys = _labels(batch)
             for a, n, row, bucket in features(batch.column(0)):
                 for t, y in enumerate(ys):
                     here = y[a : a + n]
@@ -96,15 +105,12 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000, z_least: f
         for t in range(len(TASKS)):
             for c in (0, 1):
                 at = np.flatnonzero(got[t, c])
-                at = np.r_[at, -1]
-                values = np.r_[got[t, c][at[:-1]], size[t, c]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(at), t)), pa.array(np.full(len(at), c)), pa.array(at), pa.array(values)], names=["task", "y", "bucket", "n"]
-                )
+                columns = [np.full(len(at) + 1, t), np.full(len(at) + 1, c), np.r_[at, -1], np.r_[got[t, c][at], size[t, c]]]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["task", "y", "bucket", "n"])
 
-    parts = rows.select("text", *[f"y_{t}" for t in TASKS]).mapInArrow(count, "task long, y long, bucket long, n long")
+    parts = rows.mapInArrow(count, "task long, y long, bucket long, n long")
     table = parts.groupBy("task", "y", "bucket").agg(F.sum("n").alias("n")).toPandas()  # at most 4 * WIDTH rows
-    weights = np.zeros((WIDTH, len(TASKS)))
+    found = []
     for t in range(len(TASKS)):
         n, size = np.zeros((2, WIDTH)), np.zeros(2)
         for c in (0, 1):
@@ -113,13 +119,62 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000, z_least: f
             n[c, inner["bucket"].to_numpy(np.int64)] = inner["n"]
             size[c] = part.loc[part["bucket"] < 0, "n"].sum()
         if not size.all():
+            found.append(np.zeros(0, np.int64))
             continue
         p = n.sum(0) / size.sum()
         z = (n[1] / size[1] - n[0] / size[0]) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / size[0] + 1 / size[1]))
-        # smoothing by the feature's own overall share: no news moves no odds
-        p = np.where(p > 0, p, 0.5)
-        odds = np.log((n[1] + 2 * p) / (size[1] + 2)) - np.log((n[0] + 2 * p) / (size[0] + 2))
-        weights[:, t] = np.where((np.abs(z) >= z_least) & (n.sum(0) > 0), odds, 0)
+        found.append(np.flatnonzero((np.abs(z) >= z_least) & (n.sum(0) > 0)))
+    return found
+
+
+def logistic(row: np.ndarray, feature: np.ndarray, y: np.ndarray, width: int, ridge: float = 1.0, steps: int = 300) -> np.ndarray:
+    """Weights of present features, and the intercept at the end."""
+    w, m, v = np.zeros(width + 1), np.zeros(width + 1), np.zeros(width + 1)
+    for step in range(1, steps + 1):
+        score = np.bincount(row, w[feature], minlength=len(y)) + w[-1]
+        miss = 1 / (1 + np.exp(-np.clip(score, -40, 40))) - y
+        slope = np.r_[np.bincount(feature, miss[row], minlength=width), miss.sum()] + ridge * np.r_[w[:-1], 0]
+        m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
+        w = w - 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
+    return w
+
+
+def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000, z_least: float = 4.0) -> np.ndarray:
+    """(feature x task) weights: log odds without the classes' prior; the last row has the intercepts."""
+    rows = sample(docs, labels, train_rows)
+    chosen = telling(rows, z_least)
+    every = np.unique(np.concatenate(chosen))
+    weights = np.zeros((WIDTH + 1, len(TASKS)))
+    if not len(every):
+        return weights
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ys = _labels(batch)
+            for a, n, row, bucket in features(batch.column(0)):
+                at = np.minimum(np.searchsorted(every, bucket), len(every) - 1)
+                own = every[at] == bucket
+                order = np.argsort(row[own], kind="stable")
+                ends = np.concatenate([[0], np.cumsum(np.bincount(row[own], minlength=n))]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(at[own][order].astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array(y[a : a + n].astype(np.int32)) for y in ys] + [lists], names=[*TASKS, "has"])
+
+    table = rows.mapInArrow(pick, f"{', '.join(f'{t} int' for t in TASKS)}, has array<int>").toPandas()  # at most train_rows rows
+    counts = table["has"].map(len).to_numpy()
+    feature, row = np.concatenate([np.asarray(x, np.int64) for x in table["has"]]), np.repeat(np.arange(len(table)), counts)
+    for t, name in enumerate(TASKS):
+        use = np.flatnonzero(table[name].to_numpy() >= 0)
+        if not len(chosen[t]):
+            continue
+        place = np.full(len(every), -1)
+        place[np.searchsorted(every, chosen[t])] = np.arange(len(chosen[t]))
+        number = np.full(len(table), -1)
+        number[use] = np.arange(len(use))
+        keep = (place[feature] >= 0) & (number[row] >= 0)
+        y = table[name].to_numpy()[use].astype(float)
+        w = logistic(number[row[keep]], place[feature[keep]], y, len(chosen[t]))
+        weights[chosen[t], t] = w[:-1]
+        weights[-1, t] = w[-1] - np.log(y.sum() / (len(y) - y.sum()))
     return weights
 
 
@@ -134,7 +189,7 @@ def evidence(docs: DataFrame, weights: np.ndarray) -> DataFrame:
                 w = shared.value[bucket]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, n), batch.column(2).slice(a, n), batch.column(3).slice(a, n)]
-                    + [pa.array(np.bincount(row, w[:, t], minlength=n)[:n].astype(np.float64)) for t in range(len(TASKS))],
+                    + [pa.array(np.bincount(row, w[:, t], minlength=n)[:n] + shared.value[-1, t]) for t in range(len(TASKS))],
                     names=["doc_id", "host", "path", "w_quality", "w_toxic"],
                 )
 
