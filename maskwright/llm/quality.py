@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
+from .store import written
 
 BUCKETS = 1 << 18
 SHAPES = 6
@@ -109,25 +110,23 @@ def telling(rows: DataFrame, z_least: float) -> list[np.ndarray]:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["task", "y", "bucket", "n"])
 
     parts = rows.mapInArrow(count, "task long, y long, bucket long, n long")
-    table = parts.groupBy("task", "y", "bucket").agg(F.sum("n").alias("n")).toPandas()  # at most 4 * WIDTH rows
+    both = [F.sum(F.when(F.col("y") == c, F.col("n"))).alias(f"n{c}") for c in (0, 1)]
+    counted = written(parts.groupBy("task", "bucket").agg(*both).na.fill(0), "counts")
+    sizes = {r.task: (r.n0, r.n1) for r in counted.filter("bucket = -1").collect()}
     found = []
     for t in range(len(TASKS)):
-        n, size = np.zeros((2, WIDTH)), np.zeros(2)
-        for c in (0, 1):
-            part = table[(table["task"] == t) & (table["y"] == c)]
-            inner = part[part["bucket"] >= 0]
-            n[c, inner["bucket"].to_numpy(np.int64)] = inner["n"]
-            size[c] = part.loc[part["bucket"] < 0, "n"].sum()
-        if not size.all():
+        n0, n1 = sizes.get(t, (0, 0))
+        if not n0 or not n1:
             found.append(np.zeros(0, np.int64))
             continue
-        p = n.sum(0) / size.sum()
-        z = (n[1] / size[1] - n[0] / size[0]) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / size[0] + 1 / size[1]))
-        found.append(np.flatnonzero((np.abs(z) >= z_least) & (n.sum(0) > 0)))
+        p = (F.col("n0") + F.col("n1")) / (n0 + n1)
+        z = (F.col("n1") / n1 - F.col("n0") / n0) / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-12)) * (1 / n0 + 1 / n1))
+        far = counted.filter(F.col("task") == t).filter("bucket >= 0").filter(F.abs(z) >= z_least).select("bucket")
+        found.append(np.sort(far.toArrow().column(0).to_numpy().astype(np.int64)))
     return found
 
 
-def logistic(row: np.ndarray, feature: np.ndarray, y: np.ndarray, width: int, ridge: float = 1.0, steps: int = 300) -> np.ndarray:
+def logistic(row: np.ndarray, feature: np.ndarray, y: np.ndarray, width: int, ridge: float = 0.3, steps: int = 300) -> np.ndarray:
     """Weights of present features, and the intercept at the end."""
     w, m, v = np.zeros(width + 1), np.zeros(width + 1), np.zeros(width + 1)
     for step in range(1, steps + 1):
@@ -159,9 +158,9 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000, z_least: f
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(at[own][order].astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([pa.array(y[a : a + n].astype(np.int32)) for y in ys] + [lists], names=[*TASKS, "has"])
 
-    table = rows.mapInArrow(pick, f"{', '.join(f'{t} int' for t in TASKS)}, has array<int>").toPandas()  # at most train_rows rows
-    counts = table["has"].map(len).to_numpy()
-    feature, row = np.concatenate([np.asarray(x, np.int64) for x in table["has"]]), np.repeat(np.arange(len(table)), counts)
+    table = rows.mapInArrow(pick, f"{', '.join(f'{t} int' for t in TASKS)}, has array<int>").toArrow()  # at most train_rows rows
+    has = table["has"].combine_chunks()
+    feature, row = has.flatten().to_numpy().astype(np.int64), np.repeat(np.arange(len(table)), np.diff(has.offsets.to_numpy()))
     for t, name in enumerate(TASKS):
         use = np.flatnonzero(table[name].to_numpy() >= 0)
         if not len(chosen[t]):
