@@ -116,12 +116,14 @@ def fit(labelled: DataFrame, buckets: int = 1 << 16, max_n: int = 3, smoothing:
 
     rows = labelled.filter("lang is not null").select("text", "lang").mapInArrow(count, "lang string, bucket long, n long")
     total = rows.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    table = total.toPandas()  # at most languages x buckets rows
-    languages = sorted(table["lang"].unique())
+    languages = sorted(r.lang for r in labelled.filter("lang is not null").select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
     if len(languages) > MAX_LANGUAGES:
         raise ValueError(f"{len(languages)} languages; the matrix is broadcast for at most {MAX_LANGUAGES}")
+    table = total.toArrow()  # at most languages x buckets rows
     counts = np.zeros((buckets, len(languages)))
-    counts[table["bucket"].to_numpy(np.int64), np.searchsorted(languages, table["lang"])] = table["n"]
+    if len(languages):
+        number = pc.index_in(table["lang"], pa.array(languages)).to_numpy()
+        counts[table["bucket"].to_numpy(), number] = table["n"].to_numpy()
     counts += smoothing
     return Model(languages, np.log(counts / counts.sum(axis=0, keepdims=True)).astype(np.float32), buckets, max_n)
 
