@@ -59,8 +59,9 @@ class Lines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool]] = []  # tag, container (0: none), dropped
-        self.lines: list[tuple[str, int, int, tuple[int, ...]]] = []
+        self.open: list[tuple[str, int, bool, int]] = []  # tag, container (0: none), dropped, hinted element (0: none)
+        self.lines: list[tuple[str, int, int, tuple[int, ...], tuple[int, ...]]] = []
+        self.hinted, self.excused = 0, set()
         self.kinds = ["page"]
         self.text, self.tags, self.linked, self.links = [], 0, 0, 0
         self.dropped = 0
@@ -68,12 +69,12 @@ class Lines(HTMLParser):
     def cut(self):
         text = _SPACE.sub(" ", "".join(self.text)).strip()
         if text:
-            self.lines.append((text, self.tags, self.linked, tuple(c for _, c, _ in self.open if c)))
+            self.lines.append((text, self.tags, self.linked, tuple(c for _, c, _, _ in self.open if c), tuple(h for _, _, _, h in self.open if h)))
         self.text, self.tags, self.linked = [], 0, 0
 
     def pop(self, upto: int):
         while len(self.open) > upto:
-            tag, _, dropped = self.open.pop()
+            tag, _, dropped, _ = self.open.pop()
             self.dropped -= dropped
             self.links -= tag == "a"
 
@@ -93,7 +94,8 @@ class Lines(HTMLParser):
                 self.text.append("" if tag == "wbr" else " ")
             return
         out = tag in OUT
-        within = any(t == "article" for t, _, _ in self.open)
+        within = any(t == "article" for t, *_ in self.open)
+        hint = False
         if tag == "header":
             out = not within
         given = {k: v or "" for k, v in attrs if k in ("class", "id", "role", "hidden", "aria-hidden", "style")}
@@ -101,14 +103,17 @@ class Lines(HTMLParser):
             out = out or given.get("role") in ROLES or "hidden" in given or given.get("aria-hidden") == "true"
             out = out or "display:none" in given.get("style", "").replace(" ", "")
             named = given.get("class", "") + " " + given.get("id", "")
-            out = out or (tag not in ("header", "h1") or not within) and _hinted(named)
-        if tag == "article" and (within or _hinted(given.get("class", "") + " " + given.get("id", ""))):
-            out = out or "comment" in (given.get("class", "") + given.get("id", "")).lower()
+            hint = (tag not in ("header", "h1") or not within) and _hinted(named)
+        if tag == "article" and "comment" in (given.get("class", "") + given.get("id", "")).lower():
+            out = True
+        elif tag in ("article", "main") and not within:
+            self.excused.update(h for _, _, _, h in self.open)
         number = 0
         if tag in CONTAINER:
             number = len(self.kinds)
             self.kinds.append("article" if tag in ("article", "main") or given.get("role") == "main" else tag)
-        self.open.append((tag, number, out))
+        self.hinted += hint
+        self.open.append((tag, number, out, self.hinted if hint else 0))
         self.dropped += out
         self.links += tag == "a"
 
@@ -165,6 +170,14 @@ def extract(html: str, sigma: float = 1.0) -> str:
     page.feed(html)
     page.close()
     page.cut()
+    # an element whose name tells of a menu or the like, but that holds the article or most of the text, is layout
+    size: dict[int, int] = {}
+    for text, _, _, _, hints in page.lines:
+        for h in (0, *hints):
+            size[h] = size.get(h, 0) + len(text)
+    if not any(k == "article" for k in page.kinds):
+        page.excused |= {h for h, n in size.items() if n >= 0.75 * size[0]}
+    page.lines = [line[:4] for line in page.lines if page.excused.issuperset(line[4])]
     if not page.lines:
         return ""
     ratio = np.array([max(0, len(t) - links) / max(1, tags) for t, tags, links, _ in page.lines], float)
@@ -178,7 +191,6 @@ def extract(html: str, sigma: float = 1.0) -> str:
     articles = [c for c in held if page.kinds[c] == "article"]
     if articles and max(held[c] for c in articles) > 0:
         region = max(articles, key=lambda c: (held[c], c))
-        # an inner article or main with nearly all of it is the tighter region
     elif articles:
         region = max(articles, key=lambda c: sum(len(t) for t, _, _, p in page.lines if c in p))
     else:

@@ -349,6 +349,16 @@ def test_main_text_without_article():
     assert main_text.extract(page).split("\n")[-1] == "End." and len(main_text.extract(page).split("\n")) == 6
 
 
+def test_main_text_inside_layout_elements_named_like_menus():
+    body = "".join(f"<p>{'word ' * 30}{i}</p>" for i in range(3))
+    menu = "<ul class=menu><li><a href=x>a</a></ul>"
+    for page in (f"<body><div class='page with-sidebar'>{menu}<article>{body}</article></div>", f"<body><div class='page with-sidebar'>{menu}{body}</div>"):
+        assert main_text.extract(page).count("word") == 90 and main_text.extract(page).split("\n")[0].startswith("word")
+    comments = f"<section id=comments>{body}</section><article class='comment'>{body}</article>"
+    assert main_text.extract(f"<body><main><article>{body}{comments}</article></main>").count("word") == 90
+    assert main_text.extract(f"<body><div class=newsletter><p>Join us now</p></div><article>{body}<div class='ad'>Buy</div></article>").count("\n") == 2
+
+
 def test_main_text_of_pages(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     for r in main_text.main_text(pages).join(pages.select("page_id", "html"), "page_id").collect():
