@@ -162,27 +162,52 @@ class PieceEncoder:
     (two spaces, a space beside a line end) goes to the library whole.
     """
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 500_000):  # parts in each of two generations
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.limit, self.known = limit, {}
+        self.limit, self.known, self.older = limit, {}, {}
         self.stops = dict(zip(",.", self._library([",", "."])))
+        pieces = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
+        self.starts = np.array([p.startswith("\u0120") for p in pieces])  # a space and what follows
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, self.dtype).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The ids of each word with a space before it. They go to the library as one text: every
+        word has one space, at its start, so its first id is the only one that begins with one."""
+        if not words:
+            return []
+        text = " " + " ".join(words)
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+        edge = np.flatnonzero(self.starts[ids])
+        if len(edge) != len(words):
+            return self._library([" " + w for w in words])
+        data, width = ids.tobytes(), ids.itemsize
+        cut = [*(edge * width).tolist(), len(data)]
+        return [data[a:b] for a, b in zip(cut, cut[1:])]
+
     def _learn(self, parts: set[str]) -> None:
-        """Adds new parts; those with white space at an end get no bytes."""
-        known, stops = self.known, self.stops
-        if len(known) + len(parts) > self.limit:
-            known.clear()
-        stems = {p[:-1] if p[-1:] in stops and p[:-1].isalpha() else p for p in parts}
-        clean = [p for p in stems if p and p not in known and not p[0].isspace() and not p[-1].isspace()]
-        known.update(zip(clean, self._library([" " + p for p in clean])))
+        """Adds new parts; those with white space at an end get no bytes. When the younger
+        generation is full it becomes the older one, whose parts come back when met again."""
+        stops = self.stops
+        if len(self.known) + len(parts) > self.limit:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        new = []
         for p in parts:
+            ids = older.get(p)
+            if ids is None:
+                new.append(p)
+            else:
+                known[p] = ids
+        stems = {p[:-1] if p[-1:] in stops and p[:-1].isalpha() else p for p in new}
+        clean = [p for p in stems if p and p not in known and not p[0].isspace() and not p[-1].isspace()]
+        known.update(zip(clean, self._words(clean)))
+        for p in new:
             if p not in known:
                 stem = known.get(p[:-1])
                 known[p] = stem + stops[p[-1]] if stem and p[-1] in stops and p[:-1].isalpha() else b""
@@ -190,22 +215,17 @@ class PieceEncoder:
     def encode(self, texts: list[str], end: bytes) -> list[bytes]:
         split = [x.split(" ") for x in texts]
         heads = self._library([parts[0] for parts in split])
-        get, rows, new = self.known.get, [], set()
-        for parts in split:
-            found = list(map(get, parts))
-            if not all(found):
-                missing = [p for p, x in zip(parts[1:], found[1:]) if x is None]
-                if missing:
-                    new.update(missing)
-                    found = None
-            rows.append(found)
-        if new:
-            self._learn(new)
+        get = self.known.get
+        rows = [list(map(get, parts)) for parts in split]
+        missing = [i for i, found in enumerate(rows) if None in found[1:]]
+        if missing:
+            self._learn({p for i in missing for p, x in zip(split[i][1:], rows[i][1:]) if x is None})
+            get = self.known.get
+            for i in missing:
+                rows[i] = [x if x is not None else get(p) for p, x in zip(split[i], rows[i])]
         out, whole = [], []
         for i, (parts, found) in enumerate(zip(split, rows)):
-            if found is None:
-                found = list(map(get, parts))
-            if len(found) > 1 and (not parts[0] or parts[0][-1].isspace() or not all(found[1:])):
+            if len(parts) > 1 and (not parts[0] or parts[0][-1].isspace() or not all(found[1:])):
                 whole.append(i)
                 out.append(b"")
             else:
