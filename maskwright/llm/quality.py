@@ -36,6 +36,7 @@ from . import words as W
 from .store import written
 
 BUCKETS = 1 << 18
+SALTS = 32
 SHAPES = 6
 BINS = 12
 TASKS = ("quality", "toxic")
@@ -239,9 +240,12 @@ def score(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000) -> DataF
     (p_quality at least 0.5 and p_toxic below 0.5)."""
     weights = fit(docs, labels, train_rows)
     path, rates = sites(docs, labels)
-    rows = evidence(docs, weights).join(path.select("host", "path", *[f"s_{t}" for t in TASKS]), ["host", "path"], "left")
-    hosts = path.select("host", *[F.col(f"h_{t}") for t in TASKS]).distinct()
-    rows = rows.join(hosts, "host", "left")
+    # one host may have a third of the documents: they meet SALTS copies of its few rows
+    rows = evidence(docs, weights).withColumn("salt", F.pmod(F.xxhash64("doc_id", "w_quality"), F.lit(SALTS)).cast("int"))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    rows = rows.join(path.select("host", "path", *[f"s_{t}" for t in TASKS], salts), ["host", "path", "salt"], "left")
+    hosts = path.groupBy("host").agg(*[F.first(f"h_{t}").alias(f"h_{t}") for t in TASKS])
+    rows = rows.join(hosts.select("*", salts), ["host", "salt"], "left")
     for t in TASKS:
         rows = rows.withColumn(f"site_{t}", F.coalesce(f"s_{t}", f"h_{t}", F.lit(rates[t])))
         rows = rows.withColumn(f"p_{t}", 1 / (1 + F.exp(-F.least(F.greatest(F.col(f"w_{t}") + logit(F.col(f"site_{t}")), F.lit(-50.0)), F.lit(50.0)))))
