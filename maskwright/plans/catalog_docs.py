@@ -182,22 +182,22 @@ def i2(spark, d):
     return I.history_list(I.history_upsert(load(spark, d, "history")))
 
 
-@query("i3_skip_processed", S.with_("history") + " select * from history where lower(source_file) not in (select lower(source_file) from history where seq % 10 = 1)")
+@query("i3_skip_processed", S.with_("history") + " select * from history where lower(source_file) not in (select lower(source_file) from history where source_file like '/Data/click/%')")
 def i3(spark, d):
     history = load(spark, d, "history")
-    return I.skip_processed(history, history.filter("seq % 10 = 1"))
+    return I.skip_processed(history, history.filter("source_file like '/Data/click/%'"))
 
 
-@query("i3_already_processed", S.with_("history") + " select * from history where lower(source_file) in (select lower(source_file) from history where seq % 10 = 1)")
+@query("i3_already_processed", S.with_("history") + " select * from history where lower(source_file) in (select lower(source_file) from history where source_file like '/Data/click/%')")
 def i3a(spark, d):
     history = load(spark, d, "history")
-    return I.already_processed(history, history.filter("seq % 10 = 1"))
+    return I.already_processed(history, history.filter("source_file like '/Data/click/%'"))
 
 
-@query("i4_history_remove", S.with_("history") + " select * from history where lower(source_file) not in (select lower(source_file) from history where seq % 4 = 2)")
+@query("i4_history_remove", S.with_("history") + " select * from history where lower(source_file) not in (select lower(source_file) from history where source_file like '/Data/view/%')")
 def i4(spark, d):
     history = load(spark, d, "history")
-    return I.history_remove(history, history.filter("seq % 4 = 2"))
+    return I.history_remove(history, history.filter("source_file like '/Data/view/%'"))
 
 
 @query("i5_versioned_names", S.with_("new_files", "taken_names", more="""

@@ -158,10 +158,10 @@ def r6(spark, d):
 
 @query("r7_party_completeness", S.with_("parties") + """
  select doc_id, bool_or(entity_type = 'BUYER') as has_buyer, bool_or(entity_type = 'SUPPLIER') as has_supplier,
-  case when bool_or(entity_type = 'BUYER') <> bool_or(entity_type = 'SUPPLIER') or doc_id % 10 = 3 then 'NEEDS_CLARIFICATION' else 'COMPLETE' end as status from parties group by doc_id""")
+  case when bool_or(entity_type = 'BUYER') <> bool_or(entity_type = 'SUPPLIER') or bool_or(entity_type = 'EMAIL' and original_text = 'value 0') then 'NEEDS_CLARIFICATION' else 'COMPLETE' end as status from parties group by doc_id""")
 def r7(spark, d):
     parties = load(spark, d, "parties")
-    return R.party_completeness(parties, parties.filter("doc_id % 10 = 3"))
+    return R.party_completeness(parties, parties.filter("entity_type = 'EMAIL' and original_text = 'value 0'"))
 
 
 @query("r8_missing_candidates", S.with_("validated", "old_values", more="""

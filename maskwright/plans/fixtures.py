@@ -43,7 +43,7 @@ select o_custkey as doc_id, o_orderpriority as sheet, o_orderkey as row_no, col_
 select o_custkey as doc_id, concat('Customer#', lpad(cast(o_custkey as string),9,'0')) as original_text, '[PARTY_REDACTED]' as mask, cast(1 as bigint) as ord
 from @orders@ group by o_custkey
 union all
-select o_custkey, concat('order of customer#', lpad(cast(o_custkey as string),9,'0')), '[ORDER_REDACTED]', cast(2 as bigint) from @orders@ where o_custkey % 2 = 0 group by o_custkey""",
+select o_custkey, concat('order of customer#', lpad(cast(o_custkey as string),9,'0')), '[ORDER_REDACTED]', cast(2 as bigint) from @orders@ group by o_custkey""",
     "history": """
 select event_id as seq, concat('/Data/', event_type, '/', cast(user_id as string), case when event_id % 3 = 0 then '.DOCX' else '.docx' end) as source_file
 from @events@""",
@@ -65,7 +65,7 @@ select o_custkey as doc_id, cast(o_orderkey as int) as para_no, o_orderkey as el
     "table_rows": """
 select o_custkey as doc_id, o_orderkey as element_no, r as row_no,
  array(o_orderstatus, case when r = 2 then '' else cast(o_orderkey as string) end, o_orderpriority) as cells
-from @orders@ cross join (select 1 as r union all select 2 union all select 3) n where o_orderkey % 4 = 0""",
+from @orders@ cross join (select 1 as r union all select 2 union all select 3) n where o_orderstatus = 'F'""",
     "notes": """
 select o_custkey as doc_id, case when o_orderkey % 2 = 0 then 'footnote' else 'endnote' end as kind, cast(1 as int) as note_no,
  cast(o_orderkey % 3 as int) as block_no, cast(o_orderkey as int) as para_no,
@@ -137,11 +137,11 @@ from @orders@""",
     "runs_done": """
 select event_id as seq, concat('/Data/', cast(user_id as string), '.pdf') as source_file, concat('/out/', cast(event_id as string), '.pdf') as masked,
  case when event_id % 2 = 0 then '' else concat('/out/', cast(event_id as string), '.json') end as report_json, cast(null as string) as report_txt from @events@""",
-    "listing": """select concat('/out/', cast(event_id as string), '.pdf') as path from @events@ where event_id % 3 = 0""",
+    "listing": """select concat('/out/', cast(event_id as string), '.pdf') as path from @events@ where event_type = 'click'""",
     "taken_names": """
-select concat(cast(c_custkey as string), '_masked', case c_custkey % 3 when 0 then '' when 1 then '_v2' else '_v4' end, '.docx') as name from @customer@ where c_custkey < 2000""",
+select concat(cast(c_custkey as string), '_masked', case c_custkey % 3 when 0 then '' when 1 then '_v2' else '_v4' end, '.docx') as name from @customer@""",
     "new_files": """
-select event_id as seq, concat('/Data/', event_type, '/', cast(user_id as string), '.docx') as source_file from @events@ where event_id % 5 = 0""",
+select event_id as seq, concat('/Data/', event_type, '/', cast(user_id as string), '.docx') as source_file from @events@""",
     "segments": """
 select doc_id, cast(1 as int) as seg_no, 'docx' as file_type, text, false as is_formula from contracts where doc_id % 3 = 0
 union all select doc_id, 1, 'xlsx', text, doc_id % 2 = 0 from contracts where doc_id % 3 = 1
