@@ -22,7 +22,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of passages of 50 words or more are taken out of the texts, and
     documents that were nothing else go; n_chars follows the text."""
-    left = line_dedup.remove_repeats(docs, drop_empty=True).drop("removed")
+    left = line_dedup.remove_repeats(docs, drop_empty=True, into=None)
     kind = docs.schema["n_chars"].dataType
     return left.withColumn("n_chars", F.length("text").cast(kind))
 

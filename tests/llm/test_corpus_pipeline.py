@@ -27,3 +27,20 @@ def test_clean_documents_stay(spark, sf_dir):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, sf_dir)
     assert sorted(r.doc_id for r in docs.collect()) == list(range(9))
+
+
+def test_extra_columns_pass_through(spark, sf_dir):
+    extra = ["removed", "_id", "_mark", "_removed", "kept", "component", "score", "lang_pred", "n_words", "items", "print", "rep"]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(30)
+    docs = docs.select("*", *[docs["lang"].alias(c) for c in extra])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, sf_dir)
+        assert docs.columns == COLUMNS + extra, name
+    assert docs.filter("removed <> lang").count() == 0 and corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).count() == docs.count() > 0
+
+
+def test_empty_documents(spark, sf_dir):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, sf_dir)
+        assert docs.count() == 0
