@@ -16,9 +16,13 @@ and k = 3 two sets at similarity 0.8 share a table with probability 0.998.
    2n pairs, never n*n.
 4. Pairs are checked on the full sets: 100 * shared >= similarity% * union.
 5. Links give components by iterated minimum labels; the smallest doc_id names each.
+6. Buckets of over three members (up to three, the leaders are all pairs) that lie in
+   more than one component are open. All members of open buckets go through an exact
+   join: two sets of a and b hashes that share s of them have a common one among the
+   first a - s + 1 and b - s + 1, rarest first (prefix and length filter, hot hashes
+   salted). Pairs of one component are settled. The links found join the components.
 
-In a bucket two members that aren't alike to either leader aren't compared there;
-they meet in other tables under other leaders. The README has the measured recall.
+So two members of one bucket that are alike are always in one component, whoever led.
 
 Null, empty and blank texts have an empty set and are linked with nothing; fewer
 words than ``size`` give one shingle. Repeated rows share a component, and all rows with
@@ -126,11 +130,11 @@ def shared_buckets(reps: DataFrame) -> DataFrame:
     )
 
 
-def candidate_pairs(reps: DataFrame, similarity: float) -> DataFrame:
+def candidate_pairs(buckets: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
     """(lo, hi) pairs of members with their buckets' two leaders."""
-    rows = written(shared_buckets(reps.select("rep", "half")), "buckets")
-    heads = rows.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi")
-    stars = rows.join(heads, "key").select("rep", F.explode(F.array("lo", "hi")).alias("leader")).filter("rep <> leader")
+    heads = buckets.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi")
+    heads = heads.select("key", F.array("lo", "hi").alias("leaders"))
+    stars = buckets.join(heads, "key").select("rep", F.explode("leaders").alias("leader")).filter("rep <> leader")
     pairs = stars.select(F.least("rep", "leader").alias("lo"), F.greatest("rep", "leader").alias("hi")).distinct()
     n = reps.select("rep", "n_shingles")
     sized = pairs.join(n.select(F.col("rep").alias("lo"), F.col("n_shingles").alias("n_lo")), "lo")
@@ -139,6 +143,58 @@ def candidate_pairs(reps: DataFrame, similarity: float) -> DataFrame:
     return sized.filter(F.least("n_lo", "n_hi") >= F.lit(similarity - 1e-9) * F.greatest("n_lo", "n_hi")).select("lo", "hi")
 
 
+def crowded(buckets: DataFrame) -> DataFrame:
+    """(key, rep) of the buckets in which not all members are leaders."""
+    return buckets.join(buckets.groupBy("key").count().filter("count > 3").select("key"), "key")
+
+
+def open_members(crowds: DataFrame, linked: DataFrame) -> DataFrame:
+    """(rep, component) of all members of crowded buckets that lie in several components."""
+    named = crowds.join(linked, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    keys = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
+    return named.join(keys, "key").select("rep", "component").distinct()
+
+
+def exact_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(lo, hi) pairs of members of different components whose sets may be alike: none
+    that is alike is left out."""
+    kind = members.schema["rep"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 256):
+                piece = batch.slice(first, 256)
+                values = [np.frombuffer(x.as_buffer(), np.int64) for x in piece.column(2)]
+                n = np.array([len(x) for x in values])
+                row = pa.array(np.repeat(np.arange(len(n)), n))
+                yield pa.RecordBatch.from_arrays(
+                    [piece.column(0).take(row), piece.column(1).take(row), pa.array(np.repeat(n, n)), pa.array(np.concatenate(values))],
+                    names=["rep", "component", "n", "hash"],
+                )
+
+    hashes = written(members.join(sets, "rep").select("rep", "component", "members").mapInArrow(run, f"rep {kind}, component {kind}, n long, hash long"), "hashes")
+    often = hashes.groupBy("hash").agg(F.count("*").alias("f")).filter("f > 1")
+    # the hashes of one member only come first in its order and meet nothing
+    own = hashes.join(often, "hash").groupBy("rep", "component", "n").agg(F.array_sort(F.collect_list(F.struct("f", "hash"))).alias("common"))
+    alone = F.col("n") - F.size("common")
+    # the longest prefix, against the smallest set that can be alike
+    reach = F.floor(F.col("n") * (100 - percent) / F.lit(100)) + 1 - alone
+    own = own.filter(reach > 0).select("rep", "component", "n", alone.alias("alone"), F.posexplode(F.slice("common", F.lit(1), reach.cast("int"))).alias("at", "x"))
+    own = own.select("rep", "component", "n", "x.hash", (F.col("alone") + F.col("at")).alias("at"), F.ceil(F.col("x.f") / 256).cast("int").alias("parts"))
+    prefix = written(own, "prefix")
+    left = prefix.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    right = prefix.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    a, b = left.alias("a"), right.alias("b")
+    least = percent * (F.col("a.n") + F.col("b.n"))  # over 100 + percent: the least number of shared hashes
+    met = a.join(
+        b,
+        (F.col("a.hash") == F.col("b.hash")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.rep") < F.col("b.rep"))
+        & (F.col("a.component") != F.col("b.component"))
+        & ((100 + percent) * (F.col("a.n") - F.col("a.at")) >= least) & ((100 + percent) * (F.col("b.n") - F.col("b.at")) >= least),
+    )
+    return met.select(F.col("a.rep").alias("lo"), F.col("b.rep").alias("hi")).distinct()
+
+
 def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """(rep, members): the sorted hashes of the wanted documents' sets."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -194,6 +250,15 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def joined_components(linked: DataFrame, members: DataFrame, links: DataFrame) -> DataFrame:
+    """(rep, component) once ``links`` between members of different components count too."""
+    ends = links.join(members.select(F.col("rep").alias("lo"), F.col("component").alias("x")), "lo")
+    ends = ends.join(members.select(F.col("rep").alias("hi"), F.col("component").alias("y")), "hi")
+    tops = components(ends.select(F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")).distinct())
+    named = linked.unionByName(members).distinct().join(tops.select(F.col("rep").alias("component"), F.col("component").alias("top")), "component", "left")
+    return named.select("rep", F.coalesce("top", "component").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept."""
     rows = sketches(docs, size)
@@ -201,10 +266,18 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFr
         F.min(F.struct("doc_id", "half", "n_shingles")).alias("least"), F.count("*").alias("rows")
     )
     reps = written(reps.select("print", "rows", F.col("least.doc_id").alias("rep"), "least.half", "least.n_shingles"), "reps")
-    pairs = written(candidate_pairs(reps, percent / 100), "pairs")
-    wanted = pairs.select(F.explode(F.array("lo", "hi")).alias("rep")).distinct()
-    links = verified(pairs, full_sets(docs, wanted, size), percent)
+    buckets = written(shared_buckets(reps.select("rep", "half")), "buckets")
+    pairs = written(candidate_pairs(buckets, reps, percent / 100), "pairs")
+    crowds = written(crowded(buckets), "crowds")
+    wanted = pairs.select(F.explode(F.array("lo", "hi")).alias("rep")).unionByName(crowds.select("rep")).distinct()
+    sets = full_sets(docs, wanted, size)
+    links = written(verified(pairs, sets, percent), "links")
     linked = components(links)
+    members = written(open_members(crowds, linked), "open")
+    if members.head(1):
+        more = written(verified(written(exact_pairs(members, sets, percent), "close"), sets, percent), "links")
+        if more.head(1):
+            linked = joined_components(linked, members, more)
     # classes of one row without links need no join back: only the others go
     named = reps.join(linked, "rep", "left").filter("rows > 1 or component is not null")
     named = named.select("print", F.coalesce("component", "rep").alias("component"))

@@ -264,6 +264,25 @@ def test_near_duplicates_of_odd_tables(spark, docs, none):
     assert near_dedup.keep_one(docs).columns == docs.columns
 
 
+def test_near_duplicates_that_no_leader_is_alike_to(spark):
+    """Groups of variants below the threshold whose smallest and largest doc_ids lead most
+    buckets; in the middle two variants that are alike to each other only."""
+    rnd, texts = random.Random(7), {}
+    for g in range(3):
+        base = [f"g{g}w{i}" for i in range(100)]
+        for v in range(142):
+            doc_id, w = 1000 * g + v, list(base)
+            for i in rnd.sample(range(1, 99, 3), 1 if v in (70, 71) else 3):
+                w[i] = f"v{doc_id}x{i}"
+            texts[doc_id] = " ".join(w)
+    rows = sorted(texts.items())
+    expected = brute_components(rows, 2, 90)
+    assert sum(not kept for _, _, kept in expected.values()) == 3
+    for parts in (1, 5):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        assert {r.doc_id: tuple(r)[1:] for r in near_dedup.near_duplicates(docs, 2, 90).collect()} == expected
+
+
 # -- 8 --------------------------------------------------------------------
 
 
