@@ -7,11 +7,12 @@ two documents that share a run of lines of ``min_words`` words or more share a
 fingerprint inside it, wherever the run stands.
 
 A fingerprint's key takes in the line before or the line after the gram (two keys),
-or the gram alone if that has ``min_words`` words. Each later place of a key is paired
-with its first place, by (doc_id, text hash, line); the pair's diagonal is extended
-both ways over all equal lines, and a later run of at least ``min_words`` words is
-removed line by line. First places are found by a grouped minimum, so a passage in
-any number of documents gives a row for each place, never pairs of them.
+or the gram alone if that has ``min_words`` words. Keys that stand in one place only
+are dropped. Fingerprints left are hints: the shortest runs of ``min_words`` words from
+each line on and up to each line that hold one are compared as a whole, by a 128-bit hash, and
+each run but the first in the order of (doc_id, text hash, line) is removed. Every line of
+a longer repeat is in such a run inside it. First places are found by a grouped minimum,
+so a passage in any number of documents gives a row for each place, never pairs of them.
 
 Lines are cut at ``\\n`` and compared without white space at their ends; words are
 runs of non-space characters. A line is only removed if an equal line stands
@@ -104,43 +105,78 @@ def line_table(docs: DataFrame, gram_words: int, min_words: int) -> DataFrame:
     return written(rows.mapInArrow(run, schema), "lines")
 
 
+def runs(hashes: np.ndarray, words: np.ndarray, hints: np.ndarray, min_words: int) -> list[tuple[int, int, bytes]]:
+    """(line, end, key) of the shortest runs of ``min_words`` words from a line on or up to a
+    line that hold a hinted line. Runs that begin or end with blank lines are keyed by
+    the run between them and the number of these lines."""
+    total = np.concatenate([[0], np.cumsum(words)])
+    n, size = len(words), int(total[-1])
+    hinted = np.concatenate([[0], np.cumsum(np.bincount(hints, minlength=n))])
+    spoken = np.flatnonzero(words)
+    ends = np.searchsorted(total, total[spoken] + min_words)
+    spans = {(i, j): (0, 0) for i, j in zip(spoken.tolist(), ends.tolist()) if total[i] + min_words <= size}
+    begins = np.searchsorted(total, total[spoken + 1] - min_words, side="right") - 1
+    spans |= {(int(i), j): (0, 0) for i, j in zip(begins, (spoken + 1).tolist()) if total[j] >= min_words}
+    out = []
+    before = np.concatenate([[0], spoken + 1])  # one past the last line with words, by number of such lines
+    after = np.concatenate([spoken, [n]])
+    rank = np.searchsorted(spoken, np.arange(n + 1))
+    for i, j in spans:
+        if hinted[j] == hinted[i]:
+            continue
+        core = xxhash.xxh3_128_digest(hashes[i:j].tobytes())
+        out.append((i, j, core))
+        for k in range(1, i - int(before[rank[i]]) + 1):
+            out.append((i - k, j, xxhash.xxh3_128_digest(core + k.to_bytes(8, "little"), 1)))
+        for k in range(1, int(after[rank[j]]) - j + 1):
+            out.append((i, j + k, xxhash.xxh3_128_digest(core + k.to_bytes(8, "little"), 2)))
+    return out
+
+
 def repeated_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """(doc_id, mark, removed): the numbers of the lines to remove, in order."""
     table = line_table(docs, -(-min_words // 2), min_words)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    places = table.select(F.struct("doc_id", "mark").alias("doc"), F.explode(F.arrays_zip("at", "keys")).alias("f"))
+    doc = F.struct("doc_id", "mark").alias("doc")
+    places = table.select(doc, F.explode(F.arrays_zip("at", "keys")).alias("f"))
     places = places.select("doc", F.col("f.at").alias("at"), F.col("f.keys").alias("key"))
-    heads = places.groupBy("key").agg(F.min(F.struct("doc", "at")).alias("head"), F.max(F.struct("doc", "at")).alias("tail"))
-    heads = heads.filter("head < tail").select("key", "head")
-    later = places.join(heads, "key").filter(F.struct("doc", "at") > F.col("head"))
-    diagonals = later.select("doc", F.col("head.doc").alias("before"), (F.col("at") - F.col("head.at")).alias("shift"))
-    # equal rows are one document; within a document only a positive shift is a repeat
-    diagonals = diagonals.filter("doc <> before or shift > 0").distinct()
-    own = table.select(F.struct("doc_id", "mark").alias("doc"), "lines", "words").dropDuplicates(["doc"])
-    both = diagonals.join(own, "doc").join(own.select(F.col("doc").alias("before"), F.col("lines").alias("old")), "before")
+    place = F.struct("doc", "at")
+    shared = places.groupBy("key").agg(F.min(place).alias("head"), F.max(place).alias("tail")).filter("head < tail").select("key")
+    # equal rows are one document
+    hints = places.join(shared, "key").groupBy("doc").agg(F.collect_set("at").alias("hints"))
+    own = table.select(doc, "lines", "words").dropDuplicates(["doc"])
+    hinted = hints.join(own, "doc").select("doc.doc_id", "doc.mark", "lines", "words", "hints")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, marks, out = [], [], []
-            for i in range(batch.num_rows):
-                shift = batch.column(2)[i].as_py()
-                new, words, old = (batch.column(k)[i].values.to_numpy() for k in (3, 4, 5))
-                lo, hi = max(0, shift), min(len(new), len(old) + shift)
-                if hi <= lo:
-                    continue
-                same = np.concatenate([[False], new[lo:hi] == old[lo - shift : hi - shift], [False]])
-                edge = np.flatnonzero(same[1:] != same[:-1])
-                total = np.concatenate([[0], np.cumsum(words)])
-                gone = [np.arange(lo + a, lo + b) for a, b in zip(edge[::2], edge[1::2]) if total[lo + b] - total[lo + a] >= min_words]
-                if gone:
-                    ids.append(i)
-                    out.append(np.concatenate(gone).tolist())
-            pick = pa.array(ids, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "mark", "gone"])
-
-    rows = both.select("doc.doc_id", "doc.mark", "shift", "lines", "words", "old")
-    gone = rows.mapInArrow(run, f"doc_id {kind}, mark long, gone array<int>").select("doc_id", "mark", F.explode("gone").alias("line")).distinct()
-    return gone.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_list("line")).alias("removed"))
+            for first in range(0, batch.num_rows, 256):
+                piece = batch.slice(first, 256)
+                row, found = [], []
+                for i in range(piece.num_rows):
+                    some = runs(*(piece.column(k)[i].values.to_numpy() for k in (2, 3, 4)), min_words)
+                    row += [i] * len(some)
+                    found += some
+                pick = pa.array(row, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [piece.column(0).take(pick), piece.column(1).take(pick), *(pa.array([x[k] for x in found], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary())))],
+                    names=["doc_id", "mark", "at", "end", "key"],
+                )
+
+    whole = written(hinted.mapInArrow(run, f"doc_id {kind}, mark long, at int, end int, key binary"), "runs").select(doc, "at", "end", "key")
+    heads = whole.groupBy("key").agg(F.min(place).alias("head"), F.max(place).alias("tail")).filter("head < tail").select("key", "head")
+    later = whole.join(heads, "key").filter(place > F.col("head")).select("doc.doc_id", "doc.mark", "at", "end")
+    gone = later.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("at", "end")).alias("runs"))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for value in batch.column(2):
+                at, end = (value.values.field(k).to_numpy() for k in (0, 1))
+                size = int(end.max()) + 1
+                out.append(np.flatnonzero(np.cumsum(np.bincount(at, minlength=size) - np.bincount(end, minlength=size))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "mark", "removed"])
+
+    return gone.mapInArrow(merge, f"doc_id {kind}, mark long, removed array<int>")
 
 
 def remove_repeats(docs: DataFrame, min_words: int = 50, drop_empty: bool = False, into: str | None = "removed") -> DataFrame:

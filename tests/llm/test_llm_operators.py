@@ -323,6 +323,22 @@ def test_removed_lines_stand_earlier_and_no_long_run_is_left(spark, docs, rows):
                     break
 
 
+def test_repeats_whose_parts_stand_earlier_alone(spark):
+    """Documents that share less than min_words with all others stand before the copies."""
+    rnd = random.Random(9)
+    line = lambda k: " ".join("".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(k))
+    texts, expected = {}, {}
+    for g in range(8):
+        part = [line(13) for _ in range(4)] + ["", line(3)]
+        own = [line(5) for _ in range(4)]
+        for k, rows in enumerate((part[:3], part[1:4], [own[0], *part, own[1]], [own[2], "", *part, own[3]])):
+            texts[10 * g + k] = "\n".join(rows)
+        expected[10 * g + 3] = [2, 3, 4, 5, 6, 7]
+    docs = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: list(r.removed) for r in line_dedup.deduplicate_lines(docs).collect() if r.removed}
+    assert got == expected
+
+
 # -- 9 --------------------------------------------------------------------
 
 
