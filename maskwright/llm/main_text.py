@@ -3,11 +3,11 @@
 The standard library's parser streams a page's events once. Block elements cut the
 text into lines; each line has its characters of text, the tags met in it and the containers
 it stands in. Its text-to-tag ratio, smoothed by a Gaussian over neighbouring lines,
-is split in two clusters (two-means on the smoothed ratios, from their extremes). The
-container with the most content (smoothed ratio of the lines in the upper cluster;
-links count as tags with no text of their own) is the content region: ``article``
-and ``main`` are preferred to other containers where a page has them.
-All lines of the region are kept, short ones too, except those in parts of the page
+is split in two clusters (two-means on the smoothed ratios, from their extremes;
+links count as tags with no text of their own). Where a page has ``article`` or ``main``,
+each of them outside the others is a content region. Elsewhere the region is the innermost
+container that holds all lines of the upper cluster.
+All lines of the regions are kept, short ones too, except those in parts of the page
 that aren't text of the article (menus, headers, footers, sidebars, notices, adverts,
 forms, scripts, styles, reader comments), told by element, role, or words of class and id.
 
@@ -34,6 +34,8 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
     "head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
+#: elements that may stand in the page's head; others end it
+HEAD = frozenset("html head title meta link script style base noscript template".split())
 CONTAINER = frozenset("article body div main section td".split())
 #: start tags that end an open element of the second set
 CLOSES = {t: frozenset(["p"]) for t in BLOCK - {"td", "th", "tr", "li", "dd", "dt", "option"}} | {
@@ -66,6 +68,10 @@ class Lines(HTMLParser):
         self.text, self.tags, self.linked, self.links = [], 0, 0, 0
         self.dropped = 0
 
+    def end_head(self):
+        if self.open and self.open[-1][0] == "head":
+            self.pop(len(self.open) - 1)
+
     def cut(self):
         text = _SPACE.sub(" ", "".join(self.text)).strip()
         if text:
@@ -79,6 +85,8 @@ class Lines(HTMLParser):
             self.links -= tag == "a"
 
     def handle_starttag(self, tag, attrs):
+        if tag not in HEAD:
+            self.end_head()
         if tag in BLOCK:
             self.cut()
             ends = CLOSES.get(tag, ())
@@ -135,6 +143,8 @@ class Lines(HTMLParser):
                 return  # a stray end tag of an inline element
 
     def handle_data(self, data):
+        if data.strip():
+            self.end_head()
         if not self.dropped:
             self.text.append(data)
             if self.links:
@@ -177,6 +187,12 @@ def extract(html: str, sigma: float = 1.0) -> str:
             size[h] = size.get(h, 0) + len(text)
     if not any(k == "article" for k in page.kinds):
         page.excused |= {h for h, n in size.items() if n >= 0.75 * size[0]}
+    else:
+        # one that holds articles beside the page's main ones (teasers) is no layout
+        within = [(len(text), hints) for text, _, _, path, hints in page.lines if any(page.kinds[c] == "article" for c in path)]
+        if any(not page.excused.intersection(hints) for _, hints in within):
+            total = sum(n for n, _ in within)
+            page.excused = {h for h in page.excused if 2 * sum(n for n, hints in within if h in hints) >= total}
     page.lines = [line[:4] for line in page.lines if page.excused.issuperset(line[4])]
     if not page.lines:
         return ""
@@ -188,14 +204,10 @@ def extract(html: str, sigma: float = 1.0) -> str:
         weight = (len(text) - links) if dense else 0
         for c in (0, *path):
             held[c] = held.get(c, 0.0) + weight
-    articles = [c for c in held if page.kinds[c] == "article"]
-    if articles and max(held[c] for c in articles) > 0:
-        region = max(articles, key=lambda c: (held[c], c))
-    elif articles:
-        region = max(articles, key=lambda c: sum(len(t) for t, _, _, p in page.lines if c in p))
-    else:
-        region = max((c for c in held if held[c] >= 0.75 * held[0]), default=0)  # the innermost one with most of the content
-    return "\n".join(t for t, _, _, path in page.lines if not region or region in path)
+    regions = {next((c for c in path if page.kinds[c] == "article"), 0) for *_, path in page.lines} - {0}
+    if not regions:
+        regions = {max(c for c in held if held[c] == held[0])} if held[0] else {0}  # the innermost one with all content
+    return "\n".join(t for t, _, _, path in page.lines if 0 in regions or regions.intersection(path))
 
 
 def main_text(pages: DataFrame) -> DataFrame:

@@ -394,6 +394,22 @@ def test_main_text_inside_layout_elements_named_like_menus():
     assert main_text.extract(f"<body><div class=newsletter><p>Join us now</p></div><article>{body}<div class='ad'>Buy</div></article>").count("\n") == 2
 
 
+def test_main_text_keeps_all_content_regions():
+    long = lambda w, n=4: "".join(f"<p>{(w + ' ') * 40}{i}</p>" for i in range(n))
+    lead = f"<body><div id=top><a href=x>a</a></div><div><p>{'lead ' * 40}</p><div>{long('inner', 9)}</div><section>{long('more', 1)}</section></div>"
+    got = main_text.extract(lead)
+    assert [got.count(w) for w in ("lead", "inner", "more")] == [40, 360, 40] and got.startswith("lead")
+    two = f"<body><div><article>{long('first')}</article><article>{long('second', 1)}<p>End.</p></article></div><div><a href=x>y</a></div>"
+    assert [main_text.extract(two).count(w) for w in ("first", "second", "End.")] == [160, 40, 1]
+    comment = two.replace("</div>", f"<article class=comment>{long('reader')}</article></div>", 1)
+    assert main_text.extract(comment) == main_text.extract(two)
+    teaser = two.replace("</div>", f"</div><div class=related><article>{long('teaser', 1)}</article></div>", 1)
+    assert main_text.extract(teaser) == main_text.extract(two)
+    for head in ("<html><head><title>T</title><meta charset=utf-8><body>", "<head><title>T</title><script>var a;</script>"):
+        assert main_text.extract(f"{head}<article>{long('x')}</article>").count("x") == 160
+        assert main_text.extract(f"{head}{long('x')}").count("x") == 160
+
+
 def test_main_text_of_pages(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     for r in main_text.main_text(pages).join(pages.select("page_id", "html"), "page_id").collect():
