@@ -12,6 +12,11 @@ on, the template has ``need`` words left (positional filter). Blocks meet templa
 by an equi-join on prefix words; the templates are a fixed parameter of at most
 ``MAX_TEMPLATES`` and are broadcast. Pairs left are checked in full.
 
+Notices wrapped over lines: a text block is also every run of a template's length /
+``threshold`` words of the whole text, across line ends, wherever it begins. (Wider runs
+would join far words of other sentences to a template.) Such a run has a prefix word, so only
+those around the places of prefix words are looked at.
+
 *Base* labels are the stated phrases, wherever their words stand consecutively.
 
 Null and empty texts have no words, no labels and score 0. Of repeated rows with one
@@ -73,7 +78,7 @@ def template_sets(templates, threshold: float) -> list[dict]:
     out = []
     for number, (label, text) in enumerate(templates):
         tokens = sorted(set(text.split()))
-        out.append({"number": number, "label": label, "tokens": tokens, "need": math.ceil(threshold * len(tokens) - 1e-9)})
+        out.append({"number": number, "label": label, "tokens": tokens, "need": math.ceil(threshold * len(tokens) - 1e-9), "width": math.floor(len(text.split()) / threshold + 1e-9)})
     return out
 
 
@@ -93,21 +98,25 @@ def blocks(docs: DataFrame) -> DataFrame:
     return parts.select("doc_id", "line", "part", F.array_distinct(F.slice("w", F.col("start") + 1, BLOCK)).alias("tokens"))
 
 
-def license_blocks(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8) -> DataFrame:
-    """(doc_id, line, part, template, label, containment) of every block that
-    holds at least ``threshold`` of a template's words."""
-    spark, sets = docs.sparkSession, template_sets(templates, threshold)
-    vocabulary = sorted({w for t in sets for w in t["tokens"]})
-    docs = docs.select("doc_id", "text")
-    df = frequencies(docs, vocabulary)
+def prefix_words(docs: DataFrame, templates, threshold: float) -> tuple[DataFrame, Column]:
+    """The templates by prefix word (word, at, template, label, ordered, need, width), and all prefix words."""
+    sets = template_sets(templates, threshold)
+    df = frequencies(docs, sorted({w for t in sets for w in t["tokens"]}))
     rows, prefixes = [], set()
     for t in sets:
         order = sorted(t["tokens"], key=lambda w: (df.get(w, 0), w))
         prefix = order[: len(order) - t["need"] + 1]
         prefixes.update(prefix)
-        rows += [(w, at, t["number"], t["label"], order, t["need"]) for at, w in enumerate(prefix)]
-    known = spark.createDataFrame(rows, "word string, at int, template int, label string, ordered array<string>, need int")
-    asked = F.array(*[F.lit(w) for w in sorted(prefixes)])
+        rows += [(w, at, t["number"], t["label"], order, t["need"], t["width"]) for at, w in enumerate(prefix)]
+    known = docs.sparkSession.createDataFrame(rows, "word string, at int, template int, label string, ordered array<string>, need int, width int")
+    return known, F.array(*[F.lit(w) for w in sorted(prefixes)])
+
+
+def license_blocks(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8, prefixes=None) -> DataFrame:
+    """(doc_id, line, part, template, label, containment) of every block in a line that
+    holds at least ``threshold`` of a template's words."""
+    docs = docs.select("doc_id", "text")
+    known, asked = prefixes or prefix_words(docs, templates, threshold)
     # a document without any prefix word has no block that matches
     hopeful = docs.filter(F.arrays_overlap(words_of(word_text(F.col("text"))), asked))
     probes = blocks(hopeful).select("*", F.explode(F.array_intersect(asked, "tokens")).alias("word"))
@@ -119,6 +128,25 @@ def license_blocks(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8)
     return met.select("doc_id", "line", "part", "template", "label", (F.col("shared") / F.size("ordered")).alias("containment"))
 
 
+def wrapped_blocks(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8, prefixes=None) -> DataFrame:
+    """(doc_id, template, label, containment): the best run of a template's width around each
+    place of one of its prefix words, of texts of several lines."""
+    docs = docs.select("doc_id", "text")
+    known, asked = prefixes or prefix_words(docs, templates, threshold)
+    reach = max(t["width"] for t in template_sets(templates, threshold)) if templates else 1
+    words = docs.filter(F.contains("text", F.lit("\n"))).select("doc_id", words_of(word_text(F.col("text"))).alias("w")).filter(F.arrays_overlap("w", asked))
+    places = words.select("doc_id", "w", F.posexplode("w").alias("p", "word")).filter(F.array_contains(asked, F.col("word")))
+    start = F.greatest(F.col("p") - reach + 1, F.lit(0))
+    around = places.select("doc_id", "word", (F.col("p") - start).alias("p"), F.slice("w", start + 1, F.col("p") - start + reach).alias("w"))
+    met = around.join(F.broadcast(known), "word")
+    first = F.greatest(F.col("p") - F.col("width") + 1, F.lit(0))
+    met = met.withColumn("near", F.slice("w", first + 1, F.col("p") - first + F.col("width"))).filter(F.size(F.array_intersect("ordered", "near")) >= F.col("need"))
+    starts = F.sequence(F.lit(1), F.greatest(F.size("near") - F.col("width") + 1, F.lit(1)))
+    held = F.transform(starts, lambda i: F.size(F.array_intersect("ordered", F.slice("near", i, F.col("width")))))
+    met = met.withColumn("shared", F.array_max(held)).filter(F.col("shared") >= F.col("need"))
+    return met.select("doc_id", "template", "label", (F.col("shared") / F.size("ordered")).alias("containment"))
+
+
 def _places(phrase: str) -> Column:
     """Word numbers where the phrase starts."""
     words = phrase.split()
@@ -148,7 +176,9 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8) -> DataFr
     """Per document: doc_id, n_words, n_base, first_word, last_word, base_labels,
     labels, score (1 with a base label, else the best containment of a match, else 0)."""
     base = base_labels(docs.select("doc_id", "text"))
-    met = license_blocks(docs, templates, threshold).groupBy("doc_id").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
+    prefixes = prefix_words(docs, templates, threshold)
+    found = [f(docs, templates, threshold, prefixes).select("doc_id", "label", "containment") for f in (license_blocks, wrapped_blocks)]
+    met = found[0].unionByName(found[1]).groupBy("doc_id").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
     rows = base.join(met.withColumnRenamed("doc_id", "id"), base["doc_id"].eqNullSafe(F.col("id")), "left")
     both = F.array_sort(F.array_union("base", F.coalesce("more", F.array().cast("array<string>"))))
     return rows.select(

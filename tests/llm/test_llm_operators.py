@@ -185,6 +185,17 @@ def test_license_blocks_find_all_that_meet_the_threshold(spark):
     assert {(r.doc_id, r.line, r.template) for r in got} == expected and len(got) == len(expected)
 
 
+def test_license_notices_wrapped_over_lines(spark):
+    mit = " * Permission is hereby granted, free of charge, to any\n * person obtaining a copy of this software\n * and associated documentation files (the X)"
+    apache = "# you may not use this\n# file except in compliance with the License.\n# You may obtain a copy\n# of the License at\n"
+    far = "mit " + "w " * 6 + "\n" + "w " * 6 + "released under the license"
+    texts = [mit, "a b\n" * 50 + apache + "c d\n" * 50, "x\nreleased under\nthe MIT\nlicense", far, "released\n\n" + "w " * 9, None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(docs).collect()}
+    assert {d: x[0] for d, x in got.items()} == {0: "mit", 1: "apache-2.0", 2: "mit", 3: "mit", 4: "", 5: ""}
+    assert got[0][1] == got[1][1] == got[2][1] == 1.0 and got[3][1] == 0.8  # its last line alone
+
+
 # -- 5 --------------------------------------------------------------------
 
 
