@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: folders of the open scratch blocks, the innermost last
+_OPEN: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name under ``spark.checkpoint.dir``.
@@ -14,6 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
     Only a session that leaves the setting unset (tests, a laptop) gets a
     temporary folder of its own, which is then set for later calls.
     """
+    if _OPEN:
+        return f"{_OPEN[-1]}/{uuid.uuid4().hex}"
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not base:
@@ -34,3 +41,29 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     path = f"{shared_dir(spark)}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of this library's own, whatever the file system."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside the block are deleted at its end: what is made of them
+    has to be written, elsewhere, before."""
+    folder = shared_dir(spark)
+    _OPEN.append(folder)
+    try:
+        yield
+    finally:
+        _OPEN.pop()
+        drop(spark, folder)
+
+
+def spread(df: DataFrame, partition_bytes: int = 128 << 20) -> int:
+    """How many partitions to deal ``df`` out to: as Spark is set, more if its estimated size asks for it."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, wanted, min(-(-size // partition_bytes), 1_000_000 if size < 1 << 50 else wanted))
