@@ -1,43 +1,47 @@
-r"""Benchmark decontamination by a document-partitioned positional inverted index.
-
-1. The test items' words give the terms a test phrase can ask for. Every task
-   writes the postings (term -> positions) of its documents for these terms to
-   an index table in the shared folder; one row per document.
-2. Document frequencies of the terms come from that index by a grouped count,
-   so every phrase knows its rarest terms.
-3. The index is read back and, in each task, the list of a phrase's rarest term,
-   moved back by the term's offset, is intersected with those of the next rarer
-   terms until it is empty or all terms agree: exact phrase matches.
-   :func:`proximity_matches` lets the words be apart by a given slop.
-
-No posting is shuffled and nothing of the documents reaches the driver. Only the
-test set does, in blocks of at most ``block_words`` words, each broadcast on its
-own, so a test set of any size is handled.
-
-Words are ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` after lower-casing A-Z. Words of up
-to 8 bytes are compared as they are, longer ones by 128 bits of hash and length.
+r"""Benchmark decontamination by a stored positional inverted index.
+
+1. *Index*: every task cuts its documents into segments of at most ``segment_bytes``
+   (a longer text is one of its own) and writes the postings of all their words:
+   a row for each term of a segment with its positions in ascending order. The rows of a file are
+   sorted by term, so a later search reads the row groups of the terms it asks for. One more
+   row a segment lists its documents. The index depends on the documents only: it is
+   made once and serves any test set.
+2. *Rarest first*: a grouped sum over the index tells how often each term of the test set
+   stands in the corpus, which orders the terms of each phrase.
+3. *Intersect*: the asked terms' lists meet by segment. A phrase's rarest list, moved back by
+   that term's offset, gives the places where it may start; these are intersected with the
+   next rarer terms' lists, moved in the same way, until none is left or all terms agree.
+   Proximity matches let up to ``slop`` other words stand between a phrase's words.
+
+The shuffle carries lists of test terms only, dealt out by segment, so a document
+or passage that is repeated any number of times is no hot key. The test set is read in blocks
+of at most ``block_words`` words, each broadcast on its own; blocks only add matches to
+document rows, so results are the same for any block size.
+
+Words are ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` after lower-casing A-Z.
 
 Null or empty texts have no words and no matches; an item without words matches
 nothing; a null item id counts as the id ``null``; repeated items count once by
-id; repeated documents give a row each; empty tables give empty results; other
-columns are ignored.
+id; repeated documents, those of one doc_id or of none give a row each; empty tables give
+empty results; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import words as W
 from .store import written
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+SLOP = 2
 _MUL_B = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -57,274 +61,298 @@ def test_windows(benchmark: DataFrame, size: int = 10) -> DataFrame:
     )
 
 
-class Terms:
-    """The vocabulary of a test block: sorted keys, and what tells longer words apart."""
-
-    def __init__(self, terms: list[str]):
-        data = [t.encode() for t in terms]
-        low = np.frombuffer(b"".join(data), np.uint8)
-        ends = np.cumsum([len(d) for d in data], dtype=np.int64)
-        starts = ends - np.array([len(d) for d in data], dtype=np.int64)
-        key = W.keys(low, starts, ends)
-        order = np.argsort(key, kind="stable")
-        self.key, self.size, self.check = key[order], (ends - starts)[order], W.keys(low, starts, ends, _MUL_B)[order]
-        self.terms = [terms[i] for i in order]
-        self.number = {t: i for i, t in enumerate(self.terms)}
-
-    def find(self, low, s, e) -> np.ndarray:
-        """The term number of each word, or -1."""
-        if not len(self.key):
-            return np.full(len(s), -1, np.int32)
-        key = W.keys(low, s, e)
-        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-        hit = np.flatnonzero((self.key[at] == key) & (self.size[at] == e - s))
-        long = hit[(e - s)[hit] > 8]
-        wrong = long[W.keys(low, s[long], e[long], _MUL_B) != self.check[at[long]]]
-        out = np.full(len(s), -1, np.int32)
-        out[hit] = at[hit]
-        out[wrong] = -1
-        return out
-
-
-def _lists(values, counts, kind):
-    ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, kind))
-
-
-def build_index(docs: DataFrame, terms, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The stored index: per document ``n_words`` and, term by term, the term
-    number, how often it stands, and its positions in ascending order."""
-    schema = T.StructType([
-        T.StructField(key, docs.schema[key].dataType),
-        T.StructField("n_words", T.LongType()),
-        T.StructField("terms", T.ArrayType(T.IntegerType(), False)),
-        T.StructField("counts", T.ArrayType(T.IntegerType(), False)),
-        T.StructField("positions", T.ArrayType(T.IntegerType(), False)),
-    ])
+# -- index ----------------------------------------------------------------------
+
+
+def _term_rows(low: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The terms, the ends of their lists, and all lists of word numbers one after the other."""
+    key, check = W.keys(low, s, e), W.keys(low, s, e, _MUL_B)
+    at = np.argsort(key, kind="stable")
+    key, check, size = key[at], check[at], (e - s)[at]
+    new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (check[1:] != check[:-1]) | (size[1:] != size[:-1])]) if len(at) else at
+    lengths, ends = size[new], np.cumsum(size[new])
+    data = low[np.repeat(s[at[new]] - ends + lengths, lengths) + np.arange(int(ends[-1]) if len(ends) else 0)]
+    terms = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(new), [None, pa.py_buffer(np.r_[0, ends].astype(np.int64)), pa.py_buffer(data)])
+    return terms.cast(pa.binary()), np.r_[new[1:], len(at)] if len(new) else new, at.astype(np.int32)
+
+
+def build_index(docs: DataFrame, segment_bytes: int = 8 << 20) -> DataFrame:
+    """The stored index: (segment, term, n, positions) for each term of a segment, positions
+    being word numbers in the segment, and a row with a null term and its documents
+    (doc_ids, marks, n_words), whose words stand one after the other. A mark is a hash of the text."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    names = ["segment", "term", "n", "positions", "doc_ids", "marks", "n_words"]
+    schema = f"segment long, term binary, n int, positions array<int>, doc_ids array<{kind}>, marks array<long>, n_words array<int>"
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = terms.value
         for batch in batches:
-            for a, b, buf, offs in W.slices(batch.column(1)):
+            base = batch.column(3)[0].as_py() if batch.num_rows else 0
+            for a, b, buf, offs in W.slices(batch.column(2), segment_bytes):
                 low = W.LOWER[buf]
                 s, e, first = W.spans(low, offs, W.ALNUM)
-                term = vocabulary.find(low, s, e)
-                at = np.flatnonzero(term >= 0)
-                row = np.searchsorted(first, at, side="right") - 1
-                pos = at - first[row]
-                group = row.astype(np.int64) * (len(vocabulary.key) + 1) + term[at]
-                order = np.argsort(group, kind="stable")
-                group, pos = group[order], pos[order].astype(np.int32)
-                new = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.zeros(0, np.int64)
-                counts = np.diff(np.r_[new, len(group)]).astype(np.int32)
-                rows = b - a
-                grow = group[new] // (len(vocabulary.key) + 1)
-                per_row = np.bincount(grow, minlength=rows)
+                terms, ends, at = _term_rows(low, s, e)
+                rows, ids = b - a, batch.column(0).slice(a, b - a)
+                one = lambda values: pa.ListArray.from_arrays(pa.array([0, rows], pa.int32()), values)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([base + a]), pa.nulls(1, pa.binary()), pa.array([rows], pa.int32()), pa.nulls(1, pa.list_(pa.int32())), one(ids), one(batch.column(1).slice(a, rows)), one(pa.array(np.diff(first), pa.int32()))],
+                    names=names,
+                )
+                n = len(ends)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(a, rows),
-                        pa.array(np.diff(first), pa.int64()),
-                        _lists((group[new] % (len(vocabulary.key) + 1)).astype(np.int32), per_row, pa.int32()),
-                        _lists(counts, per_row, pa.int32()),
-                        _lists(pos, np.bincount(row, minlength=rows), pa.int32()),
+                        pa.array(np.full(n, base + a)), terms, pa.array(np.diff(np.r_[0, ends]), pa.int32()),
+                        pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(at)),
+                        pa.nulls(n, pa.list_(ids.type)), pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.int32())),
                     ],
-                    names=schema.fieldNames(),
-                )
+                    names=names,
+                )
+
+    # a segment is numbered by its first row; the numbers are fixed once the table is written
+    rows = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text", F.monotonically_increasing_id().alias("row"))
+    return written(rows.mapInArrow(index, schema).sortWithinPartitions("term"), "postings")
 
-    return written(docs.select(key, text).mapInArrow(index, schema), "postings")
-
-
-def rarest_first(windows: list[tuple], index: DataFrame, vocabulary: Terms):
-    """Each window's (term, offset) pairs with the rarest term first. Windows
-    with a term that no document has are left out."""
-    df = np.zeros(len(vocabulary.key), np.int64)
-    counted = index.select(F.explode("terms").alias("term")).groupBy("term").count()
-    for term, n in counted.collect():  # at most a row for each term of the block
-        df[term] = n
-    plan = []
-    for item, words in windows:
-        pairs = sorted((int(df[t]), i, t) for i, t in enumerate(vocabulary.number[w] for w in words))
-        if pairs[0][0]:
-            plan.append((item, [t for _, _, t in pairs], [i for _, i, _ in pairs]))
-    plan.sort(key=lambda p: p[1][0])
-    width = max([len(t) for _, t, _ in plan], default=1)
-    fill = lambda rows: np.array([r + [-1] * (width - len(r)) for r in rows], np.int32).reshape(len(rows), width)
+
+def documents(index: DataFrame) -> DataFrame:
+    """(segment, row, doc_id, mark, n_words) of the indexed documents."""
+    listed = index.filter("term is null").select("segment", F.posexplode(F.arrays_zip("doc_ids", "marks", "n_words")).alias("row", "d"))
+    return listed.select("segment", "row", F.col("d.doc_ids").alias("doc_id"), F.col("d.marks").alias("mark"), F.col("d.n_words").cast("long").alias("n_words"))
+
+
+# -- search ---------------------------------------------------------------------
+
+
+def _plan(windows: list[tuple[tuple, list]], counts: dict[str, int], slops: list[int]) -> dict:
+    """The phrases whose terms all stand in the corpus, by their rarest term: terms and offsets
+    with the rarest first, terms in their own order, and the slop of each."""
+    number = {t: i for i, t in enumerate(sorted(counts))}
+    rows = []
+    for (words, items), slop in zip(windows, slops):
+        if all(w in counts for w in words):
+            order = sorted(range(len(words)), key=lambda i: (counts[words[i]], i))
+            own = [number[w] for w in words]
+            rows.append(([own[i] for i in order], order, own, slop, items))
+    rows.sort(key=lambda r: r[0][0])
+    width = max([len(r[0]) for r in rows], default=1)
+    fill = lambda k: np.array([r[k] + [-1] * (width - len(r[k])) for r in rows], np.int64).reshape(len(rows), width)
     return {
-        "items": [p[0] for p in plan], "terms": fill([p[1] for p in plan]), "offsets": fill([p[2] for p in plan]),
-        "sizes": np.array([len(p[1]) for p in plan], np.int32),
+        "number": number, "terms": fill(0), "offsets": fill(1), "own": fill(2), "slops": np.array([r[3] for r in rows], np.int64),
+        "sizes": np.array([len(r[0]) for r in rows], np.int64), "items": [r[4] for r in rows],
     }
 
 
-class _Postings:
-    """The lists of a batch of documents, laid out one document after the other."""
+class _Segment:
+    """The asked lists of one segment: ``held`` has term * words + position, ascending."""
+
+    def __init__(self, numbers: np.ndarray, lists: np.ndarray, sizes: np.ndarray, n_words: np.ndarray):
+        self.base = np.concatenate([[0], np.cumsum(n_words)])
+        self.total = int(self.base[-1]) + 1
+        self.term, self.at = np.repeat(numbers, sizes), lists.astype(np.int64)
+        self.held = np.sort(self.term * self.total + self.at)
 
-    def __init__(self, batch: pa.RecordBatch):
-        n_words = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-        terms, counts, positions = (batch.column(i) for i in (2, 3, 4))
-        per_row = np.diff(positions.offsets.to_numpy()).astype(np.int64)
-        base = np.concatenate([[0], np.cumsum(n_words)])
-        self.base, self.n_words = base, n_words
-        self.row = np.repeat(np.arange(len(n_words)), per_row)
-        self.at = positions.flatten().to_numpy().astype(np.int64) + base[self.row]
-        self.term = np.repeat(terms.flatten().to_numpy(), counts.flatten().to_numpy())
-        self.held = np.full(int(base[-1]), -1, np.int32)
-        self.held[self.at] = self.term
+    def has(self, term: np.ndarray, at: np.ndarray) -> np.ndarray:
+        want = term * self.total + at
+        k = np.minimum(np.searchsorted(self.held, want), len(self.held) - 1)
+        return self.held[k] == want
 
+    def after(self, term: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The next place of each term behind ``at``; past the end if there is none."""
+        k = np.searchsorted(self.held, term * self.total + at, side="right")
+        found = np.where(k < len(self.held), self.held[np.minimum(k, len(self.held) - 1)], -1) - term * self.total
+        return np.where((found >= 0) & (found < self.total), found, self.total)
 
-def _phrases(p: _Postings, plan: dict) -> tuple[np.ndarray, np.ndarray]:
-    """(window, start) of every exact occurrence."""
+
+def _seeds(p: _Segment, plan: dict, room: int = 1 << 20):
+    """(phrase, start, row) for each place of a phrase's rarest term, a bounded number at a time."""
     rare = plan["terms"][:, 0]
     lo, hi = np.searchsorted(rare, p.term, "left"), np.searchsorted(rare, p.term, "right")
     asked = np.flatnonzero(hi > lo)
     times = (hi - lo)[asked]
-    which = np.repeat(asked, times)
-    window = np.repeat(lo[asked], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-    start = p.at[which] - plan["offsets"][window, 0]
-    row = p.row[which]
-    ok = (start >= p.base[row]) & (start + plan["sizes"][window] <= p.base[row + 1])
-    window, start = window[ok], start[ok]
+    upto = np.cumsum(times)
+    begin = 0
+    while begin < len(asked):
+        end = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + room, "right")))
+        n, some = times[begin:end], asked[begin:end]
+        which = np.repeat(some, n)
+        phrase = np.repeat(lo[some], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        yield phrase, p.at[which] - plan["offsets"][phrase, 0], np.searchsorted(p.base, p.at[which], "right") - 1
+        begin = end
+
+
+def _exact(p: _Segment, plan: dict, phrase, start, row):
+    """Those of the seeds at which all terms stand at their offsets."""
+    ok = (start >= p.base[row]) & (start + plan["sizes"][phrase] <= p.base[row + 1])
+    phrase, start, row = phrase[ok], start[ok], row[ok]
     for k in range(1, plan["terms"].shape[1]):
-        if not len(window):
+        if not len(phrase):
             break
-        term = plan["terms"][window, k]
-        ok = (term < 0) | (p.held[start + np.maximum(plan["offsets"][window, k], 0)] == term)
-        window, start = window[ok], start[ok]
-    return window, start
-
-
-_OUT = "n_words long, n_hit long, starts array<int>, sizes array<int>, items array<string>"
+        term = plan["terms"][phrase, k]
+        ok = (term < 0) | p.has(term, start + plan["offsets"][phrase, k])
+        phrase, start, row = phrase[ok], start[ok], row[ok]
+    return phrase, start, row
+
+
+def _near(p: _Segment, plan: dict, phrase, start, row):
+    """(phrase, start, last, row) where the terms stand in order within the phrase's size and slop, first word at ``start``."""
+    some = plan["slops"][phrase] > 0
+    phrase, start, row = phrase[some], start[some], row[some]
+    most = int(plan["slops"].max(initial=0))
+    phrase, start, row = (np.tile(x, most + 1) for x in (phrase, start, row))
+    back = np.repeat(np.arange(most + 1), len(phrase) // (most + 1))  # words between the first and the rarest one
+    start = start - back
+    ok = (back <= plan["slops"][phrase]) & (start >= p.base[row])
+    phrase, start, row = phrase[ok], start[ok], row[ok]
+    ok = p.has(plan["own"][phrase, 0], start)
+    phrase, start, row = phrase[ok], start[ok], row[ok]
+    last = start
+    for k in range(1, plan["own"].shape[1]):
+        if not len(phrase):
+            break
+        term = plan["own"][phrase, k]
+        last = np.where(term < 0, last, p.after(np.maximum(term, 0), last))
+        ok = (last < p.base[row + 1]) & ((term < 0) | (last - start <= k + plan["slops"][phrase]))
+        phrase, start, last, row = phrase[ok], start[ok], last[ok], row[ok]
+    return phrase, start, last, row
+
+
+def search(index: DataFrame, windows: list[tuple[tuple, list]], slops: list[int]) -> DataFrame:
+    """(segment, row, phrase, start, last, exact): the places of a block of phrases (its numbers
+    are those in the list), exact ones and near ones that aren't exact."""
+    spark = index.sparkSession
+    vocabulary = sorted({w for words, _ in windows for w in words})
+    asked = spark.createDataFrame([(w.encode(), w) for w in vocabulary], "term binary, word string")
+    held = index.filter("term is not null").join(F.broadcast(asked), "term")  # at most block_words rows
+    counts = {r.word: r.n for r in held.groupBy("word").agg(F.sum("n").alias("n")).collect()}  # a row a test term
+    numbered = [(words, i) for i, (words, _) in enumerate(windows)]
+    plan = spark.sparkContext.broadcast(_plan(numbered, counts, slops))
+    known = spark.createDataFrame([(w.encode(), i) for w, i in plan.value["number"].items()], "term binary, number int")
+    lists = index.select("segment", "term", "positions").join(F.broadcast(known), "term").select("segment", "number", "positions")
+    bounds = index.filter("term is null").select("segment", F.lit(-1).alias("number"), F.col("n_words").alias("positions"))
+    dealt = lists.unionByName(bounds).repartition("segment").sortWithinPartitions("segment", "number")
+
+    def found(p: _Segment) -> Iterator[pa.RecordBatch]:
+        asked = plan.value
+        for phrase, start, row in _seeds(p, asked):
+            w, s, r = _exact(p, asked, phrase, start, row)
+            nw, ns, nl, nr = _near(p, asked, phrase, start, row)
+            apart = nl - ns + 1 > asked["sizes"][nw]
+            nw, ns, nl, nr = nw[apart], ns[apart], nl[apart], nr[apart]
+            rows = np.concatenate([r, nr])
+            last = np.concatenate([s + asked["sizes"][w] - 1, nl]) - p.base[rows]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(rows, pa.int32()), pa.array([asked["items"][x] for x in np.concatenate([w, nw]).tolist()], pa.int32()),
+                    pa.array(np.concatenate([s, ns]) - p.base[rows], pa.int32()), pa.array(last, pa.int32()), pa.array(np.r_[np.ones(len(w), bool), np.zeros(len(nw), bool)]),
+                ],
+                names=["row", "phrase", "start", "last", "exact"],
+            )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def close():
+            if n_words is not None and numbers:
+                p = _Segment(np.concatenate(numbers), np.concatenate(lists), np.concatenate(sizes), n_words)
+                for out in found(p):
+                    if out.num_rows:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(out.num_rows, segment)), *out.columns], names=["segment", *out.schema.names])
+
+        segment, n_words, numbers, lists, sizes = None, None, [], [], []
+        for batch in batches:
+            own = batch.column(0).to_numpy()
+            edges = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]).tolist() if len(own) else []
+            for a, b in zip(edges, [*edges[1:], len(own)]):
+                if own[a] != segment:
+                    yield from close()
+                    segment, n_words, numbers, lists, sizes = own[a], None, [], [], []
+                piece = batch.slice(a, b - a)
+                number, values = piece.column(1).to_numpy(), piece.column(2)
+                if number[0] < 0:  # the segment's documents come first
+                    n_words = values[0].values.to_numpy()
+                    piece = piece.slice(1)
+                    number, values = piece.column(1).to_numpy(), piece.column(2)
+                if len(number):
+                    numbers.append(number.astype(np.int64))
+                    lists.append(values.flatten().to_numpy())
+                    sizes.append(np.diff(values.offsets.to_numpy()))
+        yield from close()
+
+    return dealt.mapInArrow(run, "segment long, row int, phrase int, start int, last int, exact boolean")
 
 
 def _blocks(benchmark: DataFrame, size: int, block_words: int):
-    """The test windows in blocks of bounded size, never all at once."""
-    block, n = [], 0
+    """The distinct test windows with their items, in blocks of bounded size, never all at once."""
+    block, n = {}, 0
     for item, _, words in test_windows(benchmark, size).toLocalIterator():
-        block.append((item, words))
+        block.setdefault(tuple(words), set()).add(item)
         n += len(words)
         if n >= block_words:
             yield block
-            block, n = [], 0
-    yield block
+            block, n = {}, 0
+    if block:
+        yield block
 
 
-def phrase_matches(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_words: int = 2_000_000) -> DataFrame:
-    """Per document row: ``doc_id, n_words, n_hit`` (words inside any match),
-    ``starts, sizes`` (word spans of the matches, each once) and ``items``
-    (distinct ids, in string order)."""
-    spark, found = docs.sparkSession, None
-    docs = docs.select("doc_id", "text")
-    one_block = True
+def phrase_matches(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_words: int = 2_000_000, slop: int = SLOP) -> DataFrame:
+    """Per document row: ``doc_id, mark, n_words, n_hit`` (words inside any exact match), ``spans``
+    (start, end of the exact matches, each once), ``items`` (their distinct ids, in string order), and
+    ``near, near_items`` of proximity matches of windows of ``size`` words, by first word."""
+    spark = docs.sparkSession
+    index = build_index(docs.select("doc_id", "text"))
+    found = spark.createDataFrame([], "segment long, row int, exact boolean, spans array<struct<start:int,end:int>>, items array<string>")
     for block in _blocks(benchmark, size, block_words):
-        if found is not None and not block:
-            break
-        vocabulary = Terms(sorted({w for _, words in block for w in words}))
-        index = build_index(docs, spark.sparkContext.broadcast(vocabulary))
-        plan = spark.sparkContext.broadcast(rarest_first(block, index, vocabulary))
-
-        def match(batches, plan=plan):
-            asked = plan.value
-            for batch in batches:
-                p = _Postings(batch)
-                window, start = _phrases(p, asked)
-                edge = np.zeros(len(p.held) + 1, np.int64)
-                np.add.at(edge, start, 1)
-                np.add.at(edge, start + asked["sizes"][window], -1)
-                inside = np.concatenate([[0], np.cumsum(np.cumsum(edge[:-1]) > 0)])
-                n_hit = inside[p.base[1:]] - inside[p.base[:-1]]
-                row = np.searchsorted(p.base, start, "right") - 1
-                seen, items = [set() for _ in p.n_words], [set() for _ in p.n_words]
-                for r, w, s in zip(row.tolist(), window.tolist(), (start - p.base[row]).tolist()):
-                    seen[r].add((s, int(asked["sizes"][w])))
-                    items[r].add(asked["items"][w])
-                seen = [sorted(x) for x in seen]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0), pa.array(p.n_words), pa.array(n_hit),
-                        pa.array([[x[0] for x in y] for y in seen], pa.list_(pa.int32())),
-                        pa.array([[x[1] for x in y] for y in seen], pa.list_(pa.int32())),
-                        pa.array([sorted(x) for x in items], pa.list_(pa.string())),
-                    ],
-                    names=["doc_id", "n_words", "n_hit", "starts", "sizes", "items"],
-                )
-
-        part = index.mapInArrow(match, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {_OUT}")
-        one_block, found = found is None, part if found is None else found.unionByName(part)
-    return found if one_block else _merged(found)
-
-
-def _merged(found: DataFrame) -> DataFrame:
-    """The matches of several test blocks, a row per document id."""
-    spans = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("starts", "sizes")))))
-    rows = found.groupBy("doc_id").agg(
-        F.max("n_words").alias("n_words"),
-        spans.alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-    )
-    hit = F.expr(
-        "aggregate(spans, struct(0 as upto, 0L as n), (a, x) -> struct("
-        "greatest(a.upto, x.starts + x.sizes) as upto,"
-        " a.n + greatest(0, x.starts + x.sizes - greatest(a.upto, x.starts)) as n), a -> a.n)"
+        windows = sorted(block.items())
+        places = search(index, windows, [slop if len(words) == size else 0 for words, _ in windows])
+        items = spark.createDataFrame([(i, sorted(own)) for i, (_, own) in enumerate(windows)], "phrase int, items array<string>")
+        # by row first, so that a window's many places aren't joined one by one
+        rows = places.groupBy("segment", "row", "phrase", "exact").agg(F.collect_set(F.struct("start", (F.col("last") + 1).alias("end"))).alias("spans"))
+        rows = rows.join(F.broadcast(items), "phrase")  # at most block_words items
+        found = found.unionByName(written(rows.select("segment", "row", "exact", "spans", "items"), "matches"))
+    exact = F.col("exact")
+    merged = found.groupBy("segment", "row").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(exact, F.col("spans")))))).alias("spans"),
+        F.flatten(F.collect_set(F.when(exact, F.col("items")))).alias("items"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(~exact, F.col("spans.start")))))).alias("near"),
+        F.flatten(F.collect_set(F.when(~exact, F.col("items")))).alias("near_items"),
     )
-    return rows.select("doc_id", "n_words", hit.alias("n_hit"), F.col("spans.starts").alias("starts"), F.col("spans.sizes").alias("sizes"), "items")
+    hit = F.aggregate(
+        "spans", F.struct(F.lit(0).alias("upto"), F.lit(0).cast("long").alias("n")),
+        lambda a, x: F.struct(F.greatest(a["upto"], x["end"]).alias("upto"), (a["n"] + F.greatest(F.lit(0), x["end"] - F.greatest(a["upto"], x["start"]))).alias("n")),
+        lambda a: a["n"],
+    )
+    strings = lambda c: F.coalesce(F.array_sort(F.array_distinct(c)), F.array().cast("array<string>"))
+    rows = documents(index).join(merged, ["segment", "row"], "left")
+    return rows.select(
+        "doc_id", "mark", "n_words", F.coalesce(hit, F.lit(0).cast("long")).alias("n_hit"),
+        F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")).alias("spans"), strings("items").alias("items"),
+        F.coalesce("near", F.array().cast("array<int>")).alias("near"), strings("near_items").alias("near_items"),
+    )
 
 
 def proximity_matches(docs: DataFrame, phrases: list[str], slop: int) -> DataFrame:
-    """(doc_id, phrase, start, end): for each place of a phrase's first word, the
-    nearest places of its next words in order, where at most ``slop`` other words
-    stand between them. The phrases are a small stated list."""
-    spark = docs.sparkSession
-    asked = [(p, _words(p)) for p in phrases]
-    vocabulary = Terms(sorted({w for _, words in asked for w in words}))
-    index = build_index(docs.select("doc_id", "text"), spark.sparkContext.broadcast(vocabulary))
-    plan = spark.sparkContext.broadcast([(p, [vocabulary.number[w] for w in words]) for p, words in asked if words])
-
-    def near(batches):
-        for batch in batches:
-            p = _Postings(batch)
-            order = np.lexsort((p.at, p.term))
-            term, at = p.term[order], p.at[order]
-            out = []
-            for phrase, numbers in plan.value:
-                lists = [at[np.searchsorted(term, t, "left") : np.searchsorted(term, t, "right")] for t in numbers]
-                first = last = lists[0]
-                for follow in lists[1:]:
-                    k = np.searchsorted(follow, last, "right")
-                    ok = k < len(follow)
-                    first, last = first[ok], follow[k[ok]] if len(follow) else last[:0]
-                row = np.searchsorted(p.base, first, "right") - 1
-                ok = (last < p.base[row + 1]) & (last - first + 1 <= len(numbers) + slop)
-                out += [(r, phrase, s, e) for r, s, e in zip(row[ok].tolist(), (first - p.base[row])[ok].tolist(), (last - p.base[row])[ok].tolist())]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(pa.array([x[0] for x in out], pa.int64())),
-                    pa.array([x[1] for x in out], pa.string()),
-                    pa.array([x[2] for x in out], pa.int32()),
-                    pa.array([x[3] for x in out], pa.int32()),
-                ],
-                names=["doc_id", "phrase", "start", "end"],
-            )
-
-    return index.mapInArrow(near, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, phrase string, start int, end int")
-
-
-def _words(text: str) -> list[str]:
-    import re
-
-    return re.findall(WORD, text.translate(str.maketrans(UPPER, LOWER)))
+    """(doc_id, phrase, start, end): every place of a phrase's first word from which its words
+    stand in order (end: the last one, each word at its next place) with at most ``slop`` other words
+    between them, none included. The phrases are a small stated list."""
+    index = build_index(docs.select("doc_id", "text"))
+    asked = [(tuple(w), p) for p in phrases if (w := re.findall(WORD, p.translate(str.maketrans(UPPER, LOWER))))]
+    places = search(index, asked, [slop] * len(asked)).select("segment", "row", "phrase", "start", "last").distinct()
+    named = docs.sparkSession.createDataFrame([(i, p) for i, (_, p) in enumerate(asked)], "number int, name string")
+    rows = places.join(F.broadcast(named), F.col("phrase") == F.col("number")).join(documents(index), ["segment", "row"])
+    return rows.select("doc_id", F.col("name").alias("phrase"), "start", F.col("last").alias("end"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near (first
+    words of proximity matches), near_items (their item ids, comma-joined)."""
     m = phrase_matches(docs, benchmark, size)
     return m.select(
         "doc_id", "n_words", "n_hit",
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
+        F.size("near").cast("long").alias("n_near"), F.array_join("near_items", ",").alias("near_items"),
     )
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
-    """``docs`` without the documents that hold a test phrase."""
-    dirty = contamination(docs, benchmark, size).filter("contaminated").select("doc_id").distinct()
-    return docs.join(dirty, docs["doc_id"].eqNullSafe(dirty["doc_id"]), "left_anti")
+    """``docs`` without the rows that hold a test phrase. Rows are told by doc_id and text, so
+    others of the same doc_id, or without one, stay."""
+    dirty = phrase_matches(docs, benchmark, size, slop=0).filter("n_hit > 0").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct()
+    return docs.join(dirty, docs["doc_id"].eqNullSafe(dirty["_id"]) & (F.xxhash64(docs["text"]) == dirty["_mark"]), "left_anti")

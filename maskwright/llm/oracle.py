@@ -13,20 +13,29 @@ def _words(text: str) -> str:
 
 
 OP1 = f"""
-with d as (select doc_id, {_words("coalesce(text, '')")} as w from documents),
+with d as (select row_number() over () as k, doc_id, {_words("coalesce(text, '')")} as w from documents),
 b as (select distinct item_id, {_words("text")} as w from benchmark where text is not null),
 win as (
   select item_id, list_slice(w, s + 1, s + 10) as win
   from (select item_id, w, unnest(range(0, greatest(len(w) - 10, 0) + 1)) as s from b where len(w) > 0)),
-pos as (select doc_id, w, unnest(range(1, len(w) + 1)) as p from d),
+pos as (select k, w, unnest(range(1, len(w) + 1)) as p from d),
 hit as (
-  select distinct doc_id, p, len(win) as n, item_id
+  select distinct k, p, len(win) as n, item_id
   from pos join win on w[p] = win[1] and list_slice(w, p, p + len(win) - 1) = win),
-covered as (select doc_id, count(distinct p + k) as n_hit from (select doc_id, p, unnest(range(0, n)) as k from hit) group by doc_id),
-items as (select doc_id, count(distinct item_id) as n_items, sha256(string_agg(distinct cast(item_id as varchar), ',' order by cast(item_id as varchar))) as s from hit group by doc_id)
+covered as (select k, count(distinct p + i) as n_hit from (select k, p, unnest(range(0, n)) as i from hit) group by k),
+items as (select k, count(distinct item_id) as n_items, sha256(string_agg(distinct cast(item_id as varchar), ',' order by cast(item_id as varchar))) as s from hit group by k),
+-- of ten words with at most two others between them, three in a row stand together at one of these places
+three as (select distinct item_id, win, o, win[o + 1] as a, win[o + 2] as b, win[o + 3] as c from win, (values (0), (3), (6)) t(o) where len(win) = 10),
+met as (
+  select distinct k, item_id, win, w, p - o - g as p
+  from (select k, w, p, w[p] as a, w[p + 1] as b, w[p + 2] as c from pos) join three using (a, b, c), (values (0), (1), (2)) t(g) where p - o - g >= 1),
+near as (
+  select k, p, item_id from met where w[p] = win[1] and list_slice(w, p, p + 9) <> win
+  and regexp_matches(array_to_string(list_slice(w, p, p + 11), ' '), '^' || array_to_string(win, ' ([^ ]+ )*') || '( |$)')),
+nears as (select k, count(distinct p) as n_near, string_agg(distinct cast(item_id as varchar), ',' order by cast(item_id as varchar)) as near_items from near group by k)
 select d.doc_id, len(d.w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
-  coalesce(s, sha256('')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
-from d left join covered using (doc_id) left join items using (doc_id)
+  coalesce(s, sha256('')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated, coalesce(n_near, 0)::bigint as n_near, coalesce(near_items, '') as near_items
+from d left join covered using (k) left join items using (k) left join nears using (k)
 """
 
 OP3 = r"""
