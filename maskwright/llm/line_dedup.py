@@ -6,8 +6,8 @@ each window the one with the least hash is a fingerprint (the last of equal ones
 two documents that share a run of lines of ``min_words`` words or more share a
 fingerprint inside it, wherever the run stands.
 
-A fingerprint's key takes in the line before or the line after the gram (two keys),
-or the gram alone if that has ``min_words`` words. Keys that stand in one place only
+Lines without words count neither in grams nor in keys. A fingerprint's key takes in the
+line before or the line after the gram (two keys), or the gram alone if that has ``min_words`` words. Keys that stand in one place only
 are dropped. Fingerprints left are hints: the shortest runs of ``min_words`` words from
 each line on and up to each line that hold one are compared as a whole, by a 128-bit hash, and
 each run but the first in the order of (doc_id, text hash, line) is removed. Every line of
@@ -27,28 +27,29 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .store import written
 
 
 def fingerprints(hashes: list[int], words: list[int], gram_words: int, min_words: int) -> list[tuple[int, int]]:
-    """(line, key) of the selected grams."""
-    n = len(hashes)
-    total = np.concatenate([[0], np.cumsum(words)])
+    """(line, key) of the selected grams. Lines without words are left out here, so a window has
+    at most ``min_words`` lines and the work is linear whatever stands between them."""
+    spoken = [i for i, n in enumerate(words) if n]
+    n = len(spoken)
+    total = np.concatenate([[0], np.cumsum([words[i] for i in spoken])])
     if total[-1] < min_words:
         return []
-    gram_end = np.searchsorted(total, total[:-1] + gram_words)  # one past the last line
-    window_end = np.searchsorted(total, total[:-1] + min_words)
-    data = np.array(hashes, np.uint64)
-    grams = [xxhash.xxh3_64_intdigest(data[i:j].tobytes()) if j <= n else None for i, j in enumerate(gram_end.tolist())]
+    gram_end = np.searchsorted(total, total[:-1] + gram_words).tolist()  # one past the last line
+    window_end = np.searchsorted(total, total[:-1] + min_words).tolist()
+    data = np.array([hashes[i] for i in spoken], np.uint64)
+    digest = lambda i, j, seed=0: xxhash.xxh3_64_intdigest(data[i:j].tobytes(), seed)
+    grams = [digest(i, j) if j <= n else None for i, j in enumerate(gram_end)]
     chosen = set()
-    for start, end in enumerate(window_end.tolist()):
+    for start, end in enumerate(window_end):
         if end > n:
             break
-        if not words[start]:
-            continue  # a window that begins with blank lines: the next one is the same run
         at = start
         for i in range(start + 1, end):
             if gram_end[i] > end:
@@ -58,14 +59,14 @@ def fingerprints(hashes: list[int], words: list[int], gram_words: int, min_words
         chosen.add(at)
     out = []
     for at in sorted(chosen):
-        end = int(gram_end[at])
+        end = gram_end[at]
         if total[end] - total[at] >= min_words:
-            out.append((at, grams[at]))
+            out.append((spoken[at], grams[at]))
             continue
         if at:
-            out.append((at, xxhash.xxh3_64_intdigest(data[at - 1 : end].tobytes(), 1)))
+            out.append((spoken[at], digest(at - 1, end, 1)))
         if end < n:
-            out.append((at, xxhash.xxh3_64_intdigest(data[at : end + 1].tobytes(), 2)))
+            out.append((spoken[at], digest(at, end + 1, 2)))
     return out
 
 
@@ -179,6 +180,20 @@ def repeated_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
     return gone.mapInArrow(merge, f"doc_id {kind}, mark long, removed array<int>")
 
 
+def without_lines(text: Column, removed: Column) -> Column:
+    """The text without the lines of these ascending numbers, of the slices between them."""
+    lines = F.split(text, "\n", -1)
+    edges = F.concat(F.array(F.lit(-1)), removed, F.array(F.size(lines)))
+
+    def join(t: Column) -> Column:
+        edge = lambda i: F.element_at(t["edges"], i)
+        at = F.sequence(F.lit(1), F.size(t["edges"]) - 1)
+        return F.array_join(F.flatten(F.transform(at, lambda i: F.slice(t["lines"], edge(i) + 2, edge(i + 1) - edge(i) - 1))), "\n")
+
+    # as the only item of a list, so that the text is split once and not for each slice
+    return F.transform(F.array(F.struct(lines.alias("lines"), edges.alias("edges"))), join)[0]
+
+
 def remove_repeats(docs: DataFrame, min_words: int = 50, drop_empty: bool = False, into: str | None = "removed") -> DataFrame:
     """``docs`` with the repeated lines taken out of ``text``, and their numbers in the
     column ``into`` (null if none; it takes the place of a column of that name; None: no such column).
@@ -188,8 +203,7 @@ def remove_repeats(docs: DataFrame, min_words: int = 50, drop_empty: bool = Fals
     )
     rows = docs.join(gone, (docs["doc_id"] == gone["_id"]) & (F.xxhash64(docs["text"]) == gone["_mark"]), "left")
     removed = gone["_removed"]
-    left = F.array_join(F.filter(F.split(docs["text"], "\n", -1), lambda x, i: ~F.array_contains(removed, i)), "\n")
-    text = F.when(removed.isNull(), docs["text"]).otherwise(left)
+    text = F.when(removed.isNull(), docs["text"]).otherwise(without_lines(docs["text"], removed))
     if drop_empty:
         rows = rows.filter(removed.isNull() | text.rlike("\\S"))
     kept = [text.alias("text") if c == "text" else docs[c] for c in docs.columns if c != into]
