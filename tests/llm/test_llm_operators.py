@@ -62,35 +62,62 @@ def none(spark):
 # -- 1 --------------------------------------------------------------------
 
 
-def brute_contamination(rows, items, size=10):
+def brute_contamination(rows, items, size=10, slop=2):
     windows = []
     for item, text in items:
         w = words(text)
         if w:
             windows += [(str(item), w[s : s + size]) for s in range(max(len(w) - size, 0) + 1)]
-    out = {}
+    out = []
     for doc_id, text, *_ in rows:
-        w, hit, found = words(text), set(), set()
+        w, hit, found, near, near_found = words(text), set(), set(), set(), set()
         for item, win in windows:
             for s in range(len(w) - len(win) + 1):
                 if w[s : s + len(win)] == win:
                     hit.update(range(s, s + len(win)))
                     found.add(item)
+                elif len(win) == size and w[s] == win[0]:
+                    rest = iter(w[s : s + size + slop])
+                    if all(x in rest for x in win):  # in order, each at its next place
+                        near.add(s)
+                        near_found.add(item)
         digest = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
-        out[doc_id] = (len(w), len(hit), len(found), digest, bool(hit))
-    return out
+        out.append((doc_id, len(w), len(hit), len(found), digest, bool(hit), len(near), ",".join(sorted(near_found))))
+    return sorted(out, key=repr)
 
 
 @pytest.mark.parametrize("block_words", [2_000_000, 40])
 def test_contamination(spark, docs, rows, block_words, monkeypatch):
     short = [r for r in rows if not r[1] or len(r[1]) < 3000]
     some = words(short[40][1])
-    items = [(1, " ".join(some[:14])), (2, "two WORDS"), (3, None), (4, "!!"), (10, "a"), (11, rows[11][1]), (12, " ".join(some[3:9])), (2, "two words")]
+    items = [(1, " ".join(some[:14])), (2, "two WORDS"), (3, None), (4, "!!"), (10, "a"), (11, rows[11][1]), (12, " ".join(some[3:9])), (2, "two words"), (20, " ".join(some[:14])), (None, "two")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    monkeypatch.setattr(decontaminate.phrase_matches, "__defaults__", (10, block_words))
-    got = {r.doc_id: tuple(r)[1:6] for r in decontaminate.contamination(docs.filter("length(text) < 3000 or text is null"), bench).collect()}
-    assert got == brute_contamination(short, items)
+    items[-1] = ("null", "two")
+    monkeypatch.setattr(decontaminate.phrase_matches, "__defaults__", (10, block_words, 2))
+    got = decontaminate.contamination(docs.filter("length(text) < 3000 or text is null"), bench).collect()
+    assert sorted(map(tuple, got), key=repr) == brute_contamination(short, items)
     assert decontaminate.contamination(docs.limit(5), bench.limit(0)).filter("contaminated").count() == 0
+    assert decontaminate.contamination(docs.limit(0), bench).count() == 0
+
+
+@pytest.mark.parametrize("block_words", [2_000_000, 3])
+def test_contamination_of_repeated_ids_and_near_phrases(spark, block_words, monkeypatch):
+    rnd = random.Random(1)
+    item = [f"w{i}" for i in range(14)] + ["w3", "w4", "w5"]
+    rows = [(1, "one two three four"), (1, "five six"), (2, "zz"), (2, "zz"), (None, "one two"), (None, "w0 w1 zz"), (3, None)]
+    for i in range(60):
+        w = list(item)
+        for _ in range(rnd.randint(1, 4)):
+            w.insert(rnd.randrange(len(w)), rnd.choice(["x", "w3", "w4"]))
+        rows.append((100 + i, " ".join(w) + "\n" + " ".join(item[rnd.randrange(9) :])))
+    rows.append((200, ("long " * 30_000 + " ".join(item)) + " one two"))
+    items = [(1, " ".join(item)), (2, "one two"), (3, "five six"), (4, "one two")]
+    monkeypatch.setattr(decontaminate.phrase_matches, "__defaults__", (10, block_words, 2))
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    assert sorted(map(tuple, decontaminate.contamination(docs, bench).collect()), key=repr) == brute_contamination(rows, items)
+    left = sorted(decontaminate.decontaminate(docs, bench).collect(), key=repr)
+    clean = [r for r in rows if not brute_contamination([r], items)[0][5]]
+    assert [tuple(r) for r in left] == sorted(clean, key=repr) and (None, "w0 w1 zz") in clean and len(clean) > 4
 
 
 def test_decontaminate_drops_hits(spark, docs):
@@ -105,6 +132,13 @@ def test_proximity(spark):
     assert [tuple(r) for r in got] == [(1, "red fox", 0, 3)]
 
 
+def test_index_serves_any_test_set(spark, docs):
+    index = decontaminate.build_index(docs.select("doc_id", "text"), segment_bytes=2000)
+    total = index.filter("term is not null").selectExpr("sum(n) n", "sum(size(positions)) m").first()
+    assert total.n == total.m == decontaminate.documents(index).selectExpr("sum(n_words) n").first().n
+    assert index.select("segment").distinct().count() > 10
+
+
 # -- 2 --------------------------------------------------------------------
 
 
@@ -133,8 +167,57 @@ def test_token_files_without_rows_and_with_null_keys(spark, none):
 
 def test_perfect_hash_is_minimal():
     keys = np.random.default_rng(3).choice(10**12, 5000, replace=False).astype(np.uint64)
-    sizes, bits = token_files.build_hash(keys)
-    assert sorted(token_files.slot_of(keys, sizes, bits)) == list(range(5000))
+    sizes, words, ranks = token_files.build_hash(keys)
+    assert sorted(token_files.slot_of(keys, sizes, lambda b: words.reshape(-1, 8)[b], lambda b: ranks[b])) == list(range(5000))
+
+
+def test_look_up_reads_as_much_whatever_the_size(tmp_path, monkeypatch):
+    read = []
+    for n in (1_000, 1_000_000):
+        path = f"{tmp_path}/{n}.bin"
+        keys = np.sort(np.random.default_rng(n).choice(10**12, n, replace=False))
+        with open(path, "wb") as f:
+            f.write(token_files.shard_head(keys, np.ones(n, np.int64), "<u2") + np.arange(n).astype("<u2").tobytes())
+        shard, total, calls = token_files.Shard(path), [0], keys[:: n // 500]
+        own = shard.read
+        monkeypatch.setattr(shard, "read", lambda part, first, k: (total.__setitem__(0, total[0] + k), own(part, first, k))[1])
+        for place, key in zip(range(0, n, n // 500), calls.tolist()):
+            assert shard.look_up(key).tolist() == [place % 65536]
+        assert shard.look_up(-5) is None and shard.look_up(token_files.NULL_KEY) is None
+        read.append(total[0] / len(calls))
+    assert read[1] < 1.5 * read[0] < 100
+
+
+def test_token_files_with_many_shards_and_hot_keys(spark, docs, rows):
+    odd = spark.createDataFrame([(None, f"n {i}") for i in range(30)] + [(7, f"seven {i}") for i in range(30)] + [(8, "x\ny, z.")], "doc_id long, text string").repartition(4)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    manifest = token_files.write_shards(odd, tokenizer_file(BYTE_BPE), 2, shard_docs=5)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert manifest.count() > 10
+    got = token_files.read_shards(manifest, token_files.crc32).collect()
+    assert sorted(r.doc_id or -1 for r in got) == [-1] * 30 + [7] * 30 + [8]
+    upto = 0
+    for r in sorted(got, key=lambda r: r.start):
+        assert r.start == upto
+        upto += r.n_tokens
+    first = min(r.start for r in got if r.doc_id == 7)
+    found = {r.doc_id: r.ids for r in token_files.look_up(manifest, spark.createDataFrame([(7,), (8,), (9,)], "doc_id long")).collect()}
+    assert set(found) == {7, 8} and next(r for r in got if r.start == first).value == token_files.crc32(np.array(found[7]))
+
+
+def test_encoder_equals_the_library():
+    import pyarrow as pa
+
+    rnd = random.Random(3)
+    letters = "abet  \n\n'sd,.1é×÷ßжЖ日\u00a0\u3000\t—“”A!"
+    some = ["it's", "<|endoftext|>", "a,", "b.", "é,", "×,", "don't", "1,2", "x\ny", "—,", "日,", "'s", "...", ",", "\n", "\r"]
+    texts = ["".join(rnd.choice(letters) for _ in range(rnd.randint(0, 40))) for _ in range(4000)] + [" ".join(rnd.choice(some) for _ in range(rnd.randint(0, 12))) for _ in range(4000)]
+    for limit in (1_000_000, 200):
+        own = token_files.PieceEncoder(tokenizer_file(BYTE_BPE), limit)
+        for first in range(0, len(texts), 500):
+            for a, n, ids in own.encode(pa.array(texts[first : first + 500]), 2):
+                expected = own.tokenizer.encode_batch_fast(texts[first + a : first + a + len(n)], add_special_tokens=False)
+                assert ids.tolist() == [i for x in expected for i in x.ids + [2]] and n.tolist() == [len(x.ids) + 1 for x in expected]
 
 
 # -- 3 --------------------------------------------------------------------
@@ -350,6 +433,36 @@ def test_repeats_whose_parts_stand_earlier_alone(spark):
     assert got == expected
 
 
+def test_copies_of_what_stands_in_another_document(spark):
+    """A = P, B = P + Q, C = P + Q: nothing of C stays, whatever the lines' hashes choose."""
+    rnd, texts, expected = random.Random(11), {}, {}
+    line = lambda: " ".join("".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(5))
+    for g in range(100):
+        p, q = [line() for _ in range(11)], [line() for _ in range(5)]
+        texts |= {10 * g: "\n".join(p), 10 * g + 1: "\n".join(p + q), 10 * g + 2: "\n".join(p + q)}
+        expected |= {10 * g + 1: list(range(11)), 10 * g + 2: list(range(16))}
+    docs = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string").repartition(3)
+    assert {r.doc_id: list(r.removed) for r in line_dedup.deduplicate_lines(docs).collect() if r.removed} == expected
+
+
+def test_blank_lines_cost_linear_time(spark):
+    import time
+
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    began = time.perf_counter()
+    hashes, words = [0] * 400_000, [0] * 400_000
+    for i in range(0, 400_000, 20_000):
+        hashes[i], words[i] = i, 20
+    assert line_dedup.fingerprints(hashes, words, 25, 50) and time.perf_counter() - began < 20
+    run = "\n".join(word() + " " + word() for _ in range(40))
+    texts = [run + "\n" * 100_000 + run, "\n" * 100_000 + "x" + "\n" * 50_000 + run + "\ny"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in line_dedup.deduplicate_lines(docs).collect()}
+    assert list(got[0].removed) == list(range(100_039, 100_079))
+    assert got[1].text.replace("\n", "") == "xy" and time.perf_counter() - began < 90
+
+
 # -- 9 --------------------------------------------------------------------
 
 
