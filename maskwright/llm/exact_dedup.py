@@ -5,25 +5,27 @@ Texts are equal when they are identical after every character of
 
 1. *Digest* every document (SHA-256 of the normalised text, its size in bytes and
    code points) into a small table in the shared folder.
-2. *Partition recursively*: records go to buckets by digest; a bucket whose
-   distinct contents exceed ``bucket_bytes`` is split again with other digest
-   bits, until each bucket fits or holds one content. The plan of buckets is made
-   from the digest table; Spark's shuffle files are the spill files.
-3. *Collapse before the shuffle*: each map task keeps an open-addressing table
-   (Python's ``dict``: probing on hash, equality on the complete content) and sends
-   one record for each distinct content with a count and the best row so far, so a
-   group of copies of any size costs each bucket at most a record per map task.
-4. *Merge* in each bucket with the same kind of table, comparing complete contents.
-   Two contents with one digest stop the job instead of being merged.
+2. *Collapse before the shuffle*: each map task keeps an open-addressing table
+   (Python's ``dict``: probing on hash, equality on the complete content) of bounded size and
+   sends one record for each distinct content with a count and the best row so far, so a
+   group of copies of any size costs each bucket at most a few records per map task.
+3. *Partition*: records are dealt out and sorted by bucket (a hash of the digest; as many as
+   ``bucket_bytes`` goes into all bytes). A task takes its buckets one after the other.
+4. *Merge* each bucket in a table of its own, comparing complete contents. A bucket that outgrows
+   ``bucket_bytes`` is spilled: its records, merged so far, go to a spill table in the shared
+   folder, and from there to smaller buckets by other bits in a further pass, until every
+   bucket fits or holds one content. Two contents with one digest stop the job instead of
+   being merged.
 5. Groups of two or more rows are joined back to the digest table.
 
 The row with the most code points in the original text, then the smallest doc_id,
-stays. Null texts count as empty, and all empty ones are equal. Null doc_ids rank
-after others. Repeated rows are rows of their own; other columns are ignored.
+stays; of rows alike in both, exactly one. Null texts count as empty, and all empty ones are
+equal. Null doc_ids rank after others. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -32,13 +34,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import spread, written
 
 SPACES = b" \t\n\x0b\x0c\r"
+FAN = 16  # parts of a spilled bucket
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_chars, n_bytes, sha): one row for each document."""
+    """(row, doc_id, n_chars, n_bytes, sha): one row for each document, numbered."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,40 +58,12 @@ def digests(docs: DataFrame) -> DataFrame:
                 names=["doc_id", "n_chars", "n_bytes", "sha"],
             )
 
-    return written(docs.select("doc_id", "text").mapInArrow(digest, f"doc_id {kind}, n_chars long, n_bytes long, sha binary"), "digests")
+    rows = docs.select("doc_id", "text").mapInArrow(digest, f"doc_id {kind}, n_chars long, n_bytes long, sha binary")
+    return written(rows.select(F.monotonically_increasing_id().alias("row"), "*"), "digests")
 
 
-def bucket_plan(keys: DataFrame, bucket_bytes: int) -> tuple[int, list[dict]]:
-    """Buckets of the first level, and for each further level the fan-out and the
-    buckets to split. Returned sizes grow with total bytes / bucket_bytes only."""
-    contents = keys.groupBy("sha").agg(F.first("n_bytes").alias("n_bytes"))
-    total = keys.agg(F.sum("n_bytes")).first()[0] or 0
-    n = max(1, -(-total // bucket_bytes))
-    level = contents.select("sha", "n_bytes", F.pmod(F.xxhash64("sha"), F.lit(n)).alias("bucket"))
-    splits: list[dict] = []
-    while True:
-        sizes = level.groupBy("bucket").agg(F.sum("n_bytes").alias("b"), F.count("*").alias("c"))
-        big = {r.bucket: int(-(-r.b // bucket_bytes)) + 1 for r in sizes.filter((F.col("b") > 2 * bucket_bytes) & (F.col("c") > 1)).collect()}
-        if not big:
-            return n, splits
-        splits.append(big)
-        level = level.filter(F.col("bucket").isin(list(big))).select("sha", "n_bytes", _next(F.col("bucket"), len(splits), big).alias("bucket"))
-
-
-def _next(bucket, level: int, big: dict):
-    """The bucket at the next level for those to split, numbered apart from all others."""
-    fan = F.create_map(*[F.lit(x) for k, v in big.items() for x in (k, v)])
-    return F.xxhash64(bucket, F.lit(level), F.pmod(F.xxhash64("sha", F.lit(level)), fan[bucket]))
-
-
-def _bucket(n: int, splits: list[dict]):
-    out = F.pmod(F.xxhash64("sha"), F.lit(n))
-    for level, big in enumerate(splits, 1):
-        out = F.when(out.isin(list(big)), _next(out, level, big)).otherwise(out)
-    return out
-
-
-_RECORD = "sha binary, content binary, n long, best_chars long, best_id {kind}"
+_RECORD = "bucket long, sha binary, content binary, n long, best_chars long, best_id {kind}"
+_NAMES = ["bucket", "sha", "content", "n", "best_chars", "best_id"]
 
 
 def _better(a: tuple, b: tuple) -> tuple:
@@ -100,27 +75,18 @@ def _better(a: tuple, b: tuple) -> tuple:
     return a if a[1] <= b[1] else b
 
 
-def _records(table: dict, kind: pa.DataType) -> pa.RecordBatch:
-    rows = list(table.items())
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array([v[0] for _, v in rows], pa.binary()),
-            pa.array([k for k, _ in rows], pa.binary()),
-            pa.array([v[1] for _, v in rows], pa.int64()),
-            pa.array([v[2][0] for _, v in rows], pa.int64()),
-            pa.array([v[2][1] for _, v in rows], kind),
-        ],
-        names=["sha", "content", "n", "best_chars", "best_id"],
-    )
+def _records(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    types = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), kind]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=_NAMES)
 
 
-def duplicate_groups(docs: DataFrame, keys: DataFrame, bucket_bytes: int = 32 << 20, table_bytes: int = 8 << 20) -> DataFrame:
-    """(sha, group_size, keep_id) of every distinct content that two or more rows have."""
+def collapsed(docs: DataFrame, table_bytes: int = 8 << 20) -> DataFrame:
+    """Records of distinct contents, as far as a map task sees them: no bucket yet."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    n, splits = bucket_plan(keys, bucket_bytes)
 
     def collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, held, ids = {}, 0, None
+        rows = lambda: _records([(None, sha, flat, n, *best) for flat, (sha, n, best) in table.items()], ids)
         for batch in batches:
             ids = batch.schema.field(0).type
             text = pc.fill_null(batch.column(1), "")
@@ -133,43 +99,77 @@ def duplicate_groups(docs: DataFrame, keys: DataFrame, bucket_bytes: int = 32 <<
                     table[flat] = (hashlib.sha256(flat).digest(), 1, (size, key))
                     held += len(flat) + 300
                     if held > table_bytes:
-                        yield _records(table, ids)
+                        yield rows()
                         table, held = {}, 0
         if table:
-            yield _records(table, ids)
+            yield rows()
+
+    return docs.select("doc_id", "text").mapInArrow(collapse, _RECORD.format(kind=kind))
+
+
+def merged(records: DataFrame, bucket_bytes: int) -> DataFrame:
+    """Of records dealt out and sorted by bucket: the groups (no content, two rows or more) and the
+    records of buckets that outgrow ``bucket_bytes``, merged as far as memory went."""
+    kind = records.schema["best_id"].dataType.simpleString()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, by_sha, ids = {}, {}, None
+        table, by_sha, held, bucket, spilled, out, ids = {}, {}, 0, None, False, [], None
         for batch in batches:
-            ids = batch.schema.field(4).type
-            for sha, content, count, size, key in zip(*(c.to_pylist() for c in batch.columns)):
-                if content in table:
+            ids = batch.schema.field(5).type
+            for own, sha, content, count, size, key in zip(*(c.to_pylist() for c in batch.columns)):
+                if own != bucket:
+                    out += [(bucket, sha_, None, n, *best) for sha_, n, best in table.values() if n > 1]
+                    table, by_sha, held, bucket, spilled = {}, {}, 0, own, False
+                if spilled:
+                    out.append((own, sha, content, count, size, key))
+                elif content in table:
                     _, had, best = table[content]
                     table[content] = (sha, had + count, _better(best, (size, key)))
                 else:
                     if by_sha.setdefault(sha, content) is not content:
                         raise ValueError(f"two contents have the digest {sha.hex()}")
                     table[content] = (sha, count, (size, key))
-        groups = [v for v in table.values() if v[1] > 1]
-        if groups:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([g[0] for g in groups], pa.binary()), pa.array([g[1] for g in groups], pa.int64()), pa.array([g[2][1] for g in groups], ids)],
-                names=["sha", "group_size", "keep_id"],
-            )
-
-    records = docs.select("doc_id", "text").mapInArrow(collapse, _RECORD.format(kind=kind))
-    records = records.withColumn("bucket", _bucket(n, splits)).repartition(n + sum(sum(b.values()) for b in splits), "bucket").drop("bucket")
-    return records.mapInArrow(merge, f"sha binary, group_size long, keep_id {kind}")
+                    held += len(content) + 300
+                    if held > bucket_bytes and len(table) > 1:
+                        out += [(own, sha_, flat, n, *best) for flat, (sha_, n, best) in table.items()]
+                        table, by_sha, spilled = {}, {}, True
+                if len(out) >= 1000 or spilled and out:
+                    yield _records(out, ids)
+                    out = []
+        out += [(bucket, sha_, None, n, *best) for sha_, n, best in table.values() if n > 1]
+        if out:
+            yield _records(out, ids)
+
+    return records.mapInArrow(merge, _RECORD.format(kind=kind))
+
+
+def duplicate_groups(docs: DataFrame, n_bytes: int, bucket_bytes: int = 32 << 20) -> DataFrame:
+    """(sha, group_size, keep_id, keep_chars) of every distinct content that two or more rows have."""
+    parts, level = spread(docs), 0
+    records = collapsed(docs).withColumn("bucket", F.pmod(F.xxhash64("sha"), F.lit(max(1, -(-n_bytes // bucket_bytes)))))
+    found = []
+    while True:
+        passed = written(merged(records.repartition(parts, "bucket").sortWithinPartitions("bucket"), bucket_bytes), "spill")
+        found.append(passed.filter("content is null"))
+        records = passed.filter("content is not null")
+        if not records.head(1):
+            break
+        level += 1
+        records = records.withColumn("bucket", F.xxhash64("bucket", F.lit(level), F.pmod(F.xxhash64("sha", F.lit(level)), F.lit(FAN))))
+    groups = functools.reduce(DataFrame.unionByName, found)
+    return groups.select("sha", F.col("n").alias("group_size"), F.col("best_id").alias("keep_id"), F.col("best_chars").alias("keep_chars"))
 
 
 def deduplicate(docs: DataFrame, bucket_bytes: int = 32 << 20) -> DataFrame:
     """Per document: doc_id, keep_id, group_size, kept, text_sha256."""
     keys = digests(docs)
-    groups = duplicate_groups(docs, keys, bucket_bytes)
-    rows = keys.select("doc_id", "sha").join(groups, "sha", "left")
+    groups = duplicate_groups(docs, keys.agg(F.sum("n_bytes")).first()[0] or 0, bucket_bytes)
+    rows = keys.select("row", "doc_id", "n_chars", "sha").join(groups, "sha", "left")
+    # the row that stays is one of these; all but a few groups have one of them
+    best = rows.filter(F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars") == F.col("keep_chars")))
+    first = best.groupBy("sha").agg(F.min("row").alias("first"))
     alone = F.col("group_size").isNull()
-    keep = F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id"))
-    return rows.select(
-        "doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"),
-        F.col("doc_id").eqNullSafe(keep).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"),
+    return rows.join(first, "sha", "left").select(
+        "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"),
+        (alone | F.coalesce(F.col("row") == F.col("first"), F.lit(False))).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"),
     )
