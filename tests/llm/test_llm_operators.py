@@ -236,6 +236,31 @@ def test_exact_dedup(docs, rows, bucket_bytes):
     assert {r.doc_id: tuple(r)[1:] for r in exact_dedup.deduplicate(docs, bucket_bytes).collect()} == expected
 
 
+def test_exact_dedup_spills_until_buckets_fit(spark, monkeypatch):
+    passes = []
+    monkeypatch.setattr(exact_dedup, "merged", lambda r, b, own=exact_dedup.merged: (passes.append(1), own(r, b))[1])
+    rows = [(i, f"text number {i % 90}") for i in range(300)] + [(1000 + i, "z" * 50_000 + str(i % 2)) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r for r in exact_dedup.deduplicate(docs.filter("doc_id < 1000"), 1000).collect()}
+    assert len(passes) > 1
+    got |= {r.doc_id: r for r in exact_dedup.deduplicate(docs.filter("doc_id >= 1000"), 10**9).collect()}
+    assert len(got) == 306
+    assert all(got[i].keep_id == i % 90 and got[i].group_size == len(range(i % 90, 300, 90)) and got[i].kept == (i < 90) for i in range(300))
+    assert [(got[i].keep_id, got[i].group_size) for i in range(1000, 1006)] == [(1000, 3), (1001, 3)] * 3
+
+
+def test_exact_dedup_of_repeated_ids_and_rows(spark, none):
+    rows = [(1, "a b c"), (1, "abc"), (2, "abc"), (3, "x"), (3, "x"), (3, "x"), (None, "ab\nc"), (None, None), (9, ""), (None, "q"), (None, "q")]
+    got = exact_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert len(got) == len(rows)
+    kept = sorted((r.text_sha256[:4], r.doc_id, r.group_size) for r in got if r.kept)
+    sha = lambda x: hashlib.sha256(x).hexdigest()[:4]
+    assert kept == sorted([(sha(b"abc"), 1, 4), (sha(b"x"), 3, 3), (sha(b""), 9, 2), (sha(b"q"), None, 2)])
+    assert exact_dedup.deduplicate(none).count() == 0
+    long = [(1, "w " * 400_000), (2, "w" * 400_000), (3, None)]
+    assert {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.deduplicate(spark.createDataFrame(long, "doc_id long, text string")).collect()} == {1: (1, 2), 2: (1, 2), 3: (3, 1)}
+
+
 # -- 4 --------------------------------------------------------------------
 
 
