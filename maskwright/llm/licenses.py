@@ -1,27 +1,26 @@
 r"""License scan: an exact set-similarity join of text blocks with license templates.
 
 Only DataFrame functions. Words are ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` after
-lower-casing A-Z. A text block is a line; a longer one is cut into windows of
-``BLOCK`` words that overlap by half. A block matches a template if it holds at least
-``threshold`` of the template's distinct words (containment).
-
-Template words are ordered by their document frequency in the whole corpus, rarest
-first. A block that matches has one of the first ``|T| - need + 1`` words (prefix
-filter), at least ``need`` words (length filter) and, from the first shared word
-on, the template has ``need`` words left (positional filter). Blocks meet templates
-by an equi-join on prefix words; the templates are a fixed parameter of at most
-``MAX_TEMPLATES`` and are broadcast. Pairs left are checked in full.
-
-Notices wrapped over lines: a text block is also every run of a template's length /
-``threshold`` words of the whole text, across line ends, wherever it begins. (Wider runs
-would join far words of other sentences to a template.) Such a run has a prefix word, so only
-those around the places of prefix words are looked at.
+lower-casing A-Z. A template's text blocks are all runs of its length / ``threshold`` words of
+the whole text, across line ends, wherever they begin (the whole text if it is shorter), so
+notices are found as one line, wrapped, or behind comment signs. A block matches if it holds at
+least ``threshold`` of the template's distinct words (containment).
+
+1. One pass over the texts finds the base phrases and which template words each document holds.
+   Only documents that hold enough words of some template (length filter) keep their words.
+2. Template words are ordered by their document frequency in the whole corpus, rarest
+   first. A block that matches has one of the first ``|T| - need + 1`` (prefix filter): the
+   places of these words meet the templates by an equi-join; the templates are a fixed parameter
+   of at most ``MAX_TEMPLATES`` and are broadcast.
+3. Blocks around a place are counted at the rarest template word they hold, so from that word on
+   in the global order both the template and the words around the place must have
+   ``need`` in common (positional filter).
+4. What is left is counted in full, block by block.
 
 *Base* labels are the stated phrases, wherever their words stand consecutively.
 
-Null and empty texts have no words, no labels and score 0. Of repeated rows with one
-doc_id but different texts each has its own base result and the labels of all of
-them; null doc_ids are matched with each other in the same way. Other columns are ignored.
+Null and empty texts have no words, no labels and score 0. Repeated rows, those of one
+doc_id or of none are rows of their own. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,15 +30,27 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import written
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-BLOCK, MAX_TEMPLATES = 64, 1_000
+MAX_TEMPLATES = 1_000
 
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
 TEMPLATES = [
     ("apache-2.0", "licensed under the apache license version 2 0"),
     ("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
+    (
+        "apache-2.0",
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties "
+        "or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+    ),
+    (
+        "bsd",
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must "
+        "reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+    ),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("cc-by", "this work is licensed under the creative commons attribution 4 0 international license"),
     ("cc-by-nc", "licensed under cc by nc 4 0"),
@@ -49,10 +60,22 @@ TEMPLATES = [
     ("cc0", "to the extent possible under law the author has waived all copyright and related rights to this work"),
     ("gpl", "this work is licensed under the gnu general public license version 3"),
     ("gpl", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
+    (
+        "gpl",
+        "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability "
+        "or fitness for a particular purpose see the gnu general public license for more details",
+    ),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("lgpl", "you can redistribute it and or modify it under the terms of the gnu lesser general public license"),
     ("mit", "released under the mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software "
+        "without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit "
+        "persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all "
+        "copies or substantial portions of the software",
+    ),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
 ]
@@ -82,71 +105,6 @@ def template_sets(templates, threshold: float) -> list[dict]:
     return out
 
 
-def frequencies(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
-    """In how many documents each template word stands."""
-    asked = F.array(*[F.lit(w) for w in vocabulary])
-    seen = docs.select(F.explode(F.array_intersect(asked, words_of(word_text(F.col("text"))))).alias("word"))
-    return {r["word"]: r["count"] for r in seen.groupBy("word").count().collect()}  # a row a template word
-
-
-def blocks(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, part, tokens): distinct words of every text block."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
-    words = lines.select("doc_id", "line", words_of(word_text(F.col("text"))).alias("w")).filter(F.size("w") > 0)
-    starts = F.sequence(F.lit(0), F.greatest(F.size("w") - BLOCK // 2 - 1, F.lit(0)), F.lit(BLOCK // 2))
-    parts = words.select("doc_id", "line", F.posexplode(F.when(F.size("w") > BLOCK, starts).otherwise(F.array(F.lit(0)))).alias("part", "start"), "w")
-    return parts.select("doc_id", "line", "part", F.array_distinct(F.slice("w", F.col("start") + 1, BLOCK)).alias("tokens"))
-
-
-def prefix_words(docs: DataFrame, templates, threshold: float) -> tuple[DataFrame, Column]:
-    """The templates by prefix word (word, at, template, label, ordered, need, width), and all prefix words."""
-    sets = template_sets(templates, threshold)
-    df = frequencies(docs, sorted({w for t in sets for w in t["tokens"]}))
-    rows, prefixes = [], set()
-    for t in sets:
-        order = sorted(t["tokens"], key=lambda w: (df.get(w, 0), w))
-        prefix = order[: len(order) - t["need"] + 1]
-        prefixes.update(prefix)
-        rows += [(w, at, t["number"], t["label"], order, t["need"], t["width"]) for at, w in enumerate(prefix)]
-    known = docs.sparkSession.createDataFrame(rows, "word string, at int, template int, label string, ordered array<string>, need int, width int")
-    return known, F.array(*[F.lit(w) for w in sorted(prefixes)])
-
-
-def license_blocks(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8, prefixes=None) -> DataFrame:
-    """(doc_id, line, part, template, label, containment) of every block in a line that
-    holds at least ``threshold`` of a template's words."""
-    docs = docs.select("doc_id", "text")
-    known, asked = prefixes or prefix_words(docs, templates, threshold)
-    # a document without any prefix word has no block that matches
-    hopeful = docs.filter(F.arrays_overlap(words_of(word_text(F.col("text"))), asked))
-    probes = blocks(hopeful).select("*", F.explode(F.array_intersect(asked, "tokens")).alias("word"))
-    met = probes.join(F.broadcast(known), "word")
-    met = met.filter((F.size("tokens") >= F.col("need")) & (F.size("ordered") - F.col("at") >= F.col("need")))
-    shared = F.array_intersect("ordered", "tokens")
-    met = met.filter(F.element_at(shared, 1) == F.col("word"))  # once for each pair: at its rarest shared word
-    met = met.withColumn("shared", F.size(shared)).filter(F.col("shared") >= F.col("need"))
-    return met.select("doc_id", "line", "part", "template", "label", (F.col("shared") / F.size("ordered")).alias("containment"))
-
-
-def wrapped_blocks(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8, prefixes=None) -> DataFrame:
-    """(doc_id, template, label, containment): the best run of a template's width around each
-    place of one of its prefix words, of texts of several lines."""
-    docs = docs.select("doc_id", "text")
-    known, asked = prefixes or prefix_words(docs, templates, threshold)
-    reach = max(t["width"] for t in template_sets(templates, threshold)) if templates else 1
-    words = docs.filter(F.contains("text", F.lit("\n"))).select("doc_id", words_of(word_text(F.col("text"))).alias("w")).filter(F.arrays_overlap("w", asked))
-    places = words.select("doc_id", "w", F.posexplode("w").alias("p", "word")).filter(F.array_contains(asked, F.col("word")))
-    start = F.greatest(F.col("p") - reach + 1, F.lit(0))
-    around = places.select("doc_id", "word", (F.col("p") - start).alias("p"), F.slice("w", start + 1, F.col("p") - start + reach).alias("w"))
-    met = around.join(F.broadcast(known), "word")
-    first = F.greatest(F.col("p") - F.col("width") + 1, F.lit(0))
-    met = met.withColumn("near", F.slice("w", first + 1, F.col("p") - first + F.col("width"))).filter(F.size(F.array_intersect("ordered", "near")) >= F.col("need"))
-    starts = F.sequence(F.lit(1), F.greatest(F.size("near") - F.col("width") + 1, F.lit(1)))
-    held = F.transform(starts, lambda i: F.size(F.array_intersect("ordered", F.slice("near", i, F.col("width")))))
-    met = met.withColumn("shared", F.array_max(held)).filter(F.col("shared") >= F.col("need"))
-    return met.select("doc_id", "template", "label", (F.col("shared") / F.size("ordered")).alias("containment"))
-
-
 def _places(phrase: str) -> Column:
     """Word numbers where the phrase starts."""
     words = phrase.split()
@@ -156,30 +114,74 @@ def _places(phrase: str) -> Column:
     return F.when(F.contains("spaced", F.lit(f" {phrase} ")), F.filter(starts, here)).otherwise(F.array().cast("array<int>"))
 
 
-def base_labels(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_words, n_base, first_word, last_word, base): the phrases' places and labels."""
-    found = docs.select("doc_id", word_text(F.col("text")).alias("spaced"))
+def surveyed(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8) -> DataFrame:
+    """(row, doc_id, n_words, n_base, first_word, last_word, base, held, spaced): the phrases'
+    places and labels, the template words that stand in the text, and its words if they are
+    enough for some template."""
+    sets = template_sets(templates, threshold)
+    vocabulary = F.array(*[F.lit(w) for w in sorted({w for t in sets for w in t["tokens"]})]).cast("array<string>")
+    found = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", word_text(F.col("text")).alias("spaced"))
+    found = found.select("row", "doc_id", "spaced", count_words(F.col("spaced")).alias("n_words"), words_of(F.col("spaced")).alias("words"))
     some = F.lit(False)
     for phrase in PHRASES:
         some |= F.contains("spaced", F.lit(f" {phrase} "))
-    found = found.select("doc_id", "spaced", count_words(F.col("spaced")).alias("n_words"), F.when(some, words_of(F.col("spaced"))).alias("words"))
-    found = found.select("doc_id", "n_words", F.array(*[_places(p) for p in PHRASES]).alias("places"))
+    found = found.select("row", "doc_id", "n_words", "spaced", F.array_intersect(vocabulary, "words").alias("held"), F.when(some, F.col("words")).alias("words"))
+    enough = F.lit(False)
+    for t in sets:
+        enough |= F.size(F.array_intersect("held", F.array(*[F.lit(w) for w in t["tokens"]]))) >= t["need"]
+    places = F.array(*[_places(p) for p in PHRASES])
+    found = found.select("row", "doc_id", "n_words", places.alias("places"), "held", F.when(enough, F.col("spaced")).alias("spaced"))
     labels = F.array(*[F.when(F.size(F.col("places")[i]) > 0, F.lit(label)) for i, label in enumerate(PHRASES.values())])
     flat = F.flatten("places")
-    return found.select(
-        "doc_id", "n_words", F.size(flat).cast("long").alias("n_base"), F.array_min(flat).cast("long").alias("first_word"),
-        F.array_max(flat).cast("long").alias("last_word"), F.array_sort(F.array_distinct(F.array_compact(labels))).alias("base"),
+    found = found.select(
+        "row", "doc_id", "n_words", F.size(flat).cast("long").alias("n_base"), F.array_min(flat).cast("long").alias("first_word"),
+        F.array_max(flat).cast("long").alias("last_word"), F.array_sort(F.array_distinct(F.array_compact(labels))).alias("base"), "held", "spaced",
     )
+    return written(found, "surveyed")  # the rows' numbers are fixed from here on
+
+
+def prefix_words(survey: DataFrame, sets: list[dict]) -> tuple[DataFrame, Column]:
+    """The templates by prefix word (word, template, label, size, rest, need, width), rest being the
+    template's words from that one on, and all prefix words."""
+    counts = survey.select(F.explode("held").alias("word")).groupBy("word").count()
+    df = {r["word"]: r["count"] for r in counts.collect()}  # a row a template word
+    rows, prefixes = [], set()
+    for t in sets:
+        order = sorted(t["tokens"], key=lambda w: (df.get(w, 0), w))
+        for at, w in enumerate(order[: len(order) - t["need"] + 1]):
+            prefixes.add(w)
+            rows.append((w, t["number"], t["label"], len(order), order[at:], t["need"], t["width"]))
+    known = survey.sparkSession.createDataFrame(rows, "word string, template int, label string, size int, rest array<string>, need int, width int")
+    return known, F.array(*[F.lit(w) for w in sorted(prefixes)]).cast("array<string>")
+
+
+def license_blocks(survey: DataFrame, templates=TEMPLATES, threshold: float = 0.8) -> DataFrame:
+    """(row, doc_id, template, label, start, containment): around each place of a prefix word, the
+    first of the best blocks that match."""
+    sets = template_sets(templates, threshold)
+    known, asked = prefix_words(survey, sets)
+    reach = max([t["width"] for t in sets], default=1)
+    words = survey.filter("spaced is not null").select("row", "doc_id", words_of(F.col("spaced")).alias("w"))
+    places = words.select("row", "doc_id", "w", F.posexplode("w").alias("p", "word")).filter(F.array_contains(asked, F.col("word")))
+    low = F.greatest(F.col("p") - reach + 1, F.lit(0))
+    around = places.select("row", "doc_id", "word", low.alias("low"), (F.col("p") - low).alias("p"), F.slice("w", low + 1, F.col("p") - low + reach).alias("w"))
+    met = around.join(F.broadcast(known), "word")
+    first = F.greatest(F.col("p") - F.col("width") + 1, F.lit(0))
+    met = met.withColumn("near", F.slice("w", first + 1, F.col("p") - first + F.col("width"))).withColumn("first", F.col("low") + first)
+    met = met.filter(F.size(F.array_intersect("rest", "near")) >= F.col("need"))
+    starts = F.sequence(F.lit(1), F.greatest(F.size("near") - F.col("width") + 1, F.lit(1)))
+    # the most words, then the first block: starts are negative so that the greatest pair is that
+    block = lambda i: F.struct(F.size(F.array_intersect("rest", F.slice("near", i, F.col("width")))).alias("shared"), (-i).alias("at"))
+    met = met.withColumn("best", F.array_max(F.transform(starts, block))).filter(F.col("best.shared") >= F.col("need"))
+    return met.select("row", "doc_id", "template", "label", (F.col("first") - F.col("best.at") - 1).alias("start"), (F.col("best.shared") / F.col("size")).alias("containment"))
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8) -> DataFrame:
     """Per document: doc_id, n_words, n_base, first_word, last_word, base_labels,
     labels, score (1 with a base label, else the best containment of a match, else 0)."""
-    base = base_labels(docs.select("doc_id", "text"))
-    prefixes = prefix_words(docs, templates, threshold)
-    found = [f(docs, templates, threshold, prefixes).select("doc_id", "label", "containment") for f in (license_blocks, wrapped_blocks)]
-    met = found[0].unionByName(found[1]).groupBy("doc_id").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
-    rows = base.join(met.withColumnRenamed("doc_id", "id"), base["doc_id"].eqNullSafe(F.col("id")), "left")
+    survey = surveyed(docs.select("doc_id", "text"), templates, threshold)
+    met = license_blocks(survey, templates, threshold).groupBy("row").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
+    rows = survey.drop("held", "spaced").join(met, "row", "left")
     both = F.array_sort(F.array_union("base", F.coalesce("more", F.array().cast("array<string>"))))
     return rows.select(
         "doc_id", "n_words", "n_base", "first_word", "last_word",

@@ -49,28 +49,28 @@ select doc_id, keep_id, group_size::bigint as group_size, doc_id = keep_id as ke
 def _op4() -> str:
     quote = lambda x: "'" + x + "'"
     listed = lambda xs: "[" + ", ".join(map(quote, xs)) + "]"
-    templates = ", ".join(f"({quote(t['label'])}, {listed(t['tokens'])}, {t['need']})" for t in template_sets(TEMPLATES, 0.8))
+    templates = ", ".join(f"({quote(t['label'])}, {listed(t['tokens'])}, {t['need']}, {t['width']})" for t in template_sets(TEMPLATES, 0.8))
     starts = []
     for phrase, label in PHRASES.items():
         words = phrase.split()
         test = " and ".join(f"w[i + {k + 1}] = {quote(x)}" for k, x in enumerate(words))
-        starts.append(f"select doc_id, i, {quote(label)} as label from pos where {test}")
+        starts.append(f"select k, i, {quote(label)} as label from pos where {test}")
     return f"""
-with d as (select doc_id, text, {_words("coalesce(text, '')")} as w from documents),
-pos as (select doc_id, w, unnest(range(0, len(w))) as i from d),
-base as (select doc_id, count(*) as n_base, min(i) as first_word, max(i) as last_word, list(distinct label) as labels
-  from ({" union all ".join(starts)}) group by doc_id),
-lines as (select doc_id, {_words("line")} as w from (select doc_id, unnest(string_split(text, chr(10))) as line from d)),
-parts as (select doc_id, list_distinct(list_slice(w, s + 1, s + 64)) as b
-  from (select doc_id, w, unnest(case when len(w) > 64 then range(0, len(w) - 32, 32) else [0] end) as s from lines where len(w) > 0)),
-t(label, tokens, need) as (values {templates}),
-met as (select doc_id, list(distinct label) as labels, max(len(list_intersect(b, tokens)) / len(tokens)) as best
-  from parts join t on len(b) >= need and len(list_intersect(b, tokens)) >= need group by doc_id)
+with d as (select row_number() over () as k, doc_id, {_words("coalesce(text, '')")} as w from documents),
+pos as (select k, w, unnest(range(0, len(w))) as i from d),
+base as (select k, count(*) as n_base, min(i) as first_word, max(i) as last_word, list(distinct label) as labels
+  from ({" union all ".join(starts)}) group by k),
+t(label, tokens, need, width) as (values {templates}),
+hopeful as (select k, w, t.* from d join t on len(list_intersect(w, tokens)) >= need),
+blocks as (select k, label, tokens, need, list_slice(w, s + 1, s + width) as b
+  from (select *, unnest(range(0, greatest(len(w) - width, 0) + 1)) as s from hopeful)),
+met as (select k, list(distinct label) as labels, max(len(list_intersect(b, tokens)) / len(tokens)) as best
+  from blocks where len(list_intersect(b, tokens)) >= need group by k)
 select d.doc_id, len(w)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word::bigint as first_word, last_word::bigint as last_word,
   coalesce(array_to_string(list_sort(base.labels), ','), '') as base_labels,
   coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(met.labels, [])))), ','), '') as labels,
   case when n_base > 0 then 1.0::double else coalesce(best, 0)::double end as score
-from d left join base using (doc_id) left join met using (doc_id)
+from d left join base using (k) left join met using (k)
 """
 
 
