@@ -280,17 +280,35 @@ def test_license_scan(spark):
 def test_license_blocks_find_all_that_meet_the_threshold(spark):
     rnd = random.Random(5)
     vocabulary = "license under the mit apache version of x y z".split()
-    templates = [("a", "under the mit license"), ("b", "apache license version of the x"), ("c", "z y x of")]
-    texts = ["\n".join(" ".join(rnd.choice(vocabulary) for _ in range(rnd.randint(0, 9))) for _ in range(3)) for _ in range(200)]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    expected = set()
-    for d, text in enumerate(texts):
-        for line, row in enumerate(text.split("\n")):
-            for number, (_, t) in enumerate(templates):
-                if len(set(row.split()) & set(t.split())) >= 0.7 * len(set(t.split())) - 1e-9:
-                    expected.add((d, line, number))
-    got = licenses.license_blocks(docs, templates, 0.7).collect()
-    assert {(r.doc_id, r.line, r.template) for r in got} == expected and len(got) == len(expected)
+    templates = [("a", "under the mit license"), ("b", "apache license version of the x"), ("c", "z y x of"), ("a", "version license x y under z mit the of apache the")]
+    texts = ["\n".join(" ".join(rnd.choice(vocabulary + ["q"] * rnd.choice([0, 9])) for _ in range(rnd.randint(0, 9))) for _ in range(4)) for _ in range(200)]
+    rows = [*enumerate(texts), (7, "under the mit license"), (None, "z y x of"), (500, "q " * 30_000 + "z y\nx " + "q " * 100), (501, None), (502, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = []
+    for d, text in rows:
+        w, labels, best = words(text), set(), 0.0
+        for label, t in templates:
+            width, own = int(len(t.split()) / 0.7 + 1e-9), set(t.split())
+            for s in range(max(len(w) - width, 0) + 1):
+                held = len(own & set(w[s : s + width])) / len(own)
+                if held >= 0.7 - 1e-9:
+                    labels.add(label)
+                    best = max(best, held)
+        expected.append((d, len(w), ",".join(sorted(labels)), best))
+    got = [(r.doc_id, r.n_words, r.labels, r.score) for r in licenses.scan(docs, templates, 0.7).collect()]
+    assert sorted(got, key=repr) == sorted(expected, key=repr) and sum(bool(r[2]) for r in got) > 50
+    assert licenses.scan(docs.limit(0)).count() == 0
+
+
+def test_whole_licenses_are_found(spark):
+    for label, body in licenses.TEMPLATES:
+        assert all(w.isalnum() and w == w.lower() for w in body.split())
+    wrapped = lambda body: "/*\n * " + "\n * ".join(" ".join(body.split()[i : i + 9]) for i in range(0, len(body.split()), 9)) + "\n */\nint main() { return 0; }"
+    docs = spark.createDataFrame([(i, "x " * i + wrapped(body)) for i, (_, body) in enumerate(licenses.TEMPLATES)], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan(docs).collect()}
+    assert all(label in got[i].labels.split(",") and got[i].score == 1.0 for i, (label, _) in enumerate(licenses.TEMPLATES))
+    starts = {r.doc_id: r.start for r in licenses.license_blocks(licenses.surveyed(docs)).filter("template = doc_id and containment = 1").collect()}
+    assert set(starts) == set(got)
 
 
 def test_license_notices_wrapped_over_lines(spark):
