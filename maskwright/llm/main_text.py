@@ -1,25 +1,37 @@
 """Main text of web pages: parser events, text-to-tag ratio, smoothing, clustering.
 
 The standard library's parser streams a page's events once. Block elements cut the
-text into lines; each line has its characters of text, the tags met in it and the containers
-it stands in. Its text-to-tag ratio, smoothed by a Gaussian over neighbouring lines,
-is split in two clusters (two-means on the smoothed ratios, from their extremes;
-links count as tags with no text of their own). Where a page has ``article`` or ``main``,
-each of them outside the others is a content region. Elsewhere the region is the innermost
-container that holds all lines of the upper cluster.
-All lines of the regions are kept, short ones too, except those in parts of the page
-that aren't text of the article (menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles, reader comments), told by element, role, or words of class and id.
+text into lines; each line has its characters of text, the tags met in it, the characters of
+links, and the container it stands in. Its text-to-tag ratio, smoothed by a Gaussian over
+neighbouring lines, is split in two clusters (two-means on the smoothed ratios, from their
+extremes; links count as tags with no text of their own). The text of the upper cluster's lines
+is the weight of the containers around them, and selects the content regions:
+
+* all outermost ``article`` and ``main`` elements that aren't mostly links, if they hold half of
+  the weight at least;
+* else the innermost container that holds all of it, without its parts that hold none and are
+  mostly links.
+
+All lines of the regions are kept, short ones too. Elements that are no text of an article by
+the markup itself (menus, footers, asides, forms, scripts, styles, hidden ones, headers outside an
+article) hold no lines; a form around most of the page is layout. Names (words of class and id)
+are evidence only, and only if the whole name tells of such a part:
+
+* outside articles the part goes, unless it holds most of the page's text or half of that in articles;
+* inside an article a part named like a menu, header, notice or the like goes only if its text is mostly
+  links, one named like an advert or sharing bar only if it is less than half of the article;
+  reader comments go. Headings are never judged by their names.
 
 White space inside a block becomes one space, blocks are joined by one line end in
 page order, character references are decoded. Null and empty pages, and pages without
-text, give an empty text; nothing is cut or capped. Repeated rows are rows of
-their own; other columns are ignored.
+text, give an empty text; nothing is cut or capped. The work is linear in the page, however
+elements are nested or left open. Repeated rows are rows of their own; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -29,7 +41,7 @@ from pyspark.sql import DataFrame
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: elements that hold no article text
-OUT = frozenset("nav footer aside form script style noscript template button select option textarea label iframe object svg canvas dialog head title menu".split())
+OUT = frozenset("nav footer aside script style noscript template button select option textarea label iframe object svg canvas dialog head title menu".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
     "head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split()
@@ -43,30 +55,60 @@ CLOSES = {t: frozenset(["p"]) for t in BLOCK - {"td", "th", "tr", "li", "dd", "d
     "tr": frozenset(["tr", "td", "th", "p"]), "td": frozenset(["td", "th", "p"]), "th": frozenset(["td", "th", "p"]), "option": frozenset(["option"]),
 }
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-HINTS = frozenset(
-    "ad ads advert adverts advertisement advertisements adslot banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disclaimer "
-    "disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion "
-    "related replies respond search share sharing sidebar signup skyscraper social sponsor sponsored subscribe toolbar topbar widget widgets".split()
+#: words of names by what they tell of: reader comments, adverts and the like, other parts of a page
+COMMENTS = frozenset("comment comments commentlist disqus replies respond".split())
+ADVERTS = frozenset(
+    "ad ads advert adverts advertisement advertisements adslot consent cookie cookies newsletter popup promo promoted promotion share sharing signup skyscraper "
+    "social sponsor sponsored subscribe".split()
+)
+PARTS = frozenset(
+    "banner breadcrumb breadcrumbs disclaimer footer gdpr header login masthead menu modal nav navbar navigation notice notices pager pagination related "
+    "search sidebar toolbar topbar widget widgets".split()
+)
+#: words of names that tell nothing by themselves
+NEUTRAL = frozenset(
+    "a an area bar block bottom box button buttons bx cell center col column container content cta field fixed form grid group heading icon icons id inner item items js left "
+    "link links list main mobile module my new outer page panel primary reader row section site slot small sub text the title top ui unit user view wrap wrapper right secondary".split()
 )
-_SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
+#: and those that tell nothing beside words of one kind
+ABOUT = {"comment": frozenset("article blog entry news post posts story".split()), "advert": frozenset("article blog entry post".split()), "part": frozenset("articles links posts reading stories topics".split())}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: elements at which the search for an open element that a start tag ends stops (a cell's own start tag looks past cells)
+BARRIER = CONTAINER | (BLOCK - {"p", "li", "dd", "dt", "tr", "td", "th", "option"})
+CELLS = frozenset(["tr", "td", "th"])
+_CAMEL = re.compile(r"([a-z])([A-Z])")
+_SPLIT = re.compile(r"[^a-z0-9]+")
 _SPACE = re.compile(r"\s+")
+COMMENT, ADVERT, PART, FORM = "comment", "advert", "part", "form"
 
 
-def _hinted(value: str) -> bool:
-    return any(w in HINTS for w in _SPLIT.split(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
+def told(names: str) -> str | None:
+    """What the names of an element tell, if all words of one of them do or are neutral."""
+    found = set()
+    for name in names.split():
+        words = [w for w in _SPLIT.split(_CAMEL.sub(r"\1 \2", name).lower()) if w and not w.isdigit() and len(w) > 1]
+        for kind, known in ((COMMENT, COMMENTS), (ADVERT, ADVERTS), (PART, PARTS)):
+            if not known.isdisjoint(words) and all(w in NEUTRAL or w in ABOUT[kind] or w in COMMENTS or w in ADVERTS or w in PARTS for w in words):
+                found.add(kind)
+    return next((kind for kind in (COMMENT, ADVERT, PART) if kind in found), None)
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags, link characters, containers) line by line."""
+    """Collects lines (text, tags, link characters, node) and nodes (parent, article, kind, inside an
+    article). Nodes are containers and elements with a telling name, numbered in page order."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool, int]] = []  # tag, container (0: none), dropped, hinted element (0: none)
-        self.lines: list[tuple[str, int, int, tuple[int, ...], tuple[int, ...]]] = []
-        self.hinted, self.excused = 0, set()
-        self.kinds = ["page"]
-        self.text, self.tags, self.linked, self.links = [], 0, 0, 0
-        self.dropped = 0
+        self.open: list[tuple[str, int, bool]] = []  # tag, node around what follows, dropped
+        self.where: dict[str, list[int]] = {}  # places of each open tag
+        self.barriers, self.tables, self.containers = [-1], [-1], [-1]  # places of open barriers, those but cells, and containers
+        self.nodes: list[tuple[int, bool, str | None, bool]] = [(0, False, None, False)]
+        self.lines: list[tuple[str, int, int, int]] = []
+        self.text, self.tags, self.linked = [], 0, 0
+        self.dropped = self.articles = 0
+
+    def node(self) -> int:
+        return self.open[-1][1] if self.open else 0
 
     def end_head(self):
         if self.open and self.open[-1][0] == "head":
@@ -75,55 +117,62 @@ class Lines(HTMLParser):
     def cut(self):
         text = _SPACE.sub(" ", "".join(self.text)).strip()
         if text:
-            self.lines.append((text, self.tags, self.linked, tuple(c for _, c, _, _ in self.open if c), tuple(h for _, _, _, h in self.open if h)))
+            self.lines.append((text, self.tags, self.linked, self.node()))
         self.text, self.tags, self.linked = [], 0, 0
 
+    def push(self, tag: str, node: int, dropped: bool):
+        at = len(self.open)
+        self.where.setdefault(tag, []).append(at)
+        if tag in BARRIER:
+            self.barriers.append(at)
+            if tag not in CELLS:
+                self.tables.append(at)
+        if tag in CONTAINER:
+            self.containers.append(at)
+        self.open.append((tag, node, dropped))
+        self.dropped += dropped
+
     def pop(self, upto: int):
         while len(self.open) > upto:
-            tag, _, dropped, _ = self.open.pop()
+            tag, node, dropped = self.open.pop()
+            self.where[tag].pop()
+            for places in (self.barriers, self.tables, self.containers):
+                if places[-1] == len(self.open):
+                    places.pop()
             self.dropped -= dropped
-            self.links -= tag == "a"
+            self.articles -= self.nodes[node][1] and node != self.node()
 
     def handle_starttag(self, tag, attrs):
         if tag not in HEAD:
             self.end_head()
         if tag in BLOCK:
             self.cut()
-            ends = CLOSES.get(tag, ())
-            for i in range(len(self.open) - 1, -1, -1):
-                name = self.open[i][0]
-                if name in ends:
-                    self.pop(i)
-                elif name in CONTAINER or name in ("ul", "ol", "dl", "table") or (name in BLOCK and name not in ("p", "li", "dd", "dt", "tr", "td", "th")):
-                    break
+            # the outermost open elements that this tag ends, inside the last barrier
+            last = (self.tables if tag in CELLS else self.barriers)[-1]
+            ends = [p[k] for name in CLOSES.get(tag, ()) if (p := self.where.get(name)) and (k := bisect_right(p, last)) < len(p)]
+            if ends:
+                self.pop(min(ends))
         self.tags += 1
         if tag in VOID:
             if tag in ("br", "hr", "wbr"):
                 self.text.append("" if tag == "wbr" else " ")
             return
-        out = tag in OUT
-        within = any(t == "article" for t, *_ in self.open)
-        hint = False
-        if tag == "header":
-            out = not within
+        out, within = tag in OUT or tag == "header" and not self.articles, self.articles > 0
         given = {k: v or "" for k, v in attrs if k in ("class", "id", "role", "hidden", "aria-hidden", "style")}
-        if given and tag not in ("html", "body", "article", "main") and tag in BLOCK | {"span", "a", "b", "strong", "em", "i"}:
-            out = out or given.get("role") in ROLES or "hidden" in given or given.get("aria-hidden") == "true"
+        role = given.get("role")
+        article = tag in ("article", "main") or role == "main"
+        kind = FORM if tag == "form" else None
+        if given and tag not in ("html", "body"):
+            out = out or role in ROLES or "hidden" in given or given.get("aria-hidden") == "true"
             out = out or "display:none" in given.get("style", "").replace(" ", "")
-            named = given.get("class", "") + " " + given.get("id", "")
-            hint = (tag not in ("header", "h1") or not within) and _hinted(named)
-        if tag == "article" and "comment" in (given.get("class", "") + given.get("id", "")).lower():
-            out = True
-        elif tag in ("article", "main") and not within:
-            self.excused.update(h for _, _, _, h in self.open)
-        number = 0
-        if tag in CONTAINER:
-            number = len(self.kinds)
-            self.kinds.append("article" if tag in ("article", "main") or given.get("role") == "main" else tag)
-        self.hinted += hint
-        self.open.append((tag, number, out, self.hinted if hint else 0))
-        self.dropped += out
-        self.links += tag == "a"
+            if tag in BLOCK and tag not in HEADINGS and tag != "main":
+                kind = told(given.get("class", "") + " " + given.get("id", "")) or kind
+        node = self.node()
+        if tag in CONTAINER or article or kind:
+            self.nodes.append((node, article and kind is None, kind, within))
+            node = len(self.nodes) - 1
+            self.articles += self.nodes[node][1]
+        self.push(tag, node, out)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -134,20 +183,17 @@ class Lines(HTMLParser):
         if tag in BLOCK:
             self.cut()
         self.tags += 1
-        for i in range(len(self.open) - 1, -1, -1):
-            name = self.open[i][0]
-            if name == tag:
-                self.pop(i)
-                return
-            if name in CONTAINER and tag not in CONTAINER and tag not in BLOCK:
-                return  # a stray end tag of an inline element
+        places = self.where.get(tag)
+        # an inline element's end tag ends nothing outside its container
+        if places and (tag in CONTAINER or tag in BLOCK or places[-1] > self.containers[-1]):
+            self.pop(places[-1])
 
     def handle_data(self, data):
         if data.strip():
             self.end_head()
         if not self.dropped:
             self.text.append(data)
-            if self.links:
+            if self.where.get("a"):
                 self.linked += len(data)
 
 
@@ -175,39 +221,84 @@ def threshold(x: np.ndarray) -> float:
     return (low + high) / 2
 
 
+def _summed(nodes, own: list[float]) -> list[float]:
+    """For each node what it and all nodes inside it have: parents come before children."""
+    out = list(own)
+    for i in range(len(nodes) - 1, 0, -1):
+        out[nodes[i][0]] += out[i]
+    return out
+
+
+def _inside(nodes, chosen: list[bool]) -> list[bool]:
+    """The nodes that are chosen or stand in one."""
+    out = list(chosen)
+    for i in range(1, len(nodes)):
+        out[i] = out[i] or out[nodes[i][0]]
+    return out
+
+
+def _sizes(nodes, lines) -> tuple[list[float], list[float]]:
+    """Characters of text and of links of each node."""
+    text, links = [0.0] * len(nodes), [0.0] * len(nodes)
+    for t, _, linked, node in lines:
+        text[node] += len(t)
+        links[node] += linked
+    return _summed(nodes, text), _summed(nodes, links)
+
+
+def _no_content(nodes, lines) -> list[bool]:
+    """The nodes that go by their names, weighed as the module says."""
+    text, links = _sizes(nodes, lines)
+    top = [0] * len(nodes)  # the outermost article around each node
+    for i in range(1, len(nodes)):
+        top[i] = top[nodes[i][0]] or (i if nodes[i][1] else 0)
+    inner = [0.0] * len(nodes)
+    for t, _, _, node in lines:
+        inner[node] += len(t) if top[node] else 0
+    inner = _summed(nodes, inner)
+    gone = [False] * len(nodes)
+    for i, (_, _, kind, within) in enumerate(nodes):
+        if kind is None:
+            continue
+        if kind == FORM:
+            gone[i] = within or text[i] < 0.75 * text[0]
+        elif within:
+            gone[i] = kind == COMMENT or kind == ADVERT and 2 * text[i] < text[top[i]] or kind == PART and 2 * links[i] >= text[i]
+        elif inner[0]:
+            gone[i] = 2 * inner[i] < inner[0]
+        else:
+            gone[i] = text[i] < 0.75 * text[0]
+    return _inside(nodes, gone)
+
+
 def extract(html: str, sigma: float = 1.0) -> str:
     page = Lines()
     page.feed(html)
     page.close()
     page.cut()
-    # an element whose name tells of a menu or the like, but that holds the article or most of the text, is layout
-    size: dict[int, int] = {}
-    for text, _, _, _, hints in page.lines:
-        for h in (0, *hints):
-            size[h] = size.get(h, 0) + len(text)
-    if not any(k == "article" for k in page.kinds):
-        page.excused |= {h for h, n in size.items() if n >= 0.75 * size[0]}
-    else:
-        # one that holds articles beside the page's main ones (teasers) is no layout
-        within = [(len(text), hints) for text, _, _, path, hints in page.lines if any(page.kinds[c] == "article" for c in path)]
-        if any(not page.excused.intersection(hints) for _, hints in within):
-            total = sum(n for n, _ in within)
-            page.excused = {h for h in page.excused if 2 * sum(n for n, hints in within if h in hints) >= total}
-    page.lines = [line[:4] for line in page.lines if page.excused.issuperset(line[4])]
-    if not page.lines:
+    nodes = page.nodes
+    gone = _no_content(nodes, page.lines)
+    lines = [x for x in page.lines if not gone[x[3]]]
+    if not lines:
         return ""
-    ratio = np.array([max(0, len(t) - links) / max(1, tags) for t, tags, links, _ in page.lines], float)
+    ratio = np.array([max(0, len(t) - linked) / max(1, tags) for t, tags, linked, _ in lines], float)
     even = smooth(np.log1p(ratio), sigma)
-    content = even >= threshold(even)
-    held: dict[int, float] = {0: 0.0}
-    for (text, _, links, path), dense in zip(page.lines, content):
-        weight = (len(text) - links) if dense else 0
-        for c in (0, *path):
-            held[c] = held.get(c, 0.0) + weight
-    regions = {next((c for c in path if page.kinds[c] == "article"), 0) for *_, path in page.lines} - {0}
-    if not regions:
-        regions = {max(c for c in held if held[c] == held[0])} if held[0] else {0}  # the innermost one with all content
-    return "\n".join(t for t, _, _, path in page.lines if 0 in regions or regions.intersection(path))
+    weight = [0.0] * len(nodes)
+    for (text, _, linked, node), dense in zip(lines, even >= threshold(even)):
+        weight[node] += max(0, len(text) - linked) if dense else 0
+    weight = _summed(nodes, weight)
+    text, links = _sizes(nodes, lines)
+    linked = [2 * b >= a for a, b in zip(text, links)]
+    outermost = [article and not within and not gone[i] for i, (_, article, _, within) in enumerate(nodes)]
+    if 2 * sum(w for w, o in zip(weight, outermost) if o) >= weight[0] > 0:
+        kept = _inside(nodes, [o and not x for o, x in zip(outermost, linked)])
+    else:
+        # those that hold all weight stand one in another: the last is the innermost one
+        root = max(i for i, w in enumerate(weight) if w == weight[0])
+        menus = _inside(nodes, [w == 0 and x and i != root for i, (w, x) in enumerate(zip(weight, linked))])
+        inner = _inside(nodes, [i == root for i in range(len(nodes))])
+        kept = [a and not b for a, b in zip(inner, menus)] if weight[0] else [True] * len(nodes)
+    return "\n".join(t for t, _, _, node in lines if kept[node])
 
 
 def main_text(pages: DataFrame) -> DataFrame:
