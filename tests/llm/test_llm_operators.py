@@ -577,6 +577,38 @@ def test_main_text_keeps_all_content_regions():
         assert main_text.extract(f"{head}{long('x')}").count("x") == 160
 
 
+def test_names_alone_drop_no_part_of_an_article():
+    part = lambda tag, name, text: f"<{tag} {name}><h2 id={name.split('=')[1]}>Heading of it</h2><p>{text}</p><p>And more.</p></{tag}>"
+    names = ["id=related-work", "id=related", "id=search", "class=header", "class=notice", "class=post-header", "id=menu", "class=sidebar", "class=banner", "id=login"]
+    inside = "".join(part("section" if i % 2 else "div", n, f"Text {i} of the section.") for i, n in enumerate(names))
+    links = "<div class=related><h3>Related</h3><ul><li><a href=a>One more article to read</a><li><a href=b>Another article to read</a></ul></div>"
+    page = f"<body><div class=header>Site</div><article><h1 id=header class=banner>Title</h1>{inside}{links}<div class=share-buttons>Share it</div><div class='article-comments'><p>A reader.</p></div></article><div class=notice>We use cookies.</div></body>"
+    got = main_text.extract(page).split("\n")
+    assert got == ["Title", *(x for i in range(len(names)) for x in ("Heading of it", f"Text {i} of the section.", "And more."))]
+
+
+def test_ratio_clusters_choose_the_regions():
+    long = lambda w, n=4: "".join(f"<p>{(w + ' ') * 40}{i}</p>" for i in range(n))
+    teasers = "".join(f"<article><a href=x>teaser {i} of a story</a></article>" for i in range(6))
+    assert main_text.extract(f"<body><div>{teasers}</div><div><p>Short.</p>{long('body')}</div></body>").split("\n")[0] == "Short."
+    menu = "<div><ul>" + "".join(f"<li><a href=x>topic number {i}</a>" for i in range(9)) + "</ul></div>"
+    got = main_text.extract(f"<body><form id=aspnetForm>{menu}<div>{long('one', 2)}<div>{menu}</div><p>x</p><div>Sub <b>part</b>.</div>{long('two', 2)}</div>{menu}</form></body>")
+    assert "topic" not in got and got.split("\n")[2:4] == ["x", "Sub part."] and got.count("one") == got.count("two") == 80
+    assert main_text.extract(f"<body><table><tr><td>{menu}<td>{long('cell')}</table>").count("cell") == 160
+
+
+def test_main_text_costs_linear_time():
+    import time
+
+    long, end = "<p>" + "word " * 50, "</p><p>End.</p>"
+    n = 100_000
+    for html in ("<b>" * n + long + end, "<b><p>" * n + long + end, "<div>" * n + long + end, "<div>x" * n + long + end, "<div class=ad>" * n + "x", "<td>" * n + long, "<li><b>" * n + long, "</b>" * n + long + "</div>" * n):
+        began = time.perf_counter()
+        main_text.extract(html)
+        assert time.perf_counter() - began < 20, html[:20]
+    assert main_text.extract("<article>" + "<p>one</p>" * n + "</article>").count("\n") == n - 1
+
+
 def test_main_text_of_pages(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     for r in main_text.main_text(pages).join(pages.select("page_id", "html"), "page_id").collect():
