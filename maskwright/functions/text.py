@@ -6,6 +6,8 @@ White space and word characters are Unicode's, written as explicit classes, sinc
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,10 +47,11 @@ def _literal(replacement: str) -> str:
     return replacement.replace("\\", "\\\\").replace("$", "\\$")
 
 
-def flexible_pattern(key: Column, fold: str = "(?iu)") -> Column:
+def flexible_pattern(key: Column, fold: str = "(?iu)", whole_word: bool = False) -> Column:
     """M2: any case; every white-space character of the stripped key stands for one or
-    more (so two in a row ask for two at least); no word boundaries."""
-    return F.concat(F.lit(fold), F.regexp_replace(escape(py_strip(key)), WS, _literal(WS + "+")))
+    more (so two in a row ask for two at least); no word boundaries unless asked for."""
+    pattern = F.regexp_replace(escape(py_strip(key)), WS, _literal(WS + "+"))
+    return F.concat(F.lit(fold), F.lit(f"(?<!{WORD})"), pattern, F.lit(f"(?!{WORD})")) if whole_word else F.concat(F.lit(fold), pattern)
 
 
 def token_pattern(key: Column, fold: str = "(?iu)") -> Column:
@@ -56,23 +59,49 @@ def token_pattern(key: Column, fold: str = "(?iu)") -> Column:
     return F.concat(F.lit(fold), F.regexp_replace(escape(py_strip(key)), WS + "+", _literal(WS + "+")))
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it inside lambdas."""
+    return F.transform(F.array(value), f)[0]
+
+
+def scan(items: Column, zero: Column, kind: str, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """What a fold gives out, in order: ``step(state, item)`` is the next state and an array of ``kind``.
+    Appending copies an array, so the items go in blocks of about the cube root of their number, and
+    the blocks' arrays are joined at the end: n items cost n to the power of 4/3 copies."""
+    none, nested = F.array().cast(f"array<{kind}>"), F.array().cast(f"array<array<{kind}>>")
+
+    def one(a: Column, x: Column) -> Column:
+        state, out = step(a["state"], x)
+        return F.struct(state.alias("state"), F.concat(a["out"], out).alias("out"))
+
+    def blocks(xs: Column) -> Column:
+        size = F.greatest(F.lit(16), F.cbrt(F.size(xs)).cast("int"))
+        starts = F.when(F.size(xs) > 0, F.sequence(F.lit(1), F.size(xs), size)).otherwise(F.array().cast("array<int>"))
+
+        def block(a: Column, i: Column) -> Column:
+            whole = F.aggregate(F.slice(xs, i, size), F.struct(a["state"].alias("state"), none.alias("out")), one)
+            return bound(whole, lambda r: F.struct(r["state"].alias("state"), F.concat(a["out"], F.array(r["out"])).alias("out")))
+
+        return F.flatten(F.aggregate(starts, F.struct(zero.alias("state"), nested.alias("out")), block)["out"])
+
+    return F.coalesce(bound(items, blocks), none)
+
+
+SPAN = "struct<start:int,end:int,text:string>"
+
+
 def spans(text: Column, pattern: Column) -> Column:
-    """array<struct<start, end>> of a pattern's matches from left to right, 0-based
+    """array<struct<start, end, text>> of a pattern's matches from left to right, 0-based
     code points, end exclusive. One pass over the pieces between the matches."""
     hits = F.regexp_extract_all(text, pattern, F.lit(0))
     pieces = F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits)).alias("p"), hits.alias("h"))
-    pieces = F.transform(F.when(F.size(hits) > 0, pieces), lambda x: F.struct(F.length(x["p"]).alias("p"), F.length(x["h"]).alias("h")))
-    none = F.array().cast("array<struct<start:int,end:int>>")
-    found = F.aggregate(
-        pieces,
-        F.struct(F.lit(0).alias("at"), none.alias("found")),
-        lambda a, x: F.struct(
-            (a["at"] + x["p"] + x["h"]).alias("at"),
-            F.concat(a["found"], F.array(F.struct((a["at"] + x["p"]).alias("start"), (a["at"] + x["p"] + x["h"]).alias("end")))).alias("found"),
-        ),
-        lambda a: a["found"],
-    )
-    return F.coalesce(found, none)
+    pieces = F.transform(F.when(F.size(hits) > 0, pieces), lambda x: F.struct(F.length(x["p"]).alias("p"), x["h"].alias("h")))
+
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        end = at + x["p"] + F.length(x["h"])
+        return end, F.array(F.struct((at + x["p"]).alias("start"), end.alias("end"), x["h"].alias("text")))
+
+    return scan(pieces, F.lit(0), SPAN, step)
 
 
 # -- normalisation (N1 to N8) -------------------------------------------------

@@ -12,7 +12,7 @@ TABLE_START, TABLE_END = "\n[НАЧАЛО ТАБЛИЦЫ]\n", "\n[КОНЕЦ Т
 SHEET, PAGE, NOTE, NO_NOTE = "=== Лист: {} ===\n", "--- Страница {} ---\n", " [СНОСКА: {}] ", "Сноска не найдена"
 
 
-def _around(template: str, c):
+def around(template: str, c):
     head, tail = template.split("{}")
     return F.concat(F.lit(head), c.cast("string"), F.lit(tail))
 
@@ -44,14 +44,14 @@ def sheet_matrix(cells: DataFrame) -> DataFrame:
 def assemble_workbook_text(sheets: DataFrame) -> DataFrame:
     """D3: (doc_id, text) of ``sheets(doc_id, sheet, text)``, each under its heading, in sheet order."""
     rows = sheets.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("sheet", "text"))).alias("s"))
-    return rows.select("doc_id", F.array_join(F.transform("s", lambda x: F.concat(_around(SHEET, x["sheet"]), x["text"])), "\n\n").alias("text"))
+    return rows.select("doc_id", F.array_join(F.transform("s", lambda x: F.concat(around(SHEET, x["sheet"]), x["text"])), "\n\n").alias("text"))
 
 
 def assemble_pages(pages: DataFrame) -> DataFrame:
     """(doc_id, text, pages): pages under their headings; ``pages`` is array<struct<name, text>>."""
     rows = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_no", F.coalesce("text", F.lit("")).alias("text")))).alias("p"))
     return rows.select(
-        "doc_id", F.array_join(F.transform("p", lambda x: F.concat(_around(PAGE, x["page_no"]), x["text"])), "\n\n").alias("text"),
+        "doc_id", F.array_join(F.transform("p", lambda x: F.concat(around(PAGE, x["page_no"]), x["text"])), "\n\n").alias("text"),
         F.transform("p", lambda x: F.struct(F.concat(F.lit("Page_"), x["page_no"].cast("string")).alias("name"), x["text"].alias("text"))).alias("pages"),
     )
 
@@ -115,7 +115,7 @@ def inline_note_refs(paragraphs: DataFrame, refs: DataFrame, notes: DataFrame) -
     asked = refs.filter(F.col("ref_id").rlike("^[0-9]+$")).withColumn("note_no", F.col("ref_id").cast("int"))
     known = notes.select("doc_id", "kind", "note_no", F.col("text").alias("note"))
     met = asked.join(known, ["doc_id", "kind", "note_no"], "left")
-    order = F.struct((F.col("kind") != "footnote").alias("second"), "ref_no", _around(NOTE, F.coalesce("note", F.lit(NO_NOTE))).alias("t"))
+    order = F.struct((F.col("kind") != "footnote").alias("second"), "ref_no", around(NOTE, F.coalesce("note", F.lit(NO_NOTE))).alias("t"))
     tail = met.groupBy("doc_id", "para_no").agg(F.array_sort(F.collect_list(order)).alias("r"))
     rows = paragraphs.join(tail, ["doc_id", "para_no"], "left")
     text = F.concat("text", F.coalesce(F.array_join(F.transform("r", lambda x: x["t"]), ""), F.lit("")))
@@ -131,13 +131,15 @@ def render_hyperlinks(runs: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def document_metadata(segments: DataFrame, kinds=("paragraph", "table", "footnote", "endnote")) -> DataFrame:
-    """(doc_id, metadata map<string,string>): counts of the segment kinds, distinct sheets' names and pages."""
+    """(doc_id, metadata map<string,string>): counts of the segment kinds, distinct sheets' names and
+    pages, and whether a page's text came from the fallback (``used_ocr``, as D5 gives it, if the segments have it)."""
     kind = F.col("seg_kind")
+    ocr = F.coalesce(F.bool_or("used_ocr"), F.lit(False)) if "used_ocr" in segments.columns else F.lit(False)
     counts = segments.groupBy("doc_id").agg(
         *[F.count_if(kind == k).alias(f"{k}s_count") for k in kinds], F.count_distinct(F.when(kind == "page", F.col("seg_no"))).alias("pages_count"),
-        F.array_sort(F.collect_set(F.when(kind == "sheet", F.col("seg_name")))).alias("sheet_names"),
+        F.array_sort(F.collect_set(F.when(kind == "sheet", F.col("seg_name")))).alias("sheet_names"), ocr.alias("used_ocr"),
     )
-    names = [*[f"{k}s_count" for k in kinds], "pages_count"]
+    names = [*[f"{k}s_count" for k in kinds], "pages_count", "used_ocr"]
     pairs = [x for n in names for x in (F.lit(n), F.col(n).cast("string"))]
     sheets = [F.lit("sheets_count"), F.size("sheet_names").cast("string"), F.lit("sheet_names"), F.array_join("sheet_names", ", ")]
     return counts.select("doc_id", F.create_map(*pairs, *sheets).alias("metadata"))

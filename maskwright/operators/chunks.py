@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import NOT_WS, collapse_whitespace, py_strip
 from ..schemas import DEFAULT_TYPES
+from .assemble import PAGE, around
 
 
 def sliding_starts(length: Column, size: int, overlap: int) -> Column:
@@ -16,22 +17,23 @@ def sliding_starts(length: Column, size: int, overlap: int) -> Column:
 
 def chunk_sliding(docs: DataFrame, size: int = 6000, overlap: int = 400, text: str = "text") -> DataFrame:
     """(doc_id, chunk_no, chunk): a text of at most ``size`` characters whole, else
-    windows until its end; the last may lie inside the one before."""
+    windows until its end; the last may lie inside the one before. Null and empty texts give none."""
     starts = sliding_starts(F.length(text), size, overlap)
-    rows = docs.select("doc_id", text, F.posexplode(starts).alias("chunk_no", "start"))
+    rows = docs.filter(F.length(text) > 0).select("doc_id", text, F.posexplode(starts).alias("chunk_no", "start"))
     return rows.select("doc_id", "chunk_no", F.substring(F.col(text), F.col("start") + 1, F.lit(size)).alias("chunk"))
 
 
 def chunk_by_page(pages: DataFrame, size: int = 6000, overlap: int = 400) -> DataFrame:
     """(doc_id, chunk_no, chunk) from ``pages(doc_id, page_no, name, text)``: documents
     of two pages or more give a chunk ``[name]`` + text for each page that isn't blank,
-    others are cut by :func:`chunk_sliding`."""
+    others are cut by :func:`chunk_sliding` from their full text, which begins with the page's heading."""
     counted = pages.groupBy("doc_id").agg(F.count("*").alias("n_pages"))
     rows = pages.join(counted, "doc_id")
     several = rows.filter((F.col("n_pages") > 1) & F.col("text").rlike(NOT_WS)).select(
         "doc_id", F.col("page_no").alias("chunk_no"), F.concat(F.lit("["), "name", F.lit("]\n"), "text").alias("chunk")
     )
-    one = chunk_sliding(rows.filter("n_pages = 1"), size, overlap)
+    full = F.concat(around(PAGE, F.col("page_no")), F.coalesce("text", F.lit("")))
+    one = chunk_sliding(rows.filter("n_pages = 1").withColumn("text", full), size, overlap)
     return several.unionByName(one)
 
 

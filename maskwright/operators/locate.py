@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import NOT_WS, WS, escape, py_strip, redacted, spans, token_pattern
+from ..functions.text import NOT_WS, SPAN, WS, escape, py_strip, redacted, spans, token_pattern
 from . import chunks as C
 from . import responses as P
 
-NO_SPANS = "array<struct<start:int,end:int>>"
+NO_SPANS = f"array<{SPAN}>"
 
 # fixed values: the id formats
 PATTERNS = {
@@ -21,8 +21,10 @@ PATTERNS = {
     "PHONE": r"\+[0-9]{1,3} ?\([0-9]{3}\) ?[0-9]{3}-[0-9]{2}-?[0-9]{2}",
     "SNILS": r"[0-9]{3}-[0-9]{3}-[0-9]{3} [0-9]{2}",
 }
-TOKEN = r"[\p{L}\p{N}]+"
+TOKEN = r"[\p{L}\p{N}]"
 DIGITS = {9: "KPP", 10: "INN", 12: "INN", 13: "OGRN", 15: "OGRNIP"}
+#: whole tokens of so many digits
+DIGIT_TOKEN = f"(?<!{TOKEN})(?:" + "|".join(f"[0-9]{{{n}}}" for n in DIGITS) + f")(?!{TOKEN})"
 
 
 def find_occurrences(needle: Column, text: Column) -> Column:
@@ -39,11 +41,16 @@ def locate_entities(candidates: DataFrame, docs: DataFrame) -> DataFrame:
     """L2: (doc_id, chunk_no, resp_no, cand_no, hit_no, original_text, masked_text, start_pos, end_pos,
     entity_type, confidence) of each candidate's places in its whole document."""
     first = candidates.groupBy("doc_id", "candidate").agg(F.min(F.struct("chunk_no", "resp_no", "cand_no", "entity_type", "confidence")).alias("c"))
-    rows = first.join(docs.select("doc_id", "text"), "doc_id").select("doc_id", "c.*", "text", F.posexplode(find_occurrences(F.col("candidate"), F.col("text"))).alias("hit_no", "s"))
+    # a document's candidates are gathered first, so that its text is in one row and not in one for each
+    listed = first.groupBy("doc_id").agg(F.collect_list(F.struct("candidate", "c")).alias("listed"))
+
+    def places(x: Column) -> Column:
+        return F.transform(find_occurrences(x["candidate"], F.col("text")), lambda s, i: F.struct(x["c"].alias("c"), i.alias("hit_no"), s.alias("s")))
+
+    rows = listed.join(docs.select("doc_id", "text"), "doc_id").select("doc_id", F.explode(F.flatten(F.transform("listed", places))).alias("p")).select("doc_id", "p.c.*", "p.hit_no", "p.s")
     return rows.select(
-        "doc_id", "chunk_no", "resp_no", "cand_no", "hit_no",
-        F.substring(F.col("text"), F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("original_text"),
-        redacted(F.col("entity_type")).alias("masked_text"), F.col("s.start").alias("start_pos"), F.col("s.end").alias("end_pos"), "entity_type", "confidence",
+        "doc_id", "chunk_no", "resp_no", "cand_no", "hit_no", F.col("s.text").alias("original_text"), redacted(F.col("entity_type")).alias("masked_text"),
+        F.col("s.start").alias("start_pos"), F.col("s.end").alias("end_pos"), "entity_type", "confidence",
     )
 
 
@@ -64,18 +71,16 @@ def detect_structured(docs: DataFrame, text: str = "text") -> DataFrame:
     signs = {"EMAIL": F.contains(c, F.lit("@")), "PHONE": F.contains(c, F.lit("+")), "SNILS": c.rlike("[0-9]-[0-9]{3} ")}
     none = F.array().cast(NO_SPANS)
 
-    def named(kind: str):
-        return lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("type"))
+    def named(kind: Column):
+        return lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"), kind.alias("type"))
 
-    typed = [F.transform(F.when(signs[kind], spans(c, F.lit(p))).otherwise(none), named(kind)) for kind, p in PATTERNS.items()]
-    size = lambda s: s["end"] - s["start"]
+    typed = [F.transform(F.when(signs[kind], spans(c, F.lit(p))).otherwise(none), named(F.lit(kind))) for kind, p in PATTERNS.items()]
     kinds = F.create_map(*[F.lit(x) for pair in DIGITS.items() for x in pair])
-    digits = F.filter(F.when(c.rlike("[0-9]{9}"), spans(c, F.lit(TOKEN))).otherwise(none), lambda s: size(s).isin(list(DIGITS)))
-    digits = F.filter(digits, lambda s: F.substring(c, s["start"] + 1, size(s)).rlike("^[0-9]+$"))
-    typed.append(F.transform(digits, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), kinds[size(s)].alias("type"))))
-    rows = docs.select("doc_id", "text", F.explode(F.concat(*typed)).alias("s"))
+    digits = F.when(c.rlike("[0-9]{9}"), spans(c, F.lit(DIGIT_TOKEN))).otherwise(none)
+    typed.append(F.transform(digits, lambda s: named(kinds[s["end"] - s["start"]])(s)))
+    rows = docs.select("doc_id", F.explode(F.concat(*typed)).alias("s"))
     return rows.select(
-        "doc_id", F.substring(F.col("text"), F.col("s.start") + 1, size(F.col("s"))).alias("original_text"), redacted(F.col("s.type")).alias("masked_text"),
+        "doc_id", F.col("s.text").alias("original_text"), redacted(F.col("s.type")).alias("masked_text"),
         F.col("s.start").alias("start_pos"), F.col("s.end").alias("end_pos"), F.col("s.type").alias("entity_type"), F.lit(1.0).alias("confidence"),
         F.lit(0).alias("chunk_no"), F.lit(0).alias("resp_no"), F.lit(0).alias("cand_no"),
     )

@@ -12,10 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import NOT_WS, flexible_pattern, py_strip, spans
+from ..functions.text import NOT_WS, bound, flexible_pattern, py_strip, scan, spans
 
-SPAN = "array<struct<start:int,end:int,mask:string>>"
-PIECE = "array<struct<text:string,is_mask:boolean>>"
+KEPT = "struct<start:int,end:int,mask:string>"
+SPAN, PIECE = f"array<{KEPT}>", "struct<text:string,is_mask:boolean>"
 
 
 def rank_replacements(replacements: DataFrame) -> DataFrame:
@@ -39,16 +39,13 @@ def dictionaries(replacements: DataFrame) -> DataFrame:
 def resolve_overlaps(pooled: Column) -> Column:
     """M3: of array<struct<start, short, rank, end, mask>> (short: minus the length) those
     kept when taken in order with none overlapping."""
-    none = F.array().cast(SPAN)
-    return F.aggregate(
-        F.array_sort(pooled),
-        F.struct(F.lit(0).alias("upto"), none.alias("kept")),
-        lambda a, x: F.when(
-            x["start"] >= a["upto"],
-            F.struct(x["end"].alias("upto"), F.concat(a["kept"], F.array(F.struct(x["start"].alias("start"), x["end"].alias("end"), x["mask"].alias("mask")))).alias("kept")),
-        ).otherwise(a),
-        lambda a: a["kept"],
-    )
+
+    def step(upto: Column, x: Column) -> tuple[Column, Column]:
+        free = x["start"] >= upto
+        span = F.struct(x["start"].alias("start"), x["end"].alias("end"), x["mask"].alias("mask"))
+        return F.when(free, x["end"]).otherwise(upto), F.when(free, F.array(span)).otherwise(F.array().cast(SPAN))
+
+    return scan(F.array_sort(pooled), F.lit(0), KEPT, step)
 
 
 def kept_spans(text: Column, entries: Column) -> Column:
@@ -68,16 +65,33 @@ def kept_spans(text: Column, entries: Column) -> Column:
 
 
 def fragments(text: Column, kept: Column) -> Column:
-    """M6: plain and mask pieces in order, no empty ones."""
-    none = F.array().cast(PIECE)
+    """M6: plain and mask pieces in order, no empty ones. Finding a place in a text walks it from its
+    start, so spans go in blocks of about the square root of their number: each block's text is cut
+    out once, the pieces from that."""
     piece = lambda t, m: F.struct(t.alias("text"), F.lit(m).alias("is_mask"))
-    walked = F.aggregate(
-        kept,
-        F.struct(F.lit(0).alias("at"), none.alias("out")),
-        lambda a, s: F.struct(s["end"].alias("at"), F.concat(a["out"], F.array(piece(F.substring(text, a["at"] + 1, s["start"] - a["at"]), False), piece(s["mask"], True))).alias("out")),
-    )
-    rest = F.array(piece(F.substring(text, walked["at"] + 1, F.length(text)), False))
-    return F.filter(F.concat(walked["out"], rest), lambda x: F.length(x["text"]) > 0)
+
+    def walk(k: Column) -> Column:
+        size = F.greatest(F.lit(16), F.sqrt(F.size(k)).cast("int"))
+        end_before = lambda i: F.when(i > 1, F.element_at(k, F.greatest(i - 1, F.lit(1)))["end"]).otherwise(0)
+
+        def block(i: Column) -> Column:
+            own, start = F.slice(k, i, size), end_before(i)
+            cut = F.substring(text, start + 1, F.element_at(own, -1)["end"] - start)
+
+            def pieces(t: Column) -> Column:
+                def pair(s: Column, j: Column) -> Column:
+                    before = F.when(j > 0, F.element_at(t["own"], F.greatest(j, F.lit(1)))["end"]).otherwise(t["start"])
+                    return F.array(piece(F.substring(t["cut"], before - t["start"] + 1, s["start"] - before), False), piece(s["mask"], True))
+
+                return F.flatten(F.transform(t["own"], pair))
+
+            return bound(F.struct(own.alias("own"), start.alias("start"), cut.alias("cut")), pieces)
+
+        starts = F.when(F.size(k) > 0, F.sequence(F.lit(1), F.size(k), size)).otherwise(F.array().cast("array<int>"))
+        rest = F.array(piece(F.substring(text, end_before(F.size(k) + 1) + 1, F.length(text)), False))
+        return F.concat(F.flatten(F.transform(starts, block)), rest)
+
+    return F.filter(bound(kept, walk), lambda x: F.length(x["text"]) > 0)
 
 
 def joined_text(pieces: Column) -> Column:
@@ -116,17 +130,13 @@ def mask_runs(runs: DataFrame, replacements: DataFrame) -> DataFrame:
     listed = runs.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("run_no", F.coalesce("text", F.lit("")).alias("text"), "is_complex"))).alias("runs"))
     listed = listed.withColumn("text", F.array_join(F.transform("runs", lambda r: r["text"]), ""))
     found = with_dictionary(listed, replacements).withColumn("spans", kept_spans(F.col("text"), F.col("dict")))
-    # run offsets in one pass
-    offsets = F.aggregate(
-        "runs",
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<run_no:int,text:string,is_complex:boolean,start:int,end:int>>").alias("out")),
-        lambda a, r: F.struct(
-            (a["at"] + F.length(r["text"])).alias("at"),
-            F.concat(a["out"], F.array(F.struct(r["run_no"].alias("run_no"), r["text"].alias("text"), r["is_complex"].alias("is_complex"), a["at"].alias("start"), (a["at"] + F.length(r["text"])).alias("end")))).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
-    found = found.withColumn("runs", offsets)
+    run = "struct<run_no:int,text:string,is_complex:boolean,start:int,end:int>"
+
+    def placed(at: Column, r: Column) -> tuple[Column, Column]:
+        end = at + F.length(r["text"])
+        return end, F.array(F.struct(r["run_no"].alias("run_no"), r["text"].alias("text"), r["is_complex"].alias("is_complex"), at.alias("start"), end.alias("end")))
+
+    found = found.withColumn("runs", scan(F.col("runs"), F.lit(0), run, placed))
     meets = lambda s, r: (s["end"] > r["start"]) & (s["start"] < r["end"])
     simple = F.filter("spans", lambda s: ~F.exists("runs", lambda r: r["is_complex"] & meets(s, r)))
     rows = found.withColumn("spans", simple).select(*key, "spans", F.explode("runs").alias("r"))
@@ -157,12 +167,15 @@ def cell_stats(masked: DataFrame) -> DataFrame:
     return masked.groupBy("doc_id").agg(F.sum(F.size("spans")).cast("long").alias("n_fragments"), F.sum(F.col("modified").cast("long")).alias("n_cells"))
 
 
-def mask_by_format(segments: DataFrame, replacements: DataFrame) -> DataFrame:
-    """(doc_id, file_type, seg_no, masked): docx segments, xlsx cells (``is_formula``)
-    and pdf pages each by their rule; other types are left out."""
+def mask_by_format(cells: DataFrame, runs: DataFrame, words: DataFrame, replacements: DataFrame) -> DataFrame:
+    """(doc_id, file_type, seg_no, masked) of a corpus of all formats: docx paragraphs from their
+    runs (M5), xlsx cells in sheet order (M7), pdf pages from their positioned words (M9 to M12)."""
+    from .pages import match_boxes, redact_pages  # which takes this module's ranks
+
     columns = ["doc_id", "file_type", "seg_no", "masked"]
-    of = lambda kind: segments.filter(F.col("file_type") == kind)
-    docx = mask_segments(of("docx"), replacements).select(*columns)
-    xlsx = mask_cells(of("xlsx").withColumnRenamed("text", "value"), replacements).select(*columns)
-    pdf = mask_segments(of("pdf"), replacements).select(*columns)
+    paragraphs = mask_runs(runs, replacements).groupBy("doc_id", F.col("para_no").alias("seg_no")).agg(F.array_sort(F.collect_list(F.struct("run_no", "masked"))).alias("r"))
+    docx = paragraphs.withColumn("masked", F.array_join("r.masked", "")).withColumn("file_type", F.lit("docx")).select(*columns)
+    order = Window.partitionBy("doc_id").orderBy("sheet", "row_no", "col_no")
+    xlsx = mask_cells(cells, replacements).withColumn("file_type", F.lit("xlsx")).withColumn("seg_no", F.row_number().over(order)).select(*columns)
+    pdf = redact_pages(words, match_boxes(words, replacements)).withColumn("file_type", F.lit("pdf")).withColumnRenamed("page_no", "seg_no").select(*columns)
     return docx.unionByName(xlsx).unionByName(pdf)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import WS, escape, py_strip, spans
+from ..functions.text import SPAN, WS, bound, escape, py_strip, scan, spans
 from .mask import rank_replacements
 
 PLACE = ["doc_id", "page_no"]
@@ -17,29 +17,40 @@ def page_texts(words: DataFrame) -> DataFrame:
     each word's place ``at`` in the text."""
     item = F.struct(*WORD_ORDER, "word", "x0", "y0", "x1", "y1")
     rows = words.groupBy(*PLACE).agg(F.array_sort(F.collect_list(item)).alias("w"))
-    placed = F.aggregate(
-        "w",
-        F.struct(F.lit(0).alias("at"), F.filter(F.transform("w", lambda x: F.struct(F.lit(0).alias("at"), x.alias("x"))), lambda x: F.lit(False)).alias("out")),
-        lambda a, x: F.struct((a["at"] + F.length(x["word"]) + 1).alias("at"), F.concat(a["out"], F.array(F.struct(a["at"].alias("at"), x.alias("x")))).alias("out")),
-        lambda a: a["out"],
-    )
+    word = rows.schema["w"].dataType.elementType.simpleString()
+
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        return at + F.length(x["word"]) + 1, F.array(F.struct(at.alias("at"), x.alias("x")))
+
+    placed = scan(F.col("w"), F.lit(0), f"struct<at:int,x:{word}>", step)
     return rows.select(*PLACE, placed.alias("words"), F.array_join(F.transform("w", lambda x: x["word"]), " ").alias("text"))
 
 
 def _hits(text: Column, phrase: Column) -> Column:
     low, key = F.lower(text), F.lower(phrase)
-    return F.when(F.contains(low, key), spans(low, escape(key))).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
+    return F.when(F.contains(low, key), spans(low, escape(key))).otherwise(F.array().cast(f"array<{SPAN}>"))
+
+
+def exact_hits(pages: DataFrame, ranked: DataFrame) -> DataFrame:
+    """``pages`` with ``hits``: (rank, mask, original_text, level, start, end) of the page's document's values.
+    A document's values are gathered first, so a page's text meets them all in one row."""
+    listed = ranked.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", "mask", "original_text"))).alias("values"))
+
+    def hits(v: Column) -> Column:
+        phrase = py_strip(v["original_text"])
+        one = _hits(F.col("text"), phrase)
+        two = F.when(phrase.rlike(WS), _hits(F.col("text"), F.regexp_replace(phrase, f"{WS}+", " "))).otherwise(F.array().cast(f"array<{SPAN}>"))
+        found = bound(one, lambda x: F.when(F.size(x) > 0, F.struct(F.lit(1).alias("level"), x.alias("s"))).otherwise(F.struct(F.lit(2).alias("level"), two.alias("s"))))
+        row = lambda f, s: F.struct(v["rank"].alias("rank"), v["mask"].alias("mask"), v["original_text"].alias("original_text"), f["level"].alias("level"), s["start"].alias("start"), s["end"].alias("end"))
+        return bound(found, lambda f: F.transform(f["s"], lambda s: row(f, s)))
+
+    return pages.join(listed, "doc_id").withColumn("hits", F.flatten(F.transform("values", hits))).drop("values")
 
 
 def search_phrase_exact(words: DataFrame, ranked: DataFrame) -> DataFrame:
     """M9: (doc_id, page_no, rank, mask, original_text, level, start, end): in any case, the value as
     it is (level 1); on pages without such a hit, with white space made one space (level 2)."""
-    rows = page_texts(words).select(*PLACE, "text").join(ranked, "doc_id")
-    phrase = py_strip(F.col("original_text"))
-    rows = rows.withColumn("one", _hits(F.col("text"), phrase)).withColumn("two", _hits(F.col("text"), F.regexp_replace(phrase, f"{WS}+", " ")))
-    level = F.when(F.size("one") > 0, 1).otherwise(2)
-    rows = rows.select(*PLACE, "rank", "mask", "original_text", level.alias("level"), F.explode(F.when(F.size("one") > 0, F.col("one")).otherwise(F.col("two"))).alias("s"))
-    return rows.select(*PLACE, "rank", "mask", "original_text", "level", F.col("s.start").alias("start"), F.col("s.end").alias("end"))
+    return exact_hits(page_texts(words).select(*PLACE, "text"), ranked).select(*PLACE, F.explode("hits").alias("h")).select(*PLACE, "h.*")
 
 
 def norm(word: Column) -> Column:
@@ -65,11 +76,17 @@ def match_boxes(words: DataFrame, replacements: DataFrame) -> DataFrame:
     hits; of boxes equal to 0.1 on a page the one of the longer value stays. Values with an exact
     hit on a page aren't searched word by word there."""
     ranked = rank_replacements(replacements)
-    exact = search_phrase_exact(words, ranked)
-    pages = page_texts(words).select(*PLACE, F.explode("words").alias("p")).select(*PLACE, F.col("p.at").alias("at"), "p.x.*")
-    inside = exact.join(pages, PLACE).filter((F.col("at") < F.col("end")) & (F.col("at") + F.length("word") > F.col("start")))
+    pages = exact_hits(page_texts(words), ranked)
+
+    def boxed(h: Column) -> Column:
+        under = F.filter("words", lambda w: (w["at"] < h["end"]) & (w["at"] + F.length(w["x"]["word"]) > h["start"]))
+        side = lambda u, c: F.transform(u, lambda w: w["x"][c])
+        corners = lambda u: F.struct(F.array_min(side(u, "x0")).alias("x0"), F.array_min(side(u, "y0")).alias("y0"), F.array_max(side(u, "x1")).alias("x1"), F.array_max(side(u, "y1")).alias("y1"))
+        return F.struct(h["rank"].alias("rank"), h["mask"].alias("mask"), bound(under, corners).alias("b"))
+
+    exact = pages.select(*PLACE, F.explode(F.transform("hits", boxed)).alias("h")).select(*PLACE, "h.rank", "h.mask", "h.b.*")
     boxes = [F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")]
-    one = inside.groupBy(*PLACE, "rank", "mask", F.col("start").alias("hit"), F.col("end").alias("hit2")).agg(*boxes).drop("hit", "hit2")
+    one = exact.select(*PLACE, "rank", "mask", "x0", "y0", "x1", "y1")
     by_word = search_phrase_words(words, ranked).join(exact.select(*PLACE, "rank").distinct(), [*PLACE, "rank"], "left_anti")
     w = words.select(*PLACE, "block_no", "line_no", "word_no", "x0", "y0", "x1", "y1")
     hits = by_word.join(w, [*PLACE, "block_no", "line_no"]).filter((F.col("word_no") >= F.col("first")) & (F.col("word_no") < F.col("first") + F.col("n")))

@@ -9,9 +9,11 @@ from ..operators import assemble as D
 from ..operators import dictionary as R
 from ..operators import history as I
 from ..operators import mask as M
+from ..operators import pages as G
 from ..operators import reports as H
+from ..sources import io
 from . import sqltext as S
-from .catalog_mask import FINAL, REPLACED, _detected
+from .catalog_mask import CELLS, DEDUPED, FINAL, LOCATED, REDACTED, REPLACED, _detected
 from .deidentify import deidentify
 from .fixtures import load
 
@@ -113,16 +115,16 @@ def d10(spark, d):
 
 
 @query("d11_document_metadata", S.with_("paragraphs", "cells", more="""
- segs as (select doc_id, 'paragraph' as k, element_no::int as n, null::varchar as s from paragraphs union all select doc_id, 'sheet', 1, sheet from cells union all select doc_id, 'page', (row_no % 3)::int, null from cells)""")
+ segs as (select doc_id, 'paragraph' as k, element_no::int as n, null::varchar as s, null::boolean as o from paragraphs union all select doc_id, 'sheet', 1, sheet, null from cells union all select doc_id, 'page', (row_no % 3)::int, null, value is null from cells)""")
  + """ select doc_id, count_if(k = 'paragraph')::varchar as paragraphs, count(distinct case when k = 'page' then n end)::varchar as pages, count(distinct s)::varchar as sheets,
- coalesce(string_agg(distinct s, ', ' order by s), '') as sheet_names from segs group by doc_id""")
+ coalesce(string_agg(distinct s, ', ' order by s), '') as sheet_names, coalesce(bool_or(o), false)::varchar as used_ocr from segs group by doc_id""")
 def d11(spark, d):
     p = load(spark, d, "paragraphs").select("doc_id", F.lit("paragraph").alias("seg_kind"), F.col("para_no").alias("seg_no"), F.lit(None).cast("string").alias("seg_name"))
     c = load(spark, d, "cells")
     s = c.select("doc_id", F.lit("sheet").alias("seg_kind"), F.lit(1).alias("seg_no"), F.col("sheet").alias("seg_name"))
-    g = c.select("doc_id", F.lit("page").alias("seg_kind"), (F.col("row_no") % 3).cast("int").alias("seg_no"), F.lit(None).cast("string").alias("seg_name"))
-    m = D.document_metadata(p.unionByName(s).unionByName(g))
-    names = {"paragraphs": "paragraphs_count", "pages": "pages_count", "sheets": "sheets_count", "sheet_names": "sheet_names"}
+    g = c.select("doc_id", F.lit("page").alias("seg_kind"), (F.col("row_no") % 3).cast("int").alias("seg_no"), F.lit(None).cast("string").alias("seg_name"), F.isnull("value").alias("used_ocr"))
+    m = D.document_metadata(p.unionByName(s).unionByName(g, allowMissingColumns=True))
+    names = {"used_ocr": "used_ocr", "paragraphs": "paragraphs_count", "pages": "pages_count", "sheets": "sheets_count", "sheet_names": "sheet_names"}
     return m.select("doc_id", *[F.col("metadata")[v].alias(k) for k, v in names.items()])
 
 
@@ -158,6 +160,35 @@ def h2(spark, d):
     return H.txt_report(*_report_inputs(spark, d), WHEN)
 
 
+_H1 = f"""concat('{{"timestamp":"{WHEN}","source_file":"', source_file, '","masked_file":"', masked_file, '","stats":{{"initial_detected_count":', n1, ',"final_masked_count":', n2,
+  '}},"initial_replacements":[', array_to_string(j1, ','), '],"final_replacements":[', array_to_string(j2, ','), ']}}')"""
+
+
+@query("s3_write_masked", S.with_("cells", "cell_values", more=CELLS + ", typed as (select case when sheet = '1-URGENT' then 'xls' else 'xlsx' end as file_type, doc_id, sheet, row_no, col_no, masked from done)") + " select * from typed")
+def s3(spark, d):
+    kind = F.when(F.col("sheet") == "1-URGENT", "xls").otherwise("xlsx")
+    masked = M.mask_cells(load(spark, d, "cells"), load(spark, d, "cell_values")).select(kind.alias("file_type"), "doc_id", "sheet", "row_no", "col_no", "masked")
+    path = f"{io.work_dir(spark)}/masked"
+    io.write_masked(masked, path)
+    return spark.read.parquet(path)
+
+
+@query("s4_write_json_reports", S.with_("parties", more=_ITEMS) + f" select {_H1} as report from both_items")
+def s4(spark, d):
+    path = f"{io.work_dir(spark)}/json"
+    io.write_json_reports(H.json_report(*_report_inputs(spark, d), WHEN), path)
+    return spark.read.text(path).withColumnRenamed("value", "report")
+
+
+@query("s5_write_txt_reports", S.with_("parties", more=_ITEMS) + f"""
+ select line, count(*) as n from (select unnest(list_concat([{S.q(H.RULE)}, {S.q(H.TITLE)}, {S.q(H.RULE)}, {S.q(H.WHEN + WHEN)}, concat({S.q(H.SOURCE)}, source_file), concat({S.q(H.RESULT)}, masked_file), {S.q(H.THIN)},
+  concat({S.q(H.FOUND)}, n1), concat({S.q(H.APPLIED)}, n2), {S.q(H.RULE)}], string_split({S.q(H.LIST)}, chr(10)), lines, [{S.q(H.RULE)}])) as line from both_items) where len(line) > 0 group by line""")
+def s5(spark, d):
+    path = f"{io.work_dir(spark)}/txt"
+    io.write_txt_reports(H.txt_report(*_report_inputs(spark, d), WHEN), path)
+    return spark.read.text(path).filter("length(value) > 0").groupBy(F.col("value").alias("line")).agg(F.count("*").alias("n"))
+
+
 @query("h3_corpus_summary", S.with_("parties") + """
  select case when doc_id % 2 = 0 then 'docx' else 'pdf' end as file_type, entity_type, count(*) as n_spans, count(distinct original_text) as n_texts, count(distinct doc_id) as n_docs from parties group by all""")
 def h3(spark, d):
@@ -223,11 +254,11 @@ per_doc as (select doc_id, count(*) as n_spans, count(distinct original_text) as
 
 
 @query("w1_deidentify_documents", f"""with {_W1}, dicts as ({S.dictionary("replaced")}),
- kept as (select doc_id, text, {S.kept("text", "d")} as k from documents join dicts using (doc_id))
- select doc_id, {S.glued(S.fragments("text", "k"))} as masked from kept""")
+ kept as (select doc_id, text, case when d is null then [] else {S.kept("text", "d")} end as k from documents left join dicts using (doc_id))
+ select doc_id, len(k)::int as n_spans, case when len(k) > 0 then {S.glued(S.fragments("text", "k"))} else text end as masked from kept""")
 def w1(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
-    return deidentify(docs).masked.filter("size(spans) > 0").select("doc_id", "masked")
+    return deidentify(docs).masked.select("doc_id", F.size("spans").alias("n_spans"), "masked")
 
 
 @query("w1_masked_by_language", f"""with {_W1}, by_lang as (select lang, count(*) as n_docs, count(p.doc_id) as n_changed, coalesce(sum(n_spans), 0)::bigint as n_fragments
@@ -244,6 +275,25 @@ def w1_status(spark, d):
     return R.party_completeness(load(spark, d, "parties")).groupBy("status").agg(F.count("*").alias("n"))
 
 
+@query("w1_answers_and_detector", S.with_("contracts", "answered", more=f"""{LOCATED}, {DEDUPED}, {_detected("contracts")},
+ named as (select * from deduped union all select doc_id, chunk_no, resp_no, cand_no, original_text, masked_text, start_pos, end_pos, entity_type, confidence from detected t
+  where not exists (select 1 from deduped e where e.doc_id = t.doc_id and e.start_pos = t.start_pos and e.end_pos = t.end_pos)),
+ {REPLACED.replace("@", "named")}, dicts as ({S.dictionary("replaced")}),
+ kept as (select c.doc_id, text, {S.kept("text", "d")} as k from contracts c left join dicts using (doc_id))""")
+ + f" select doc_id, {S.glued(S.fragments('text', 'k'))} as masked from kept")
+def w1_answers(spark, d):
+    return deidentify(load(spark, d, "contracts"), load(spark, d, "responses")).masked.select("doc_id", "masked")
+
+
+@query("w3_redact_corpus", S.with_("page_words", "page_values", more=REDACTED + """,
+ counts as (select p.doc_id, p.page_no, count(b.rank) as n_areas from (select distinct doc_id, page_no from page_words) p left join boxes b using (doc_id, page_no) group by all),
+ texts_left as (select doc_id, page_no, string_agg(word, ' ' order by block_no, line_no, word_no) as masked from shown group by all)""")
+ + " select doc_id, page_no, masked, n_areas from texts_left join counts using (doc_id, page_no)")
+def w3(spark, d):
+    words, boxes = load(spark, d, "page_words"), G.match_boxes(load(spark, d, "page_words"), load(spark, d, "page_values"))
+    return G.redact_pages(words, boxes).join(G.page_area_counts(words, boxes), ["doc_id", "page_no"])
+
+
 @query("w2_masked_workbook_text", S.with_("cells", "cell_values", more=f"""dicts as ({S.dictionary("cell_values")}),
  kept as (select c.*, case when value is not null and not is_formula and not starts_with(value, '=') then {S.kept("value", "d")} else [] end as k from cells c left join dicts using (doc_id)),
  done as (select doc_id, sheet, row_no, col_no, case when len(k) > 0 then {S.glued(S.fragments("value", "k"))} else value end as value from kept),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..operators import dictionary as R
@@ -63,7 +65,7 @@ def l3(spark, d):
 
 def _detected(table: str) -> str:
     parts, names = [], []
-    for k, p in [*L.PATTERNS.items(), ("DIGITS", L.TOKEN)]:
+    for k, p in [*L.PATTERNS.items(), ("DIGITS", L.TOKEN + "+")]:
         name = f"hits_{k.lower()}"
         kind = S.q(k) if k != "DIGITS" else "case len(hit) " + " ".join(f"when {n} then {S.q(t)}" for n, t in L.DIGITS.items()) + " end"
         keep = "hit is not null" if k != "DIGITS" else f"regexp_full_match(hit, '[0-9]+') and len(hit) in ({', '.join(map(str, L.DIGITS))})"
@@ -225,15 +227,17 @@ def m4r(spark, d):
     return M.residual_hits(M.mask_segments(docs, values), values)
 
 
-@query("m5_mask_runs", S.with_("runs", "run_values", more=f"""
- paras as (select doc_id, para_no, string_agg(text, '' order by run_no) as text from runs group by all),
+RUNS = f"""paras as (select doc_id, para_no, string_agg(text, '' order by run_no) as text from runs group by all),
  placed as (select *, (sum(len(text)) over (partition by doc_id, para_no order by run_no) - len(text))::int as a, (sum(len(text)) over (partition by doc_id, para_no order by run_no))::int as b from runs),
  dicts as ({S.dictionary("run_values")}), kept as (select doc_id, para_no, unnest({S.kept("text", "d")}) as k from paras join dicts using (doc_id)),
  simple as (select * from kept where not exists (select 1 from placed p where p.doc_id = kept.doc_id and p.para_no = kept.para_no and p.is_complex and kept.k.e > p.a and kept.k.s < p.b)),
  own as (select p.doc_id, p.para_no, p.run_no, list(struct_pack(s := greatest(k.s, a) - a, e := least(k.e, b) - a, m := case when k.s >= a then k.m else '' end) order by k.s) as k
   from simple s join placed p on p.doc_id = s.doc_id and p.para_no = s.para_no and s.k.e > a and s.k.s < b group by all),
- joined as (select p.doc_id, p.para_no, p.run_no, p.text, p.is_complex, coalesce(k, []) as k from placed p left join own using (doc_id, para_no, run_no))""")
- + f" select doc_id, para_no, run_no, text, is_complex, {S.glued(S.fragments('text', 'k'))} as masked from joined")
+ joined as (select p.doc_id, p.para_no, p.run_no, p.text, p.is_complex, coalesce(k, []) as k from placed p left join own using (doc_id, para_no, run_no)),
+ masked_runs as (select doc_id, para_no, run_no, text, is_complex, {S.glued(S.fragments('text', 'k'))} as masked from joined)"""
+
+
+@query("m5_mask_runs", S.with_("runs", "run_values", more=RUNS) + " select * from masked_runs")
 def m5(spark, d):
     return M.mask_runs(load(spark, d, "runs"), load(spark, d, "run_values")).drop("spans")
 
@@ -245,28 +249,21 @@ def m6(spark, d):
     return M.mask_segments(docs, values).filter("fragments is not null").select("doc_id", F.array_join("fragments.text", "|").alias("texts"), F.array_join(F.transform("fragments", lambda x: F.when(x["is_mask"], "m").otherwise("p")), "").alias("masks"))
 
 
-_CELLS = f"""dicts as ({S.dictionary("cell_values")}),
+CELLS = f"""dicts as ({S.dictionary("cell_values")}),
 kept as (select c.*, case when value is not null and not is_formula and not starts_with(value, '=') then {S.kept("value", "d")} else [] end as k from cells c left join dicts using (doc_id)),
 done as (select doc_id, sheet, row_no, col_no, case when len(k) > 0 then {S.glued(S.fragments("value", "k"))} else value end as masked, len(k) > 0 as modified, len(k) as n from kept)"""
 
 
-@query("m7_mask_cells", S.with_("cells", "cell_values", more=_CELLS) + " select doc_id, sheet, row_no, col_no, masked, modified from done")
+@query("m7_mask_cells", S.with_("cells", "cell_values", more=CELLS) + " select doc_id, sheet, row_no, col_no, masked, modified from done")
 def m7(spark, d):
     return M.mask_cells(load(spark, d, "cells"), load(spark, d, "cell_values"), salt=2).select("doc_id", "sheet", "row_no", "col_no", "masked", "modified")
 
 
-@query("m8_cell_stats", S.with_("cells", "cell_values", more=_CELLS) + " select doc_id, sum(n)::bigint as n_fragments, count_if(modified)::bigint as n_cells from done group by doc_id")
+@query("m8_cell_stats", S.with_("cells", "cell_values", more=CELLS) + " select doc_id, sum(n)::bigint as n_fragments, count_if(modified)::bigint as n_cells from done group by doc_id")
 def m8(spark, d):
     return M.cell_stats(M.mask_cells(load(spark, d, "cells"), load(spark, d, "cell_values")))
 
 
-@query("m14_mask_by_format", S.with_("contracts", "segments", more=_MASKING + f", done as (select doc_id, {S.glued(S.fragments('text', 'k'))} as masked from kept)")
- + " select s.doc_id, file_type, seg_no, case when file_type = 'xlsx' and is_formula then text else masked end as masked from segments s join done using (doc_id)")
-def m14(spark, d):
-    _, values = _values(spark, d)
-    return M.mask_by_format(load(spark, d, "segments"), values)
-
-
 # -- pages ---------------------------------------------------------------------
 
 _RANKED = "ranked as (select doc_id, original_text, mask, row_number() over (partition by doc_id order by len(original_text) desc, ord)::int as rank from page_values)"
@@ -316,20 +313,20 @@ def m11(spark, d):
     return G.match_boxes(*_pages(spark, d))
 
 
-_REDACTED = f"""{_BOXES},
+REDACTED = f"""{_BOXES},
 under as (select w.*, (select min({{'r': rank, 'm': mask, 'a': b.x0, 'b': b.y0, 'c': b.x1, 'd': b.y1}}) from boxes b where b.doc_id = w.doc_id and b.page_no = w.page_no
  and (w.x0 + w.x1) / 2 between b.x0 and b.x1 and (w.y0 + w.y1) / 2 between b.y0 and b.y1) as box from page_words w),
 shown as (select doc_id, page_no, block_no, line_no, word_no, word from under where box is null
  union all select doc_id, page_no, min(block_no), arg_min(line_no, (block_no, line_no, word_no)), arg_min(word_no, (block_no, line_no, word_no)), box.m from under where box is not null group by doc_id, page_no, box)"""
 
 
-@query("m12_redact_pages", S.with_("page_words", "page_values", more=_REDACTED) + " select doc_id, page_no, string_agg(word, ' ' order by block_no, line_no, word_no) as masked from shown group by all")
+@query("m12_redact_pages", S.with_("page_words", "page_values", more=REDACTED) + " select doc_id, page_no, string_agg(word, ' ' order by block_no, line_no, word_no) as masked from shown group by all")
 def m12(spark, d):
     words, values = _pages(spark, d)
     return G.redact_pages(words, G.match_boxes(words, values))
 
 
-@query("m12_redact_pages_blank", S.with_("page_words", "page_values", more=_REDACTED) + " select doc_id, page_no, string_agg(word, ' ' order by block_no, line_no, word_no) as masked from under where box is null group by all")
+@query("m12_redact_pages_blank", S.with_("page_words", "page_values", more=REDACTED) + " select doc_id, page_no, string_agg(word, ' ' order by block_no, line_no, word_no) as masked from under where box is null group by all")
 def m12b(spark, d):
     words, values = _pages(spark, d)
     return G.redact_pages(words, G.match_boxes(words, values), add_text_overlay=False)
@@ -340,3 +337,18 @@ def m12b(spark, d):
 def m13(spark, d):
     words, values = _pages(spark, d)
     return G.page_area_counts(words, G.match_boxes(words, values))
+
+
+def _of_format(sql: str, *names: str) -> str:
+    """The same query over the tables of one format."""
+    for name, other in zip(names, ("format_values", "format_runs", "format_cells", "format_words")):
+        sql = re.sub(rf"\b{name}\b", other, sql) if name else sql
+    return sql
+
+
+@query("m14_mask_by_format", S.with_("format_runs", "format_cells", "format_words", "format_values") + f"""
+ select doc_id, 'docx' as file_type, para_no as seg_no, string_agg(masked, '' order by run_no) as masked from (with {_of_format(RUNS, "run_values", "runs")} select * from masked_runs) group by all
+ union all select doc_id, 'xlsx', (row_number() over (partition by doc_id order by sheet, row_no, col_no))::int, masked from (with {_of_format(CELLS, "cell_values", "", "cells")} select * from done)
+ union all select doc_id, 'pdf', page_no, string_agg(word, ' ' order by block_no, line_no, word_no) from (with {_of_format(REDACTED, "page_values", "", "", "page_words")} select * from shown) group by all""")
+def m14(spark, d):
+    return M.mask_by_format(*[load(spark, d, f"format_{x}") for x in ("cells", "runs", "words", "values")])

@@ -58,7 +58,7 @@ def _windows(size: int, overlap: int) -> str:
 def _chunks(size: int, overlap: int, table: str = "documents") -> str:
     return (
         f"select doc_id, (i - 1)::int as chunk_no, text[w[i] + 1 : w[i] + {size}] as chunk from "
-        f"(select doc_id, text, w, unnest(range(1, len(w) + 1)) as i from (select doc_id, text, {_windows(size, overlap)} as w from {table}))"
+        f"(select doc_id, text, w, unnest(range(1, len(w) + 1)) as i from (select doc_id, text, {_windows(size, overlap)} as w from {table} where len(text) > 0))"
     )
 
 
@@ -70,7 +70,7 @@ def c1(spark, d):
 _BY_PAGE = f"""
 several as (select doc_id, page_no as chunk_no, concat('[', name, ']', chr(10), text) as chunk from pages
  where doc_id in (select doc_id from pages group by doc_id having count(*) > 1) and regexp_matches(text, '{T.NOT_WS}')),
-one as (select * from pages where doc_id in (select doc_id from pages group by doc_id having count(*) = 1)),
+one as (select doc_id, concat('--- Страница ', page_no, ' ---', chr(10), text) as text from pages where doc_id in (select doc_id from pages group by doc_id having count(*) = 1)),
 chunks as (select * from several union all {_chunks(6000, 400, "one")})"""
 
 
@@ -136,10 +136,12 @@ def p3(spark, d):
     return load(spark, d, "responses").select("doc_id", P.repair_json(P.extract_json_object(F.col("raw"))).alias("repaired"))
 
 
-@query("p4_balanced_objects")
+@query("p4_balanced_objects", S.with_("responses", "answered", more=f"objects as (select doc_id, {_OBJECT} as object from responses)")
+ # the whole object, but for the answers with text between two and with one that isn't closed
+ + " select o.doc_id, case kind when 4 then concat(regexp_extract(object, '^.*?\\]\\}'), '|{не json}') when 5 then '' else object end as objects from objects o join answered a using (doc_id) where object is not null")
 def p4(spark, d):
     rows = load(spark, d, "responses").withColumn("object", P.extract_json_object(F.col("raw"))).filter("object is not null")
-    return rows.select("doc_id", F.array_join(P.balanced_objects("object"), "|").alias("objects"))
+    return rows.select("doc_id", F.array_join(P.balanced_objects(F.col("object")), "|").alias("objects"))
 
 
 _LOOSE = '"original_text"\\s*:\\s*"((?:[^"\\\\]|\\\\.)*?)"\\s*,\\s*"entity_type"\\s*:\\s*"([^"]*)"(?:\\s*,\\s*"confidence"\\s*:\\s*([0-9.]+))?'

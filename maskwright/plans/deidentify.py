@@ -30,18 +30,20 @@ class Result:
 
 def deidentify(
     docs: DataFrame, responses: DataFrame | None = None, clarifications: DataFrame | None = None, types: list[str] | None = None,
-    normalize: bool = False, timestamp: str = "1970-01-01T00:00:00",
+    normalize: bool = False, timestamp: str = "1970-01-01T00:00:00", salt: int = 4,
 ) -> Result:
     """``docs(doc_id, text)`` masked by the values that the detector finds and, if
-    there are any, the model's answers name. ``clarifications`` are P11's pairs."""
+    there are any, the model's answers name; of a place that both name the answer counts. Gaps are
+    what the detector finds and the answers don't. ``clarifications`` are P11's pairs."""
     docs = N.normalize(docs) if normalize else docs
     detected = L.detect_structured(docs)
-    entities = detected
-    if responses is not None:
-        entities = L.extract_entities(docs, responses)
+    named = L.extract_entities(docs, responses) if responses is not None else detected
     if types is not None:
-        entities, detected = L.select_target_types(entities, types), L.select_target_types(detected, types)
-    gaps = R.coverage_gaps(entities, detected)
+        named, detected = L.select_target_types(named, types), L.select_target_types(detected, types)
+    gaps = R.coverage_gaps(named, detected)
+    entities = named
+    if responses is not None:
+        entities = named.unionByName(detected.join(named, ["doc_id", "start_pos", "end_pos"], "left_anti"))
     replacements = R.build_replacements(entities)
     if clarifications is not None:
         replacements = R.merge_clarifications(replacements, clarifications)
@@ -49,6 +51,6 @@ def deidentify(
     files = docs.select("doc_id", F.col("doc_id").cast("string").alias("source_file"), F.concat(F.col("doc_id").cast("string"), F.lit("_masked")).alias("masked_file"))
     items = H.report_items(R.initial_items(entities), final)
     return Result(
-        masked=M.mask_segments(docs, replacements), entities=entities, replacements=replacements, final_items=final, gaps=gaps,
+        masked=M.mask_segments(docs, replacements, salt=salt), entities=entities, replacements=replacements, final_items=final, gaps=gaps,
         status=R.party_completeness(entities, gaps), json_reports=H.json_report(files, items, timestamp), txt_reports=H.txt_report(files, items, timestamp),
     )

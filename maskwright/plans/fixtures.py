@@ -16,21 +16,23 @@ select c_custkey as doc_id,
   'ПОКУПАТЕЛЬ: ООО  «', upper(c_name), '» ИНН: ', lpad(cast(3600000000 + c_custkey as string),10,'0')) as text
 from @customer@""",
     "responses": """
-select c_custkey as doc_id, 0 as chunk_no, case c_custkey % 6
+select c_custkey as doc_id, 0 as chunk_no, case c_custkey % 8
  when 0 then concat('{"entities":[{"original_text":"ИНН: ', cast(3600000000 + c_custkey as string), '","entity_type":"INN","confidence":0.9}]}')
  when 1 then concat('```json', chr(10), '{"entities":[{"original_text":"c', cast(c_custkey as string), '@example.com","entity_type":"EMAIL","confidence":"0.8"}]}', chr(10), '```')
  when 2 then concat('{"entities":[{"original_text":"', c_name, '","entity_type":"PARTY",},]}')
  when 3 then concat('{"entities":[{"original_text":"', c_name, '","entity_type":"BUYER"}]} и {не json}')
  when 4 then concat('{"entities":[{"original_text":"', c_name, '","entity_type":"PARTY","confidence":0.7},{"original_text":"ООО "Вектор"","entity_type":"PARTY"')
+ when 5 then concat('{"entities":["foo",{"original_text":"', c_name, '","entity_type":"PARTY","n":NaN},7,null]}')
+ when 6 then concat('{"entities":[{"original_text":"c', cast(c_custkey as string), '@example.com","entity_type":"PARTY","entity_type":"EMAIL"}]}')
  else 'нет данных' end as raw
 from @customer@""",
     # what the answers above hold, as a table: level, value, type, confidence
     "answered": """
-select c_custkey as doc_id, 0 as chunk_no, 0 as resp_no, c_custkey % 6 + 1 as kind,
- case c_custkey % 6 when 0 then concat('ИНН: ', cast(3600000000 + c_custkey as string)) when 1 then concat('c', cast(c_custkey as string), '@example.com') else c_name end as original_text,
- case c_custkey % 6 when 0 then 'INN' when 1 then 'EMAIL' when 3 then 'BUYER' else 'PARTY' end as entity_type,
- cast(case c_custkey % 6 when 0 then 0.9 when 1 then 0.8 when 4 then 0.7 else 1.0 end as double) as confidence,
- case c_custkey % 6 when 0 then 1 when 1 then 1 when 2 then 2 when 3 then 3 when 4 then 4 end as parse_level
+select c_custkey as doc_id, 0 as chunk_no, 0 as resp_no, c_custkey % 8 + 1 as kind, c_name,
+ case c_custkey % 8 when 0 then concat('ИНН: ', cast(3600000000 + c_custkey as string)) when 1 then concat('c', cast(c_custkey as string), '@example.com') when 6 then concat('c', cast(c_custkey as string), '@example.com') else c_name end as original_text,
+ case c_custkey % 8 when 0 then 'INN' when 1 then 'EMAIL' when 3 then 'BUYER' when 6 then 'EMAIL' else 'PARTY' end as entity_type,
+ cast(case c_custkey % 8 when 0 then 0.9 when 1 then 0.8 when 4 then 0.7 else 1.0 end as double) as confidence,
+ case c_custkey % 8 when 0 then 1 when 1 then 1 when 2 then 2 when 3 then 3 when 4 then 4 when 5 then 1 when 6 then 1 end as parse_level
 from @customer@""",
     "cells": """
 select o_custkey as doc_id, o_orderpriority as sheet, o_orderkey as row_no, col_no, value, is_formula from (
@@ -65,7 +67,7 @@ select o_custkey as doc_id, cast(o_orderkey as int) as para_no, o_orderkey as el
     "table_rows": """
 select o_custkey as doc_id, o_orderkey as element_no, r as row_no,
  array(o_orderstatus, case when r = 2 then '' else cast(o_orderkey as string) end, o_orderpriority) as cells
-from @orders@ cross join (select 1 as r union all select 2 union all select 3) n where o_orderstatus = 'F'""",
+from @orders@ cross join (select 1 as r union all select 2 union all select 3) n""",
     "notes": """
 select o_custkey as doc_id, case when o_orderkey % 2 = 0 then 'footnote' else 'endnote' end as kind, cast(1 as int) as note_no,
  cast(o_orderkey % 3 as int) as block_no, cast(o_orderkey as int) as para_no,
@@ -102,7 +104,7 @@ from @customer@ cross join (select 1 as l union all select 2 union all select 3)
 select c_custkey as doc_id, case c_custkey % 3 when 0 then concat('ООО ', c_name) when 1 then concat('ООО  «', c_name, '»') else concat('ооо', chr(10), '«', lower(c_name)) end as original_text,
  '[PARTY_REDACTED]' as mask, cast(1 as bigint) as ord from @customer@
 union all select c_custkey, cast(3600000000 + c_custkey as string), '[INN_REDACTED]', cast(2 as bigint) from @customer@
-union all select c_custkey, 'again', '[X_REDACTED]', cast(3 as bigint) from @customer@ where c_custkey % 2 = 0""",
+union all select c_custkey, 'again', '[X_REDACTED]', cast(3 as bigint) from @customer@ where c_acctbal >= 0""",
     "validations": """
 select c_custkey as doc_id, case c_custkey % 5
  when 0 then '{"status":"COMPLETE","questions":[],"missing_entities_candidates":[]}'
@@ -117,13 +119,13 @@ select c_custkey as doc_id, c_custkey % 5 <> 4 as parsed,
 select c_custkey as doc_id, cast(q as int) as question_no, case when (c_custkey + q) % 3 = 0 then '  ' else concat(' yes ', c_name, ' ') end as answer
 from @customer@ cross join (select 1 as q union all select 2) n""",
     "clarified": """
-select c_custkey as doc_id, cast(1 as int) as question_no, case when c_custkey % 3 = 0 then 'no' else concat('so: {"', c_name, '":"[BUYER_REDACTED]","extra ', cast(c_custkey as string), '":"[NEW_REDACTED]"}') end as raw from @customer@""",
+select c_custkey as doc_id, cast(1 as int) as question_no, case when c_acctbal < 0 then 'no' else concat('so: {"', c_name, '":"[PARTY_REDACTED]","extra ', cast(c_custkey as string), '":"[NEW_REDACTED]","', c_name, '":"[BUYER_REDACTED]"}') end as raw from @customer@""",
     "pairs": """
 select c_custkey as doc_id, cast(1 as int) as question_no, cast(p as int) as pair_no, case when p = 0 then c_name else concat('extra ', cast(c_custkey as string)) end as original_text,
  case when p = 0 then '[BUYER_REDACTED]' else '[NEW_REDACTED]' end as mask
-from @customer@ cross join (select 0 as p union all select 1) n where c_custkey % 3 <> 0""",
+from @customer@ cross join (select 0 as p union all select 1) n where c_acctbal >= 0""",
     "old_values": """
-select c_custkey as doc_id, c_name as original_text, '[PARTY_REDACTED]' as mask, cast(1 as bigint) as ord from @customer@ where c_custkey % 2 = 0
+select c_custkey as doc_id, c_name as original_text, '[PARTY_REDACTED]' as mask, cast(1 as bigint) as ord from @customer@ where c_acctbal >= 0
 union all select c_custkey, cast(c_custkey as string), '[ID_REDACTED]', cast(2 as bigint) from @customer@""",
     "job_types": """
 select c_custkey as job_id, array('INN', 'EMAIL') as ticked,
@@ -142,10 +144,14 @@ select event_id as seq, concat('/Data/', cast(user_id as string), '.pdf') as sou
 select concat(cast(c_custkey as string), '_masked', case c_custkey % 3 when 0 then '' when 1 then '_v2' else '_v4' end, '.docx') as name from @customer@""",
     "new_files": """
 select event_id as seq, concat('/Data/', event_type, '/', cast(user_id as string), '.docx') as source_file from @events@""",
-    "segments": """
-select doc_id, cast(1 as int) as seg_no, 'docx' as file_type, text, false as is_formula from contracts where doc_id % 3 = 0
-union all select doc_id, 1, 'xlsx', text, doc_id % 2 = 0 from contracts where doc_id % 3 = 1
-union all select doc_id, 1, 'pdf', text, false from contracts where doc_id % 3 = 2""",
+    # a corpus of three formats: each customer's contract is a file of one of them
+    "format_runs": """select r.* from runs r where doc_id % 3 = 0""",
+    "format_cells": """
+select doc_id, 'Sheet' as sheet, cast(1 as bigint) as row_no, cast(1 as int) as col_no, text as value, doc_id % 2 = 0 as is_formula from contracts where doc_id % 3 = 1
+union all select doc_id, 'Sheet', cast(2 as bigint), cast(1 as int), concat('ИНН ', cast(3600000000 + doc_id as string)), false from contracts where doc_id % 3 = 1""",
+    "format_words": """select w.* from page_words w where doc_id % 3 = 2""",
+    "format_values": """
+select * from run_values where doc_id % 3 < 2 union all select * from page_values where doc_id % 3 = 2""",
 }
 
 
@@ -154,17 +160,22 @@ def named(sql: str) -> list[str]:
     return [n for n in SQL if n != "pages" and re.search(rf"\b{n}\b", sql)]
 
 
-def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def _whole(name: str) -> str:
+    """A recipe with the recipes of the derived tables it reads."""
     text = SQL[name]
-    for other in ("contracts",):
-        if other != name and re.search(rf"\bfrom {other}\b", text):
-            text = re.sub(rf"\bfrom {other}\b", f"from ({SQL[other]})", text)
+    for other in ("contracts", "runs", "run_values", "page_words", "page_values"):
+        if other != name:
+            text = re.sub(rf"\bfrom {other}\b", lambda m, other=other: f"from ({SQL[other]})", text)
+    return text
+
+
+def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    text = _whole(name)
     return spark.sql(re.sub(r"@(\w+)@", lambda m: f"parquet.`{sf_dir}/{m[1]}.parquet`", text))
 
 
 def duck(name: str) -> str:
     """The same recipe for DuckDB."""
-    text = SQL[name]
-    text = re.sub(r"\bfrom contracts\b", f"from ({SQL['contracts']})", text) if name != "contracts" else text
+    text = _whole(name)
     text = re.sub(r"@(\w+)@", r"\1", text)
     return re.sub(r"\barray\(([^()]*(?:\([^()]*\)[^()]*)*)\)", r"[\1]", text).replace("cast(o_orderkey as string)", "cast(o_orderkey as varchar)")

@@ -10,7 +10,6 @@ ENTITIES = "doc_id long, original_text string, masked_text string, start_pos int
 RESPONSES = "doc_id long, chunk_no int, raw string"
 REPLACEMENTS = "doc_id long, original_text string, mask string, ord long"
 HISTORY = "seq long, timestamp string, source_file string, masked string, report_json string, report_txt string"
-ANSWER = "target_types_received array<string>, entities array<struct<original_text:string,entity_type:string,confidence:string,variants:array<string>>>"
 VALIDATION = "status string, questions array<string>, missing_entities_candidates array<struct<original_text:string,entity_type:string,reason:string>>"
 
 DEFAULT_TYPES = ["INN", "PHONE", "PARTY", "EMAIL", "PASSPORT", "ADDRESS", "FIO", "KPP"]

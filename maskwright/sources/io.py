@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FORMATS = (".docx", ".xlsx", ".pdf")
 
 
+def work_dir(spark: SparkSession) -> str:
+    """A new folder name in the folder all executors share, ``spark.checkpoint.dir``; where that is
+    unset and the session is local (tests, a laptop), in a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.gettempdir()
+    return f"{base.rstrip('/')}/maskwright-{uuid.uuid4().hex}"
+
+
 def route_by_format(files: DataFrame, name: str = "filename") -> DataFrame:
     """``files`` with ``file_type`` (null if not supported) and ``reason`` of a rejection."""
     ext = F.lower(F.regexp_extract(F.col(name), r"\.[^./]+$", 0))

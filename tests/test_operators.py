@@ -100,7 +100,7 @@ def test_find_and_mask_like_plain_python(spark):
     found = docs.join(values, "doc_id").select("doc_id", "original_text", locate.find_occurrences(F.col("original_text"), F.col("text")).alias("s")).collect()
     texts = {i: t for i, t, _ in rows}
     for r in found:
-        assert [tuple(x) for x in r.s] == python_occurrences(r.original_text, texts[r.doc_id]), (r.original_text, texts[r.doc_id])
+        assert [(x.start, x.end) for x in r.s] == python_occurrences(r.original_text, texts[r.doc_id]), (r.original_text, texts[r.doc_id])
     assert {r.doc_id: r.masked for r in mask.mask_segments(docs, values, salt=4).collect()} == {i: got[i].masked for i in got}
 
 
