@@ -126,9 +126,9 @@ def surveyed(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8) -> Da
     for phrase in PHRASES:
         some |= F.contains("spaced", F.lit(f" {phrase} "))
     found = found.select("row", "doc_id", "n_words", "spaced", F.array_intersect(vocabulary, "words").alias("held"), F.when(some, F.col("words")).alias("words"))
-    enough = F.lit(False)
-    for t in sets:
-        enough |= F.size(F.array_intersect("held", F.array(*[F.lit(w) for w in t["tokens"]]))) >= t["need"]
+    # as one constant list: a condition for each template makes code that takes gigabytes to compile
+    asked = F.array(*[F.struct(F.array(*[F.lit(w) for w in t["tokens"]]).alias("tokens"), F.lit(t["need"]).alias("need")) for t in sets])
+    enough = F.exists(asked, lambda t: F.size(F.array_intersect("held", t["tokens"])) >= t["need"]) if sets else F.lit(False)
     places = F.array(*[_places(p) for p in PHRASES])
     found = found.select("row", "doc_id", "n_words", places.alias("places"), "held", F.when(enough, F.col("spaced")).alias("spaced"))
     labels = F.array(*[F.when(F.size(F.col("places")[i]) > 0, F.lit(label)) for i, label in enumerate(PHRASES.values())])
