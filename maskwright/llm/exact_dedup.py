@@ -9,8 +9,9 @@ Texts are equal when they are identical after every character of
    (Python's ``dict``: probing on hash, equality on the complete content) of bounded size and
    sends one record for each distinct content with a count and the best row so far, so a
    group of copies of any size costs each bucket at most a few records per map task.
-3. *Partition*: records are dealt out and sorted by bucket (a hash of the digest; as many as
-   ``bucket_bytes`` goes into all bytes). A task takes its buckets one after the other.
+3. *Partition*: records are dealt out and sorted by bucket (a hash of the digest; so many that
+   they are a quarter full on average and few outgrow ``bucket_bytes``). A task takes its buckets one
+   after the other.
 4. *Merge* each bucket in a table of its own, comparing complete contents. A bucket that outgrows
    ``bucket_bytes`` is spilled: its records, merged so far, go to a spill table in the shared
    folder, and from there to smaller buckets by other bits in a further pass, until every
@@ -38,6 +39,7 @@ from .store import spread, written
 
 SPACES = b" \t\n\x0b\x0c\r"
 FAN = 16  # parts of a spilled bucket
+FILL = 4  # times the room that all bytes need
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -146,7 +148,7 @@ def merged(records: DataFrame, bucket_bytes: int) -> DataFrame:
 def duplicate_groups(docs: DataFrame, n_bytes: int, bucket_bytes: int = 32 << 20) -> DataFrame:
     """(sha, group_size, keep_id, keep_chars) of every distinct content that two or more rows have."""
     parts, level = spread(docs), 0
-    records = collapsed(docs).withColumn("bucket", F.pmod(F.xxhash64("sha"), F.lit(max(1, -(-n_bytes // bucket_bytes)))))
+    records = collapsed(docs).withColumn("bucket", F.pmod(F.xxhash64("sha"), F.lit(max(FILL * parts, -(-FILL * n_bytes // bucket_bytes)))))
     found = []
     while True:
         passed = written(merged(records.repartition(parts, "bucket").sortWithinPartitions("bucket"), bucket_bytes), "spill")
