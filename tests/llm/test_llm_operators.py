@@ -238,6 +238,7 @@ def test_exact_dedup(docs, rows, bucket_bytes):
 
 def test_exact_dedup_spills_until_buckets_fit(spark, monkeypatch):
     passes = []
+    monkeypatch.setattr(exact_dedup, "FILL", 1)
     monkeypatch.setattr(exact_dedup, "merged", lambda r, b, own=exact_dedup.merged: (passes.append(1), own(r, b))[1])
     rows = [(i, f"text number {i % 90}") for i in range(300)] + [(1000 + i, "z" * 50_000 + str(i % 2)) for i in range(6)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
