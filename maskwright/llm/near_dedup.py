@@ -4,18 +4,18 @@ A document's set holds its distinct shingles of ``size`` words (64-bit hashes of
 words ``[^\x20\x09-\x0D]+``, A-Z lower-cased). Tensoring: two collections of ``m``
 half keys, each of ``k`` minhashes, give ``m * m`` tables whose key is a pair
 (half key i of the first, half key j of the second). So 2*m*k minhashes serve m*m
-tables of 2*k-minhash keys, about the square root of what separate tables need. With m = 10
-and k = 3 two sets at similarity 0.8 share a table with probability 0.998.
+tables of 2*k-minhash keys, about the square root of what separate tables need. With m = 14
+and k = 3 two sets at similarity 0.8 share a table with probability 0.9999, more above.
 
-1. Rows with one set (128 bits of all its hashes) are one class; the smallest doc_id
-   stands for it. Only representatives go on.
+1. Rows with one set (128 bits of all its hashes) are one class; its first row by (doc_id, hash
+   of the text), null doc_ids last, stands for it. Only representatives go on.
 2. Half keys that are alone in their collection are dropped (a grouped min and max
    per half key); table keys are made of the others only.
 3. In each table, members are paired with two leaders, the smallest and the largest
    member (grouped min and max, combined before the shuffle). A bucket of n gives
    2n pairs, never n*n.
 4. Pairs are checked on the full sets: 100 * shared >= similarity% * union.
-5. Links give components by iterated minimum labels; the smallest doc_id names each.
+5. Links give components by iterated minimum labels; the smallest row names each.
 6. Buckets of over three members (up to three, the leaders are all pairs) that lie in
    more than one component are open. All members of open buckets go through an exact
    join: two sets of a and b hashes that share s of them have a common one among the
@@ -25,10 +25,11 @@ and k = 3 two sets at similarity 0.8 share a table with probability 0.998.
 So two members of one bucket that are alike are always in one component, whoever led.
 
 Null, empty and blank texts have an empty set and are linked with nothing; fewer
-words than ``size`` give one shingle. Repeated rows share a component, and all rows with
-the component's doc_id count as kept. A null doc_id names no component: its row belongs
-to its class's component if another row has that set, else its component is null
-and it is kept. Other columns are ignored.
+words than ``size`` give one shingle. Rows of one doc_id are told by their texts, so different
+texts have components of their own. Rows with the component's doc_id count as kept. A null doc_id
+names no component: its row belongs to its component's smallest doc_id, and has a null
+component and is kept if there is none. :func:`keep_one` goes by rows: of each group exactly one
+stays, of repeated rows too. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,13 +38,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
 from .store import written
 
-M, K = 10, 3
+M, K = 14, 3
 _SALT = np.random.Generator(np.random.PCG64(20240607)).integers(1, 2**63, size=2 * M * K, dtype=np.uint64) | np.uint64(1)
 
 
@@ -79,14 +80,19 @@ def shingle_sets(column: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray,
         yield a, (np.concatenate(sets) if sets else h), np.cumsum([len(x) for x in sets])
 
 
+def row_key() -> Column:
+    """What tells a row: representatives and components are such structs, in their order."""
+    return F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", "mark")
+
+
 def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n_shingles, print, half): the set's size, its 128-bit print and the
-    2*m half keys (null for an empty set)."""
+    """(doc_id, mark, n_shingles, print, half): a hash of the text, the set's size, its 128-bit print
+    and the 2*m half keys (null for an empty set)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, values, ends in shingle_sets(batch.column(1), size):
+            for a, values, ends in shingle_sets(batch.column(2), size):
                 starts = np.r_[0, ends[:-1]]
                 n = ends - starts
                 full = np.flatnonzero(n > 0)
@@ -108,11 +114,12 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
                 prints = pa.array([x.tobytes() for x in prints], pa.binary())
                 pick = pa.array(where, mask=mask)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, len(n)), pa.array(n.astype(np.int64)), prints.take(pick), lists.take(pick)],
-                    names=["doc_id", "n_shingles", "print", "half"],
+                    [batch.column(0).slice(a, len(n)), batch.column(1).slice(a, len(n)), pa.array(n.astype(np.int64)), prints.take(pick), lists.take(pick)],
+                    names=["doc_id", "mark", "n_shingles", "print", "half"],
                 )
 
-    return written(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, print binary, half array<long>"), "sketches")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
+    return written(rows.mapInArrow(run, f"doc_id {kind}, mark long, n_shingles long, print binary, half array<long>"), "sketches")
 
 
 def shared_buckets(reps: DataFrame) -> DataFrame:
@@ -133,7 +140,8 @@ def shared_buckets(reps: DataFrame) -> DataFrame:
 def candidate_pairs(buckets: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
     """(lo, hi) pairs of members with their buckets' two leaders."""
     heads = buckets.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi")
-    heads = heads.select("key", F.array("lo", "hi").alias("leaders"))
+    # a table of its own, here and below: the join's other side is then a scan, whose hot keys Spark can split
+    heads = written(heads.select("key", F.array("lo", "hi").alias("leaders")), "heads")
     stars = buckets.join(heads, "key").select("rep", F.explode("leaders").alias("leader")).filter("rep <> leader")
     pairs = stars.select(F.least("rep", "leader").alias("lo"), F.greatest("rep", "leader").alias("hi")).distinct()
     n = reps.select("rep", "n_shingles")
@@ -145,13 +153,13 @@ def candidate_pairs(buckets: DataFrame, reps: DataFrame, similarity: float) -> D
 
 def crowded(buckets: DataFrame) -> DataFrame:
     """(key, rep) of the buckets in which not all members are leaders."""
-    return buckets.join(buckets.groupBy("key").count().filter("count > 3").select("key"), "key")
+    return buckets.join(written(buckets.groupBy("key").count().filter("count > 3").select("key"), "keys"), "key")
 
 
 def open_members(crowds: DataFrame, linked: DataFrame) -> DataFrame:
     """(rep, component) of all members of crowded buckets that lie in several components."""
     named = crowds.join(linked, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-    keys = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
+    keys = written(named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key"), "keys")
     return named.join(keys, "key").select("rep", "component").distinct()
 
 
@@ -201,16 +209,18 @@ def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, values, ends in shingle_sets(batch.column(1), size):
+            for a, values, ends in shingle_sets(batch.column(2), size):
                 starts = np.r_[0, ends[:-1]]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, len(ends)), pa.array([values[x:y].tobytes() for x, y in zip(starts, ends)], pa.binary())],
-                    names=["rep", "members"],
+                    [batch.column(0).slice(a, len(ends)), batch.column(1).slice(a, len(ends)), pa.array([values[x:y].tobytes() for x, y in zip(starts, ends)], pa.binary())],
+                    names=["doc_id", "mark", "members"],
                 )
 
     # the candidates grow with the corpus, so this is a sort-merge join at every size
-    rows = docs.select("doc_id", "text").join(wanted.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
-    sets = written(rows.mapInArrow(run, f"rep {kind}, members binary"), "sets")
+    asked = wanted.select(F.col("rep.doc_id").alias("_id"), F.col("rep.mark").alias("_mark")).hint("merge")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").join(asked, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")), "left_semi")
+    sets = rows.mapInArrow(run, f"doc_id {kind}, mark long, members binary").select(row_key().alias("rep"), "members")
+    sets = written(sets, "sets")
     return sets.dropDuplicates(["rep"]) if sets.groupBy("rep").count().filter("count > 1").head(1) else sets
 
 
@@ -259,13 +269,12 @@ def joined_components(linked: DataFrame, members: DataFrame, links: DataFrame) -
     return named.select("rep", F.coalesce("top", "component").alias("component"))
 
 
-def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id, kept."""
+def grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """(doc_id, mark, n_shingles, component): every row with the row that names its component (null
+    for an empty set)."""
     rows = sketches(docs, size)
-    reps = rows.filter("print is not null and doc_id is not null").groupBy("print").agg(
-        F.min(F.struct("doc_id", "half", "n_shingles")).alias("least"), F.count("*").alias("rows")
-    )
-    reps = written(reps.select("print", "rows", F.col("least.doc_id").alias("rep"), "least.half", "least.n_shingles"), "reps")
+    reps = rows.filter("print is not null").groupBy("print").agg(F.min(F.struct(row_key().alias("rep"), "half", "n_shingles")).alias("least"), F.count("*").alias("rows"))
+    reps = written(reps.select("print", "rows", "least.rep", "least.half", "least.n_shingles"), "reps")
     buckets = written(shared_buckets(reps.select("rep", "half")), "buckets")
     pairs = written(candidate_pairs(buckets, reps, percent / 100), "pairs")
     crowds = written(crowded(buckets), "crowds")
@@ -281,13 +290,24 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFr
     # classes of one row without links need no join back: only the others go
     named = reps.join(linked, "rep", "left").filter("rows > 1 or component is not null")
     named = named.select("print", F.coalesce("component", "rep").alias("component"))
-    out = rows.select("doc_id", "n_shingles", "print").join(named, "print", "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    out = rows.select("doc_id", "mark", "n_shingles", "print").join(named, "print", "left")
+    return out.select("doc_id", "mark", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", row_key())).alias("component"))
+
+
+def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id, kept."""
+    component = F.coalesce("component.doc_id", "doc_id")
+    return grouped(docs, size, percent).select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each group of near duplicates."""
-    gone = near_duplicates(docs, size, percent).filter("not kept").select("doc_id").distinct()
-    rows = docs.join(gone, "doc_id", "left_anti")
-    return rows.select(docs.columns)
+    """``docs`` with one row of each group of near duplicates; all rows without words stay."""
+    rows = written(grouped(docs, size, percent).filter("n_shingles > 0").select("doc_id", "mark", (F.col("component") == row_key()).alias("first")), "groups")
+    names = [F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")]
+    same = F.col("_id").eqNullSafe(docs["doc_id"]) & (F.col("_mark") == F.xxhash64(docs["text"]))
+    left = docs.join(rows.filter("not first").select(*names).distinct(), same, "left_anti")
+    repeats = written(rows.filter("first").groupBy(*names).count().filter("count > 1").drop("count"), "repeats")
+    if repeats.head(1):  # rows alike in doc_id and text
+        one = left.join(repeats, same).dropDuplicates(["_id", "_mark"])
+        left = left.join(repeats, same, "left_anti").unionByName(one.select(*[docs[c] for c in docs.columns]))
+    return left.select(docs.columns)
