@@ -142,7 +142,8 @@ def repeated_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
     places = table.select(doc, F.explode(F.arrays_zip("at", "keys")).alias("f"))
     places = places.select("doc", F.col("f.at").alias("at"), F.col("f.keys").alias("key"))
     place = F.struct("doc", "at")
-    shared = places.groupBy("key").agg(F.min(place).alias("head"), F.max(place).alias("tail")).filter("head < tail").select("key")
+    # a table of its own, as the heads below: the join's other side is then a scan, whose hot keys Spark can split
+    shared = written(places.groupBy("key").agg(F.min(place).alias("head"), F.max(place).alias("tail")).filter("head < tail").select("key"), "shared")
     # equal rows are one document
     hints = places.join(shared, "key").groupBy("doc").agg(F.collect_set("at").alias("hints"))
     own = table.select(doc, "lines", "words").dropDuplicates(["doc"])
@@ -164,7 +165,7 @@ def repeated_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
                 )
 
     whole = written(hinted.mapInArrow(run, f"doc_id {kind}, mark long, at int, end int, key binary"), "runs").select(doc, "at", "end", "key")
-    heads = whole.groupBy("key").agg(F.min(place).alias("head"), F.max(place).alias("tail")).filter("head < tail").select("key", "head")
+    heads = written(whole.groupBy("key").agg(F.min(place).alias("head"), F.max(place).alias("tail")).filter("head < tail").select("key", "head"), "heads")
     later = whole.join(heads, "key").filter(place > F.col("head")).select("doc.doc_id", "doc.mark", "at", "end")
     gone = later.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("at", "end")).alias("runs"))
 
