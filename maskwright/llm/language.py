@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .words import mix
 
-MAX_LANGUAGES = 2_000
+MAX_LANGUAGES = 400  # a matrix of 105 MB at 65,536 buckets
 UNKNOWN = "und"
 
 
@@ -120,25 +120,29 @@ def fit(labelled: DataFrame, buckets: int = 1 << 16, max_n: int = 3, smoothing:
     if len(languages) > MAX_LANGUAGES:
         raise ValueError(f"{len(languages)} languages; the matrix is broadcast for at most {MAX_LANGUAGES}")
     table = total.toArrow()  # at most languages x buckets rows
-    counts = np.zeros((buckets, len(languages)))
-    if len(languages):
-        number = pc.index_in(table["lang"], pa.array(languages)).to_numpy()
-        counts[table["bucket"].to_numpy(), number] = table["n"].to_numpy()
-    counts += smoothing
-    return Model(languages, np.log(counts / counts.sum(axis=0, keepdims=True)).astype(np.float32), buckets, max_n)
+    logp = np.zeros((buckets, len(languages)), np.float32)
+    number = pc.index_in(table["lang"], pa.array(languages, pa.string())).to_numpy()
+    bucket, n = table["bucket"].to_numpy(), table["n"].to_numpy()
+    order = np.argsort(number, kind="stable")
+    edges = np.searchsorted(number[order], np.arange(len(languages) + 1))
+    for k, (a, b) in enumerate(zip(edges, edges[1:])):  # a language at a time, so only one column is held in full precision
+        count = np.full(buckets, smoothing)
+        count[bucket[order[a:b]]] += n[order[a:b]]
+        logp[:, k] = np.log(count / count.sum())
+    return Model(languages, logp, buckets, max_n)
 
 
 def score_texts(texts: list[str], model: Model, evidence: int = 200) -> tuple[list[str], list[float]]:
     langs, scores = [], []
     for a, b in _runs(texts):
         bucket, row, has = gram_buckets(texts[a:b], model.buckets, model.max_n)
-        total = np.stack([np.bincount(row, model.logp[bucket, k], minlength=b - a)[: b - a] for k in range(len(model.languages))], 1) if model.languages else np.zeros((b - a, 0))
-        n = np.bincount(row, minlength=b - a)[: b - a, None]
-        total *= np.minimum(1, evidence / np.maximum(n, 1))
         if not model.languages:
             langs += [UNKNOWN] * (b - a)
             scores += [0.0] * (b - a)
             continue
+        total = np.stack([np.bincount(row, model.logp[bucket, k], minlength=b - a)[: b - a] for k in range(len(model.languages))], 1)
+        n = np.bincount(row, minlength=b - a)[: b - a, None]
+        total *= np.minimum(1, evidence / np.maximum(n, 1))
         best = total.argmax(1)
         odds = np.exp(total - total.max(1, keepdims=True))
         p = odds.max(1) / odds.sum(1)
