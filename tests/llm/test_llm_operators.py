@@ -369,6 +369,54 @@ def test_grams_do_not_cross_documents():
     assert [set(b1[r1 == i].tolist()) for i in (0, 1)] == alone
 
 
+def plain_buckets(text, buckets=1 << 16, max_n=3, full=(1 << 64) - 1):
+    """The hashed n-grams of a text by single steps."""
+    low = "".join((c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " " for c in f" {text} ")
+    low, out = re.sub(" +", " ", low), []
+    for n in range(1, max_n + 1):
+        for i in range(len(low) - n + 1):
+            if n == 1 and low[i] == " ":
+                continue
+            value = 0
+            for c in low[i : i + n]:
+                value = value * 0x110003 + ord(c) & full
+            x = value + (n << 56) & full
+            x = (x ^ x >> 32) * 0x9E3779B97F4A7C15 & full
+            x = (x ^ x >> 29) * 0xC2B2AE3D27D4EB4F & full
+            out.append((x ^ x >> 32) & buckets - 1)
+    return out
+
+
+def test_language_equals_plain_naive_bayes(spark):
+    import math
+
+    rnd = random.Random(6)
+    sounds = {"aa": ["ba", "ko", "mi "], "bb": ["xu", "ér", "zz "], "cc": ["ба", "ми ", "ko "]}
+    rows = [(i, "".join(rnd.choice(sounds[g]) for _ in range(rnd.randint(1, 60))) + " 12!", g) for i, g in enumerate(rnd.choice("abc") * 2 for _ in range(150))]
+    rows += [(500, None, "aa"), (501, "", "bb"), (502, "77 !!", None), (503, "ba mi", None), (503, "xu zz", None), (None, "ба ми", "cc"), (504, "ko" * 20_000, None), (505, "ko", None)]
+    counts = {}
+    for doc_id, text, lang in rows:
+        if lang and (doc_id is None or zlib.crc32(str(doc_id).encode()) % 3 != 1):  # a null id is never held out
+            own = counts.setdefault(lang, [0.5] * (1 << 16))
+            for b in plain_buckets(text or ""):
+                own[b] += 1
+    totals = {g: sum(c) for g, c in counts.items()}
+    expected = []
+    for doc_id, text, _ in rows:
+        if not any(c.isalpha() for c in text or ""):
+            expected.append((doc_id, "und", 0.0))
+            continue
+        grams = plain_buckets(text)
+        log = {g: min(1, 200 / len(grams)) * sum(math.log(c[b] / totals[g]) for b in grams) for g, c in counts.items()}
+        best = max(sorted(log), key=log.get)
+        expected.append((doc_id, best, 1 / sum(math.exp(x - log[best]) for x in log.values())))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = sorted(((r.doc_id, r.lang_pred, r.score) for r in language.identify(docs).collect()), key=lambda r: (str(r[0]), r[1], r[2]))
+    expected.sort(key=lambda r: (str(r[0]), r[1], r[2]))
+    assert [r[:2] for r in got] == [r[:2] for r in expected]
+    assert max(abs(a[2] - b[2]) for a, b in zip(got, expected)) < 1e-3
+
+
 # -- 7 --------------------------------------------------------------------
 
 
@@ -402,6 +450,19 @@ def test_near_duplicates_of_odd_tables(spark, docs, none):
     assert near_dedup.keep_one(docs).columns == docs.columns
 
 
+def test_one_row_of_each_group_stays(spark):
+    base = [f"w{i}" for i in range(60)]
+    near = " ".join(base[:59] + ["x"])
+    rows = [(4, " ".join(base)), (4, " ".join(base)), (4, "quite another text of one id"), (4, near), (None, near), (None, "q r s t u v"), (None, "q r s t u v"), (None, "q r s t u V"), (5, None), (5, ""), (3, "Quite another text OF one id"), (6, "long " * 50_000), (7, "long " * 40_000)]
+    docs = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, mark string, component string").repartition(4)
+    left = sorted(((r.doc_id or -1, (r.text or "")[:12]) for r in near_dedup.keep_one(docs).collect()))
+    assert left[:2] == [(-1, left[0][1]), (3, "Quite anothe")] and left[0][1].lower() == "q r s t u v"[:12] and left[2][0] == 4
+    assert left[3:] == [(5, ""), (5, ""), (6, "long long lo")]
+    got = near_dedup.near_duplicates(docs).collect()
+    assert len(got) == len(rows) and sorted(r.component_id for r in got if r.doc_id is None and r.n_shingles > 10) == [4]
+    assert all(r.component_id == 3 for r in got if 0 < r.n_shingles == 5 and r.doc_id in (3, 4))
+
+
 def test_near_duplicates_that_no_leader_is_alike_to(spark):
     """Groups of variants below the threshold whose smallest and largest doc_ids lead most
     buckets; in the middle two variants that are alike to each other only."""
@@ -421,6 +482,39 @@ def test_near_duplicates_that_no_leader_is_alike_to(spark):
         assert {r.doc_id: tuple(r)[1:] for r in near_dedup.near_duplicates(docs, 2, 90).collect()} == expected
 
 
+def test_near_duplicates_among_variants_of_one_text(spark):
+    """Pairs (one word apart) of 800 variants (four words replaced) of one text: no link is lost, whoever leads."""
+    rnd, texts = random.Random(4), []
+    base = [f"w{i}" for i in range(120)]
+    for v in range(800):
+        w = list(base)
+        for i in rnd.sample(range(120), 4):
+            w[i] = f"v{v}x{i}"
+        other = list(w)
+        other[rnd.randrange(120)] = f"o{v}"
+        texts += [" ".join(w), " ".join(other)]
+    rnd.shuffle(texts)
+    sets = [{(a, b) for a, b in zip(w, w[1:])} for w in map(str.split, texts)]
+    number = {}
+    for s in sets:
+        for x in s:
+            number.setdefault(x, len(number))
+    held = np.zeros((len(texts), len(number)), np.float32)
+    for i, s in enumerate(sets):
+        held[i, [number[x] for x in s]] = 1
+    shared, sizes = held @ held.T, held.sum(axis=1)
+    linked = 100 * shared >= 80 * (sizes[:, None] + sizes[None] - shared)
+    name = np.arange(len(texts))
+    while True:
+        least = np.where(linked, name[None], len(texts)).min(axis=1)
+        if (least == name).all():
+            break
+        name = least
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == name.tolist()
+
+
 # -- 8 --------------------------------------------------------------------
 
 
@@ -532,6 +626,53 @@ def test_sparse_sites_shrink_to_their_parent(spark):
     assert p["good"] > 0.95 and p["bad"] < 0.3 and abs(p["rare"] - rates["quality"]) < 0.35
 
 
+def test_quality_of_held_out_labels(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
+    seen = labels.filter("crc32(cast(doc_id as string)) % 3 <> 1")
+    got = quality.score(docs, seen).join(labels.subtract(seen), "doc_id").collect()
+    assert len(got) > 50
+    assert sum((r.p_toxic >= 0.5) == (r.toxic == 1) for r in got) >= 0.9 * len(got)
+    assert sum((r.p_quality >= 0.5) == (r.quality == 1) for r in got) >= 0.95 * len(got)
+
+
+def test_site_posteriors_equal_plain_sums(spark):
+    rnd = random.Random(13)
+    rows, marks = [], []
+    for i in range(900):
+        host, path = rnd.choice(["h0"] * 4 + ["h1", "h2", None]), rnd.choice(["p", "q", None])
+        rows.append((i, "t", path, host))
+        if rnd.random() < 0.7:
+            marks.append((i, int(rnd.random() < (0.8 if host == "h0" else 0.3 if path == "p" else 0.5)), None))
+    marks += [(5, 1, 0), (10**6, 1, 1), (None, 1, 1)]
+    place = {i: (h or "", p or "") for i, _, p, h in rows}
+    named = [(place[i], y) for i, y, _ in marks if i in place and y is not None]
+    rate = sum(y for _, y in named) / len(named)
+
+    def counted(depth):
+        out = {}
+        for at, y in named:
+            n, g = out.get(at[:depth], (0, 0))
+            out[at[:depth]] = n + 1, g + y
+        return out
+
+    def strength(groups):
+        n, n2 = sum(n for n, _ in groups.values()), sum(n * n for n, _ in groups.values())
+        spread = sum(n * (g / n - rate) ** 2 for n, g in groups.values())
+        between = (spread - (len(groups) - 1) * rate * (1 - rate)) / (n - n2 / n)
+        return max(1.0, rate * (1 - rate) / between - 1)
+
+    hosts, paths = counted(1), counted(2)
+    kh, kp = strength(hosts), strength(paths)
+    host = {h: (g + kh * rate) / (n + kh) for h, (n, g) in hosts.items()}
+    expected = {at: (g + kp * host[at[:1]]) / (n + kp) for at, (n, g) in paths.items()}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    got = {(r.host, r.path): r.s_quality for r in quality.sites(docs, labels)[0].collect()}
+    assert got.keys() == expected.keys() and all(abs(got[k] - expected[k]) < 1e-9 for k in got)
+    twice = docs.unionByName(docs.filter("doc_id < 3")).unionByName(spark.createDataFrame([(None, "x", None, None)], docs.schema))
+    assert quality.score(twice, labels).count() == 904
+
+
 # -- 10 -------------------------------------------------------------------
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
