@@ -9,11 +9,11 @@ and k = 3 two sets at similarity 0.8 share a table with probability 0.9999, more
 
 1. Rows with one set (128 bits of all its hashes) are one class; its first row by (doc_id, hash
    of the text), null doc_ids last, stands for it. Only representatives go on.
-2. Half keys that are alone in their collection are dropped (a grouped min and max
+2. Half keys that are alone in their collection are dropped (a grouped count
    per half key); table keys are made of the others only.
-3. In each table, members are paired with two leaders, the smallest and the largest
-   member (grouped min and max, combined before the shuffle). A bucket of n gives
-   2n pairs, never n*n.
+3. In each table, members are paired with three leaders: the smallest member, the largest, and
+   the one whose half keys most others have, the likely centre of a group of variants
+   (grouped min and max, combined before the shuffle). A bucket of n gives 3n pairs, never n*n.
 4. Pairs are checked on the full sets: 100 * shared >= similarity% * union.
 5. Links give components by iterated minimum labels; the smallest row names each.
 6. Buckets of over three members (up to three, the leaders are all pairs) that lie in
@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .store import written
+from .store import drop, stored, written
 
 M, K = 14, 3
 _SALT = np.random.Generator(np.random.PCG64(20240607)).integers(1, 2**63, size=2 * M * K, dtype=np.uint64) | np.uint64(1)
@@ -123,25 +123,26 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
 
 
 def shared_buckets(reps: DataFrame) -> DataFrame:
-    """(key, rep) of the tables' keys that two or more representatives have."""
+    """(key, rep, weight) of the tables' keys that two or more representatives have. The weight
+    tells how many others have the representative's half keys."""
     # a half key can only matter if another representative has it
     halves = reps.select("rep", F.posexplode("half").alias("slot", "value"))
-    met = halves.groupBy("slot", "value").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi").select("slot", "value")
+    met = halves.groupBy("slot", "value").agg(F.count("*").alias("n")).filter("n > 1")
     some = written(halves.join(met, ["slot", "value"]), "halves")
     sides = some.groupBy("rep").agg(
         F.collect_list(F.when(F.col("slot") < M, F.struct("slot", "value"))).alias("a"),
-        F.collect_list(F.when(F.col("slot") >= M, F.struct("slot", "value"))).alias("b"),
+        F.collect_list(F.when(F.col("slot") >= M, F.struct("slot", "value"))).alias("b"), F.sum("n").alias("weight"),
     )  # at most 2*M values a representative
-    return sides.select("rep", F.explode("a").alias("x"), "b").select("rep", "x", F.explode("b").alias("y")).select(
-        F.xxhash64("x.slot", "x.value", "y.slot", "y.value").alias("key"), "rep"
+    return sides.select("rep", "weight", F.explode("a").alias("x"), "b").select("rep", "weight", "x", F.explode("b").alias("y")).select(
+        F.xxhash64("x.slot", "x.value", "y.slot", "y.value").alias("key"), "rep", "weight"
     )
 
 
 def candidate_pairs(buckets: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
-    """(lo, hi) pairs of members with their buckets' two leaders."""
-    heads = buckets.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi")
+    """(lo, hi) pairs of members with their buckets' leaders."""
+    heads = buckets.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.max(F.struct("weight", "rep")).alias("top")).filter("lo < hi")
     # a table of its own, here and below: the join's other side is then a scan, whose hot keys Spark can split
-    heads = written(heads.select("key", F.array("lo", "hi").alias("leaders")), "heads")
+    heads = written(heads.select("key", F.array_distinct(F.array("lo", "hi", "top.rep")).alias("leaders")), "heads")
     stars = buckets.join(heads, "key").select("rep", F.explode("leaders").alias("leader")).filter("rep <> leader")
     pairs = stars.select(F.least("rep", "leader").alias("lo"), F.greatest("rep", "leader").alias("hi")).distinct()
     n = reps.select("rep", "n_shingles")
@@ -153,6 +154,7 @@ def candidate_pairs(buckets: DataFrame, reps: DataFrame, similarity: float) -> D
 
 def crowded(buckets: DataFrame) -> DataFrame:
     """(key, rep) of the buckets in which not all members are leaders."""
+    buckets = buckets.select("key", "rep")
     return buckets.join(written(buckets.groupBy("key").count().filter("count > 3").select("key"), "keys"), "key")
 
 
@@ -248,15 +250,18 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(rep, component) of all linked nodes, by minimum labels that also follow
     their label's label, so long chains close in a logarithm of steps."""
-    edges = written(links.unionByName(links.select(F.col("hi").alias("lo"), F.col("lo").alias("hi"))), "edges")
-    labels = written(edges.groupBy(F.col("lo").alias("rep")).agg(F.least(F.min("hi"), F.first("lo")).alias("component")), "labels")
+    spark = links.sparkSession
+    edges, edge_path = stored(links.unionByName(links.select(F.col("hi").alias("lo"), F.col("lo").alias("hi"))), "edges")
+    labels, path = stored(edges.groupBy(F.col("lo").alias("rep")).agg(F.least(F.min("hi"), F.first("lo")).alias("component")), "labels")
     while True:
         near = edges.join(labels.select(F.col("rep").alias("hi"), "component"), "hi").groupBy(F.col("lo").alias("rep")).agg(F.min("component").alias("seen"))
         step = labels.join(near, "rep").select("rep", F.least("component", "seen").alias("next"), F.col("component").alias("was"))
         jump = step.select(F.col("rep").alias("next"), F.col("next").alias("further"))
-        moved = written(step.join(jump, "next", "left").select("rep", "was", F.least(F.col("next"), F.coalesce("further", "next")).alias("component")), "labels")
-        labels = moved.select("rep", "component")
+        moved, next_path = stored(step.join(jump, "next", "left").select("rep", "was", F.least(F.col("next"), F.coalesce("further", "next")).alias("component")), "labels")
+        drop(spark, path)  # the step before
+        labels, path = moved.select("rep", "component"), next_path
         if not moved.filter("component <> was").head(1):
+            drop(spark, edge_path)
             return labels
 
 

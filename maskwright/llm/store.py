@@ -34,13 +34,17 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/maskwright-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """The rows of ``df`` as a Parquet table in the shared folder: work is done
+def stored(df: DataFrame, name: str = "table") -> tuple[DataFrame, str]:
+    """The rows of ``df`` as a Parquet table in the shared folder, and its path: work is done
     once, lineage ends here, and a lost executor costs nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    return stored(df, name)[0]
 
 
 def drop(spark: SparkSession, path: str) -> None:
