@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from maskwright.llm import decontaminate, language, line_dedup, near_dedup, pieces
 from maskwright.llm.queries import PIECE_BPE, tokenizer_file
-from maskwright.llm.store import shared_dir
+from maskwright.llm.store import scratch, shared_dir
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,6 +58,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_dir(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        with scratch(spark):  # the stage's own tables go once its output is written
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
     return docs
