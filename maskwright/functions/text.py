@@ -66,23 +66,28 @@ def bound(value: Column, f: Callable[[Column], Column]) -> Column:
 
 def scan(items: Column, zero: Column, kind: str, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
     """What a fold gives out, in order: ``step(state, item)`` is the next state and an array of ``kind``.
-    Appending copies an array, so the items go in blocks of about the cube root of their number, and
-    the blocks' arrays are joined at the end: n items cost n to the power of 4/3 copies."""
-    none, nested = F.array().cast(f"array<{kind}>"), F.array().cast(f"array<array<{kind}>>")
-
-    def one(a: Column, x: Column) -> Column:
-        state, out = step(a["state"], x)
-        return F.struct(state.alias("state"), F.concat(a["out"], out).alias("out"))
+    A fold copies what it holds at each step, so the items go in blocks of about the cube root of their
+    number: first only the states before each block are found, then each block's own array, and
+    these are joined. n items cost about n to the power of 4/3 copies."""
+    none = F.array().cast(f"array<{kind}>")
 
     def blocks(xs: Column) -> Column:
         size = F.greatest(F.lit(16), F.cbrt(F.size(xs)).cast("int"))
         starts = F.when(F.size(xs) > 0, F.sequence(F.lit(1), F.size(xs), size)).otherwise(F.array().cast("array<int>"))
+        numbers = lambda i: F.sequence(i, F.least(i + size - 1, F.size(xs)))
+        # items by number, as a slice would copy the whole array
+        after = lambda state, i: F.aggregate(numbers(i), state, lambda s, j: step(s, F.element_at(xs, j))[0])
+        states = F.aggregate(starts, F.array(zero), lambda found, i: F.concat(found, F.array(after(F.element_at(found, -1), i))))
+
+        def one(a: Column, x: Column) -> Column:
+            state, out = step(a["state"], x)
+            return F.struct(state.alias("state"), F.concat(a["out"], out).alias("out"))
 
-        def block(a: Column, i: Column) -> Column:
-            whole = F.aggregate(F.slice(xs, i, size), F.struct(a["state"].alias("state"), none.alias("out")), one)
-            return bound(whole, lambda r: F.struct(r["state"].alias("state"), F.concat(a["out"], F.array(r["out"])).alias("out")))
+        def given(found: Column) -> Column:
+            begin = lambda k: F.struct(F.element_at(found, k + 1).alias("state"), none.alias("out"))
+            return F.flatten(F.transform(starts, lambda i, k: F.aggregate(numbers(i), begin(k), lambda a, j: one(a, F.element_at(xs, j)))["out"]))
 
-        return F.flatten(F.aggregate(starts, F.struct(zero.alias("state"), nested.alias("out")), block)["out"])
+        return bound(states, given)
 
     return F.coalesce(bound(items, blocks), none)
 

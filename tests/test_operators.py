@@ -217,3 +217,80 @@ def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     r = deidentify(docs)
     assert [x.count() for x in (r.masked, r.entities, r.replacements, r.json_reports)] == [0, 0, 0, 0]
+
+
+def test_odd_answers_lose_nothing_else(spark):
+    raws = [
+        '{"entities":["foo",{"original_text":"y1","entity_type":"A","n":NaN},3,null,[1],{"original_text":7,"confidence":"x","variants":["a"]}]}',
+        '{"entities":[{"original_text":"z","entity_type":"A","entity_type":"B","confidence":0.5}]}',
+        '{"entities":{"a":1}}', '{"x":-Infinity}', 'a {"entities":[{"original_text":"w","entity_type":"A","entity_type":"C"}]} b {c}', None, "", "{", '{"entities":[{"original_text":null}]}',
+    ]
+    df = spark.createDataFrame([(i, 0, r) for i, r in enumerate(raws)], "doc_id long, chunk_no int, raw string")
+    parsed = responses.parse_responses(df)
+    assert {r.doc_id: r.parse_level for r in parsed.collect()} == {0: 1, 1: 1, 2: 1, 3: 1, 4: 3, 5: None, 6: None, 7: None, 8: 1}
+    got = sorted((r.doc_id, r.original_text, r.entity_type, r.confidence, r.variants) for r in responses.explode_entities(parsed).collect())
+    assert got == [(0, "7", "UNKNOWN", 1.0, ["a"]), (0, "y1", "A", 1.0, None), (1, "z", "B", 0.5, None), (4, "w", "C", 1.0, None)]
+    said = spark.createDataFrame([(1, 1, 'so {"a":"x","b":"y","a":"z"}'), (2, 1, '{"a":NaN}'), (3, 1, "no")], "doc_id long, question_no int, raw string")
+    assert [tuple(r) for r in responses.parse_clarifications(said).orderBy("doc_id", "pair_no").collect()] == [(1, 1, 0, "a", "z"), (1, 1, 1, "b", "y"), (2, 1, 0, "a", "NaN")]
+
+
+def test_balanced_objects_by_single_steps(spark):
+    rnd = random.Random(5)
+    texts = ["".join(rnd.choice('{}{}"\\a,') for _ in range(rnd.randint(0, 30))) for _ in range(1500)] + ["{" + '"a\\"}",' * 3000 + "}{}"]
+
+    def plain(text):
+        """Depth after each brace outside strings; a piece runs from a brace that leaves depth zero to the next that comes back to it."""
+        found, depth, begin, i = [], 0, None, 0
+        while i < len(text):
+            if text[i] == '"':
+                end = re.compile(r'(?:[^"\\]|\\.)*', re.S).match(text, i + 1).end()
+                i = end + 1
+                continue
+            if text[i] == "{":
+                begin = i if depth == 0 else begin
+                depth += 1
+            elif text[i] == "}":
+                depth -= 1
+                if depth == 0 and begin is not None:
+                    found.append(text[begin : i + 1])
+                    begin = None
+            i += 1
+        return found
+
+    assert apply(spark, responses.balanced_objects, texts) == [plain(t) for t in texts]
+
+
+def test_long_texts_with_many_hits(spark):
+    import time
+
+    n = 100_000
+    text = " ".join(f"word a{i}@b.cc 36{i:08d}" for i in range(n))
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
+    began = time.perf_counter()
+    found = locate.detect_structured(docs)
+    assert {(r.entity_type, r.n) for r in found.groupBy("entity_type").agg(F.count("*").alias("n")).collect()} == {("EMAIL", n), ("INN", n)}
+    last = found.filter("entity_type = 'INN'").orderBy(F.desc("start_pos")).first()
+    assert text[last.start_pos : last.end_pos] == last.original_text == f"36{n - 1:08d}"
+    values = spark.createDataFrame([(1, "word", "[W]", 1), (1, "a7@b.cc", "[E]", 2)], "doc_id long, original_text string, mask string, ord long")
+    row = mask.mask_segments(docs, values).filter("doc_id = 1").first()
+    assert row.masked == text.replace("word", "[W]").replace("a7@b.cc", "[E]") and len(row.spans) == n + 1
+    assert time.perf_counter() - began < 120
+
+
+def test_whole_words_and_empty_texts(spark):
+    key = spark.createDataFrame([("Ann",)], "k string").select(T.flexible_pattern(F.col("k"), whole_word=True).alias("p")).first().p
+    hits = spark.createDataFrame([("ann Anna,ANN «Ann» Иann",)], "t string").select(F.regexp_extract_all("t", F.lit(key), F.lit(0)).alias("h")).first().h
+    assert hits == ["ann", "ANN", "Ann"]
+    docs = spark.createDataFrame([(1, ""), (2, None), (3, "x")], "doc_id long, text string")
+    assert [tuple(r) for r in chunks.chunk_sliding(docs).collect()] == [(3, 0, "x")]
+    page = spark.createDataFrame([(1, 1, "Page_1", "text")], "doc_id long, page_no int, name string, text string")
+    assert chunks.chunk_by_page(page).first().chunk == "--- Страница 1 ---\ntext"
+
+
+def test_detector_and_answers_both_count(spark):
+    docs = spark.createDataFrame([(1, "mail a@b.com to Ann, INN 3600000001")], "doc_id long, text string")
+    raw = '{"entities":[{"original_text":"Ann","entity_type":"FIO"},{"original_text":"3600000001","entity_type":"TAX"}]}'
+    answers = spark.createDataFrame([(1, 0, raw)], "doc_id long, chunk_no int, raw string")
+    run = deidentify(docs, answers)
+    assert run.masked.first().masked == "mail [EMAIL_REDACTED] to [FIO_REDACTED], INN [TAX_REDACTED]"
+    assert run.gaps.count() == 0 and run.entities.count() == 3
