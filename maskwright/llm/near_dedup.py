@@ -4,11 +4,11 @@ A document's set holds its distinct shingles of ``size`` words (64-bit hashes of
 words ``[^\x20\x09-\x0D]+``, A-Z lower-cased). Tensoring: two collections of ``m``
 half keys, each of ``k`` minhashes, give ``m * m`` tables whose key is a pair
 (half key i of the first, half key j of the second). So 2*m*k minhashes serve m*m
-tables of 2*k-minhash keys, about the square root of what separate tables need. With m = 14
-and k = 3 two sets at similarity 0.8 share a table with probability 0.9999, more above.
+tables of 2*k-minhash keys, about the square root of what separate tables need. With m = 12
+and k = 3 two sets at similarity 0.8 share a table with probability 0.9996, more above.
 
 1. Rows with one set (128 bits of all its hashes) are one class; its first row by (doc_id, hash
-   of the text), null doc_ids last, stands for it. Only representatives go on.
+   of the text), null doc_ids last, stands for it. Only representatives go on, numbered in that order.
 2. Half keys that are alone in their collection are dropped (a grouped count
    per half key); table keys are made of the others only.
 3. In each table, members are paired with three leaders: the smallest member, the largest, and
@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from . import words as W
 from .store import drop, stored, written
 
-M, K = 14, 3
+M, K = 12, 3
 _SALT = np.random.Generator(np.random.PCG64(20240607)).integers(1, 2**63, size=2 * M * K, dtype=np.uint64) | np.uint64(1)
 
 
@@ -81,7 +81,7 @@ def shingle_sets(column: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray,
 
 
 def row_key() -> Column:
-    """What tells a row: representatives and components are such structs, in their order."""
+    """What tells a row, in the order that chooses representatives and names components."""
     return F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", "mark")
 
 
@@ -206,23 +206,21 @@ def exact_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(rep, members): the sorted hashes of the wanted documents' sets."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    """(rep, members): the sorted hashes of the sets of ``wanted(rep, doc_id, mark)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, values, ends in shingle_sets(batch.column(2), size):
+            for a, values, ends in shingle_sets(batch.column(1), size):
                 starts = np.r_[0, ends[:-1]]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, len(ends)), batch.column(1).slice(a, len(ends)), pa.array([values[x:y].tobytes() for x, y in zip(starts, ends)], pa.binary())],
-                    names=["doc_id", "mark", "members"],
+                    [batch.column(0).slice(a, len(ends)), pa.array([values[x:y].tobytes() for x, y in zip(starts, ends)], pa.binary())],
+                    names=["rep", "members"],
                 )
 
     # the candidates grow with the corpus, so this is a sort-merge join at every size
-    asked = wanted.select(F.col("rep.doc_id").alias("_id"), F.col("rep.mark").alias("_mark")).hint("merge")
-    rows = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").join(asked, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")), "left_semi")
-    sets = rows.mapInArrow(run, f"doc_id {kind}, mark long, members binary").select(row_key().alias("rep"), "members")
-    sets = written(sets, "sets")
+    asked = wanted.select("rep", F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).hint("merge")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").join(asked, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")))
+    sets = written(rows.select("rep", "text").mapInArrow(run, "rep long, members binary"), "sets")
     return sets.dropDuplicates(["rep"]) if sets.groupBy("rep").count().filter("count > 1").head(1) else sets
 
 
@@ -278,13 +276,16 @@ def grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """(doc_id, mark, n_shingles, component): every row with the row that names its component (null
     for an empty set)."""
     rows = sketches(docs, size)
-    reps = rows.filter("print is not null").groupBy("print").agg(F.min(F.struct(row_key().alias("rep"), "half", "n_shingles")).alias("least"), F.count("*").alias("rows"))
-    reps = written(reps.select("print", "rows", "least.rep", "least.half", "least.n_shingles"), "reps")
+    reps = rows.filter("print is not null").groupBy("print").agg(F.min(F.struct(row_key().alias("row"), "half", "n_shingles")).alias("least"), F.count("*").alias("rows"))
+    # numbers in the order of the rows: partitions are ranges, and the numbers grow with them
+    reps = reps.select("print", "rows", "least.row", "least.half", "least.n_shingles").orderBy("row")
+    reps = written(reps.select(F.monotonically_increasing_id().alias("rep"), "*"), "reps")
     buckets = written(shared_buckets(reps.select("rep", "half")), "buckets")
     pairs = written(candidate_pairs(buckets, reps, percent / 100), "pairs")
     crowds = written(crowded(buckets), "crowds")
     wanted = pairs.select(F.explode(F.array("lo", "hi")).alias("rep")).unionByName(crowds.select("rep")).distinct()
-    sets = full_sets(docs, wanted, size)
+    named = reps.select("rep", "row.doc_id", "row.mark")
+    sets = full_sets(docs, wanted.join(named, "rep"), size)
     links = written(verified(pairs, sets, percent), "links")
     linked = components(links)
     members = written(open_members(crowds, linked), "open")
@@ -293,9 +294,10 @@ def grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
         if more.head(1):
             linked = joined_components(linked, members, more)
     # classes of one row without links need no join back: only the others go
-    named = reps.join(linked, "rep", "left").filter("rows > 1 or component is not null")
-    named = named.select("print", F.coalesce("component", "rep").alias("component"))
-    out = rows.select("doc_id", "mark", "n_shingles", "print").join(named, "print", "left")
+    found = reps.select("rep", "print", "rows").join(linked, "rep", "left").filter("rows > 1 or component is not null")
+    found = found.select("print", F.coalesce("component", "rep").alias("number"))
+    found = found.join(reps.select(F.col("rep").alias("number"), F.col("row").alias("component")), "number").drop("number")
+    out = rows.select("doc_id", "mark", "n_shingles", "print").join(found, "print", "left")
     return out.select("doc_id", "mark", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", row_key())).alias("component"))
 
 
@@ -309,10 +311,13 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one row of each group of near duplicates; all rows without words stay."""
     rows = written(grouped(docs, size, percent).filter("n_shingles > 0").select("doc_id", "mark", (F.col("component") == row_key()).alias("first")), "groups")
     names = [F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")]
-    same = F.col("_id").eqNullSafe(docs["doc_id"]) & (F.col("_mark") == F.xxhash64(docs["text"]))
-    left = docs.join(rows.filter("not first").select(*names).distinct(), same, "left_anti")
+    # by reference, as the documents may have columns of these names
+    same = lambda keys: keys["_id"].eqNullSafe(docs["doc_id"]) & (keys["_mark"] == F.xxhash64(docs["text"]))
+    gone = rows.filter("not first").select(*names).distinct()
+    left = docs.join(gone, same(gone), "left_anti")
     repeats = written(rows.filter("first").groupBy(*names).count().filter("count > 1").drop("count"), "repeats")
     if repeats.head(1):  # rows alike in doc_id and text
-        one = left.join(repeats, same).dropDuplicates(["_id", "_mark"])
-        left = left.join(repeats, same, "left_anti").unionByName(one.select(*[docs[c] for c in docs.columns]))
+        whole = F.struct(*[docs[c] for c in docs.columns]).alias("whole")
+        one = left.join(repeats, same(repeats)).select(repeats["_id"].alias("id"), repeats["_mark"].alias("of"), whole).groupBy("id", "of").agg(F.first("whole").alias("whole"))
+        left = left.join(repeats, same(repeats), "left_anti").unionByName(one.select("whole.*"))
     return left.select(docs.columns)
