@@ -97,5 +97,37 @@ from sets left join class on class.s = sets.s and len(sets.s) > 0 left join comp
 """
 
 
+OP11 = """
+with recursive bits(i, k, v) as (select i, 0, i from range(256) t(i) union all select i, k + 1, xor(v >> 1, 3988292384 * (v & 1)) from bits where k < 8),
+crc as (select list(v order by i) as tab from bits where k = 8),
+own as (
+  select conv_id as c, coalesce(role, '') as r, coalesce(text, '') as t, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) as tok,
+    row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 as pos
+  from conversations where conv_id is not null),
+conv as (
+  select c, n, c - c % 100 as base,
+    xor(list_reduce(list_prepend(4294967295, list_transform(string_split(cast(c as varchar), ''), lambda x: ord(x)::bigint)), lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1])), 4294967295) % 6 as h
+  from (select c, count(*) as n from own group by c), crc),
+headed as (select k.*, least(h, coalesce(b.n, 0)) as m from conv k left join (select c as bc, n from conv) b on bc = k.base),
+turns as (
+  select k.c, pos + 1 as d, t, tok from headed k join own o on o.c = k.base and pos < h
+  union all select k.c, pos - h + m + 1, t, tok from headed k join own o on o.c = k.c and pos >= h),
+places as (
+  select c, d, t, sha256(string_agg(tok, '') over (partition by c order by d)) as key from turns
+  union all select c, 0, '', '' from conv),
+chained as (select *, lag(key) over (partition by c order by d) as up from places),
+node as (select key, d, min(c) as conv_id, count(*) as n_convs, min(up) as up, (count(*) - 1) * any_value(length(t)) as saved from chained group by key, d),
+child as (select up, count(*) as n_children from node where up is not null group by up),
+own_amounts as (select node.*, coalesce(n_children, 0) as n_children, case when n_children is null then 1 else 0 end as leaf from node left join child on child.up = node.key),
+total as (
+  select a.key, sum(leaf) as n_leaves, sum(saved) as saved_tokens
+  from own_amounts v join places a on a.c = v.conv_id and a.d <= v.d group by a.key),
+ending as (select key, sha256(string_agg(cast(c as varchar), ',' order by c)) as s from (select c, arg_max(key, d) as key from places group by c) group by key)
+select v.conv_id, v.d::bigint as depth, p.conv_id as parent_conv_id, v.n_convs, v.n_children::bigint as n_children, n_leaves::bigint as n_leaves,
+  saved_tokens::bigint as saved_tokens, coalesce(s, sha256('')) as ends_sha256
+from own_amounts v join total using (key) left join node p on p.key = v.up left join ending on ending.key = v.key
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1, "op3_exact_dedup": OP3, "op4_license_scan": _op4(), "op7_near_dedup": OP7}
+    return {"op1_decontamination": OP1, "op3_exact_dedup": OP3, "op4_license_scan": _op4(), "op7_near_dedup": OP7, "op11_prefix_trie": OP11}
