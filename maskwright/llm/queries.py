@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, language, licenses, line_dedup, main_text, near_dedup, pieces, prefix_trie, quality, token_files
+from . import decontaminate, exact_dedup, language, licenses, line_dedup, main_text, near_dedup, pieces, prefix_trie, quality, token_files, whitening
 
 BYTE_BPE, PIECE_BPE, END_ID = "byte_bpe_50k.json", "piece_bpe_32k.model", 2
 
@@ -66,6 +66,10 @@ def op11_prefix_trie(spark, sf_dir):
     return prefix_trie.shared_prefixes(table(spark, sf_dir, "conversations"))
 
 
+def op12_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -75,6 +79,6 @@ def pipeline(spark, sf_dir):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = [
         op1_decontamination, op2_token_files, op3_exact_dedup, op4_license_scan, op5_sentencepiece,
-        op6_language_id, op7_near_dedup, op8_line_dedup, op9_quality, op10_main_text, op11_prefix_trie,
+        op6_language_id, op7_near_dedup, op8_line_dedup, op9_quality, op10_main_text, op11_prefix_trie, op12_whitening,
     ]
     return {f.__name__: f for f in ops} | {"pipeline": pipeline}
