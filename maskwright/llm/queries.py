@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, language, licenses, line_dedup, main_text, near_dedup, pieces, prefix_trie, quality, token_files, whitening
+from . import decontaminate, exact_dedup, language, licenses, line_dedup, main_text, near_dedup, pieces, prefix_trie, quality, sharding, token_files, whitening
 
 BYTE_BPE, PIECE_BPE, END_ID = "byte_bpe_50k.json", "piece_bpe_32k.model", 2
 
@@ -70,6 +70,10 @@ def op12_whitening(spark, sf_dir):
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op13_sharding(spark, sf_dir):
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -79,6 +83,6 @@ def pipeline(spark, sf_dir):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = [
         op1_decontamination, op2_token_files, op3_exact_dedup, op4_license_scan, op5_sentencepiece,
-        op6_language_id, op7_near_dedup, op8_line_dedup, op9_quality, op10_main_text, op11_prefix_trie, op12_whitening,
+        op6_language_id, op7_near_dedup, op8_line_dedup, op9_quality, op10_main_text, op11_prefix_trie, op12_whitening, op13_sharding,
     ]
     return {f.__name__: f for f in ops} | {"pipeline": pipeline}
