@@ -8,10 +8,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.patterns import Occurrences
 from ..functions.text import NOT_WS, SPAN, WS, escape, py_strip, redacted, spans, token_pattern
 from . import chunks as C
 from . import responses as P
+from .meeting import meet
 
 NO_SPANS = f"array<{SPAN}>"
 
@@ -37,17 +40,28 @@ def find_occurrences(needle: Column, text: Column) -> Column:
     return F.array_sort(F.array_union(exact, flexible))
 
 
-def locate_entities(candidates: DataFrame, docs: DataFrame) -> DataFrame:
-    """L2: (doc_id, chunk_no, resp_no, cand_no, hit_no, original_text, masked_text, start_pos, end_pos,
-    entity_type, confidence) of each candidate's places in its whole document."""
-    first = candidates.groupBy("doc_id", "candidate").agg(F.min(F.struct("chunk_no", "resp_no", "cand_no", "entity_type", "confidence")).alias("c"))
-    # a document's candidates are gathered first, so that its text is in one row and not in one for each
-    listed = first.groupBy("doc_id").agg(F.collect_list(F.struct("candidate", "c")).alias("listed"))
+CANDIDATE = ["chunk_no", "resp_no", "cand_no", "entity_type", "confidence"]
 
-    def places(x: Column) -> Column:
-        return F.transform(find_occurrences(x["candidate"], F.col("text")), lambda s, i: F.struct(x["c"].alias("c"), i.alias("hit_no"), s.alias("s")))
 
-    rows = listed.join(docs.select("doc_id", "text"), "doc_id").select("doc_id", F.explode(F.flatten(F.transform("listed", places))).alias("p")).select("doc_id", "p.c.*", "p.hit_no", "p.s")
+def locate_entities(candidates: DataFrame, docs: DataFrame) -> DataFrame:
+    """L2: (doc_id, chunk_no, resp_no, cand_no, hit_no, original_text, masked_text, start_pos, end_pos,
+    entity_type, confidence) of each candidate's places in its whole document. A document's candidates are
+    one automaton, and its text is walked once for all of them (``meeting``)."""
+    first = candidates.groupBy("doc_id", "candidate").agg(F.min(F.struct(*CANDIDATE)).alias("c")).select("doc_id", "candidate", "c.*")
+    places = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("text", T.StringType())])
+    hit = T.StructType([*[first.schema[c] for c in CANDIDATE], T.StructField("hit_no", T.IntegerType()), T.StructField("s", places)])
+
+    def make(entries: list[dict]) -> tuple:
+        return entries, Occurrences([e["candidate"] for e in entries])
+
+    def use(held: tuple, row: dict) -> list[dict]:
+        entries, text = held[0], row["text"] or ""
+        return [
+            {c: entries[i][c] for c in CANDIDATE} | {"hit_no": n, "s": {"start": a, "end": b, "text": text[a:b]}}
+            for i, found in held[1].hits(text).items() for n, (a, b) in enumerate(found)
+        ]
+
+    rows = meet(docs.select("doc_id", "text"), first, make, use, ["text"], hit, keep=["doc_id"], left=False)
     return rows.select(
         "doc_id", "chunk_no", "resp_no", "cand_no", "hit_no", F.col("s.text").alias("original_text"), redacted(F.col("entity_type")).alias("masked_text"),
         F.col("s.start").alias("start_pos"), F.col("s.end").alias("end_pos"), "entity_type", "confidence",

@@ -1,21 +1,23 @@
 """Masking of segments, runs and cells.
 
-The dictionary of a document is gathered to one array first, so each segment row is
-joined once; patterns are made once for each (document, value). Inside a segment
-all values' matches are pooled and the leftmost, then longest, kept. A document with very many
-segments is a hot key: ``salt`` spreads its segments over that many groups and
-repeats its dictionary for each.
+A document's dictionary is one automaton, which its segments pass one after the other (``meeting``): a segment
+is walked once, whatever the dictionary's size. Inside a segment all values' matches are pooled and the leftmost,
+then longest, kept. A document with very many segments is a hot key: ``salt`` spreads its segments over that many tasks
+and repeats its dictionary for each.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.text import NOT_WS, bound, flexible_pattern, py_strip, scan, spans
+from ..functions.patterns import Flexible, leftmost_longest
+from ..functions.text import NOT_WS
+from .meeting import meet
 
-KEPT = "struct<start:int,end:int,mask:string>"
-SPAN, PIECE = f"array<{KEPT}>", "struct<text:string,is_mask:boolean>"
+KEPT = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("mask", T.StringType())]))
+PIECES = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("is_mask", T.BooleanType())]))
 
 
 def rank_replacements(replacements: DataFrame) -> DataFrame:
@@ -25,141 +27,106 @@ def rank_replacements(replacements: DataFrame) -> DataFrame:
     return rows.select("doc_id", "original_text", "mask", F.row_number().over(by).alias("rank"))
 
 
-def dictionaries(replacements: DataFrame) -> DataFrame:
-    """(doc_id, dict): one array of (pattern, probe, mask, rank) for each document. The
-    probe is the value's first token in lower case, tested before the pattern runs."""
-    rows = rank_replacements(replacements)
-    entry = F.struct(
-        "rank", flexible_pattern(F.col("original_text")).alias("pattern"),
-        F.lower(F.regexp_extract(py_strip(F.col("original_text")), f"^{NOT_WS}+", 0)).alias("probe"), "mask",
-    )
-    return rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(entry)).alias("dict"))
+class Masks:
+    """A document's ranked values and their masks."""
 
+    def __init__(self, entries: list[dict]):
+        self.masks = [e["mask"] for e in entries]
+        self.values = Flexible([e["original_text"] for e in entries])
 
-def resolve_overlaps(pooled: Column) -> Column:
-    """M3: of array<struct<start, short, rank, end, mask>> (short: minus the length) those
-    kept when taken in order with none overlapping."""
+    def kept(self, text: str) -> list[dict]:
+        """M3: the spans of a segment that are masked; values are numbered by rank."""
+        return [{"start": a, "end": b, "mask": self.masks[i]} for a, b, i in leftmost_longest(self.values.hits(text))]
 
-    def step(upto: Column, x: Column) -> tuple[Column, Column]:
-        free = x["start"] >= upto
-        span = F.struct(x["start"].alias("start"), x["end"].alias("end"), x["mask"].alias("mask"))
-        return F.when(free, x["end"]).otherwise(upto), F.when(free, F.array(span)).otherwise(F.array().cast(SPAN))
 
-    return scan(F.array_sort(pooled), F.lit(0), KEPT, step)
+def fragments(text: str, kept: list[dict]) -> list[dict]:
+    """M6: plain and mask pieces in order, no empty ones."""
+    pieces, at = [], 0
+    for s in kept:
+        pieces += [(text[at : s["start"]], False), (s["mask"], True)]
+        at = s["end"]
+    return [{"text": t, "is_mask": m} for t, m in [*pieces, (text[at:], False)] if t]
 
 
-def kept_spans(text: Column, entries: Column) -> Column:
-    """The spans of a segment that its dictionary masks."""
-    low = F.lower(text)
-    near = F.filter(entries, lambda d: F.contains(low, d["probe"]))
-    pooled = F.flatten(
-        F.transform(
-            near,
-            lambda d: F.transform(
-                spans(text, d["pattern"]),
-                lambda s: F.struct(s["start"].alias("start"), (s["start"] - s["end"]).alias("short"), d["rank"].alias("rank"), s["end"].alias("end"), d["mask"].alias("mask")),
-            ),
-        )
-    )
-    return F.coalesce(resolve_overlaps(pooled), F.array().cast(SPAN))
+def _masked(text: str | None, kept: list[dict]) -> dict:
+    if not kept:
+        return {"spans": [], "fragments": None, "masked": text}
+    pieces = fragments(text, kept)
+    return {"spans": kept, "fragments": pieces, "masked": "".join(x["text"] for x in pieces)}
 
 
-def fragments(text: Column, kept: Column) -> Column:
-    """M6: plain and mask pieces in order, no empty ones. Finding a place in a text walks it from its
-    start, so spans go in blocks of about the square root of their number: each block's text is cut
-    out once, the pieces from that."""
-    piece = lambda t, m: F.struct(t.alias("text"), F.lit(m).alias("is_mask"))
+MASKED = T.StructType([T.StructField("spans", KEPT), T.StructField("fragments", PIECES), T.StructField("masked", T.StringType())])
 
-    def walk(k: Column) -> Column:
-        size = F.greatest(F.lit(16), F.sqrt(F.size(k)).cast("int"))
-        end_before = lambda i: F.when(i > 1, F.element_at(k, F.greatest(i - 1, F.lit(1)))["end"]).otherwise(0)
 
-        def block(i: Column) -> Column:
-            own, start = F.slice(k, i, size), end_before(i)
-            cut = F.substring(text, start + 1, F.element_at(own, -1)["end"] - start)
-
-            def pieces(t: Column) -> Column:
-                def pair(s: Column, j: Column) -> Column:
-                    before = F.when(j > 0, F.element_at(t["own"], F.greatest(j, F.lit(1)))["end"]).otherwise(t["start"])
-                    return F.array(piece(F.substring(t["cut"], before - t["start"] + 1, s["start"] - before), False), piece(s["mask"], True))
-
-                return F.flatten(F.transform(t["own"], pair))
-
-            return bound(F.struct(own.alias("own"), start.alias("start"), cut.alias("cut")), pieces)
-
-        starts = F.when(F.size(k) > 0, F.sequence(F.lit(1), F.size(k), size)).otherwise(F.array().cast("array<int>"))
-        rest = F.array(piece(F.substring(text, end_before(F.size(k) + 1) + 1, F.length(text)), False))
-        return F.concat(F.flatten(F.transform(starts, block)), rest)
-
-    return F.filter(bound(kept, walk), lambda x: F.length(x["text"]) > 0)
-
-
-def joined_text(pieces: Column) -> Column:
-    return F.array_join(F.transform(pieces, lambda x: x["text"]), "")
-
-
-def with_dictionary(rows: DataFrame, replacements: DataFrame, salt: int = 1) -> DataFrame:
-    found = dictionaries(replacements)
-    if salt > 1:
-        rows = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salt)).cast("int"))
-        found = found.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-        return rows.join(found, ["doc_id", "_salt"], "left").drop("_salt")
-    return rows.join(found, "doc_id", "left")
+def _ranked(replacements: DataFrame) -> DataFrame:
+    return rank_replacements(replacements).select("doc_id", "rank", "original_text", F.coalesce("mask", F.lit("")).alias("mask"))
 
 
 def mask_segments(segments: DataFrame, replacements: DataFrame, text: str = "text", salt: int = 1) -> DataFrame:
     """M4: ``segments`` with ``spans``, ``fragments`` and ``masked``. Matches don't cross segments; null texts stay null."""
-    rows = with_dictionary(segments, replacements, salt)
-    rows = rows.withColumn("spans", kept_spans(F.col(text), F.coalesce("dict", F.array().cast("array<struct<rank:int,pattern:string,probe:string,mask:string>>")))).drop("dict")
-    changed = F.size("spans") > 0
-    rows = rows.withColumn("fragments", F.when(changed, fragments(F.col(text), F.col("spans"))))
-    return rows.withColumn("masked", F.when(changed, joined_text(F.col("fragments"))).otherwise(F.col(text)))
+
+    def use(held: Masks | None, row: dict) -> list[dict]:
+        return [_masked(row[text], held.kept(row[text]) if held and row[text] else [])]
+
+    return meet(segments, _ranked(replacements), Masks, use, [text], MASKED, salt=salt)
 
 
 def residual_hits(masked: DataFrame, replacements: DataFrame, text: str = "masked") -> DataFrame:
     """(doc_id, residual_hits): dictionary matches that are left in the masked texts."""
-    rows = with_dictionary(masked.select("doc_id", text), replacements)
-    return rows.groupBy("doc_id").agg(F.sum(F.size(kept_spans(F.col(text), F.col("dict")))).cast("long").alias("residual_hits"))
+    rows = mask_segments(masked.select("doc_id", text), replacements, text).select("doc_id", F.size("spans").alias("n"))
+    return rows.groupBy("doc_id").agg(F.sum("n").cast("long").alias("residual_hits"))
+
+
+def spread_over_runs(runs: list[dict], kept: list[dict]) -> list[list[dict]]:
+    """Each run's own spans: ordered runs and ordered spans in one sweep. The first run that a span overlaps takes its mask, the
+    others lose their part; a span that touches a complex run, an empty one inside it too, is skipped."""
+    starts, ends, at = [], [], 0
+    for r in runs:
+        starts.append(at)
+        at += len(r["text"])
+        ends.append(at)
+    own: list[list[dict]] = [[] for _ in runs]
+    i = 0
+    for s in kept:
+        while ends[i] <= s["start"]:
+            i += 1
+        last = i
+        while ends[last] < s["end"]:
+            last += 1
+        touched = [j for j in range(i, last + 1) if starts[j] < s["end"] and ends[j] > s["start"]]
+        if not any(runs[j]["is_complex"] for j in touched):
+            for j in touched:
+                own[j].append({"start": max(s["start"], starts[j]) - starts[j], "end": min(s["end"], ends[j]) - starts[j], "mask": s["mask"] if j == touched[0] else ""})
+    return own
 
 
 def mask_runs(runs: DataFrame, replacements: DataFrame) -> DataFrame:
     """M5: ``runs(doc_id, para_no, run_no, text, is_complex)`` with ``masked``. Spans found
-    in the paragraph's joined text are spread over the runs they overlap: the first takes
-    the mask, the others lose their part. A span that touches a complex run is skipped."""
-    key = ["doc_id", "para_no"]
-    listed = runs.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("run_no", F.coalesce("text", F.lit("")).alias("text"), "is_complex"))).alias("runs"))
-    listed = listed.withColumn("text", F.array_join(F.transform("runs", lambda r: r["text"]), ""))
-    found = with_dictionary(listed, replacements).withColumn("spans", kept_spans(F.col("text"), F.col("dict")))
-    run = "struct<run_no:int,text:string,is_complex:boolean,start:int,end:int>"
-
-    def placed(at: Column, r: Column) -> tuple[Column, Column]:
-        end = at + F.length(r["text"])
-        return end, F.array(F.struct(r["run_no"].alias("run_no"), r["text"].alias("text"), r["is_complex"].alias("is_complex"), at.alias("start"), end.alias("end")))
-
-    found = found.withColumn("runs", scan(F.col("runs"), F.lit(0), run, placed))
-    meets = lambda s, r: (s["end"] > r["start"]) & (s["start"] < r["end"])
-    simple = F.filter("spans", lambda s: ~F.exists("runs", lambda r: r["is_complex"] & meets(s, r)))
-    rows = found.withColumn("spans", simple).select(*key, "spans", F.explode("runs").alias("r"))
-    own = F.transform(
-        F.filter("spans", lambda s: meets(s, F.col("r"))),
-        lambda s: F.struct(
-            (F.greatest(s["start"], F.col("r.start")) - F.col("r.start")).alias("start"), (F.least(s["end"], F.col("r.end")) - F.col("r.start")).alias("end"),
-            F.when(s["start"] >= F.col("r.start"), s["mask"]).otherwise("").alias("mask"),
-        ),
-    )
-    rows = rows.select(*key, "r.run_no", "r.text", "r.is_complex", own.alias("spans"))
-    return rows.withColumn("masked", joined_text(fragments(F.col("text"), F.col("spans"))))
+    in the paragraph's joined text are spread over the runs they overlap; see ``spread_over_runs``."""
+    item = F.struct("run_no", F.coalesce("text", F.lit("")).alias("text"), "is_complex")
+    listed = runs.groupBy("doc_id", "para_no").agg(F.array_sort(F.collect_list(item)).alias("runs"))
+    add = T.StructType([T.StructField("run_no", runs.schema["run_no"].dataType), T.StructField("text", T.StringType()), T.StructField("is_complex", T.BooleanType()), *MASKED.fields])
+
+    def use(held: Masks | None, row: dict) -> list[dict]:
+        kept = held.kept("".join(r["text"] for r in row["runs"])) if held else []
+        return [r | _masked(r["text"], own) for r, own in zip(row["runs"], spread_over_runs(row["runs"], kept), strict=True)]
+
+    rows = meet(listed, _ranked(replacements), Masks, use, ["runs"], add, keep=["doc_id", "para_no"])
+    return rows.select("doc_id", "para_no", "run_no", "text", "is_complex", "spans", "masked")
 
 
 def mask_cells(cells: DataFrame, replacements: DataFrame, salt: int = 1) -> DataFrame:
     """M7: ``cells`` with ``spans``, ``fragments``, ``masked`` and ``modified``. Null cells
     and formulas (flagged, or starting with ``=``) stay as they are."""
-    fit = F.coalesce(F.col("value").isNotNull() & ~F.coalesce("is_formula", F.lit(False)) & ~F.startswith(F.col("value"), F.lit("=")), F.lit(False))
-    rows = with_dictionary(cells, replacements, salt)
-    rows = rows.withColumn("spans", F.when(fit, kept_spans(F.col("value"), F.col("dict"))).otherwise(F.array().cast(SPAN))).drop("dict")
-    modified = F.size("spans") > 0
-    rows = rows.withColumn("fragments", F.when(modified, fragments(F.col("value"), F.col("spans"))))
-    return rows.withColumn("masked", F.when(modified, joined_text(F.col("fragments"))).otherwise(F.col("value"))).withColumn("modified", modified)
+
+    def use(held: Masks | None, row: dict) -> list[dict]:
+        value = row["value"]
+        fit = held and value and not row["is_formula"] and not value.startswith("=")
+        x = _masked(value, held.kept(value) if fit else [])
+        return [x | {"modified": bool(x["spans"])}]
+
+    add = T.StructType([*MASKED.fields, T.StructField("modified", T.BooleanType())])
+    return meet(cells, _ranked(replacements), Masks, use, ["value", "is_formula"], add, salt=salt)
 
 
 def cell_stats(masked: DataFrame) -> DataFrame:

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.text import SPAN, WS, bound, escape, py_strip, scan, spans
+from ..functions.patterns import RUN, SPACE, Automaton, fold, strip
+from ..functions.text import WS, py_strip, scan
 from .mask import rank_replacements
+from .meeting import meet
 
 PLACE = ["doc_id", "page_no"]
 WORD_ORDER = ("block_no", "line_no", "word_no")
@@ -26,31 +31,50 @@ def page_texts(words: DataFrame) -> DataFrame:
     return rows.select(*PLACE, placed.alias("words"), F.array_join(F.transform("w", lambda x: x["word"]), " ").alias("text"))
 
 
-def _hits(text: Column, phrase: Column) -> Column:
-    low, key = F.lower(text), F.lower(phrase)
-    return F.when(F.contains(low, key), spans(low, escape(key))).otherwise(F.array().cast(f"array<{SPAN}>"))
+class Phrases:
+    """M9 for all of a document's values: as they are (level 1) and with white space made one space (level 2), in any case."""
+
+    def __init__(self, entries: list[dict]):
+        self.entries = entries
+        own = [fold(strip(e["original_text"])) for e in entries]
+        one = [((v, (1, i)),) for i, v in enumerate(own)]
+        two = [((RUN.sub(" ", v), (2, i)),) if SPACE.search(v) else () for i, v in enumerate(own)]
+        self.automaton = Automaton(x for xs in [*one, *two] for x in xs)
+
+    def hits(self, text: str) -> list[tuple[int, int, int, int]]:
+        """(value, level, start, end) of a page: level 2 only of values that level 1 doesn't find there."""
+        found, upto = {}, {}
+        for start, end, x in self.automaton.hits(fold(text)):
+            if start >= upto.get(x, 0):
+                upto[x] = end
+                found.setdefault(x, []).append((start, end))
+        return [(i, level, a, b) for (level, i), spans in found.items() if level == 1 or (1, i) not in found for a, b in spans]
+
+
+_HIT = T.StructType([T.StructField("rank", T.IntegerType()), T.StructField("mask", T.StringType()), T.StructField("original_text", T.StringType()),
+                     *[T.StructField(c, T.IntegerType()) for c in ("level", "start", "end", "first", "last")]])
 
 
 def exact_hits(pages: DataFrame, ranked: DataFrame) -> DataFrame:
-    """``pages`` with ``hits``: (rank, mask, original_text, level, start, end) of the page's document's values.
-    A document's values are gathered first, so a page's text meets them all in one row."""
-    listed = ranked.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", "mask", "original_text"))).alias("values"))
+    """(doc_id, page_no, rank, mask, original_text, level, start, end, first, last) of the values of a page's document; the last two number
+    the page's words that a hit touches. A page is walked once, whatever the number of values."""
+    at = pages.select(*PLACE, "text", F.transform("words", lambda w: w["at"]).alias("at"))
 
-    def hits(v: Column) -> Column:
-        phrase = py_strip(v["original_text"])
-        one = _hits(F.col("text"), phrase)
-        two = F.when(phrase.rlike(WS), _hits(F.col("text"), F.regexp_replace(phrase, f"{WS}+", " "))).otherwise(F.array().cast(f"array<{SPAN}>"))
-        found = bound(one, lambda x: F.when(F.size(x) > 0, F.struct(F.lit(1).alias("level"), x.alias("s"))).otherwise(F.struct(F.lit(2).alias("level"), two.alias("s"))))
-        row = lambda f, s: F.struct(v["rank"].alias("rank"), v["mask"].alias("mask"), v["original_text"].alias("original_text"), f["level"].alias("level"), s["start"].alias("start"), s["end"].alias("end"))
-        return bound(found, lambda f: F.transform(f["s"], lambda s: row(f, s)))
+    def use(held: Phrases, row: dict) -> list[dict]:
+        out = []
+        for i, level, a, b in held.hits(row["text"]):
+            e, first, last = held.entries[i], bisect_right(row["at"], a) - 1, bisect_left(row["at"], b) - 1
+            out.append({"rank": e["rank"], "mask": e["mask"], "original_text": e["original_text"], "level": level, "start": a, "end": b, "first": first, "last": last})
+        return out
 
-    return pages.join(listed, "doc_id").withColumn("hits", F.flatten(F.transform("values", hits))).drop("values")
+    values = ranked.select("doc_id", "rank", "original_text", "mask")
+    return meet(at, values, Phrases, use, ["text", "at"], _HIT, keep=PLACE, left=False)
 
 
 def search_phrase_exact(words: DataFrame, ranked: DataFrame) -> DataFrame:
     """M9: (doc_id, page_no, rank, mask, original_text, level, start, end): in any case, the value as
     it is (level 1); on pages without such a hit, with white space made one space (level 2)."""
-    return exact_hits(page_texts(words).select(*PLACE, "text"), ranked).select(*PLACE, F.explode("hits").alias("h")).select(*PLACE, "h.*")
+    return exact_hits(page_texts(words), ranked).drop("first", "last")
 
 
 def norm(word: Column) -> Column:
@@ -76,16 +100,11 @@ def match_boxes(words: DataFrame, replacements: DataFrame) -> DataFrame:
     hits; of boxes equal to 0.1 on a page the one of the longer value stays. Values with an exact
     hit on a page aren't searched word by word there."""
     ranked = rank_replacements(replacements)
-    pages = exact_hits(page_texts(words), ranked)
-
-    def boxed(h: Column) -> Column:
-        under = F.filter("words", lambda w: (w["at"] < h["end"]) & (w["at"] + F.length(w["x"]["word"]) > h["start"]))
-        side = lambda u, c: F.transform(u, lambda w: w["x"][c])
-        corners = lambda u: F.struct(F.array_min(side(u, "x0")).alias("x0"), F.array_min(side(u, "y0")).alias("y0"), F.array_max(side(u, "x1")).alias("x1"), F.array_max(side(u, "y1")).alias("y1"))
-        return F.struct(h["rank"].alias("rank"), h["mask"].alias("mask"), bound(under, corners).alias("b"))
-
-    exact = pages.select(*PLACE, F.explode(F.transform("hits", boxed)).alias("h")).select(*PLACE, "h.rank", "h.mask", "h.b.*")
+    pages = page_texts(words)
+    exact = exact_hits(pages, ranked).select(*PLACE, "rank", "mask", "start", F.explode(F.sequence("first", "last")).alias("i"))
     boxes = [F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")]
+    numbered = pages.select(*PLACE, F.posexplode("words").alias("i", "w")).select(*PLACE, "i", *[f"w.x.{c}" for c in ("x0", "y0", "x1", "y1")])
+    exact = exact.join(numbered, [*PLACE, "i"]).groupBy(*PLACE, "rank", "mask", "start").agg(*boxes)
     one = exact.select(*PLACE, "rank", "mask", "x0", "y0", "x1", "y1")
     by_word = search_phrase_words(words, ranked).join(exact.select(*PLACE, "rank").distinct(), [*PLACE, "rank"], "left_anti")
     w = words.select(*PLACE, "block_no", "line_no", "word_no", "x0", "y0", "x1", "y1")
@@ -102,10 +121,25 @@ def redact_pages(words: DataFrame, boxes: DataFrame, add_text_overlay: bool = Tr
     in it), the mask in the place of a box's first word if asked for."""
     mid_x, mid_y = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
     w = words.select(*PLACE, *WORD_ORDER, "word", mid_x.alias("mx"), mid_y.alias("my"))
-    listed = boxes.groupBy(*PLACE).agg(F.array_sort(F.collect_list(F.struct("rank", F.col("x0").alias("a"), F.col("y0").alias("b"), F.col("x1").alias("c"), F.col("y1").alias("d"), "mask"))).alias("boxes"))
-    rows = w.join(listed, PLACE, "left")
-    under = F.filter("boxes", lambda x: F.col("mx").between(x["a"], x["c"]) & F.col("my").between(x["b"], x["d"]))
-    rows = rows.withColumn("box", F.get(under, F.lit(0))).drop("boxes")
+    box = F.struct("rank", F.col("x0").alias("a"), F.col("y0").alias("b"), F.col("x1").alias("c"), F.col("y1").alias("d"), "mask")
+    b = boxes.select(*PLACE, box.alias("box"))
+    # a page's grid has about a cell for four words: boxes go to the cells they touch, words to that of their middle
+    grid = w.groupBy(*PLACE).agg(*[f(c).alias(f"{n}_{c}") for c in ("mx", "my") for f, n in ((F.min, "least"), (F.max, "most"))], F.greatest(F.lit(1), F.least(F.lit(256), F.ceil(F.sqrt(F.count("*") / 4)))).cast("int").alias("k"))
+
+    def cell(place: Column, c: str) -> Column:
+        width = F.col(f"most_{c}") - F.col(f"least_{c}")
+        found = F.when(width > 0, F.floor((place - F.col(f"least_{c}")) / width * F.col("k"))).otherwise(0)
+        return F.greatest(F.lit(0), F.least(found, F.col("k") - 1)).cast("int")
+
+    in_cells = w.join(grid, PLACE).select(*PLACE, *WORD_ORDER, "word", "mx", "my", cell(F.col("mx"), "mx").alias("cx"), cell(F.col("my"), "my").alias("cy"))
+    sides = {"cx": ("mx", "box.a", "box.c"), "cy": ("my", "box.b", "box.d")}
+    spread = b.filter("box.a <= box.c and box.b <= box.d").join(grid, PLACE)
+    for name, (c, low, high) in sides.items():
+        spread = spread.withColumn(name, F.explode(F.sequence(cell(F.col(low), c), cell(F.col(high), c))))
+    inside = F.col("mx").between(F.col("box.a"), F.col("box.c")) & F.col("my").between(F.col("box.b"), F.col("box.d"))
+    met = in_cells.join(spread.select(*PLACE, "cx", "cy", "box"), [*PLACE, "cx", "cy"]).filter(inside)
+    # of the boxes over a word the one of the first value counts
+    rows = w.join(met.groupBy(*PLACE, *WORD_ORDER).agg(F.min("box").alias("box")), [*PLACE, *WORD_ORDER], "left")
     first = F.struct(*WORD_ORDER)
     kept = rows.filter("box is null").select(*PLACE, first.alias("at"), "word")
     masks = rows.filter("box is not null").groupBy(*PLACE, "box").agg(F.min(first).alias("at")).select(*PLACE, "at", F.col("box.mask").alias("word"))
