@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.patterns import RUN, SPACE, Automaton, fold, strip
-from ..functions.text import WS, py_strip, scan
+from ..functions.text import WS, py_strip
 from .mask import rank_replacements
 from .meeting import meet
 
@@ -18,17 +19,10 @@ WORD_ORDER = ("block_no", "line_no", "word_no")
 
 
 def page_texts(words: DataFrame) -> DataFrame:
-    """(doc_id, page_no, words, text): each page's words in order, joined by a space, with
-    each word's place ``at`` in the text."""
-    item = F.struct(*WORD_ORDER, "word", "x0", "y0", "x1", "y1")
-    rows = words.groupBy(*PLACE).agg(F.array_sort(F.collect_list(item)).alias("w"))
-    word = rows.schema["w"].dataType.elementType.simpleString()
-
-    def step(at: Column, x: Column) -> tuple[Column, Column]:
-        return at + F.length(x["word"]) + 1, F.array(F.struct(at.alias("at"), x.alias("x")))
-
-    placed = scan(F.col("w"), F.lit(0), f"struct<at:int,x:{word}>", step)
-    return rows.select(*PLACE, placed.alias("words"), F.array_join(F.transform("w", lambda x: x["word"]), " ").alias("text"))
+    """(doc_id, page_no, words, text): each page's words in order, and joined by a space. Null words count as empty."""
+    item = F.struct(*WORD_ORDER, F.coalesce("word", F.lit("")).alias("word"), "x0", "y0", "x1", "y1")
+    rows = words.groupBy(*PLACE).agg(F.array_sort(F.collect_list(item)).alias("words"))
+    return rows.withColumn("text", F.array_join("words.word", " "))
 
 
 class Phrases:
@@ -58,17 +52,17 @@ _HIT = T.StructType([T.StructField("rank", T.IntegerType()), T.StructField("mask
 def exact_hits(pages: DataFrame, ranked: DataFrame) -> DataFrame:
     """(doc_id, page_no, rank, mask, original_text, level, start, end, first, last) of the values of a page's document; the last two number
     the page's words that a hit touches. A page is walked once, whatever the number of values."""
-    at = pages.select(*PLACE, "text", F.transform("words", lambda w: w["at"]).alias("at"))
+    at = pages.select(*PLACE, "text", F.transform("words.word", F.length).alias("lengths"))
 
     def use(held: Phrases, row: dict) -> list[dict]:
-        out = []
+        out, starts = [], list(accumulate((n + 1 for n in row["lengths"]), initial=0))[:-1]
         for i, level, a, b in held.hits(row["text"]):
-            e, first, last = held.entries[i], bisect_right(row["at"], a) - 1, bisect_left(row["at"], b) - 1
+            e, first, last = held.entries[i], bisect_right(starts, a) - 1, bisect_left(starts, b) - 1
             out.append({"rank": e["rank"], "mask": e["mask"], "original_text": e["original_text"], "level": level, "start": a, "end": b, "first": first, "last": last})
         return out
 
     values = ranked.select("doc_id", "rank", "original_text", "mask")
-    return meet(at, values, Phrases, use, ["text", "at"], _HIT, keep=PLACE, left=False)
+    return meet(at, values, Phrases, use, ["text", "lengths"], _HIT, keep=PLACE, left=False)
 
 
 def search_phrase_exact(words: DataFrame, ranked: DataFrame) -> DataFrame:
@@ -103,7 +97,7 @@ def match_boxes(words: DataFrame, replacements: DataFrame) -> DataFrame:
     pages = page_texts(words)
     exact = exact_hits(pages, ranked).select(*PLACE, "rank", "mask", "start", F.explode(F.sequence("first", "last")).alias("i"))
     boxes = [F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")]
-    numbered = pages.select(*PLACE, F.posexplode("words").alias("i", "w")).select(*PLACE, "i", *[f"w.x.{c}" for c in ("x0", "y0", "x1", "y1")])
+    numbered = pages.select(*PLACE, F.posexplode("words").alias("i", "w")).select(*PLACE, "i", *[f"w.{c}" for c in ("x0", "y0", "x1", "y1")])
     exact = exact.join(numbered, [*PLACE, "i"]).groupBy(*PLACE, "rank", "mask", "start").agg(*boxes)
     one = exact.select(*PLACE, "rank", "mask", "x0", "y0", "x1", "y1")
     by_word = search_phrase_words(words, ranked).join(exact.select(*PLACE, "rank").distinct(), [*PLACE, "rank"], "left_anti")
