@@ -42,8 +42,9 @@ def sheet_matrix(cells: DataFrame) -> DataFrame:
 
 
 def assemble_workbook_text(sheets: DataFrame) -> DataFrame:
-    """D3: (doc_id, text) of ``sheets(doc_id, sheet, text)``, each under its heading, in sheet order."""
-    rows = sheets.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("sheet", "text"))).alias("s"))
+    """D3: (doc_id, text) of ``sheets(doc_id, sheet, text)``, each under its heading, in order of ``sheet_no`` if they have it, else of name."""
+    order = [c for c in ("sheet_no",) if c in sheets.columns]
+    rows = sheets.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*order, "sheet", "text"))).alias("s"))
     return rows.select("doc_id", F.array_join(F.transform("s", lambda x: F.concat(around(SHEET, x["sheet"]), x["text"])), "\n\n").alias("text"))
 
 

@@ -101,18 +101,20 @@ def spread_over_runs(runs: list[dict], kept: list[dict]) -> list[list[dict]]:
 
 
 def mask_runs(runs: DataFrame, replacements: DataFrame) -> DataFrame:
-    """M5: ``runs(doc_id, para_no, run_no, text, is_complex)`` with ``masked``. Spans found
-    in the paragraph's joined text are spread over the runs they overlap; see ``spread_over_runs``."""
+    """M5: ``runs(doc_id, para_no, run_no, text, is_complex)`` with ``spans``, ``fragments`` and ``masked``. Spans found in the
+    paragraph's joined text are spread over the runs they overlap; see ``spread_over_runs``. All columns but
+    the last three tell paragraphs apart (``part`` of a file, say)."""
     item = F.struct("run_no", F.coalesce("text", F.lit("")).alias("text"), "is_complex")
-    listed = runs.groupBy("doc_id", "para_no").agg(F.array_sort(F.collect_list(item)).alias("runs"))
+    key = [c for c in runs.columns if c not in ("run_no", "text", "is_complex")]
+    listed = runs.groupBy(*key).agg(F.array_sort(F.collect_list(item)).alias("runs"))
     add = T.StructType([T.StructField("run_no", runs.schema["run_no"].dataType), T.StructField("text", T.StringType()), T.StructField("is_complex", T.BooleanType()), *MASKED.fields])
 
     def use(held: Masks | None, row: dict) -> list[dict]:
         kept = held.kept("".join(r["text"] for r in row["runs"])) if held else []
         return [r | _masked(r["text"], own) for r, own in zip(row["runs"], spread_over_runs(row["runs"], kept), strict=True)]
 
-    rows = meet(listed, _ranked(replacements), Masks, use, ["runs"], add, keep=["doc_id", "para_no"])
-    return rows.select("doc_id", "para_no", "run_no", "text", "is_complex", "spans", "masked")
+    rows = meet(listed, _ranked(replacements), Masks, use, ["runs"], add, keep=key)
+    return rows.select(*key, "run_no", "text", "is_complex", "spans", "fragments", "masked")
 
 
 def mask_cells(cells: DataFrame, replacements: DataFrame, salt: int = 1) -> DataFrame:

@@ -239,7 +239,7 @@ RUNS = f"""paras as (select doc_id, para_no, string_agg(text, '' order by run_no
 
 @query("m5_mask_runs", S.with_("runs", "run_values", more=RUNS) + " select * from masked_runs")
 def m5(spark, d):
-    return M.mask_runs(load(spark, d, "runs"), load(spark, d, "run_values")).drop("spans")
+    return M.mask_runs(load(spark, d, "runs"), load(spark, d, "run_values")).drop("spans", "fragments")
 
 
 @query("m6_highlight_fragments", S.with_("contracts", more=_MASKING + f", f as (select doc_id, {S.fragments('text', 'k')} as f from kept where len(k) > 0)")

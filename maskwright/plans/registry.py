@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import catalog_docs, catalog_mask, catalog_text
+from . import catalog_docs, catalog_mask, catalog_office, catalog_text
 
-CATALOGS = [catalog_text, catalog_mask, catalog_docs]
+CATALOGS = [catalog_text, catalog_mask, catalog_docs, catalog_office]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
