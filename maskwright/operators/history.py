@@ -3,9 +3,11 @@ are, in lower case."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import ranked
+
 
 def source_key(c: Column) -> Column:
     return F.lower(c)
@@ -56,20 +58,25 @@ def split_name(path: Column) -> tuple[Column, Column]:
 
 def versioned_names(sources: DataFrame, existing: DataFrame) -> DataFrame:
     """``sources(seq, source_file)`` with ``masked_name``: ``<stem>_masked<ext>``, then ``_v2``,
-    ``_v3``, ..: the smallest free numbers, in ``seq`` order, each given once. ``existing(name)``."""
+    ``_v3``, ..: the smallest free numbers, in ``seq`` order, each given once. ``existing(name)``.
+
+    Ranks, not windows, so a stem of very many files is no hot group. If t is the j-th taken number of a stem, t - j free ones lie before it; so
+    the k-th free number is the place of k among all k and all t - j + 1 (these first where they are equal).
+    """
     stem, ext = split_name(F.col("source_file"))
-    rows = sources.withColumn("stem", stem).withColumn("ext", ext)
-    wanted = rows.withColumn("k", F.row_number().over(Window.partitionBy("stem", "ext").orderBy("seq")))
-    need = rows.groupBy("stem", "ext").agg(F.count("*").alias("need"))
-    taken = existing.select("name", F.regexp_extract("name", r"^(.*)_masked(?:_v([0-9]+))?(\.[^.]*)?$", 1).alias("stem"), F.regexp_extract("name", r"^(.*)_masked(?:_v([0-9]+))?(\.[^.]*)?$", 3).alias("ext"))
-    blocked = taken.groupBy("stem", "ext").agg(F.count("*").alias("blocked"))
-    sized = need.join(blocked, ["stem", "ext"], "left")
-    # among need + blocked numbers there are always enough free ones
-    tries = sized.select("stem", "ext", F.explode(F.sequence(F.lit(1), (F.col("need") + F.coalesce("blocked", F.lit(0))).cast("int"))).alias("v"))
-    tries = tries.withColumn("name", F.concat("stem", F.lit("_masked"), F.when(F.col("v") > 1, F.concat(F.lit("_v"), F.col("v").cast("string"))).otherwise(""), "ext"))
-    free = tries.join(existing.select("name"), "name", "left_anti").withColumn("k", F.row_number().over(Window.partitionBy("stem", "ext").orderBy("v")))
-    got = wanted.join(free.select("stem", "ext", "k", F.col("name").alias("masked_name")), ["stem", "ext", "k"])
-    return got.select(*sources.columns, "masked_name")
+    rows = sources.withColumn("_name", F.concat(stem, F.lit("\0"), ext))
+    wanted = ranked(rows.filter("_name is not null"), "_name", ["seq"], "_k")
+    pattern = r"(?s)^(.*)_masked(?:_v([0-9]+))?(\.[^.]*)?$"
+    part = lambda i: F.regexp_extract("name", pattern, i)
+    number = F.when(part(2) == "", 1).when(part(2).rlike("^[1-9]"), part(2).try_cast("long")).alias("t")
+    taken = existing.filter(F.col("name").rlike(pattern)).select(F.concat(part(1), F.lit("\0"), part(3)).alias("_name"), number, (part(2) == "1").alias("one"))
+    taken = taken.filter("t is not null and not one").select("_name", "t").distinct().join(rows.select("_name").distinct(), "_name", "left_semi")
+    blocked = ranked(taken, "_name", ["t"], "_j").select("_name", (F.col("t") - F.col("_j")).alias("_at"), F.lit(False).alias("_asks"))
+    every = wanted.withColumn("_at", F.col("_k") + 1).withColumn("_asks", F.lit(True)).unionByName(blocked, allowMissingColumns=True)
+    placed = ranked(every, "_name", ["_at", "_asks"], "_v").filter("_asks").withColumn("_v", F.col("_v") + 1)
+    parts = F.split("_name", "\0", -1)
+    name = F.concat(parts[0], F.lit("_masked"), F.when(F.col("_v") > 1, F.concat(F.lit("_v"), F.col("_v").cast("string"))).otherwise(""), parts[1])
+    return placed.select(*sources.columns, name.alias("masked_name"))
 
 
 def artifact_paths(history: DataFrame, listing: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from ..operators import history as I
 from ..operators import mask as M
 from ..operators import pages as G
 from ..operators import reports as H
+from ..operators.history_store import HistoryStore
 from ..sources import io
 from . import sqltext as S
 from .catalog_mask import CELLS, DEDUPED, FINAL, LOCATED, REDACTED, REPLACED, _detected
@@ -208,6 +209,14 @@ def i1(spark, d):
     return I.history_upsert(history.filter("seq % 2 = 0"), history.filter("seq % 2 = 1"))
 
 
+@query("i1_history_store", S.with_("history", more=_LAST) + " select * from latest")
+def i1s(spark, d):
+    store, history = HistoryStore(spark, io.work_dir(spark), "seq long, source_file string", buckets=16), load(spark, d, "history")
+    store.upsert(history.filter("seq % 2 = 0"))
+    store.upsert(history.filter("seq % 2 = 1"))
+    return store.rows()
+
+
 @query("i2_history_list", S.with_("history", more=_LAST) + " select * from latest order by seq desc")
 def i2(spark, d):
     return I.history_list(I.history_upsert(load(spark, d, "history")))

@@ -8,6 +8,7 @@ from ..functions import text as T
 from ..operators import chunks as C
 from ..operators import normalize as N
 from ..operators import responses as P
+from ..operators.answers import answer_with_store
 from ..schemas import DEFAULT_TYPES
 from ..sources import io
 from . import sqltext as S
@@ -203,6 +204,11 @@ def u1(spark, d):
     return P.answer_requests(c5(spark, d), P.offline).select("doc_id", "chunk_no", "raw", "error")
 
 
+@query("u1_answers_kept", SQL["u1_answer_requests"])
+def u1k(spark, d):
+    return answer_with_store(c5(spark, d), P.offline, io.work_dir(spark), waves=2).select("doc_id", "chunk_no", "raw", "error")
+
+
 @query("u2_answers_table", S.with_("validated", "answers") + f"""
  select doc_id, question_no, {S.strip('answer')} as reply from answers join validated using (doc_id)
  where (kind = 1 or kind = 2 and question_no = 1) and len({S.strip('answer')}) > 0""")
