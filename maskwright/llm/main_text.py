@@ -20,12 +20,15 @@ are evidence only, and only if the whole name tells of such a part:
 * outside articles the part goes, unless it holds most of the page's text or half of that in articles;
 * inside an article a part named like a menu, header, notice or the like goes only if its text is mostly
   links, one named like an advert or sharing bar only if it is less than half of the article;
-  reader comments go. Headings are never judged by their names.
+  reader comments go. Headings are never judged by their names;
+* a part named like a discussion or like responses may be a section of an article or readers' comments: it goes if its structure is a thread's, that is if
+  two or more of its children are alike in tag and class and hold most of its text.
 
 White space inside a block becomes one space, blocks are joined by one line end in
 page order, character references are decoded. Null and empty pages, and pages without
 text, give an empty text; nothing is cut or capped. The work is linear in the page, however
-elements are nested or left open. Repeated rows are rows of their own; other columns are ignored.
+elements are nested or left open, and whatever tags, quotes, comments or declarations aren't closed: what follows the last ``>`` is text, and a
+comment or section that nothing closes ends at the next ``>``. Repeated rows are rows of their own; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +36,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 import numpy as np
@@ -57,6 +61,7 @@ CLOSES = {t: frozenset(["p"]) for t in BLOCK - {"td", "th", "tr", "li", "dd", "d
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: words of names by what they tell of: reader comments, adverts and the like, other parts of a page
 COMMENTS = frozenset("comment comments commentlist disqus replies respond".split())
+THREADS = frozenset("discussion discussions feedback reactions responses talkback".split())
 ADVERTS = frozenset(
     "ad ads advert adverts advertisement advertisements adslot consent cookie cookies newsletter popup promo promoted promotion share sharing signup skyscraper "
     "social sponsor sponsored subscribe".split()
@@ -71,7 +76,7 @@ NEUTRAL = frozenset(
     "link links list main mobile module my new outer page panel primary reader row section site slot small sub text the title top ui unit user view wrap wrapper right secondary".split()
 )
 #: and those that tell nothing beside words of one kind
-ABOUT = {"comment": frozenset("article blog entry news post posts story".split()), "advert": frozenset("article blog entry post".split()), "part": frozenset("articles links posts reading stories topics".split())}
+ABOUT = {"comment": frozenset("article blog entry news post posts story".split()), "thread": frozenset("article blog entry news post posts readers story user users visitor visitors".split()), "advert": frozenset("article blog entry post".split()), "part": frozenset("articles links posts reading stories topics".split())}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: elements at which the search for an open element that a start tag ends stops (a cell's own start tag looks past cells)
 BARRIER = CONTAINER | (BLOCK - {"p", "li", "dd", "dt", "tr", "td", "th", "option"})
@@ -79,7 +84,8 @@ CELLS = frozenset(["tr", "td", "th"])
 _CAMEL = re.compile(r"([a-z])([A-Z])")
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _SPACE = re.compile(r"\s+")
-COMMENT, ADVERT, PART, FORM = "comment", "advert", "part", "form"
+_COMMENT_END = re.compile(r"--\s*>")
+COMMENT, THREAD, ADVERT, PART, FORM = "comment", "thread", "advert", "part", "form"
 
 
 def told(names: str) -> str | None:
@@ -87,10 +93,10 @@ def told(names: str) -> str | None:
     found = set()
     for name in names.split():
         words = [w for w in _SPLIT.split(_CAMEL.sub(r"\1 \2", name).lower()) if w and not w.isdigit() and len(w) > 1]
-        for kind, known in ((COMMENT, COMMENTS), (ADVERT, ADVERTS), (PART, PARTS)):
-            if not known.isdisjoint(words) and all(w in NEUTRAL or w in ABOUT[kind] or w in COMMENTS or w in ADVERTS or w in PARTS for w in words):
+        for kind, known in ((COMMENT, COMMENTS), (THREAD, THREADS), (ADVERT, ADVERTS), (PART, PARTS)):
+            if not known.isdisjoint(words) and all(w in NEUTRAL or w in ABOUT[kind] or w in COMMENTS or w in THREADS or w in ADVERTS or w in PARTS for w in words):
                 found.add(kind)
-    return next((kind for kind in (COMMENT, ADVERT, PART) if kind in found), None)
+    return next((kind for kind in (COMMENT, THREAD, ADVERT, PART) if kind in found), None)
 
 
 class Lines(HTMLParser):
@@ -103,9 +109,37 @@ class Lines(HTMLParser):
         self.where: dict[str, list[int]] = {}  # places of each open tag
         self.barriers, self.tables, self.containers = [-1], [-1], [-1]  # places of open barriers, those but cells, and containers
         self.nodes: list[tuple[int, bool, str | None, bool]] = [(0, False, None, False)]
+        self.alike: list[tuple[str, str]] = [("", "")]  # each node's tag and class
         self.lines: list[tuple[str, int, int, int]] = []
         self.text, self.tags, self.linked = [], 0, 0
-        self.dropped = self.articles = 0
+        self.dropped = self.articles = self.threads = 0
+
+    def read(self, html: str):
+        """The whole page. The parser looks for the end of each tag that isn't closed up to the page's end, so what has none isn't given to it."""
+        end = html.rfind(">") + 1
+        self.ends: tuple[str, int, int] | None = None
+        self.feed(html[:end])
+        self.close()
+        if end < len(html) and self.cdata_elem is None:
+            self.handle_data(unescape(html[end:]))
+        self.cut()
+
+    def closed(self) -> tuple[str, int, int]:
+        """The text being parsed, and where its last comment and its last section can begin to be closed."""
+        if self.ends is None or self.ends[0] is not self.rawdata:
+            last = 0
+            for m in _COMMENT_END.finditer(self.rawdata):
+                last = m.start()
+            self.ends = (self.rawdata, last - 4, self.rawdata.rfind("]]>"))
+        return self.ends
+
+    def parse_comment(self, i, report=1):
+        return super().parse_comment(i, report) if i <= self.closed()[1] else -1
+
+    def parse_marked_section(self, i, report=1):
+        if self.rawdata[i : i + 9].lower() == "<![cdata[" and i <= self.closed()[2]:
+            return self.rawdata.index("]]>", i) + 3
+        return self.parse_bogus_comment(i)
 
     def node(self) -> int:
         return self.open[-1][1] if self.open else 0
@@ -140,7 +174,9 @@ class Lines(HTMLParser):
                 if places[-1] == len(self.open):
                     places.pop()
             self.dropped -= dropped
-            self.articles -= self.nodes[node][1] and node != self.node()
+            if node != self.node():
+                self.articles -= self.nodes[node][1]
+                self.threads -= self.nodes[node][2] == THREAD
 
     def handle_starttag(self, tag, attrs):
         if tag not in HEAD:
@@ -168,8 +204,10 @@ class Lines(HTMLParser):
             if tag in BLOCK and tag not in HEADINGS and tag != "main":
                 kind = told(given.get("class", "") + " " + given.get("id", "")) or kind
         node = self.node()
-        if tag in CONTAINER or article or kind:
+        if tag in CONTAINER or article or kind or tag == "li" and self.threads:
             self.nodes.append((node, article and kind is None, kind, within))
+            self.alike.append((tag, given.get("class", "")))
+            self.threads += kind == THREAD
             node = len(self.nodes) - 1
             self.articles += self.nodes[node][1]
         self.push(tag, node, out)
@@ -246,9 +284,22 @@ def _sizes(nodes, lines) -> tuple[list[float], list[float]]:
     return _summed(nodes, text), _summed(nodes, links)
 
 
-def _no_content(nodes, lines) -> list[bool]:
+def _threads(nodes, alike, text) -> set[int]:
+    """The nodes with two or more children alike that hold most of their text; of those named like a thread only."""
+    kinds: dict[int, dict] = {}
+    for i in range(1, len(nodes)):
+        # a list's items count as children of what holds the list
+        if nodes[nodes[i][0]][2] == THREAD and (alike[i][1] or alike[i][0] in ("li", "article")) and text[i]:
+            sizes = kinds.setdefault(nodes[i][0], {}).setdefault(alike[i], [0, 0])
+            sizes[0] += 1
+            sizes[1] += text[i]
+    return {i for i, by in kinds.items() if any(n > 1 and 2 * size > text[i] for n, size in by.values())}
+
+
+def _no_content(nodes, lines, alike) -> list[bool]:
     """The nodes that go by their names, weighed as the module says."""
     text, links = _sizes(nodes, lines)
+    threads = _threads(nodes, alike, text)
     top = [0] * len(nodes)  # the outermost article around each node
     for i in range(1, len(nodes)):
         top[i] = top[nodes[i][0]] or (i if nodes[i][1] else 0)
@@ -258,12 +309,12 @@ def _no_content(nodes, lines) -> list[bool]:
     inner = _summed(nodes, inner)
     gone = [False] * len(nodes)
     for i, (_, _, kind, within) in enumerate(nodes):
-        if kind is None:
+        if kind is None or kind == THREAD and i not in threads:
             continue
         if kind == FORM:
             gone[i] = within or text[i] < 0.75 * text[0]
         elif within:
-            gone[i] = kind == COMMENT or kind == ADVERT and 2 * text[i] < text[top[i]] or kind == PART and 2 * links[i] >= text[i]
+            gone[i] = kind in (COMMENT, THREAD) or kind == ADVERT and 2 * text[i] < text[top[i]] or kind == PART and 2 * links[i] >= text[i]
         elif inner[0]:
             gone[i] = 2 * inner[i] < inner[0]
         else:
@@ -273,11 +324,9 @@ def _no_content(nodes, lines) -> list[bool]:
 
 def extract(html: str, sigma: float = 1.0) -> str:
     page = Lines()
-    page.feed(html)
-    page.close()
-    page.cut()
+    page.read(html)
     nodes = page.nodes
-    gone = _no_content(nodes, page.lines)
+    gone = _no_content(nodes, page.lines, page.alike)
     lines = [x for x in page.lines if not gone[x[3]]]
     if not lines:
         return ""

@@ -751,6 +751,37 @@ def test_main_text_costs_linear_time():
     assert main_text.extract("<article>" + "<p>one</p>" * n + "</article>").count("\n") == n - 1
 
 
+@pytest.mark.parametrize(
+    "piece", ["a<b c", "<b c ", '<b c="', "<b c='x ", "<!--", "<!--x>", "<!-- -", "<!x ", "<![cdata[x>", "<![if x", "<![foo[x>", "<?x ", "</x ", "</ x>", "&#", "&ampx", "<", "<script></x ", '<a b="\'><c d=\'">']
+)
+def test_main_text_costs_linear_time_on_what_is_not_closed(piece):
+    import time
+
+    article, many = "<article><p>" + "word " * 50 + "</p></article>", piece * (1_000_000 // len(piece))
+    for html in (many, many + '"', many + ">", article + many, "<p>" + many):
+        began = time.perf_counter()
+        got = main_text.extract(html)
+        assert time.perf_counter() - began < 5, html[:20]
+        assert html[:9] != "<article>" or got.startswith("word word")
+
+
+def test_main_text_keeps_what_follows_the_last_tag():
+    assert main_text.extract("<article><p>One</p>two &amp; a < b") == "One\ntwo & a < b"
+    assert main_text.extract("<article><p>One <![CDATA[x > y]]>two<![foo[z]>three<!-- c --></p>") == "One twothree"
+    assert main_text.extract("no markup at all") == "no markup at all" and main_text.extract("<script>a > b; c") == ""
+
+
+def test_reader_threads_go_by_their_structure():
+    body = "".join(f"<p>{'word ' * 30}{i}</p>" for i in range(3))
+    one = lambda i: f"<p>user{i}</p><p>I read this with interest, thank you. {i}</p>"
+    div, items = "".join(f"<div class=r>{one(i)}</div>" for i in range(4)), "<ol>" + "".join(f"<li>{one(i)}</li>" for i in range(4)) + "</ol>"
+    for name in ("class=reader-responses", "class=discussion", "id=userFeedback"):
+        for thread in (div, items, "<h3>What readers say</h3>" + div):
+            assert main_text.extract(f"<body><article>{body}<section {name}>{thread}</section></article></body>").count("\n") == 2
+    paper = f"<section class=discussion><h2>Discussion</h2>{body}<div>{body}</div></section>"
+    assert main_text.extract(f"<body><article>{body}{paper}</article></body>").count("\n") == 9
+
+
 def test_main_text_of_pages(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     for r in main_text.main_text(pages).join(pages.select("page_id", "html"), "page_id").collect():
