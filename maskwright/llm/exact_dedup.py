@@ -40,6 +40,7 @@ from .store import spread, written
 SPACES = b" \t\n\x0b\x0c\r"
 FAN = 16  # parts of a spilled bucket
 FILL = 4  # times the room that all bytes need
+BATCH_BYTES = 4 << 20  # of contents that go on to a further pass
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -115,7 +116,7 @@ def merged(records: DataFrame, bucket_bytes: int) -> DataFrame:
     kind = records.schema["best_id"].dataType.simpleString()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, by_sha, held, bucket, spilled, out, ids = {}, {}, 0, None, False, [], None
+        table, by_sha, held, bucket, spilled, out, waiting, ids = {}, {}, 0, None, False, [], 0, None
         for batch in batches:
             ids = batch.schema.field(5).type
             for own, sha, content, count, size, key in zip(*(c.to_pylist() for c in batch.columns)):
@@ -124,6 +125,7 @@ def merged(records: DataFrame, bucket_bytes: int) -> DataFrame:
                     table, by_sha, held, bucket, spilled = {}, {}, 0, own, False
                 if spilled:
                     out.append((own, sha, content, count, size, key))
+                    waiting += len(content)
                 elif content in table:
                     _, had, best = table[content]
                     table[content] = (sha, had + count, _better(best, (size, key)))
@@ -134,10 +136,11 @@ def merged(records: DataFrame, bucket_bytes: int) -> DataFrame:
                     held += len(content) + 300
                     if held > bucket_bytes and len(table) > 1:
                         out += [(own, sha_, flat, n, *best) for flat, (sha_, n, best) in table.items()]
+                        waiting += held
                         table, by_sha, spilled = {}, {}, True
-                if len(out) >= 1000 or spilled and out:
+                if len(out) >= 1000 or waiting > BATCH_BYTES:
                     yield _records(out, ids)
-                    out = []
+                    out, waiting = [], 0
         out += [(bucket, sha_, None, n, *best) for sha_, n, best in table.values() if n > 1]
         if out:
             yield _records(out, ids)
@@ -166,12 +169,13 @@ def deduplicate(docs: DataFrame, bucket_bytes: int = 32 << 20) -> DataFrame:
     """Per document: doc_id, keep_id, group_size, kept, text_sha256."""
     keys = digests(docs)
     groups = duplicate_groups(docs, keys.agg(F.sum("n_bytes")).first()[0] or 0, bucket_bytes)
-    rows = keys.select("row", "doc_id", "n_chars", "sha").join(groups, "sha", "left")
-    # the row that stays is one of these; all but a few groups have one of them
-    best = rows.filter(F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars") == F.col("keep_chars")))
-    first = best.groupBy("sha").agg(F.min("row").alias("first"))
+    rows = keys.select("row", "doc_id", "n_chars", "sha")
+    # the row that stays is one of these; all but a few groups have one of them. The doc_id is in the key, so that the copies of a text aren't one key
+    same = (rows["sha"] == groups["sha"]) & rows["doc_id"].eqNullSafe(groups["keep_id"]) & (rows["n_chars"] == groups["keep_chars"])
+    first = rows.join(groups, same).groupBy(rows["sha"]).agg(F.min("row").alias("first"))
+    known = written(groups.join(first, "sha"), "groups")
     alone = F.col("group_size").isNull()
-    return rows.join(first, "sha", "left").select(
+    return rows.join(known, "sha", "left").select(
         "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"),
         (alone | F.coalesce(F.col("row") == F.col("first"), F.lit(False))).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"),
     )

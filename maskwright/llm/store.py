@@ -6,11 +6,12 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: folders of the open scratch blocks, the innermost last
-_OPEN: list[str] = []
+#: folders of the open scratch blocks of this thread, the innermost last
+_OPEN: ContextVar[tuple[str, ...]] = ContextVar("open", default=())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -19,8 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     Only a session that leaves the setting unset (tests, a laptop) gets a
     temporary folder of its own, which is then set for later calls.
     """
-    if _OPEN:
-        return f"{_OPEN[-1]}/{uuid.uuid4().hex}"
+    if _OPEN.get():
+        return f"{_OPEN.get()[-1]}/{uuid.uuid4().hex}"
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not base:
@@ -55,14 +56,14 @@ def drop(spark: SparkSession, path: str) -> None:
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Tables written inside the block are deleted at its end: what is made of them
+    """Tables that this thread writes inside the block are deleted at its end: what is made of them
     has to be written, elsewhere, before."""
     folder = shared_dir(spark)
-    _OPEN.append(folder)
+    before = _OPEN.set((*_OPEN.get(), folder))
     try:
         yield
     finally:
-        _OPEN.pop()
+        _OPEN.reset(before)
         drop(spark, folder)
 
 

@@ -84,3 +84,24 @@ def test_stages_keep_odd_rows_apart(spark, odd):
     one = near_dedup.keep_one(odd)
     assert sorted(str(r.doc_id) for r in one.collect()) == ["1", "2", "3", "4", "5"] and one.columns == odd.columns
     assert line_dedup.remove_repeats(odd, into=None).columns == odd.columns
+
+
+def test_scratch_folders_are_a_thread_s_own(spark):
+    import threading
+
+    from maskwright.llm import store
+
+    inside, done = threading.Event(), threading.Event()
+
+    def pipeline():
+        with store.scratch(spark):
+            inside.set()
+            done.wait(60)
+
+    other = threading.Thread(target=pipeline)
+    other.start()
+    inside.wait(60)
+    table = store.written(spark.range(10).toDF("id"))  # lazily read after the other thread's block has gone
+    done.set()
+    other.join()
+    assert table.count() == 10
