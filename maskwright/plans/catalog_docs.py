@@ -198,6 +198,21 @@ def h3(spark, d):
     return H.corpus_summary(load(spark, d, "parties"), docs)
 
 
+@query("h3_merged_sketches", S.with_("parties") + """
+ select entity_type, count(*) as n_spans, count(distinct original_text) as n_texts, count(distinct doc_id) as n_docs, true as texts_within, true as docs_within from parties group by all""")
+def h3s(spark, d):
+    """Sketches stored by file type and merged, held against the exact counts: within 4 %."""
+    entities = load(spark, d, "parties")
+    docs = entities.select("doc_id", F.when(F.col("doc_id") % 2 == 0, "docx").otherwise("pdf").alias("file_type")).distinct()
+    path = io.work_dir(spark)
+    H.summary_sketches(entities, docs).write.partitionBy("file_type").parquet(path)
+    about = H.estimated_summary(H.merged_sketches(spark.read.parquet(path), ("entity_type",)))
+    exact = entities.groupBy("entity_type").agg(F.count_distinct("original_text").alias("texts"), F.count_distinct("doc_id").alias("docs"))
+    within = lambda a, b: F.abs(F.col(a) - F.col(b)) <= 0.04 * F.col(b)
+    met = about.join(exact, "entity_type")
+    return met.select("entity_type", "n_spans", F.col("texts").alias("n_texts"), F.col("docs").alias("n_docs"), within("n_texts", "texts").alias("texts_within"), within("n_docs", "docs").alias("docs_within"))
+
+
 # -- history -------------------------------------------------------------------
 
 _LAST = "latest as (select seq, source_file from history qualify row_number() over (partition by lower(source_file) order by seq desc) = 1)"

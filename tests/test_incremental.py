@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from maskwright.operators import answers, history, ranks
+from maskwright.operators import answers, history, ranks, reports
 from maskwright.operators.history_store import HistoryStore
 from maskwright.streaming import incremental
 
@@ -133,3 +133,19 @@ def test_ranks_of_one_group_over_many_tasks(spark):
         own = sorted((r.x, r.r) for r in rows if r.g == g)
         assert [r for _, r in own] == list(range(len(own)))
     assert ranks.ranked(df.limit(0), "g", ["x"], "r").count() == 0
+
+
+def test_sketches_of_parts_are_those_of_the_whole(spark):
+    rows = spark.range(200_000).select((F.col("id") % 50_021).alias("doc_id"), F.concat(F.lit("v"), F.col("id") % 30_011).alias("original_text"), (F.col("id") % 3).cast("string").alias("entity_type"), (F.col("id") % 7).alias("day"))
+    docs = rows.select("doc_id", F.lit("docx").alias("file_type")).distinct()
+    by = ("entity_type",)
+    whole = reports.estimated_summary(reports.summary_sketches(rows, docs, by)).orderBy("entity_type").collect()
+    parts = reports.summary_sketches(rows, docs, ("day", "entity_type"))
+    merged = reports.estimated_summary(reports.merged_sketches(parts, by)).orderBy("entity_type").collect()
+    exact = rows.groupBy("entity_type").agg(F.count("*").alias("n"), F.count_distinct("original_text").alias("t"), F.count_distinct("doc_id").alias("d")).orderBy("entity_type").collect()
+    for w, m, e in zip(whole, merged, exact, strict=True):
+        assert w.n_spans == m.n_spans == e.n
+        for x in (w, m):
+            assert abs(x.n_texts - e.t) < 0.04 * e.t and abs(x.n_docs - e.d) < 0.04 * e.d
+    none = rows.limit(0)
+    assert reports.estimated_summary(reports.merged_sketches(reports.summary_sketches(none, docs, by), by)).count() == 0
