@@ -41,17 +41,25 @@ def read_corpus(spark: SparkSession, path: str, kind: str = "parquet", schema: s
     return reader.format(kind).load(path)
 
 
-def write_masked(masked: DataFrame, path: str, mode: str = "append") -> None:
-    """S3: masked documents, by file type if the table has it."""
+def _to(path: str, mode: str, run: str | None) -> tuple[str, str]:
+    """Where a sink writes, and how: a named run has a folder of its own, which is written anew when the run is repeated."""
+    return (path, mode) if run is None else (f"{path}/run={run}", "overwrite")
+
+
+def write_masked(masked: DataFrame, path: str, mode: str = "append", run: str | None = None) -> None:
+    """S3: masked documents, by file type if the table has it. With ``run`` (a job's or batch's name) a repeated write leaves no second row."""
+    to, mode = _to(path, mode, run)
     writer = masked.write.mode(mode)
-    (writer.partitionBy("file_type") if "file_type" in masked.columns else writer).parquet(path)
+    (writer.partitionBy("file_type") if "file_type" in masked.columns else writer).parquet(to)
 
 
-def write_json_reports(reports: DataFrame, path: str, mode: str = "append") -> None:
-    """H1's rows as JSON lines."""
-    reports.select("report").write.mode(mode).text(path)
+def write_json_reports(reports: DataFrame, path: str, mode: str = "append", run: str | None = None) -> None:
+    """H1's rows as JSON lines. ``run`` as in ``write_masked``."""
+    to, mode = _to(path, mode, run)
+    reports.select("report").write.mode(mode).text(to)
 
 
-def write_txt_reports(reports: DataFrame, path: str, mode: str = "append") -> None:
-    """H2's rows as text blocks."""
-    reports.select("report").write.mode(mode).text(path, lineSep="\n\n")
+def write_txt_reports(reports: DataFrame, path: str, mode: str = "append", run: str | None = None) -> None:
+    """H2's rows as text blocks. ``run`` as in ``write_masked``."""
+    to, mode = _to(path, mode, run)
+    reports.select("report").write.mode(mode).text(to, lineSep="\n\n")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from maskwright.operators import answers, history, ranks, reports
 from maskwright.operators.history_store import HistoryStore
+from maskwright.sources import io
 from maskwright.streaming import incremental
 
 REQUESTS = "doc_id long, chunk_no int, prompt string"
@@ -149,3 +150,14 @@ def test_sketches_of_parts_are_those_of_the_whole(spark):
             assert abs(x.n_texts - e.t) < 0.04 * e.t and abs(x.n_docs - e.d) < 0.04 * e.d
     none = rows.limit(0)
     assert reports.estimated_summary(reports.merged_sketches(reports.summary_sketches(none, docs, by), by)).count() == 0
+
+
+def test_a_repeated_run_of_the_sinks_has_no_second_row(spark, tmp_path):
+    masked = spark.createDataFrame([(1, "a", "docx"), (2, "b", "pdf")], "doc_id long, masked string, file_type string")
+    reports_ = spark.createDataFrame([("{}",), ("{}",)], "report string")
+    for run in ("r1", "r1", "r2"):
+        io.write_masked(masked, f"{tmp_path}/m", run=run)
+        io.write_json_reports(reports_, f"{tmp_path}/j", run=run)
+        io.write_txt_reports(reports_, f"{tmp_path}/t", run=run)
+    assert spark.read.parquet(f"{tmp_path}/m").count() == 4 and spark.read.text(f"{tmp_path}/j").count() == 4
+    assert spark.read.text(f"{tmp_path}/t", lineSep="\n\n").count() == 4
