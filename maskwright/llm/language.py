@@ -2,10 +2,10 @@
 
 Texts are lower-cased, every character that is no letter becomes a space and runs of
 spaces one, then n-grams of 1 to ``max_n`` characters are hashed to ``buckets``.
-*Fit*: each task sums its counts of (language, bucket), Spark adds them up, and
-the smoothed log-probability matrix (languages x buckets, a size that the data
-doesn't change) is broadcast. *Score*: each batch's n-grams pick their rows of the
-matrix in numpy and are summed document by document.
+*Fit*: each task sums its counts of (language, bucket), Spark adds them up and makes each language's column of
+smoothed log-probabilities, a task a language; the matrix (languages x buckets, a size that grows with the number of languages alone) is broadcast in blocks of
+``BLOCK`` languages, of which the driver holds one at a time. *Score*: each batch's n-grams pick their rows of a
+block in numpy and are summed document by document; the best language and the sum of likelihoods are carried from block to block.
 
 Prediction sees the text only. ``und`` with score 0 if a text is null or has no
 letter, or if nothing was learned. Of equal scores the first language in string
@@ -22,12 +22,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import written
 from .words import mix
 
-MAX_LANGUAGES = 400  # a matrix of 105 MB at 65,536 buckets
+BLOCK = 400  # languages: a matrix of 105 MB at 65,536 buckets
 UNKNOWN = "und"
 
 
@@ -90,8 +92,8 @@ def _runs(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
 
 @dataclass
 class Model:
-    languages: list[str]
-    logp: np.ndarray  # buckets x languages
+    languages: list[list[str]]  # by block, all in string order
+    logp: list[Broadcast]  # buckets x languages of a block
     buckets: int
     max_n: int
 
@@ -112,53 +114,57 @@ def fit(labelled: DataFrame, buckets: int = 1 << 16, max_n: int = 3, smoothing:
                     counts[name] = counts[name] + x if name in counts else x
         for name, x in counts.items():
             at = np.flatnonzero(x)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at), pa.array(x[at])], names=["lang", "bucket", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(x[at], pa.int64())], names=["lang", "bucket", "n"])
 
     rows = labelled.filter("lang is not null").select("text", "lang").mapInArrow(count, "lang string, bucket long, n long")
     total = rows.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    languages = sorted(r.lang for r in labelled.filter("lang is not null").select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"{len(languages)} languages; the matrix is broadcast for at most {MAX_LANGUAGES}")
-    table = total.toArrow()  # at most languages x buckets rows
-    logp = np.zeros((buckets, len(languages)), np.float32)
-    number = pc.index_in(table["lang"], pa.array(languages, pa.string())).to_numpy()
-    bucket, n = table["bucket"].to_numpy(), table["n"].to_numpy()
-    order = np.argsort(number, kind="stable")
-    edges = np.searchsorted(number[order], np.arange(len(languages) + 1))
-    for k, (a, b) in enumerate(zip(edges, edges[1:])):  # a language at a time, so only one column is held in full precision
+
+    def column(group: pa.Table) -> pa.Table:  # at most a row a bucket
         count = np.full(buckets, smoothing)
-        count[bucket[order[a:b]]] += n[order[a:b]]
-        logp[:, k] = np.log(count / count.sum())
-    return Model(languages, logp, buckets, max_n)
+        count[group["bucket"].to_numpy()] += group["n"].to_numpy()
+        return pa.table({"lang": group["lang"][:1], "logp": pa.array([np.log(count / count.sum()).astype("<f4").tobytes()], pa.binary())})
+
+    columns = written(total.groupBy("lang").applyInArrow(column, "lang string, logp binary"), "languages")
+    # a language whose texts have no letter has no column: all buckets are alike
+    languages = sorted(r.lang for r in labelled.filter("lang is not null").select("lang").distinct().collect())
+    blocks = [languages[i : i + BLOCK] for i in range(0, len(languages), BLOCK)]
+    shared = []
+    for block in blocks:
+        logp = np.full((buckets, len(block)), np.log(1 / buckets), np.float32)
+        number = {g: k for k, g in enumerate(block)}
+        for r in columns.filter(F.col("lang").between(block[0], block[-1])).toLocalIterator():
+            logp[:, number[r.lang]] = np.frombuffer(r.logp, "<f4")
+        shared.append(labelled.sparkSession.sparkContext.broadcast(logp))
+    return Model(blocks, shared, buckets, max_n)
 
 
 def score_texts(texts: list[str], model: Model, evidence: int = 200) -> tuple[list[str], list[float]]:
     langs, scores = [], []
     for a, b in _runs(texts):
         bucket, row, has = gram_buckets(texts[a:b], model.buckets, model.max_n)
-        if not model.languages:
-            langs += [UNKNOWN] * (b - a)
-            scores += [0.0] * (b - a)
-            continue
-        total = np.stack([np.bincount(row, model.logp[bucket, k], minlength=b - a)[: b - a] for k in range(len(model.languages))], 1)
-        n = np.bincount(row, minlength=b - a)[: b - a, None]
-        total *= np.minimum(1, evidence / np.maximum(n, 1))
-        best = total.argmax(1)
-        odds = np.exp(total - total.max(1, keepdims=True))
-        p = odds.max(1) / odds.sum(1)
-        langs += [model.languages[k] if h else UNKNOWN for k, h in zip(best.tolist(), has.tolist())]
-        scores += np.where(has, p, 0.0).tolist()
+        share = np.minimum(1, evidence / np.maximum(np.bincount(row, minlength=b - a)[: b - a, None], 1))
+        top, odds, best = np.full(b - a, -np.inf), np.zeros(b - a), np.full(b - a, UNKNOWN, object)
+        for names, logp in zip(model.languages, model.logp, strict=True):
+            matrix = logp.value
+            total = np.stack([np.bincount(row, matrix[bucket, k], minlength=b - a)[: b - a] for k in range(len(names))], 1) * share
+            most = np.maximum(top, total.max(1))
+            with np.errstate(invalid="ignore"):
+                odds = np.where(np.isfinite(top), odds * np.exp(top - most), 0) + np.exp(total - most[:, None]).sum(1)
+            best = np.where(total.max(1) > top, np.array(names, object)[total.argmax(1)], best)  # of equal ones the first
+            top = most
+        known = has & np.isfinite(top)
+        langs += [x if h else UNKNOWN for x, h in zip(best.tolist(), known.tolist())]
+        scores += np.where(known, 1 / np.maximum(odds, 1), 0.0).tolist()
     return langs, scores
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang_pred, score)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, scores = score_texts(pc.fill_null(batch.column(1), "").to_pylist(), shared.value)
+            langs, scores = score_texts(pc.fill_null(batch.column(1), "").to_pylist(), model)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
@@ -177,13 +183,12 @@ def identify(docs: DataFrame) -> DataFrame:
 
 def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """``docs`` without those whose language can't be told: ``und``, or a score below ``least``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = None
         for batch in batches:
             at = batch.schema.get_field_index("text") if at is None else at
-            langs, scores = score_texts(pc.fill_null(batch.column(at), "").to_pylist(), shared.value)
+            langs, scores = score_texts(pc.fill_null(batch.column(at), "").to_pylist(), model)
             yield batch.filter(pa.array([g != UNKNOWN and s >= least for g, s in zip(langs, scores)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

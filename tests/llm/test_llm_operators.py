@@ -687,6 +687,15 @@ def test_main_text():
     assert main_text.extract("") == "" and main_text.extract("<p>") == "" and main_text.extract("plain &lt;text&gt;") == "plain <text>"
 
 
+@pytest.mark.parametrize("block", [1, 2, 3])
+def test_languages_in_blocks_are_those_in_one(spark, docs, monkeypatch, block):
+    many = docs.withColumn("lang", docs["doc_id"].cast("string").substr(1, 1))
+    whole = sorted((r.doc_id, r.lang_pred, round(r.score, 9)) for r in language.identify(many).collect())
+    monkeypatch.setattr(language, "BLOCK", block)
+    assert sorted((r.doc_id, r.lang_pred, round(r.score, 9)) for r in language.identify(many).collect()) == whole
+    assert len({x[1] for x in whole}) > 4
+
+
 def test_main_text_without_article():
     body = "".join(f"<p>{'word ' * 40}{i}</p>" for i in range(5))
     page = f"<body><div id=top><a href=x>a</a> <a href=y>b</a></div><div><div class=post>{body}<p>End.</p></div></div><div class=sidebar>{body}</div></body>"
