@@ -6,13 +6,13 @@ the whole text, across line ends, wherever they begin (the whole text if it is s
 notices are found as one line, wrapped, or behind comment signs. A block matches if it holds at
 least ``threshold`` of the template's distinct words (containment).
 
-1. One pass over the texts finds the base phrases and which template words each document holds.
-   Only documents that hold enough words of some template (length filter) keep their words.
-2. Template words are ordered by their document frequency in the whole corpus, rarest
-   first. A block that matches has one of the first ``|T| - need + 1`` (prefix filter): the
-   places of these words meet the templates by an equi-join; the templates are a fixed parameter
-   of at most ``MAX_TEMPLATES`` and are broadcast.
-3. Blocks around a place are counted at the rarest template word they hold, so from that word on
+1. One pass over the texts finds the base phrases and which template words each document holds, and keys each text by its digest; no text is kept.
+2. Template words are ordered by their document frequency in the whole corpus, rarest first. A block that matches has one of the first
+   ``|T| - need + 1`` (prefix filter): the prefix words that a text holds meet the templates by an equi-join on the word. Of these pairs
+   only do the held words and the template's meet in full; ``need`` must be in common (length filter). So the number of templates doesn't matter
+   for texts that hold none of their rare words.
+3. The texts of the pairs that are left, each once however many rows have it, are read again. The places of prefix words meet their templates by word.
+   Blocks around a place are counted at the rarest template word they hold, so from that word on
    in the global order both the template and the words around the place must have
    ``need`` in common (positional filter).
 4. What is left is counted in full, block by block.
@@ -34,7 +34,6 @@ from .store import written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-MAX_TEMPLATES = 1_000
 
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
@@ -96,8 +95,6 @@ def count_words(spaced: Column) -> Column:
 
 
 def template_sets(templates, threshold: float) -> list[dict]:
-    if len(templates) > MAX_TEMPLATES:
-        raise ValueError(f"{len(templates)} templates; at most {MAX_TEMPLATES} are broadcast")
     out = []
     for number, (label, text) in enumerate(templates):
         tokens = sorted(set(text.split()))
@@ -114,34 +111,34 @@ def _places(phrase: str) -> Column:
     return F.when(F.contains("spaced", F.lit(f" {phrase} ")), F.filter(starts, here)).otherwise(F.array().cast("array<int>"))
 
 
+def text_key(text: Column) -> Column:
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+
+
 def surveyed(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8) -> DataFrame:
-    """(row, doc_id, n_words, n_base, first_word, last_word, base, held, spaced): the phrases'
-    places and labels, the template words that stand in the text, and its words if they are
-    enough for some template."""
+    """(key, doc_id, n_words, n_base, first_word, last_word, base, held): the phrases' places and labels, and the template
+    words that stand in the text."""
     sets = template_sets(templates, threshold)
     vocabulary = F.array(*[F.lit(w) for w in sorted({w for t in sets for w in t["tokens"]})]).cast("array<string>")
-    found = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", word_text(F.col("text")).alias("spaced"))
-    found = found.select("row", "doc_id", "spaced", count_words(F.col("spaced")).alias("n_words"), words_of(F.col("spaced")).alias("words"))
+    found = docs.select("doc_id", text_key(F.col("text")).alias("key"), word_text(F.col("text")).alias("spaced"))
+    found = found.select("key", "doc_id", "spaced", count_words(F.col("spaced")).alias("n_words"), words_of(F.col("spaced")).alias("words"))
     some = F.lit(False)
     for phrase in PHRASES:
         some |= F.contains("spaced", F.lit(f" {phrase} "))
-    found = found.select("row", "doc_id", "n_words", "spaced", F.array_intersect(vocabulary, "words").alias("held"), F.when(some, F.col("words")).alias("words"))
-    # as one constant list: a condition for each template makes code that takes gigabytes to compile
-    asked = F.array(*[F.struct(F.array(*[F.lit(w) for w in t["tokens"]]).alias("tokens"), F.lit(t["need"]).alias("need")) for t in sets])
-    enough = F.exists(asked, lambda t: F.size(F.array_intersect("held", t["tokens"])) >= t["need"]) if sets else F.lit(False)
+    found = found.select("key", "doc_id", "n_words", "spaced", F.array_intersect(vocabulary, "words").alias("held"), F.when(some, F.col("words")).alias("words"))
     places = F.array(*[_places(p) for p in PHRASES])
-    found = found.select("row", "doc_id", "n_words", places.alias("places"), "held", F.when(enough, F.col("spaced")).alias("spaced"))
+    found = found.select("key", "doc_id", "n_words", places.alias("places"), "held")
     labels = F.array(*[F.when(F.size(F.col("places")[i]) > 0, F.lit(label)) for i, label in enumerate(PHRASES.values())])
     flat = F.flatten("places")
     found = found.select(
-        "row", "doc_id", "n_words", F.size(flat).cast("long").alias("n_base"), F.array_min(flat).cast("long").alias("first_word"),
-        F.array_max(flat).cast("long").alias("last_word"), F.array_sort(F.array_distinct(F.array_compact(labels))).alias("base"), "held", "spaced",
+        "key", "doc_id", "n_words", F.size(flat).cast("long").alias("n_base"), F.array_min(flat).cast("long").alias("first_word"),
+        F.array_max(flat).cast("long").alias("last_word"), F.array_sort(F.array_distinct(F.array_compact(labels))).alias("base"), "held",
     )
-    return written(found, "surveyed")  # the rows' numbers are fixed from here on
+    return written(found, "surveyed")
 
 
 def prefix_words(survey: DataFrame, sets: list[dict]) -> tuple[DataFrame, Column]:
-    """The templates by prefix word (word, template, label, size, rest, need, width), rest being the
+    """The templates by prefix word (word, template, label, size, tokens, rest, need, width), rest being the
     template's words from that one on, and all prefix words."""
     counts = survey.select(F.explode("held").alias("word")).groupBy("word").count()
     df = {r["word"]: r["count"] for r in counts.collect()}  # a row a template word
@@ -150,22 +147,32 @@ def prefix_words(survey: DataFrame, sets: list[dict]) -> tuple[DataFrame, Column
         order = sorted(t["tokens"], key=lambda w: (df.get(w, 0), w))
         for at, w in enumerate(order[: len(order) - t["need"] + 1]):
             prefixes.add(w)
-            rows.append((w, t["number"], t["label"], len(order), order[at:], t["need"], t["width"]))
-    known = survey.sparkSession.createDataFrame(rows, "word string, template int, label string, size int, rest array<string>, need int, width int")
+            rows.append((w, t["number"], t["label"], len(order), order, order[at:], t["need"], t["width"]))
+    known = survey.sparkSession.createDataFrame(rows, "word string, template int, label string, size int, tokens array<string>, rest array<string>, need int, width int")
     return known, F.array(*[F.lit(w) for w in sorted(prefixes)]).cast("array<string>")
 
 
-def license_blocks(survey: DataFrame, templates=TEMPLATES, threshold: float = 0.8) -> DataFrame:
-    """(row, doc_id, template, label, start, containment): around each place of a prefix word, the
-    first of the best blocks that match."""
+def hopeful(survey: DataFrame, known: DataFrame, asked: Column) -> DataFrame:
+    """(key, template) of the texts that hold a prefix word of a template and enough of its words."""
+    held = survey.filter(F.arrays_overlap("held", asked)).groupBy("key").agg(F.any_value("held").alias("held"))
+    pairs = held.select("key", "held", F.explode(F.array_intersect("held", asked)).alias("word")).join(known.select("word", "template", "tokens", "need"), "word")
+    return pairs.filter(F.size(F.array_intersect("held", "tokens")) >= F.col("need")).select("key", "template").distinct()
+
+
+def license_blocks(docs: DataFrame, survey: DataFrame, templates=TEMPLATES, threshold: float = 0.8) -> DataFrame:
+    """(key, template, label, start, containment): around each place of a prefix word, the
+    first of the best blocks that match. ``docs`` are the surveyed texts."""
     sets = template_sets(templates, threshold)
     known, asked = prefix_words(survey, sets)
     reach = max([t["width"] for t in sets], default=1)
-    words = survey.filter("spaced is not null").select("row", "doc_id", words_of(F.col("spaced")).alias("w"))
-    places = words.select("row", "doc_id", "w", F.posexplode("w").alias("p", "word")).filter(F.array_contains(asked, F.col("word")))
+    pairs = written(hopeful(survey, known, asked), "hopeful")
+    of = pairs.groupBy("key").agg(F.collect_set("template").alias("templates"))  # as many as there are templates at most
+    texts = docs.select(text_key(F.col("text")).alias("key"), "text").join(of, "key").groupBy("key").agg(F.any_value("text").alias("text"), F.any_value("templates").alias("templates"))
+    words = texts.select("key", "templates", words_of(word_text(F.col("text"))).alias("w"))
+    places = words.select("key", "templates", "w", F.posexplode("w").alias("p", "word")).filter(F.array_contains(asked, F.col("word")))
     low = F.greatest(F.col("p") - reach + 1, F.lit(0))
-    around = places.select("row", "doc_id", "word", low.alias("low"), (F.col("p") - low).alias("p"), F.slice("w", low + 1, F.col("p") - low + reach).alias("w"))
-    met = around.join(F.broadcast(known), "word")
+    around = places.select("key", "templates", "word", low.alias("low"), (F.col("p") - low).alias("p"), F.slice("w", low + 1, F.col("p") - low + reach).alias("w"))
+    met = around.join(known.drop("tokens"), "word").filter(F.array_contains("templates", F.col("template")))
     first = F.greatest(F.col("p") - F.col("width") + 1, F.lit(0))
     met = met.withColumn("near", F.slice("w", first + 1, F.col("p") - first + F.col("width"))).withColumn("first", F.col("low") + first)
     met = met.filter(F.size(F.array_intersect("rest", "near")) >= F.col("need"))
@@ -173,15 +180,15 @@ def license_blocks(survey: DataFrame, templates=TEMPLATES, threshold: float = 0.
     # the most words, then the first block: starts are negative so that the greatest pair is that
     block = lambda i: F.struct(F.size(F.array_intersect("rest", F.slice("near", i, F.col("width")))).alias("shared"), (-i).alias("at"))
     met = met.withColumn("best", F.array_max(F.transform(starts, block))).filter(F.col("best.shared") >= F.col("need"))
-    return met.select("row", "doc_id", "template", "label", (F.col("first") - F.col("best.at") - 1).alias("start"), (F.col("best.shared") / F.col("size")).alias("containment"))
+    return met.select("key", "template", "label", (F.col("first") - F.col("best.at") - 1).alias("start"), (F.col("best.shared") / F.col("size")).alias("containment"))
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8) -> DataFrame:
     """Per document: doc_id, n_words, n_base, first_word, last_word, base_labels,
     labels, score (1 with a base label, else the best containment of a match, else 0)."""
     survey = surveyed(docs.select("doc_id", "text"), templates, threshold)
-    met = license_blocks(survey, templates, threshold).groupBy("row").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
-    rows = survey.drop("held", "spaced").join(met, "row", "left")
+    met = license_blocks(docs, survey, templates, threshold).groupBy("key").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
+    rows = survey.drop("held").join(written(met, "met"), "key", "left")
     both = F.array_sort(F.array_union("base", F.coalesce("more", F.array().cast("array<string>"))))
     return rows.select(
         "doc_id", "n_words", "n_base", "first_word", "last_word",

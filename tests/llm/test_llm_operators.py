@@ -308,10 +308,29 @@ def test_whole_licenses_are_found(spark):
     docs = spark.createDataFrame([(i, "x " * i + wrapped(body)) for i, (_, body) in enumerate(licenses.TEMPLATES)], "doc_id long, text string")
     got = {r.doc_id: r for r in licenses.scan(docs).collect()}
     assert all(label in got[i].labels.split(",") and got[i].score == 1.0 for i, (label, _) in enumerate(licenses.TEMPLATES))
-    starts = {r.doc_id: r.start for r in licenses.license_blocks(licenses.surveyed(docs)).filter("template = doc_id and containment = 1").collect()}
+    survey = licenses.surveyed(docs)
+    met = licenses.license_blocks(docs, survey).join(survey.select("key", "doc_id"), "key")
+    starts = {r.doc_id: r.start for r in met.filter("template = doc_id and containment = 1").collect()}
     assert set(starts) == set(got)
 
 
+def test_many_templates_cost_little_more_than_few(spark):
+    import time
+
+    rnd = random.Random(8)
+    made = [("own", " ".join(rnd.choice(["the", "license", "of", "under", "and"]) if rnd.random() < 0.5 else f"rare{rnd.randrange(20_000)}" for _ in range(20))) for _ in range(1500)]
+    docs = spark.createDataFrame([(i, " ".join(rnd.choice(["the", "license", "of", "under", "and", "w"]) for _ in range(300)) + (" " + made[i][1] if i % 50 == 0 else "")) for i in range(600)], "doc_id long, text string")
+
+    def cost(templates):
+        began = time.perf_counter()
+        found = {r.doc_id for r in licenses.scan(docs, templates).filter("labels like '%own%'").collect()}
+        return time.perf_counter() - began, found
+
+    cost(licenses.TEMPLATES)
+    few, many = cost(licenses.TEMPLATES), cost([*licenses.TEMPLATES, *made])
+    assert many[1] == set(range(0, 600, 50)) and few[1] == set() and many[0] < 3 * few[0] + 5
+
+
 def test_license_notices_wrapped_over_lines(spark):
     mit = " * Permission is hereby granted, free of charge, to any\n * person obtaining a copy of this software\n * and associated documentation files (the X)"
     apache = "# you may not use this\n# file except in compliance with the License.\n# You may obtain a copy\n# of the License at\n"
