@@ -78,7 +78,13 @@ def gram_buckets(texts: list[str], buckets: int, max_n: int) -> tuple[np.ndarray
     return np.concatenate(found), np.concatenate(rows), has
 
 
-def _runs(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def _some(column: pa.Array, rows: int = 256) -> Iterator[list[str]]:
+    """A batch's texts a few at a time, nulls as empty: as Python strings all of them would take several times the batch."""
+    for at in range(0, len(column), rows):
+        yield pc.fill_null(column.slice(at, rows), "").to_pylist()
+
+
+def _runs(texts: list[str], most: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Runs of rows with about ``most`` characters; a longer text is one of its own."""
     start = size = 0
     for i, t in enumerate(texts):
@@ -104,14 +110,15 @@ def fit(labelled: DataFrame, buckets: int = 1 << 16, max_n: int = 3, smoothing:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
         for batch in batches:
-            texts = pc.fill_null(batch.column(0), "").to_pylist()
-            langs = np.array(batch.column(1).to_pylist(), object)
-            for a, b in _runs(texts):
-                bucket, row, _ = gram_buckets(texts[a:b], buckets, max_n)
-                names, code = np.unique(langs[a:b].astype(str), return_inverse=True)
-                table = np.bincount(code[row] * buckets + bucket, minlength=len(names) * buckets).reshape(len(names), buckets)
-                for name, x in zip(names.tolist(), table):
-                    counts[name] = counts[name] + x if name in counts else x
+            langs, done = np.array(batch.column(1).to_pylist(), object), 0
+            for texts in _some(batch.column(0)):
+                for a, b in _runs(texts):
+                    bucket, row, _ = gram_buckets(texts[a:b], buckets, max_n)
+                    names, code = np.unique(langs[done + a : done + b].astype(str), return_inverse=True)
+                    table = np.bincount(code[row] * buckets + bucket, minlength=len(names) * buckets).reshape(len(names), buckets)
+                    for name, x in zip(names.tolist(), table):
+                        counts[name] = counts[name] + x if name in counts else x.copy()
+                done += len(texts)
         for name, x in counts.items():
             at = np.flatnonzero(x)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(x[at], pa.int64())], names=["lang", "bucket", "n"])
@@ -138,6 +145,16 @@ def fit(labelled: DataFrame, buckets: int = 1 << 16, max_n: int = 3, smoothing:
     return Model(blocks, shared, buckets, max_n)
 
 
+def score_column(column: pa.Array, model: Model) -> tuple[list[str], list[float]]:
+    """The language of each text of a batch, and its score."""
+    langs, scores = [], []
+    for texts in _some(column):
+        own = score_texts(texts, model)
+        langs += own[0]
+        scores += own[1]
+    return langs, scores
+
+
 def score_texts(texts: list[str], model: Model, evidence: int = 200) -> tuple[list[str], list[float]]:
     langs, scores = [], []
     for a, b in _runs(texts):
@@ -164,7 +181,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, scores = score_texts(pc.fill_null(batch.column(1), "").to_pylist(), model)
+            langs, scores = score_column(batch.column(1), model)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
@@ -188,7 +205,7 @@ def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFr
         at = None
         for batch in batches:
             at = batch.schema.get_field_index("text") if at is None else at
-            langs, scores = score_texts(pc.fill_null(batch.column(at), "").to_pylist(), model)
+            langs, scores = score_column(batch.column(at), model)
             yield batch.filter(pa.array([g != UNKNOWN and s >= least for g, s in zip(langs, scores)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
