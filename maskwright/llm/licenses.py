@@ -11,7 +11,7 @@ least ``threshold`` of the template's distinct words (containment).
    ``|T| - need + 1`` (prefix filter): the prefix words that a text holds meet the templates by an equi-join on the word. Of these pairs
    only do the held words and the template's meet in full; ``need`` must be in common (length filter). So the number of templates doesn't matter
    for texts that hold none of their rare words.
-3. The texts of the pairs that are left, each once however many rows have it, are read again. The places of prefix words meet their templates by word.
+3. Texts that hold a prefix word are read again, each once however many rows have it, and those of the pairs that are left go on. The places of prefix words meet their templates by word.
    Blocks around a place are counted at the rarest template word they hold, so from that word on
    in the global order both the template and the words around the place must have
    ``need`` in common (positional filter).
@@ -167,8 +167,9 @@ def license_blocks(docs: DataFrame, survey: DataFrame, templates=TEMPLATES, thre
     reach = max([t["width"] for t in sets], default=1)
     pairs = written(hopeful(survey, known, asked), "hopeful")
     of = pairs.groupBy("key").agg(F.collect_set("template").alias("templates"))  # as many as there are templates at most
-    texts = docs.select(text_key(F.col("text")).alias("key"), "text").join(of, "key").groupBy("key").agg(F.any_value("text").alias("text"), F.any_value("templates").alias("templates"))
-    words = texts.select("key", "templates", words_of(word_text(F.col("text"))).alias("w"))
+    # texts without a prefix word are left where they are: only the others meet the keys
+    near = docs.select(text_key(F.col("text")).alias("key"), words_of(word_text(F.col("text"))).alias("w")).filter(F.arrays_overlap("w", asked))
+    words = near.select("key", F.array_join("w", " ").alias("w")).groupBy("key").agg(F.any_value("w").alias("w")).join(of, "key").select("key", "templates", F.split("w", " ", -1).alias("w"))
     places = words.select("key", "templates", "w", F.posexplode("w").alias("p", "word")).filter(F.array_contains(asked, F.col("word")))
     low = F.greatest(F.col("p") - reach + 1, F.lit(0))
     around = places.select("key", "templates", "word", low.alias("low"), (F.col("p") - low).alias("p"), F.slice("w", low + 1, F.col("p") - low + reach).alias("w"))
