@@ -9,7 +9,7 @@ smallest, until one is left: what is uneven in one evens out the other. The work
    of a ``FACTOR``-th of that, and so on. Tiers that are small together are one.
 3. The first tier is differenced in one task. A later tier is dealt out by digest to blocks of about ``block`` groups, each a task of its own; a block gets, besides its groups, an
    equal share of what the shards hold so far as one more partial partition, so that its groups even out what larger ones left uneven, and its places are shards.
-   The shards' sums after a tier are the next one's start: ``shards`` numbers are all that the driver sees.
+   The shards' sums after a tier are the next one's start: ``shards`` numbers are all that the driver sees. Of the last tier one block waits for the others' sums.
 
 So tasks have bounded work, there are as many rounds as tiers (six for 10**11 groups), and what stays uneven is what the smallest groups leave. An input of up to
 ``block`` groups is one plain run of the method. ``block`` should be many times ``shards``.
@@ -126,8 +126,13 @@ def balanced(groups: DataFrame, shards: int = 40, block: int = BLOCK, factor: in
     for i in sorted(set(to)):
         members = [t for t, x in enumerate(to) if x == i]
         n = sum(counts[t] for t in members)
-        if n or i == 0:
-            part = _round(groups.filter(tier.between(min(members), max(members))), n, held, block)
+        own, blocks = groups.filter(tier.between(min(members), max(members))), -(-n // block)
+        rounds = [(own, n)] if n or i == 0 else []
+        if blocks > 1 and not sum(counts[max(members) + 1 :]):  # a block of the smallest comes after the others and evens out what they leave together
+            late = F.pmod(F.xxhash64("sha", F.lit(1)), F.lit(blocks)) == 0
+            rounds = [(own.filter(~late), n - n // blocks), (own.filter(late), n // blocks)]
+        for some, n in rounds:
+            part = _round(some, n, held, block)
             sums = {r.shard: r.s for r in part.groupBy("shard").agg(F.sum("bytes").alias("s")).collect()}
             held = [h + sums.get(j, 0) for j, h in enumerate(held)]
             out = part if out is None else out.unionByName(part)
