@@ -3,12 +3,14 @@ r"""Benchmark decontamination by a stored positional inverted index.
 1. *Index*: every task cuts its documents into segments of at most ``segment_bytes``
    (a longer text is one of its own) and writes the postings of all their words:
    a row for each term of a segment with its positions in ascending order. The rows of a file are
-   sorted by term, so a later search reads the row groups of the terms it asks for. One more
-   row a segment lists its documents. The index depends on the documents only: it is
-   made once and serves any test set.
-2. *Rarest first*: a grouped sum over the index tells how often each term of the test set
-   stands in the corpus, which orders the terms of each phrase.
-3. *Intersect*: the asked terms' lists meet by segment. A phrase's rarest list, moved back by
+   sorted by term. One more row a segment lists its documents. The index depends on the
+   documents only: it is made once and serves any test set.
+2. *Ask*: a search reads the index once for each block of test windows. Up to ``PUSHED_TERMS`` terms are a
+   filter of the scan, which then skips the pages of a file that hold none of them. The terms of a
+   larger test set stand in every page, so that nothing could be skipped: they meet the rows in a broadcast join.
+3. *Rarest first*: the asked terms' lists meet by segment. Their lengths there tell which terms of a phrase are rare
+   in the segment and order them; a phrase without one of its terms in the segment is out at once.
+4. *Intersect*: a phrase's rarest list, moved back by
    that term's offset, gives the places where it may start; these are intersected with the
    next rarer terms' lists, moved in the same way, until none is left or all terms agree.
    Proximity matches let up to ``slop`` other words stand between a phrase's words.
@@ -30,6 +32,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +46,7 @@ from .store import written
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SLOP = 2
+PUSHED_TERMS = 64
 _MUL_B = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -121,22 +126,28 @@ def documents(index: DataFrame) -> DataFrame:
 # -- search ---------------------------------------------------------------------
 
 
-def _plan(windows: list[tuple[tuple, list]], counts: dict[str, int], slops: list[int]) -> dict:
-    """The phrases whose terms all stand in the corpus, by their rarest term: terms and offsets
-    with the rarest first, terms in their own order, and the slop of each."""
-    number = {t: i for i, t in enumerate(sorted(counts))}
-    rows = []
-    for (words, items), slop in zip(windows, slops):
-        if all(w in counts for w in words):
-            order = sorted(range(len(words)), key=lambda i: (counts[words[i]], i))
-            own = [number[w] for w in words]
-            rows.append(([own[i] for i in order], order, own, slop, items))
-    rows.sort(key=lambda r: r[0][0])
-    width = max([len(r[0]) for r in rows], default=1)
-    fill = lambda k: np.array([r[k] + [-1] * (width - len(r[k])) for r in rows], np.int64).reshape(len(rows), width)
+def _plan(windows: list[tuple], slops: list[int]) -> dict:
+    """A block of phrases: the numbers of their terms, in order and filled up with -1, their sizes and slops."""
+    number = {w: i for i, w in enumerate(sorted({w for words in windows for w in words}))}
+    sizes = np.array([len(words) for words in windows], np.int64)
+    own = np.full((len(windows), int(sizes.max(initial=1))), -1)
+    for i, words in enumerate(windows):
+        own[i, : len(words)] = [number[w] for w in words]
+    return {"number": number, "own": own, "sizes": sizes, "slops": np.array(slops, np.int64)}
+
+
+def _ordered(plan: dict, counts: np.ndarray) -> dict:
+    """The phrases whose terms all have a list, by their rarest term: terms and offsets with the
+    rarest first, terms in their own order, and the phrase's number."""
+    often = np.r_[counts, np.iinfo(np.int64).max][plan["own"]]  # what fills a shorter phrase up comes last
+    phrase = np.flatnonzero((often > 0).all(axis=1))
+    order = np.argsort(often[phrase], axis=1, kind="stable")
+    terms = np.take_along_axis(plan["own"][phrase], order, axis=1)
+    by_first = np.argsort(terms[:, 0], kind="stable")
+    phrase = phrase[by_first]
     return {
-        "number": number, "terms": fill(0), "offsets": fill(1), "own": fill(2), "slops": np.array([r[3] for r in rows], np.int64),
-        "sizes": np.array([len(r[0]) for r in rows], np.int64), "items": [r[4] for r in rows],
+        "terms": terms[by_first], "offsets": order[by_first], "own": plan["own"][phrase],
+        "sizes": plan["sizes"][phrase], "slops": plan["slops"][phrase], "phrase": phrase,
     }
 
 
@@ -148,6 +159,7 @@ class _Segment:
         self.total = int(self.base[-1]) + 1
         self.term, self.at = np.repeat(numbers, sizes), lists.astype(np.int64)
         self.held = np.sort(self.term * self.total + self.at)
+        self.counts = lambda n: np.bincount(numbers, sizes, n).astype(np.int64)  # of terms 0 to n - 1
 
     def has(self, term: np.ndarray, at: np.ndarray) -> np.ndarray:
         want = term * self.total + at
@@ -218,19 +230,18 @@ def search(index: DataFrame, windows: list[tuple[tuple, list]], slops: list[int]
     """(segment, row, phrase, start, last, exact): the places of a block of phrases (its numbers
     are those in the list), exact ones and near ones that aren't exact."""
     spark = index.sparkSession
-    vocabulary = sorted({w for words, _ in windows for w in words})
-    asked = spark.createDataFrame([(w.encode(), w) for w in vocabulary], "term binary, word string")
-    held = index.filter("term is not null").join(F.broadcast(asked), "term")  # at most block_words rows
-    counts = {r.word: r.n for r in held.groupBy("word").agg(F.sum("n").alias("n")).collect()}  # a row a test term
-    numbered = [(words, i) for i, (words, _) in enumerate(windows)]
-    plan = spark.sparkContext.broadcast(_plan(numbered, counts, slops))
-    known = spark.createDataFrame([(w.encode(), i) for w, i in plan.value["number"].items()], "term binary, number int")
-    lists = index.select("segment", "term", "positions").join(F.broadcast(known), "term").select("segment", "number", "positions")
+    plan = spark.sparkContext.broadcast(_plan([words for words, _ in windows], slops))
+    number = {w.encode(): i for w, i in plan.value["number"].items()}
+    held = index.filter("term is not null")
+    if 0 < len(number) <= PUSHED_TERMS:
+        held = held.filter(reduce(or_, [F.col("term") == F.lit(w) for w in number]))
+    known = spark.createDataFrame(list(number.items()), "term binary, number int")  # at most block_words rows
+    lists = held.select("segment", "term", "positions").join(F.broadcast(known), "term").select("segment", "number", "positions")
     bounds = index.filter("term is null").select("segment", F.lit(-1).alias("number"), F.col("n_words").alias("positions"))
     dealt = lists.unionByName(bounds).repartition("segment").sortWithinPartitions("segment", "number")
 
     def found(p: _Segment) -> Iterator[pa.RecordBatch]:
-        asked = plan.value
+        asked = _ordered(plan.value, p.counts(len(plan.value["number"])))
         for phrase, start, row in _seeds(p, asked):
             w, s, r = _exact(p, asked, phrase, start, row)
             nw, ns, nl, nr = _near(p, asked, phrase, start, row)
@@ -240,7 +251,7 @@ def search(index: DataFrame, windows: list[tuple[tuple, list]], slops: list[int]
             last = np.concatenate([s + asked["sizes"][w] - 1, nl]) - p.base[rows]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(rows, pa.int32()), pa.array([asked["items"][x] for x in np.concatenate([w, nw]).tolist()], pa.int32()),
+                    pa.array(rows, pa.int32()), pa.array(asked["phrase"][np.concatenate([w, nw])], pa.int32()),
                     pa.array(np.concatenate([s, ns]) - p.base[rows], pa.int32()), pa.array(last, pa.int32()), pa.array(np.r_[np.ones(len(w), bool), np.zeros(len(nw), bool)]),
                 ],
                 names=["row", "phrase", "start", "last", "exact"],
