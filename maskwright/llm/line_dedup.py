@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .store import written
 
 
-def fingerprints(hashes: list[int], words: list[int], gram_words: int, min_words: int) -> list[tuple[int, int]]:
+def fingerprints(hashes: np.ndarray, words: list[int], gram_words: int, min_words: int) -> list[tuple[int, int]]:
     """(line, key) of the selected grams. Lines without words are left out here, so a window has
     at most ``min_words`` lines and the work is linear whatever stands between them."""
     spoken = [i for i, n in enumerate(words) if n]
@@ -43,7 +43,7 @@ def fingerprints(hashes: list[int], words: list[int], gram_words: int, min_words
         return []
     gram_end = np.searchsorted(total, total[:-1] + gram_words).tolist()  # one past the last line
     window_end = np.searchsorted(total, total[:-1] + min_words).tolist()
-    data = np.array([hashes[i] for i in spoken], np.uint64)
+    data = np.asarray(hashes, np.uint64)[spoken]
     digest = lambda i, j, seed=0: xxhash.xxh3_64_intdigest(data[i:j].tobytes(), seed)
     grams = [digest(i, j) if j <= n else None for i, j in enumerate(gram_end)]
     chosen = set()
@@ -70,13 +70,9 @@ def fingerprints(hashes: list[int], words: list[int], gram_words: int, min_words
     return out
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
 def line_table(docs: DataFrame, gram_words: int, min_words: int) -> DataFrame:
-    """(doc_id, mark, lines, words, at, keys): line hashes and word counts of each
-    document, and its fingerprints."""
+    """(doc_id, mark, lines, words, at, keys): 128-bit line hashes (two numbers each) and word counts of
+    each document, and its fingerprints."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,13 +82,13 @@ def line_table(docs: DataFrame, gram_words: int, min_words: int) -> DataFrame:
                 lines, words, at, keys = [], [], [], []
                 for text in piece.column(2).to_pylist():
                     rows = [x.strip() for x in text.split("\n")]
-                    hashes = [xxhash.xxh3_64_intdigest(x) for x in rows]
+                    hashes = np.frombuffer(b"".join([xxhash.xxh3_128_digest(x) for x in rows]), np.int64)
                     counts = [len(x.split()) for x in rows]
-                    found = fingerprints(hashes, counts, gram_words, min_words)
-                    lines.append([_signed(h) for h in hashes])
+                    found = fingerprints(hashes[::2].view(np.uint64), counts, gram_words, min_words)
+                    lines.append(hashes)
                     words.append(counts)
                     at.append([x[0] for x in found])
-                    keys.append([_signed(x[1]) for x in found])
+                    keys.append(np.array([x[1] for x in found], np.uint64).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [
                         piece.column(0), piece.column(1), pa.array(lines, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.int32())),
@@ -107,7 +103,7 @@ def line_table(docs: DataFrame, gram_words: int, min_words: int) -> DataFrame:
 
 
 def runs(hashes: np.ndarray, words: np.ndarray, hints: np.ndarray, min_words: int) -> list[tuple[int, int, bytes]]:
-    """(line, end, key) of the shortest runs of ``min_words`` words from a line on or up to a
+    """From a row of hashes a line: (line, end, key) of the shortest runs of ``min_words`` words from a line on or up to a
     line that hold a hinted line. Runs that begin or end with blank lines are keyed by
     the run between them and the number of these lines."""
     total = np.concatenate([[0], np.cumsum(words)])
@@ -155,7 +151,8 @@ def repeated_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
                 piece = batch.slice(first, 256)
                 row, found = [], []
                 for i in range(piece.num_rows):
-                    some = runs(*(piece.column(k)[i].values.to_numpy() for k in (2, 3, 4)), min_words)
+                    lines, words, hints = (piece.column(k)[i].values.to_numpy() for k in (2, 3, 4))
+                    some = runs(lines.reshape(-1, 2), words, hints, min_words)
                     row += [i] * len(some)
                     found += some
                 pick = pa.array(row, pa.int64())

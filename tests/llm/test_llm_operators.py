@@ -132,6 +132,27 @@ def test_proximity(spark):
     assert [tuple(r) for r in got] == [(1, "red fox", 0, 3)]
 
 
+def test_few_terms_are_pushed_to_the_scan(spark, docs, capsys):
+    index = decontaminate.build_index(docs.select("doc_id", "text"), segment_bytes=2000)
+    few = [(("two", "words"), "p"), (("a",), "q"), (("no-such-term", "a"), "r")]
+    places = decontaminate.search(index, few, [0, 0, 0])
+    places.explain("formatted")
+    plan = capsys.readouterr().out
+    assert "EqualTo(term,[B" in plan.split("PushedFilters", 1)[1] and "ReadSchema: struct<segment:bigint,term:binary,positions:array<int>>" in plan
+    # the same places if the terms are asked for along with more than are pushed
+    more = few + [((f"absent{i}", "a"), "s") for i in range(decontaminate.PUSHED_TERMS)]
+    rows = sorted(map(tuple, places.collect()))
+    assert rows and rows == sorted(map(tuple, decontaminate.search(index, more, [0] * len(more)).collect()))
+
+
+def test_phrases_are_ordered_by_their_rarest_term():
+    plan = decontaminate._plan([("a", "b", "c"), ("c",), ("b", "d"), ("a", "a")], [2, 0, 0, 0])
+    own = decontaminate._ordered(plan, np.array([9, 5, 1, 0]))  # of a, b, c, d
+    assert own["phrase"].tolist() == [3, 0, 1] and own["terms"].tolist() == [[0, 0, -1], [2, 1, 0], [2, -1, -1]]
+    assert own["offsets"][:2].tolist() == [[0, 1, 2], [2, 1, 0]] and own["slops"].tolist() == [0, 2, 0]
+    assert not len(decontaminate._ordered(plan, np.zeros(4, np.int64))["phrase"])
+
+
 def test_index_serves_any_test_set(spark, docs):
     index = decontaminate.build_index(docs.select("doc_id", "text"), segment_bytes=2000)
     total = index.filter("term is not null").selectExpr("sum(n) n", "sum(size(positions)) m").first()
@@ -820,3 +841,44 @@ def test_main_text_of_pages(spark, sf_dir):
         assert r.text == "\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
     odd = spark.createDataFrame([(1, None, None), (1, "u", "")], "page_id long, url string, html string")
     assert [r.text for r in main_text.main_text(odd).collect()] == ["", ""]
+
+
+# -- 8 by brute force -------------------------------------------------------
+
+
+def brute_repeats(rows, min_words):
+    """The lines of all runs of ``min_words`` words or more that stand earlier."""
+    first, gone = {}, {}
+    for turn in (0, 1):
+        for doc_id, text in sorted(rows):
+            lines = [x.strip() for x in text.split("\n")]
+            for i in range(len(lines)):
+                n = 0
+                for j in range(i, len(lines)):
+                    n += len(lines[j].split())
+                    if n >= min_words:
+                        run, place = tuple(lines[i : j + 1]), (doc_id, i)
+                        if not turn:
+                            first[run] = min(first.get(run, place), place)
+                        elif first[run] < place:
+                            gone.setdefault(doc_id, set()).update(range(i, j + 1))
+    return {d: sorted(x) for d, x in gone.items()}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_repeated_lines_by_brute_force(spark, seed):
+    rnd = random.Random(seed)
+    line = lambda: rnd.choice(["", "", " ", *(" ".join(f"w{rnd.randrange(40)}" for _ in range(rnd.randint(1, 9))) for _ in range(4))])
+    shared = [line() for _ in range(60)]
+    rows = []
+    for d in range(120):
+        lines = []
+        while len(lines) < rnd.randint(3, 30):
+            at = rnd.randrange(60)
+            lines += shared[at : at + rnd.randint(1, 20)] if rnd.random() < 0.5 else [line() for _ in range(rnd.randint(1, 4))]
+        rows.append((d, "\n".join(lines)))
+    rows.append((500, "one two three four\n\n" * 40))  # repeats of itself that overlap
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = brute_repeats(rows, 20)
+    got = {r.doc_id: r.removed for r in line_dedup.repeated_lines(docs, 20).collect()}
+    assert len(want) > 60 and got == want
