@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WS_SET = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -64,6 +64,12 @@ def bound(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), f)[0]
 
 
+def once(df: DataFrame, **new: Column) -> DataFrame:
+    """``df`` with more columns, each computed once: over the explosion of a list of one the planner neither merges
+    projections, which would repeat an expression wherever a later one names it, nor moves Python functions into lambdas."""
+    return df.select("*", F.explode(F.array(F.struct(*[c.alias(n) for n, c in new.items()]))).alias("_new")).select(*df.columns, "_new.*")
+
+
 def scan(items: Column, zero: Column, kind: str, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
     """What a fold gives out, in order: ``step(state, item)`` is the next state and an array of ``kind``.
     A fold copies what it holds at each step, so the items go in blocks of about the cube root of their
@@ -87,7 +93,8 @@ def scan(items: Column, zero: Column, kind: str, step: Callable[[Column, Column]
             begin = lambda k: F.struct(F.element_at(found, k + 1).alias("state"), none.alias("out"))
             return F.flatten(F.transform(starts, lambda i, k: F.aggregate(numbers(i), begin(k), lambda a, j: one(a, F.element_at(xs, j)))["out"]))
 
-        return bound(states, given)
+        whole = F.aggregate(xs, F.struct(zero.alias("state"), none.alias("out")), one)["out"]  # one block needs no states
+        return F.when(F.size(xs) <= 16, whole).otherwise(bound(states, given))
 
     return F.coalesce(bound(items, blocks), none)
 
@@ -97,16 +104,18 @@ SPAN = "struct<start:int,end:int,text:string>"
 
 def spans(text: Column, pattern: Column) -> Column:
     """array<struct<start, end, text>> of a pattern's matches from left to right, 0-based
-    code points, end exclusive. One pass over the pieces between the matches."""
-    hits = F.regexp_extract_all(text, pattern, F.lit(0))
-    pieces = F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits)).alias("p"), hits.alias("h"))
-    pieces = F.transform(F.when(F.size(hits) > 0, pieces), lambda x: F.struct(F.length(x["p"]).alias("p"), x["h"].alias("h")))
+    code points, end exclusive. One pass over the pieces between the matches; a text without matches isn't split."""
 
     def step(at: Column, x: Column) -> tuple[Column, Column]:
         end = at + x["p"] + F.length(x["h"])
         return end, F.array(F.struct((at + x["p"]).alias("start"), end.alias("end"), x["h"].alias("text")))
 
-    return scan(pieces, F.lit(0), SPAN, step)
+    def placed(hits: Column) -> Column:
+        pieces = F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits)).alias("p"), hits.alias("h"))
+        return scan(F.transform(pieces, lambda x: F.struct(F.length(x["p"]).alias("p"), x["h"].alias("h"))), F.lit(0), SPAN, step)
+
+    none = F.array().cast(f"array<{SPAN}>")
+    return bound(F.regexp_extract_all(text, pattern, F.lit(0)), lambda hits: F.when(F.size(hits) > 0, placed(hits)).otherwise(none))
 
 
 # -- normalisation (N1 to N8) -------------------------------------------------

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.patterns import Occurrences
-from ..functions.text import NOT_WS, SPAN, WS, escape, py_strip, redacted, spans, token_pattern
+from ..functions.text import NOT_WS, SPAN, WS, escape, once, py_strip, redacted, spans, token_pattern
 from . import chunks as C
 from . import responses as P
 from .meeting import meet
@@ -92,7 +92,8 @@ def detect_structured(docs: DataFrame, text: str = "text") -> DataFrame:
     kinds = F.create_map(*[F.lit(x) for pair in DIGITS.items() for x in pair])
     digits = F.when(c.rlike("[0-9]{9}"), spans(c, F.lit(DIGIT_TOKEN))).otherwise(none)
     typed.append(F.transform(digits, lambda s: named(kinds[s["end"] - s["start"]])(s)))
-    rows = docs.select("doc_id", F.explode(F.concat(*typed)).alias("s"))
+    # found once: the planner would compute an explosion's expression a second time, as a filter on its size
+    rows = once(docs, _found=F.concat(*typed)).select("doc_id", F.explode("_found").alias("s"))
     return rows.select(
         "doc_id", F.col("s.text").alias("original_text"), redacted(F.col("s.type")).alias("masked_text"),
         F.col("s.start").alias("start_pos"), F.col("s.end").alias("end_pos"), F.col("s.type").alias("entity_type"), F.lit(1.0).alias("confidence"),
