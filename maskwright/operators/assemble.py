@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import NOT_WS, py_strip
@@ -81,10 +81,12 @@ def assemble_body_timeline(paragraphs: DataFrame, table_rows: DataFrame) -> Data
     ``table_rows(doc_id, element_no, row_no, cells)`` between table marks, in body order."""
     part = lambda df, sub, text: df.select("doc_id", F.struct("element_no", sub.cast("long").alias("sub"), text.alias("text")).alias("x"))
     first, last = F.lit(-1), F.lit(2**31)
-    tables = table_rows.select("doc_id", "element_no").distinct()
+    mark = lambda sub, text: F.array(F.struct(sub.cast("long").alias("sub"), F.lit(text).alias("text")))
+    line = F.struct(F.col("row_no").cast("long").alias("sub"), F.array_join("cells", " | ", "").alias("text"))
+    tables = table_rows.groupBy("doc_id", "element_no").agg(F.collect_list(line).alias("r"))  # once for rows and marks
+    tables = tables.select("doc_id", "element_no", F.explode(F.concat(mark(first, TABLE_START), "r", mark(last, TABLE_END))).alias("l"))
     rows = part(paragraphs.filter("length(text) > 0"), F.lit(0), F.col("text"))
-    rows = rows.unionByName(part(table_rows, F.col("row_no"), F.array_join("cells", " | ", "")))
-    rows = rows.unionByName(part(tables, first, F.lit(TABLE_START))).unionByName(part(tables, last, F.lit(TABLE_END)))
+    rows = rows.unionByName(part(tables, F.col("l.sub"), F.col("l.text")))
     listed = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list("x")).alias("x"))
     return listed.select("doc_id", F.array_join(F.transform("x", lambda x: x["text"]), "\n").alias("text"))
 
@@ -110,6 +112,10 @@ def flatten_notes(notes: DataFrame) -> DataFrame:
     return listed.select(*note, F.concat(text, F.when(F.col("open"), F.lit(TABLE_END)).otherwise("")).alias("text"))
 
 
+def one_line(text: Column) -> Column:
+    return py_strip(F.replace(text, F.lit("\n"), F.lit(" ")))
+
+
 def inline_note_refs(paragraphs: DataFrame, refs: DataFrame, notes: DataFrame) -> DataFrame:
     """``paragraphs(doc_id, para_no, text)`` with the notes of ``refs(doc_id, para_no, kind, ref_no,
     ref_id)`` behind the text: footnotes first, in order; line ends become spaces, ends are stripped."""
@@ -120,7 +126,7 @@ def inline_note_refs(paragraphs: DataFrame, refs: DataFrame, notes: DataFrame) -
     tail = met.groupBy("doc_id", "para_no").agg(F.array_sort(F.collect_list(order)).alias("r"))
     rows = paragraphs.join(tail, ["doc_id", "para_no"], "left")
     text = F.concat("text", F.coalesce(F.array_join(F.transform("r", lambda x: x["t"]), ""), F.lit("")))
-    return rows.withColumn("text", py_strip(F.replace(text, F.lit("\n"), F.lit(" ")))).drop("r")
+    return rows.withColumn("text", one_line(text)).drop("r")
 
 
 def render_hyperlinks(runs: DataFrame, links: DataFrame) -> DataFrame:

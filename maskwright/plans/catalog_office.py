@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable, Iterator
+from itertools import groupby
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +16,7 @@ from . import office_bytes as B
 from . import sqltext as S
 from .catalog_docs import _END, _ROWS, _START
 from .catalog_mask import CELLS, RUNS
-from .fixtures import load
+from .fixtures import load, n_tasks
 
 QUERIES, SQL = {}, {}
 FILE = "doc_id long, filename string, file_type string, content binary"
@@ -27,37 +30,55 @@ def query(name: str, sql: str):
     return put
 
 
-def _file(frame: pd.DataFrame, kind: str, content: bytes) -> pd.DataFrame:
-    doc_id = int(frame["doc_id"].iloc[0])
-    return pd.DataFrame({"doc_id": [doc_id], "filename": [f"{doc_id}.{kind}"], "file_type": [kind], "content": [content]})
+def files(rows: DataFrame, kind: str, make: Callable[[list[tuple]], bytes], *order: str) -> DataFrame:
+    """A file for each document: ``rows``, doc_id first, stream past by document, in order; make(rows of a document) is its content."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(done: list[tuple]) -> pa.RecordBatch:
+            ids = [i for i, _ in done]
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([f"{i}.{kind}" for i in ids], pa.string()), pa.array([kind] * len(ids), pa.string()), pa.array([make(x) for _, x in done], pa.binary())],
+                                              names=["doc_id", "filename", "file_type", "content"])
+
+        held: list[tuple] = []
+        for batch in batches:
+            done = []
+            for x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and held[0][0] != x[0]:
+                    done.append((held[0][0], held))
+                    held = []
+                held.append(x)
+            yield made(done)
+        yield made([(held[0][0], held)] if held else [])
+
+    return rows.repartition(n_tasks(rows.sparkSession), "doc_id").sortWithinPartitions("doc_id", *order).mapInArrow(write, FILE)
 
 
-def stored(files: DataFrame) -> DataFrame:
+def stored(made: DataFrame) -> DataFrame:
     """Made once, however often they are read."""
-    path = io.work_dir(files.sparkSession)
-    files.write.parquet(path)
-    return files.sparkSession.read.schema(FILE).parquet(path)
+    path = io.work_dir(made.sparkSession)
+    made.write.parquet(path)
+    return made.sparkSession.read.schema(FILE).parquet(path)
 
 
 def workbooks(spark, d) -> DataFrame:
     """The cells of each customer's orders as a workbook: texts shared, amounts as text, formulas with their last value."""
 
-    def write(frame: pd.DataFrame) -> pd.DataFrame:
+    def write(rows: list[tuple]) -> bytes:
         strings, sheets = [], {}
-        for x in frame.sort_values(["sheet", "row_no", "col_no"]).itertuples():
-            text = None if pd.isna(x.value) else x.value
-            if text is not None and not x.is_formula:
+        for _, sheet, row_no, col_no, text, is_formula in rows:
+            if text is not None and not is_formula:
                 strings.append(text)
-            kind = "f" if x.is_formula else "s" if text is not None else "n"
-            sheets.setdefault(x.sheet, {}).setdefault(int(x.row_no), {})[int(x.col_no)] = (kind, text if kind == "f" or text is None else str(len(strings) - 1), 0)
-        return _file(frame, "xlsx", B.xlsx(sheets, strings))
+            kind = "f" if is_formula else "s" if text is not None else "n"
+            sheets.setdefault(sheet, {}).setdefault(row_no, {})[col_no] = (kind, text if kind == "f" or text is None else str(len(strings) - 1), 0)
+        return B.xlsx(sheets, strings)
 
-    return stored(load(spark, d, "cells").groupBy("doc_id").applyInPandas(write, FILE))
+    rows = load(spark, d, "cells").select("doc_id", "sheet", "row_no", "col_no", "value", "is_formula")
+    return files(rows, "xlsx", write, "sheet", "row_no", "col_no")
 
 
 @query("s2_read_workbooks", S.with_("cells", more=_ROWS) + " select doc_id, sheet, text from sheets")
 def s2x(spark, d):
-    return D.assemble_sheet_text(office.decode(workbooks(spark, d)).cells)
+    return D.assemble_sheet_text(office.decode(workbooks(spark, d), kinds=["cell"]).cells)
 
 
 @query("s2_read_documents", S.with_("paragraphs", "table_rows", more=f"""
@@ -66,34 +87,33 @@ def s2x(spark, d):
  union all select distinct doc_id, element_no, -1, {_START} from table_rows union all select distinct doc_id, element_no, 1000, {_END} from table_rows)""")
  + " select doc_id, string_agg(text, chr(10) order by element_no, sub) as text from parts group by doc_id")
 def s2d(spark, d):
-    def write(frame: pd.DataFrame) -> pd.DataFrame:
+    def write(rows: list[tuple]) -> bytes:
         body = ""
-        for _, of in frame.sort_values(["element_no", "row_no"]).groupby("element_no"):
-            lines = of[of["row_no"] < 0]["text"]
-            body += "".join(B.paragraph(B.run(t)) for t in lines) + B.table(of[of["row_no"] >= 0]["cells"])
-        return _file(frame, "docx", B.docx(body))
+        for _, of in groupby(rows, key=lambda x: x[1]):
+            of = list(of)
+            body += "".join(B.paragraph(B.run(x[3])) for x in of if x[2] < 0) + B.table(x[4] for x in of if x[2] >= 0)
+        return B.docx(body)
 
     paragraphs = load(spark, d, "paragraphs").select("doc_id", "element_no", F.lit(-1).cast("long").alias("row_no"), "text", F.lit(None).cast("array<string>").alias("cells"))
     rows = load(spark, d, "table_rows").select("doc_id", "element_no", F.col("row_no").cast("long").alias("row_no"), F.lit(None).cast("string").alias("text"), "cells")
-    return office.decode(paragraphs.unionByName(rows).groupBy("doc_id").applyInPandas(write, FILE)).body_texts()
+    return office.decode(files(paragraphs.unionByName(rows), "docx", write, "element_no", "row_no"), kinds=office.BODY).body_texts()
 
 
 @query("s3_masked_workbooks", S.with_("cells", "cell_values", more=CELLS) + " select doc_id, sheet, row_no, col_no, masked from done")
 def s3x(spark, d):
-    files = workbooks(spark, d)
-    masked = M.mask_cells(office.decode(files).cells, load(spark, d, "cell_values"))
-    again = office.decode(office.masked_files(files, cells=masked).drop("content").withColumnRenamed("masked", "content"))
+    given = stored(workbooks(spark, d))
+    masked = M.mask_cells(office.decode(given, kinds=["cell"]).cells, load(spark, d, "cell_values"))
+    again = office.decode(office.masked_files(given, cells=masked).drop("content").withColumnRenamed("masked", "content"), kinds=["cell"])
     return again.cells.select("doc_id", "sheet", "row_no", "col_no", F.col("value").alias("masked"))
 
 
 @query("s3_masked_documents", S.with_("runs", "run_values", more=RUNS) + " select doc_id, string_agg(masked, '' order by run_no) as text from masked_runs group by doc_id")
 def s3d(spark, d):
-    def write(frame: pd.DataFrame) -> pd.DataFrame:
-        runs = "".join(B.run(x.text, "<w:rPr><w:b/></w:rPr>", "<w:lastRenderedPageBreak/>" * x.is_complex) for x in frame.sort_values("run_no").itertuples())
-        return _file(frame, "docx", B.docx(B.paragraph(runs)))
+    def write(rows: list[tuple]) -> bytes:
+        return B.docx(B.paragraph("".join(B.run(text, "<w:rPr><w:b/></w:rPr>", "<w:lastRenderedPageBreak/>" * is_complex) for _, _, text, is_complex in rows)))
 
-    files = stored(load(spark, d, "runs").groupBy("doc_id").applyInPandas(write, FILE))
-    masked = M.mask_runs(office.decode(files).runs, load(spark, d, "run_values"))
-    again = office.decode(office.masked_files(files, runs=masked).drop("content").withColumnRenamed("masked", "content"))
+    given = stored(files(load(spark, d, "runs").select("doc_id", "run_no", "text", "is_complex"), "docx", write, "run_no"))
+    masked = M.mask_runs(office.decode(given, kinds=["run"]).runs, load(spark, d, "run_values"))
+    again = office.decode(office.masked_files(given, runs=masked).drop("content").withColumnRenamed("masked", "content"), kinds=["run"])
     runs = again.runs.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("run_no", "text"))).alias("r"))
     return runs.select("doc_id", F.array_join("r.text", "").alias("text"))

@@ -107,3 +107,11 @@ def test_files_in_a_folder(spark, tmp_path):
     assert sorted((r.filename, r.file_type) for r in found.collect()) == [("A.DOCX", "docx"), ("b.xlsx", "xlsx")]
     assert office.decode(found, str(tmp_path / "parts")).body_texts().count() == 1
     assert office.decode(found.limit(0)).cells.count() == 0
+
+
+def test_plain_text_takes_one_row_a_paragraph(spark):
+    body = B.paragraph(B.run("a") + B.run("b")) + B.table([["x", "y"], ["", "z"]])
+    parts = office.decode(spark.createDataFrame([(1, "a.docx", "docx", B.docx(body))], FILE), kinds=office.BODY)
+    assert sorted((r.kind, r.text) for r in parts.parts.collect()) == [("paragraph", t) for t in ("", "ab", "x", "y", "z")]
+    start, end = D.TABLE_START, D.TABLE_END
+    assert parts.body_texts().first().text == "\n".join(["ab", start, "x | y", " | z", end])
