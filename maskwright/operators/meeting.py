@@ -16,6 +16,14 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 
+def small(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in pieces of about ``most`` bytes, as a batch has so many rows however long their texts."""
+    for batch in batches:
+        n = max(1, batch.num_rows * most // max(1, batch.nbytes))
+        for i in range(0, batch.num_rows, n):
+            yield batch.slice(i, n)
+
+
 def meet(rows: DataFrame, values: DataFrame, make: Callable[[list[dict]], object], use: Callable[[object, dict], list[dict]], read: list[str], add: T.StructType, keep: list[str] | None = None, salt: int = 1, left: bool = True) -> DataFrame:
     """``rows`` with the columns of ``add``, which replace those of their names.
 
@@ -37,7 +45,7 @@ def meet(rows: DataFrame, values: DataFrame, make: Callable[[list[dict]], object
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = to_arrow_schema(to)
         key, entries, held, ready = None, [], None, False
-        for batch in batches:
+        for batch in small(batches):
             keys, salts = batch.column("_key").to_pylist(), batch.column("_salt").to_pylist()
             of_row = batch.column("_row")
             is_row, listed = of_row.is_valid().to_pylist(), batch.column("_entry").to_pylist()

@@ -1,9 +1,12 @@
 """What plans must not do at size: compute an expression twice, leave a costly derivation in one task."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from maskwright.functions.text import spans
 from maskwright.operators import locate as L
+from maskwright.operators import mask as M
+from maskwright.operators.meeting import small
 from maskwright.plans.fixtures import load
 
 
@@ -23,3 +26,16 @@ def test_spans_of_texts_with_none_few_and_many_matches(spark):
     rows = spark.createDataFrame([(0, None), (1, ""), (2, "x"), (3, "a" * 16), (4, "xa" * 17), (5, "xxa" * 100)], "i int, t string")
     got = {r.i: [(s.start, s.end) for s in r.s] for r in rows.select("i", spans(F.col("t"), F.lit("a")).alias("s")).collect()}
     assert got == {0: [], 1: [], 2: [], 3: [(i, i + 1) for i in range(16)], 4: [(2 * i + 1, 2 * i + 2) for i in range(17)], 5: [(3 * i + 2, 3 * i + 3) for i in range(100)]}
+
+
+def test_long_texts_come_in_small_pieces():
+    batch = pa.RecordBatch.from_pydict({"t": ["x" * 100_000] * 200})
+    pieces = list(small(iter([batch]), 1 << 20))
+    assert sum(p.num_rows for p in pieces) == 200 and max(p.num_rows for p in pieces) <= 11
+
+
+def test_a_documents_values_last_over_pieces(spark):
+    segments = spark.createDataFrame([(1, i, "Ivan " + "x" * 300_000) for i in range(60)], "doc_id long, n int, text string")
+    values = spark.createDataFrame([(1, "ivan", "[M]", 1)], "doc_id long, original_text string, mask string, ord long")
+    masked = M.mask_segments(segments, values).filter("masked like '[M] x%' and length(masked) = 300004")
+    assert masked.count() == 60
