@@ -6,7 +6,7 @@ value of a document once, before any pattern runs.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -101,6 +101,13 @@ def detect_structured(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
+def first_named(named: DataFrame, detected: DataFrame) -> DataFrame:
+    """``named`` and what ``detected`` has at other places. Both are read once: an anti-join would locate all values a second time."""
+    every = named.withColumn("_from", F.lit(0)).unionByName(detected.withColumn("_from", F.lit(1)))
+    first = F.min("_from").over(Window.partitionBy("doc_id", "start_pos", "end_pos"))
+    return every.withColumn("_first", first).filter("_from = _first").drop("_from", "_first")
+
+
 def select_target_types(entities: DataFrame, types: list[str]) -> DataFrame:
     """Only the types asked for."""
     return entities.filter(F.col("entity_type").isin(list(types)))

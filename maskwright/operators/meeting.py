@@ -36,9 +36,11 @@ def meet(rows: DataFrame, values: DataFrame, make: Callable[[list[dict]], object
     number = F.pmod(F.xxhash64(*rows.columns), F.lit(salt)).cast("int") if salt > 1 else F.lit(0)
     passed = list(dict.fromkeys([*keep, *read]))
     row = rows.select(F.col("doc_id").alias("_key"), number.alias("_salt"), F.struct(*passed).alias("_row"))
-    entry = values.filter("doc_id is not null").select(F.col("doc_id").alias("_key"), F.struct(*of).alias("_entry"))
+    # one row for a document's values, so that the salt repeats and the sort moves as many rows as there are documents
+    listed = F.sort_array(F.collect_list(F.struct(*of))).alias("_entry")
+    entry = values.filter("doc_id is not null").groupBy(F.col("doc_id").alias("_key")).agg(listed)
     entry = entry.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))) if salt > 1 else F.lit(0))
-    both = entry.unionByName(row, allowMissingColumns=True).repartition("_key", "_salt").sortWithinPartitions("_key", "_salt", F.col("_entry").isNull(), "_entry")
+    both = entry.unionByName(row, allowMissingColumns=True).repartition("_key", "_salt").sortWithinPartitions("_key", "_salt", F.col("_entry").isNull())
     to = T.StructType([*[rows.schema[c] for c in keep], *add.fields])
     to = T.StructType([T.StructField(f.name, f.dataType, True) for f in to.fields])
 
@@ -55,7 +57,7 @@ def meet(rows: DataFrame, values: DataFrame, make: Callable[[list[dict]], object
                 if k != key:
                     key, entries, ready = k, [], False
                 if not is_row[i]:
-                    entries.append(listed[i])
+                    entries = listed[i]
                     continue
                 if not ready:
                     held, ready = make(entries) if entries else None, True

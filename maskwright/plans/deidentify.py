@@ -43,7 +43,7 @@ def deidentify(
     gaps = R.coverage_gaps(named, detected)
     entities = named
     if responses is not None:
-        entities = named.unionByName(detected.join(named, ["doc_id", "start_pos", "end_pos"], "left_anti"))
+        entities = L.first_named(named, detected)
     replacements = R.build_replacements(entities)
     if clarifications is not None:
         replacements = R.merge_clarifications(replacements, clarifications)

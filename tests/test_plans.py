@@ -10,6 +10,7 @@ from maskwright.operators import locate as L
 from maskwright.operators import mask as M
 from maskwright.operators import responses as P
 from maskwright.operators.meeting import small
+from maskwright.plans.deidentify import deidentify
 from maskwright.plans.fixtures import load
 
 
@@ -38,6 +39,14 @@ def test_pieces_by_python_equal_those_by_built_ins(spark):
     assert {r.i: list(r.p) for r in rows} == {i: list(P.balanced_pieces(t)) for i, t in enumerate(texts)}
 
 
+def test_values_are_located_once_beside_the_detector(spark):
+    docs = spark.createDataFrame([(1, "a@b.com and c@d.com"), (None, "e@f.com")], "doc_id long, text string")
+    said = spark.createDataFrame([(1, 0, '{"entities":[{"original_text":"a@b.com","entity_type":"MAIL"}]}')], "doc_id long, chunk_no int, raw string")
+    entities = deidentify(docs, said).entities
+    assert sorted((r.original_text, r.masked_text) for r in entities.collect()) == [("a@b.com", "[MAIL_REDACTED]"), ("c@d.com", "[EMAIL_REDACTED]"), ("e@f.com", "[EMAIL_REDACTED]")]
+    assert entities._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
 def test_rows_of_one_row_group_become_many_tasks(spark, tmp_path):
     one = spark.range(100).select(F.col("id").alias("c_custkey"), F.concat(F.lit("Customer#"), F.lpad(F.col("id").cast("string"), 9, "0")).alias("c_name"))
     one.coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
