@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 from itertools import accumulate
+from math import ceil, sqrt
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.patterns import RUN, SPACE, Automaton, fold, strip
 from ..functions.text import WS, py_strip
 from .mask import rank_replacements
-from .meeting import meet
+from .meeting import meet, small
 
 PLACE = ["doc_id", "page_no"]
 WORD_ORDER = ("block_no", "line_no", "word_no")
@@ -114,33 +118,59 @@ def redact_pages(words: DataFrame, boxes: DataFrame, add_text_overlay: bool = Tr
     """(doc_id, page_no, masked): the pages' words without those under a box (their middle lies
     in it), the mask in the place of a box's first word if asked for."""
     mid_x, mid_y = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
-    w = words.select(*PLACE, *WORD_ORDER, "word", mid_x.alias("mx"), mid_y.alias("my"))
-    box = F.struct("rank", F.col("x0").alias("a"), F.col("y0").alias("b"), F.col("x1").alias("c"), F.col("y1").alias("d"), "mask")
-    b = boxes.select(*PLACE, box.alias("box"))
-    # a page's grid has about a cell for four words: boxes go to the cells they touch, words to that of their middle
-    grid = w.groupBy(*PLACE).agg(*[f(c).alias(f"{n}_{c}") for c in ("mx", "my") for f, n in ((F.min, "least"), (F.max, "most"))], F.greatest(F.lit(1), F.least(F.lit(256), F.ceil(F.sqrt(F.count("*") / 4)))).cast("int").alias("k"))
-
-    def cell(place: Column, c: str) -> Column:
-        width = F.col(f"most_{c}") - F.col(f"least_{c}")
-        found = F.when(width > 0, F.floor((place - F.col(f"least_{c}")) / width * F.col("k"))).otherwise(0)
-        return F.greatest(F.lit(0), F.least(found, F.col("k") - 1)).cast("int")
-
-    in_cells = w.join(grid, PLACE).select(*PLACE, *WORD_ORDER, "word", "mx", "my", cell(F.col("mx"), "mx").alias("cx"), cell(F.col("my"), "my").alias("cy"))
-    sides = {"cx": ("mx", "box.a", "box.c"), "cy": ("my", "box.b", "box.d")}
-    spread = b.filter("box.a <= box.c and box.b <= box.d").join(grid, PLACE)
-    for name, (c, low, high) in sides.items():
-        spread = spread.withColumn(name, F.explode(F.sequence(cell(F.col(low), c), cell(F.col(high), c))))
-    inside = F.col("mx").between(F.col("box.a"), F.col("box.c")) & F.col("my").between(F.col("box.b"), F.col("box.d"))
-    met = in_cells.join(spread.select(*PLACE, "cx", "cy", "box"), [*PLACE, "cx", "cy"]).filter(inside)
-    # of the boxes over a word the one of the first value counts
-    rows = w.join(met.groupBy(*PLACE, *WORD_ORDER).agg(F.min("box").alias("box")), [*PLACE, *WORD_ORDER], "left")
-    first = F.struct(*WORD_ORDER)
-    kept = rows.filter("box is null").select(*PLACE, first.alias("at"), "word")
-    masks = rows.filter("box is not null").groupBy(*PLACE, "box").agg(F.min(first).alias("at")).select(*PLACE, "at", F.col("box.mask").alias("word"))
-    if not add_text_overlay:
-        masks = masks.withColumn("word", F.lit(""))
-    rows = kept.unionByName(masks).groupBy(*PLACE).agg(F.array_sort(F.collect_list(F.struct("at", "word"))).alias("w"))
-    return rows.select(*PLACE, F.array_join(F.filter(F.transform("w", lambda x: x["word"]), lambda x: F.length(x) > 0), " ").alias("masked"))
+    word = F.struct(*WORD_ORDER, "word", mid_x.alias("mx"), mid_y.alias("my"))
+    box = F.struct("rank", F.col("x0").alias("a"), F.col("y0").alias("b"), F.col("x1").alias("c"), F.col("y1").alias("d"), "mask" if add_text_overlay else F.lit("").alias("mask"))
+    listed = words.groupBy(*PLACE).agg(F.array_sort(F.collect_list(word)).alias("_words"))
+    over = boxes.filter("x0 <= x1 and y0 <= y1").groupBy(*PLACE).agg(F.array_sort(F.collect_list(box)).alias("_boxes"))
+    to = T.StructType([*[words.schema[c] for c in PLACE], T.StructField("masked", T.StringType())])
+    to = T.StructType([T.StructField(f.name, f.dataType, True) for f in to.fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = to_arrow_schema(to)
+        for batch in small(batches):
+            pairs = zip(batch.column("_words").to_pylist(), batch.column("_boxes").to_pylist(), strict=True)
+            masked = pa.array([" ".join(left_words(w, b or [])) for w, b in pairs], pa.string())
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).cast(kinds.field(c).type) for c in PLACE], masked.cast(kinds.field("masked").type)], schema=kinds)
+
+    return listed.join(over, PLACE, "left").select(*PLACE, "_words", "_boxes").mapInArrow(run, to)
+
+
+def left_words(words: list[dict], boxes: list[dict]) -> list[str]:
+    """M12 of a page: its words in order, those under a box gone; a box's mask stands at its first word. Of the boxes over a word
+    the first counts. The grid has about a cell for four words: boxes go to the cells they touch, words look in that of their middle."""
+    held = [w for w in words if w["mx"] is not None and w["my"] is not None and None not in [w[c] for c in WORD_ORDER]] if boxes else []
+    over: dict[tuple, int] = {}
+    if held:
+        k = max(1, min(256, ceil(sqrt(len(words) / 4))))
+        ends = {c: (min(w[c] for w in held), max(w[c] for w in held)) for c in ("mx", "my")}
+
+        def cell(place: float, c: str) -> int:
+            low, high = ends[c]
+            at = (place - low) / (high - low) * k if high > low else 0
+            return min(k - 1, int(min(at, k))) if at > 0 else 0
+
+        grid: dict[tuple[int, int], list[int]] = {}
+        for n, b in enumerate(boxes):
+            for x in range(cell(b["a"], "mx"), cell(b["c"], "mx") + 1):
+                for y in range(cell(b["b"], "my"), cell(b["d"], "my") + 1):
+                    grid.setdefault((x, y), []).append(n)
+        for w in held:
+            for n in grid.get((cell(w["mx"], "mx"), cell(w["my"], "my")), ()):
+                b = boxes[n]
+                if b["a"] <= w["mx"] <= b["c"] and b["b"] <= w["my"] <= b["d"]:
+                    at = tuple(w[c] for c in WORD_ORDER)
+                    over[at] = min(n, over.get(at, n))
+                    break
+    out, seen = [], set()
+    for w in words:
+        n = over.get(tuple(w[c] for c in WORD_ORDER))
+        key = None if n is None else tuple(boxes[n].values())
+        if n is None:
+            out.append(w["word"])
+        elif key not in seen:
+            seen.add(key)
+            out.append(boxes[n]["mask"])
+    return [x for x in out if x]
 
 
 def page_area_counts(words: DataFrame, boxes: DataFrame) -> DataFrame:

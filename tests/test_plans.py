@@ -10,6 +10,7 @@ from maskwright.operators import locate as L
 from maskwright.operators import mask as M
 from maskwright.operators import responses as P
 from maskwright.operators.meeting import small
+from maskwright.operators.pages import left_words
 from maskwright.plans.deidentify import deidentify
 from maskwright.plans.fixtures import load
 
@@ -70,3 +71,22 @@ def test_a_documents_values_last_over_pieces(spark):
     values = spark.createDataFrame([(1, "ivan", "[M]", 1)], "doc_id long, original_text string, mask string, ord long")
     masked = M.mask_segments(segments, values).filter("masked like '[M] x%' and length(masked) = 300004")
     assert masked.count() == 60
+
+
+def test_words_left_of_a_page_equal_those_by_brute_force():
+    rnd = random.Random(7)
+    for _ in range(200):
+        words = [{"block_no": 1, "line_no": i // 5, "word_no": i % 5, "word": f"w{i}", "mx": rnd.choice([None, rnd.random() * 100]), "my": rnd.random() * 100} for i in range(rnd.randrange(1, 60))]
+        boxes = []
+        for n in range(rnd.randrange(5)):
+            a, b = rnd.random() * 100, rnd.random() * 100
+            boxes.append({"rank": n, "a": a, "b": b, "c": a + rnd.choice([0, 40, float("inf")]), "d": b + 40, "mask": f"[{n}]"})
+        wanted, seen = [], set()
+        for w in words:
+            over = [b for b in boxes if w["mx"] is not None and b["a"] <= w["mx"] <= b["c"] and b["b"] <= w["my"] <= b["d"]]
+            if not over:
+                wanted.append(w["word"])
+            elif over[0]["rank"] not in seen:
+                seen.add(over[0]["rank"])
+                wanted.append(over[0]["mask"])
+        assert left_words(words, boxes) == wanted
