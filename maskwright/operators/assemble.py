@@ -17,20 +17,26 @@ def around(template: str, c):
     return F.concat(F.lit(head), c.cast("string"), F.lit(tail))
 
 
-def sheet_rows(cells: DataFrame) -> DataFrame:
-    """(doc_id, sheet, row_no, row): stripped cell texts of each row that has a non-empty one."""
+def _rows(cells: DataFrame) -> DataFrame:
+    """(doc_id, sheet, row_no, row): the stripped cell texts of every row."""
     value = F.coalesce(py_strip(F.col("value")), F.lit(""))
     rows = cells.groupBy("doc_id", "sheet", "row_no").agg(F.array_sort(F.collect_list(F.struct("col_no", value.alias("v")))).alias("c"))
-    rows = rows.select("doc_id", "sheet", "row_no", F.transform("c", lambda x: x["v"]).alias("row"))
-    return rows.filter(F.exists("row", lambda v: F.length(v) > 0))
+    return rows.select("doc_id", "sheet", "row_no", F.transform("c", lambda x: x["v"]).alias("row"))
+
+
+def sheet_rows(cells: DataFrame) -> DataFrame:
+    """(doc_id, sheet, row_no, row): stripped cell texts of each row that has a non-empty one."""
+    return _rows(cells).filter(F.exists("row", lambda v: F.length(v) > 0))
 
 
 def assemble_sheet_text(cells: DataFrame) -> DataFrame:
-    """(doc_id, sheet, text): non-empty cells joined by `` | ``, rows by line ends."""
+    """(doc_id, sheet, text): non-empty cells joined by `` | ``, rows by line ends. The cells are read once, as they may be
+    costly (masked, say); a sheet without a name or document has no text."""
+    filled = F.exists("row", lambda v: F.length(v) > 0)
     line = F.array_join(F.filter("row", lambda v: F.length(v) > 0), " | ")
-    rows = sheet_rows(cells).groupBy("doc_id", "sheet").agg(F.array_sort(F.collect_list(F.struct("row_no", line.alias("t")))).alias("r"))
-    texts = rows.select("doc_id", "sheet", F.array_join(F.transform("r", lambda x: x["t"]), "\n").alias("text"))
-    return cells.select("doc_id", "sheet").distinct().join(texts, ["doc_id", "sheet"], "left").select("doc_id", "sheet", F.coalesce("text", F.lit("")).alias("text"))
+    rows = _rows(cells).groupBy("doc_id", "sheet").agg(F.array_sort(F.collect_list(F.when(filled, F.struct("row_no", line.alias("t"))))).alias("r"))
+    text = F.array_join(F.transform("r", lambda x: x["t"]), "\n")
+    return rows.select("doc_id", "sheet", F.when(F.col("doc_id").isNotNull() & F.col("sheet").isNotNull(), text).otherwise("").alias("text"))
 
 
 def sheet_matrix(cells: DataFrame) -> DataFrame:

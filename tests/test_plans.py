@@ -9,6 +9,7 @@ from maskwright.functions.text import spans
 from maskwright.operators import locate as L
 from maskwright.operators import mask as M
 from maskwright.operators import responses as P
+from maskwright.operators.assemble import assemble_sheet_text
 from maskwright.operators.meeting import small
 from maskwright.operators.pages import left_words
 from maskwright.plans.deidentify import deidentify
@@ -48,6 +49,15 @@ def test_values_are_located_once_beside_the_detector(spark):
     assert entities._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
 
 
+def test_masked_cells_of_a_sheet_are_made_once(spark):
+    rows = [(1, "a", 2, 1, " Ivan ", False), (1, "a", 1, 2, "x", False), (1, "a", 1, 1, "y", False), (1, "a", 3, 1, " ", False), (1, "b", 1, 1, None, False), (2, None, 1, 1, "z", False)]
+    cells = spark.createDataFrame(rows, "doc_id long, sheet string, row_no long, col_no int, value string, is_formula boolean")
+    values = spark.createDataFrame([(1, "ivan", "[M]", 1)], "doc_id long, original_text string, mask string, ord long")
+    texts = assemble_sheet_text(M.mask_cells(cells, values).withColumn("value", F.col("masked")))
+    assert sorted(map(tuple, texts.collect()), key=str) == [(1, "a", "y | x\n[M]"), (1, "b", ""), (2, None, "")]
+    assert texts._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
 def test_rows_of_one_row_group_become_many_tasks(spark, tmp_path):
     one = spark.range(100).select(F.col("id").alias("c_custkey"), F.concat(F.lit("Customer#"), F.lpad(F.col("id").cast("string"), 9, "0")).alias("c_name"))
     one.coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
