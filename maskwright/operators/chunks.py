@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import NOT_WS, collapse_whitespace, py_strip
+from ..functions.text import NOT_WS, collapse_whitespace, once, py_strip
 from ..schemas import DEFAULT_TYPES
 from .assemble import PAGE, around
 
@@ -40,7 +40,9 @@ def chunk_by_page(pages: DataFrame, size: int = 6000, overlap: int = 400) -> Dat
 def filter_short_chunks(chunks: DataFrame, least: int = 20) -> DataFrame:
     """Chunks with white space collapsed; those under ``least`` characters go (the page's
     name counts)."""
-    return chunks.withColumn("chunk", collapse_whitespace(F.col("chunk"))).filter(F.length("chunk") >= least)
+    # made once: the filter on its length would be moved below and make it a second time
+    rows = once(chunks, _short=collapse_whitespace(F.col("chunk")))
+    return rows.withColumn("chunk", F.col("_short")).drop("_short").filter(F.length("chunk") >= least)
 
 
 def resolve_target_types(jobs: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from maskwright.functions.text import spans
+from maskwright.operators import chunks as C
 from maskwright.operators import locate as L
 from maskwright.operators import mask as M
 from maskwright.operators import responses as P
@@ -58,6 +59,12 @@ def test_masked_cells_of_a_sheet_are_made_once(spark):
     assert texts._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
 
 
+def test_chunks_are_collapsed_once(spark):
+    chunks = C.filter_short_chunks(spark.createDataFrame([(1, 0, " a  b " * 10), (1, 1, "  c  ")], "doc_id long, chunk_no int, chunk string"))
+    assert [r.chunk for r in chunks.collect()] == [" ".join(["a b"] * 10)]
+    assert chunks._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 2
+
+
 def test_rows_of_one_row_group_become_many_tasks(spark, tmp_path):
     one = spark.range(100).select(F.col("id").alias("c_custkey"), F.concat(F.lit("Customer#"), F.lpad(F.col("id").cast("string"), 9, "0")).alias("c_name"))
     one.coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
