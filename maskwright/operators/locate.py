@@ -54,10 +54,10 @@ def locate_entities(candidates: DataFrame, docs: DataFrame) -> DataFrame:
     def make(entries: list[dict]) -> tuple:
         return entries, Occurrences([e["candidate"] for e in entries])
 
-    def use(held: tuple, row: dict) -> list[dict]:
-        entries, text = held[0], row["text"] or ""
+    def use(held: tuple, given: str | None) -> list[tuple]:
+        entries, text = held[0], given or ""
         return [
-            {c: entries[i][c] for c in CANDIDATE} | {"hit_no": n, "s": {"start": a, "end": b, "text": text[a:b]}}
+            (*[entries[i][c] for c in CANDIDATE], n, {"start": a, "end": b, "text": text[a:b]})
             for i, found in held[1].hits(text).items() for n, (a, b) in enumerate(found)
         ]
 

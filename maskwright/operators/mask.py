@@ -39,20 +39,26 @@ class Masks:
         return [{"start": a, "end": b, "mask": self.masks[i]} for a, b, i in leftmost_longest(self.values.hits(text))]
 
 
-def fragments(text: str, kept: list[dict]) -> list[dict]:
-    """M6: plain and mask pieces in order, no empty ones."""
+def pieces_of(text: str, kept: list[dict]) -> list[str]:
+    """Plain and mask pieces by turns, empty ones too."""
     pieces, at = [], 0
     for s in kept:
-        pieces += [(text[at : s["start"]], False), (s["mask"], True)]
+        pieces += [text[at : s["start"]], s["mask"]]
         at = s["end"]
-    return [{"text": t, "is_mask": m} for t, m in [*pieces, (text[at:], False)] if t]
+    return [*pieces, text[at:]]
+
+
+def fragments(text: str, kept: list[dict]) -> list[dict]:
+    """M6: plain and mask pieces in order, no empty ones."""
+    return [{"text": t, "is_mask": i % 2 == 1} for i, t in enumerate(pieces_of(text, kept)) if t]
 
 
-def _masked(text: str | None, kept: list[dict]) -> dict:
+def _masked(text: str | None, kept: list[dict]) -> tuple:
+    """The values of ``MASKED``."""
     if not kept:
-        return {"spans": [], "fragments": None, "masked": text}
+        return [], None, text
     pieces = fragments(text, kept)
-    return {"spans": kept, "fragments": pieces, "masked": "".join(x["text"] for x in pieces)}
+    return kept, pieces, "".join(x["text"] for x in pieces)
 
 
 MASKED = T.StructType([T.StructField("spans", KEPT), T.StructField("fragments", PIECES), T.StructField("masked", T.StringType())])
@@ -65,8 +71,8 @@ def _ranked(replacements: DataFrame) -> DataFrame:
 def mask_segments(segments: DataFrame, replacements: DataFrame, text: str = "text", salt: int = 1) -> DataFrame:
     """M4: ``segments`` with ``spans``, ``fragments`` and ``masked``. Matches don't cross segments; null texts stay null."""
 
-    def use(held: Masks | None, row: dict) -> list[dict]:
-        return [_masked(row[text], held.kept(row[text]) if held and row[text] else [])]
+    def use(held: Masks | None, given: str | None) -> list[tuple]:
+        return [_masked(given, held.kept(given) if held and given else [])]
 
     return meet(segments, _ranked(replacements), Masks, use, [text], MASKED, salt=salt)
 
@@ -109,25 +115,26 @@ def mask_runs(runs: DataFrame, replacements: DataFrame) -> DataFrame:
     listed = runs.groupBy(*key).agg(F.array_sort(F.collect_list(item)).alias("runs"))
     add = T.StructType([T.StructField("run_no", runs.schema["run_no"].dataType), T.StructField("text", T.StringType()), T.StructField("is_complex", T.BooleanType()), *MASKED.fields])
 
-    def use(held: Masks | None, row: dict) -> list[dict]:
-        kept = held.kept("".join(r["text"] for r in row["runs"])) if held else []
-        return [r | _masked(r["text"], own) for r, own in zip(row["runs"], spread_over_runs(row["runs"], kept), strict=True)]
+    def use(held: Masks | None, listed: list[dict]) -> list[tuple]:
+        kept = held.kept("".join(r["text"] for r in listed)) if held else []
+        return [(r["run_no"], r["text"], r["is_complex"], *_masked(r["text"], own)) for r, own in zip(listed, spread_over_runs(listed, kept), strict=True)]
 
     rows = meet(listed, _ranked(replacements), Masks, use, ["runs"], add, keep=key)
     return rows.select(*key, "run_no", "text", "is_complex", "spans", "fragments", "masked")
 
 
-def mask_cells(cells: DataFrame, replacements: DataFrame, salt: int = 1) -> DataFrame:
+def mask_cells(cells: DataFrame, replacements: DataFrame, salt: int = 1, spans: bool = True) -> DataFrame:
     """M7: ``cells`` with ``spans``, ``fragments``, ``masked`` and ``modified``. Null cells
-    and formulas (flagged, or starting with ``=``) stay as they are."""
+    and formulas (flagged, or starting with ``=``) stay as they are. spans: with ``spans`` and ``fragments``, which cost as
+    much as the masking, and which a later ``select`` can't save."""
 
-    def use(held: Masks | None, row: dict) -> list[dict]:
-        value = row["value"]
-        fit = held and value and not row["is_formula"] and not value.startswith("=")
-        x = _masked(value, held.kept(value) if fit else [])
-        return [x | {"modified": bool(x["spans"])}]
+    def use(held: Masks | None, value: str | None, is_formula: bool | None) -> list[tuple]:
+        kept = held.kept(value) if held and value and not is_formula and value[0] != "=" else []
+        if spans:
+            return [(*_masked(value, kept), bool(kept))]
+        return [("".join(pieces_of(value, kept)), True)] if kept else [(value, False)]
 
-    add = T.StructType([*MASKED.fields, T.StructField("modified", T.BooleanType())])
+    add = T.StructType([*(MASKED.fields if spans else [MASKED["masked"]]), T.StructField("modified", T.BooleanType())])
     return meet(cells, _ranked(replacements), Masks, use, ["value", "is_formula"], add, salt=salt)
 
 
@@ -145,6 +152,6 @@ def mask_by_format(cells: DataFrame, runs: DataFrame, words: DataFrame, replacem
     paragraphs = mask_runs(runs, replacements).groupBy("doc_id", F.col("para_no").alias("seg_no")).agg(F.array_sort(F.collect_list(F.struct("run_no", "masked"))).alias("r"))
     docx = paragraphs.withColumn("masked", F.array_join("r.masked", "")).withColumn("file_type", F.lit("docx")).select(*columns)
     order = Window.partitionBy("doc_id").orderBy("sheet", "row_no", "col_no")
-    xlsx = mask_cells(cells, replacements).withColumn("file_type", F.lit("xlsx")).withColumn("seg_no", F.row_number().over(order)).select(*columns)
+    xlsx = mask_cells(cells, replacements, spans=False).withColumn("file_type", F.lit("xlsx")).withColumn("seg_no", F.row_number().over(order)).select(*columns)
     pdf = redact_pages(words, match_boxes(words, replacements)).withColumn("file_type", F.lit("pdf")).withColumnRenamed("page_no", "seg_no").select(*columns)
     return docx.unionByName(xlsx).unionByName(pdf)

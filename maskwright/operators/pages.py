@@ -58,11 +58,11 @@ def exact_hits(pages: DataFrame, ranked: DataFrame) -> DataFrame:
     the page's words that a hit touches. A page is walked once, whatever the number of values."""
     at = pages.select(*PLACE, "text", F.transform("words.word", F.length).alias("lengths"))
 
-    def use(held: Phrases, row: dict) -> list[dict]:
-        out, starts = [], list(accumulate((n + 1 for n in row["lengths"]), initial=0))[:-1]
-        for i, level, a, b in held.hits(row["text"]):
+    def use(held: Phrases, text: str, lengths: list[int]) -> list[tuple]:
+        out, starts = [], list(accumulate((n + 1 for n in lengths), initial=0))[:-1]
+        for i, level, a, b in held.hits(text):
             e, first, last = held.entries[i], bisect_right(starts, a) - 1, bisect_left(starts, b) - 1
-            out.append({"rank": e["rank"], "mask": e["mask"], "original_text": e["original_text"], "level": level, "start": a, "end": b, "first": first, "last": last})
+            out.append((e["rank"], e["mask"], e["original_text"], level, a, b, first, last))
         return out
 
     values = ranked.select("doc_id", "rank", "original_text", "mask")

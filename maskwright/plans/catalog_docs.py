@@ -168,7 +168,7 @@ _H1 = f"""concat('{{"timestamp":"{WHEN}","source_file":"', source_file, '","mask
 @query("s3_write_masked", S.with_("cells", "cell_values", more=CELLS + ", typed as (select case when sheet = '1-URGENT' then 'xls' else 'xlsx' end as file_type, doc_id, sheet, row_no, col_no, masked from done)") + " select * from typed")
 def s3(spark, d):
     kind = F.when(F.col("sheet") == "1-URGENT", "xls").otherwise("xlsx")
-    masked = M.mask_cells(load(spark, d, "cells"), load(spark, d, "cell_values")).select(kind.alias("file_type"), "doc_id", "sheet", "row_no", "col_no", "masked")
+    masked = M.mask_cells(load(spark, d, "cells"), load(spark, d, "cell_values"), spans=False).select(kind.alias("file_type"), "doc_id", "sheet", "row_no", "col_no", "masked")
     path = f"{io.work_dir(spark)}/masked"
     io.write_masked(masked, path)
     return spark.read.parquet(path)
@@ -325,5 +325,5 @@ def w3(spark, d):
  rows as (select doc_id, sheet, row_no, string_agg(v, ' | ' order by col_no) filter (v <> '') as line from vals group by all having max(len(v)) > 0)""")
  + " select doc_id, sheet, string_agg(line, chr(10) order by row_no) as text from rows group by all")
 def w2(spark, d):
-    masked = M.mask_cells(load(spark, d, "cells"), load(spark, d, "cell_values")).withColumn("value", F.col("masked"))
+    masked = M.mask_cells(load(spark, d, "cells"), load(spark, d, "cell_values"), spans=False).withColumn("value", F.col("masked"))
     return D.assemble_sheet_text(masked)

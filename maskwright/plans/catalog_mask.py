@@ -256,7 +256,7 @@ done as (select doc_id, sheet, row_no, col_no, case when len(k) > 0 then {S.glue
 
 @query("m7_mask_cells", S.with_("cells", "cell_values", more=CELLS) + " select doc_id, sheet, row_no, col_no, masked, modified from done")
 def m7(spark, d):
-    return M.mask_cells(load(spark, d, "cells"), load(spark, d, "cell_values"), salt=2).select("doc_id", "sheet", "row_no", "col_no", "masked", "modified")
+    return M.mask_cells(load(spark, d, "cells"), load(spark, d, "cell_values"), salt=2, spans=False).select("doc_id", "sheet", "row_no", "col_no", "masked", "modified")
 
 
 @query("m8_cell_stats", S.with_("cells", "cell_values", more=CELLS) + " select doc_id, sum(n)::bigint as n_fragments, count_if(modified)::bigint as n_cells from done group by doc_id")

@@ -74,6 +74,12 @@ def test_white_space_is_that_of_the_column_functions():
     assert every == [chr(i) for i in range(0x3100) if re.match(listed, chr(i))] and len(every) == 29
 
 
+def test_texts_of_single_spaces_stay_as_they_are():
+    assert [c for c in map(chr, range(0x110000)) if c.isspace()] == [c for c in map(chr, range(0x110000)) if re.match(SPACE, c)]
+    for text, collapsed in (("\n  a b c\t ", "\n  a b c\t "), ("a\xa0b", "a b"), ("a  b", "a b"), (" a \nb ", " a b "), ("", ""), (" \n", " \n")):
+        assert patterns.Collapsed(text).text == collapsed
+
+
 def test_cost_does_not_grow_with_the_number_of_values():
     rnd = random.Random(1)
     text = " ".join(words(rnd, "abcdefgh", 6) for _ in range(40_000))

@@ -11,7 +11,7 @@ from maskwright.operators import locate as L
 from maskwright.operators import mask as M
 from maskwright.operators import responses as P
 from maskwright.operators.assemble import assemble_sheet_text
-from maskwright.operators.meeting import small
+from maskwright.operators.meeting import plain, small
 from maskwright.operators.pages import left_words
 from maskwright.plans.deidentify import deidentify
 from maskwright.plans.fixtures import load
@@ -83,6 +83,30 @@ def test_long_texts_come_in_small_pieces():
     assert sum(p.num_rows for p in pieces) == 200 and max(p.num_rows for p in pieces) <= 11
 
 
+def test_plain_values_equal_those_of_arrow():
+    item = pa.struct([("start", pa.int32()), ("mask", pa.string())])
+    arrays = [
+        pa.array([1, None, -(2**63)], pa.int64()), pa.array([1, 2], pa.int32()), pa.array([1.5, None, float("inf")]), pa.array(["a", None, "", "😀"]), pa.array([True, None, False]), pa.array([True]),
+        pa.array([[{"start": 1, "mask": None}, None], None, [], [{"start": None, "mask": "m"}]], pa.list_(item)), pa.array([{"start": 1, "mask": "a"}, None, {"start": None, "mask": "b"}], item),
+        pa.array([["a", None], None, []]), pa.array([None, None], pa.null()), pa.array([b"a", None]), pa.array([], pa.list_(item)),
+    ]
+    for a in arrays:
+        for part in (a, a[1:], a[:1], a[1:2]):
+            assert plain(part) == part.to_pylist() and list(map(type, plain(part))) == list(map(type, part.to_pylist()))
+
+
+def test_cells_are_masked_without_the_spans_none_asks_for(spark):
+    rows = [(1, 1, " Ivan  x ", False), (1, 2, "a Ivan\nx", True), (1, 3, "=Ivan", False), (1, 4, None, False), (1, 5, "ivan ivan x", None), (2, 1, "Ivan", False), (None, 1, "Ivan", False), (1, 6, "", False)]
+    cells = spark.createDataFrame(rows, "doc_id long, row_no int, value string, is_formula boolean")
+    values = spark.createDataFrame([(1, " Ivan x", "[M]", 1), (1, "ivan", None, 2)], "doc_id long, original_text string, mask string, ord long")
+    few, every = (M.mask_cells(cells, values, salt=2, spans=x) for x in (False, True))
+    assert few.columns == ["doc_id", "row_no", "value", "is_formula", "masked", "modified"] and set(every.columns) - set(few.columns) == {"spans", "fragments"}
+    got = sorted(map(tuple, few.collect()), key=str)
+    assert got == sorted(map(tuple, every.select(*few.columns).collect()), key=str)
+    assert {r[1]: r[4] for r in got if r[0] == 1} == {1: " [M] ", 2: "a Ivan\nx", 3: "=Ivan", 4: None, 5: " [M]", 6: ""}
+    assert [r[4:] for r in got if r[0] != 1] == [("Ivan", False)] * 2
+
+
 def test_a_documents_values_last_over_pieces(spark):
     segments = spark.createDataFrame([(1, i, "Ivan " + "x" * 300_000) for i in range(60)], "doc_id long, n int, text string")
     values = spark.createDataFrame([(1, "ivan", "[M]", 1)], "doc_id long, original_text string, mask string, ord long")
