@@ -88,7 +88,7 @@ def assemble_body_timeline(paragraphs: DataFrame, table_rows: DataFrame) -> Data
     part = lambda df, sub, text: df.select("doc_id", F.struct("element_no", sub.cast("long").alias("sub"), text.alias("text")).alias("x"))
     first, last = F.lit(-1), F.lit(2**31)
     mark = lambda sub, text: F.array(F.struct(sub.cast("long").alias("sub"), F.lit(text).alias("text")))
-    line = F.struct(F.col("row_no").cast("long").alias("sub"), F.array_join("cells", " | ", "").alias("text"))
+    line = F.struct(F.col("row_no").cast("long").alias("sub"), table_line(F.col("cells")).alias("text"))
     tables = table_rows.groupBy("doc_id", "element_no").agg(F.collect_list(line).alias("r"))  # once for rows and marks
     tables = tables.select("doc_id", "element_no", F.explode(F.concat(mark(first, TABLE_START), "r", mark(last, TABLE_END))).alias("l"))
     rows = part(paragraphs.filter("length(text) > 0"), F.lit(0), F.col("text"))
@@ -97,6 +97,27 @@ def assemble_body_timeline(paragraphs: DataFrame, table_rows: DataFrame) -> Data
     return listed.select("doc_id", F.array_join(F.transform("x", lambda x: x["text"]), "\n").alias("text"))
 
 
+def table_line(cells: Column) -> Column:
+    return F.array_join(cells, " | ", "")
+
+
+def table_text(lines: Column) -> Column:
+    """D7's text of a table, of its rows' lines in order."""
+    return F.concat(F.lit(TABLE_START + "\n"), F.array_join(lines, "\n"), F.lit("\n" + TABLE_END))
+
+
+def table_texts(table_rows: DataFrame) -> DataFrame:
+    """(doc_id, element_no, text) of the tables of ``table_rows(doc_id, element_no, row_no, cells)``."""
+    tables = table_rows.groupBy("doc_id", "element_no").agg(F.array_sort(F.collect_list(F.struct("row_no", table_line(F.col("cells")).alias("line")))).alias("r"))
+    return tables.select("doc_id", "element_no", table_text(F.col("r.line")).alias("text"))
+
+
+def join_elements(elements: DataFrame) -> DataFrame:
+    """(doc_id, text) of ``elements(doc_id, element_no, text)``, paragraphs and whole tables, that aren't empty: D7 where each has a number of its own."""
+    listed = elements.filter("length(text) > 0").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("element_no", "text"))).alias("x"))
+    return listed.select("doc_id", F.array_join("x.text", "\n").alias("text"))
+
+
 def flatten_notes(notes: DataFrame) -> DataFrame:
     """(doc_id, kind, note_no, text). Within a note a row of several cells opens a table, more of
     them go on with it, a row of one cell closes it; a row without cells changes nothing."""

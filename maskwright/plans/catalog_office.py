@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import groupby
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import assemble as D
 from ..operators import mask as M
+from ..operators.meeting import plain
 from ..sources import io, office
 from . import office_bytes as B
 from . import sqltext as S
@@ -30,8 +30,9 @@ def query(name: str, sql: str):
     return put
 
 
-def files(rows: DataFrame, kind: str, make: Callable[[list[tuple]], bytes], *order: str) -> DataFrame:
-    """A file for each document: ``rows``, doc_id first, stream past by document, in order; make(rows of a document) is its content."""
+def files(rows: DataFrame, kind: str, make: Callable[[list[tuple]], bytes], *order: str, read: list[Column] | None = None) -> DataFrame:
+    """A file for each document: ``rows``, doc_id first, stream past by document, in order; make(rows of a document) is its content.
+    read: what make gets of a row after its doc_id, if not all columns."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def made(done: list[tuple]) -> pa.RecordBatch:
@@ -42,7 +43,7 @@ def files(rows: DataFrame, kind: str, make: Callable[[list[tuple]], bytes], *ord
         held: list[tuple] = []
         for batch in batches:
             done = []
-            for x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for x in zip(*map(plain, batch.columns), strict=True):
                 if held and held[0][0] != x[0]:
                     done.append((held[0][0], held))
                     held = []
@@ -50,7 +51,14 @@ def files(rows: DataFrame, kind: str, make: Callable[[list[tuple]], bytes], *ord
             yield made(done)
         yield made([(held[0][0], held)] if held else [])
 
-    return rows.repartition(n_tasks(rows.sparkSession), "doc_id").sortWithinPartitions("doc_id", *order).mapInArrow(write, FILE)
+    ordered = rows.repartition(n_tasks(rows.sparkSession), "doc_id").sortWithinPartitions("doc_id", *order)
+    return (ordered if read is None else ordered.select("doc_id", *read)).mapInArrow(write, FILE)
+
+
+def escaped(text: Column) -> Column:
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(sign), F.lit(name))
+    return text
 
 
 def stored(made: DataFrame) -> DataFrame:
@@ -88,15 +96,27 @@ def s2x(spark, d):
  + " select doc_id, string_agg(text, chr(10) order by element_no, sub) as text from parts group by doc_id")
 def s2d(spark, d):
     def write(rows: list[tuple]) -> bytes:
-        body = ""
-        for _, of in groupby(rows, key=lambda x: x[1]):
-            of = list(of)
-            body += "".join(B.paragraph(B.run(x[3])) for x in of if x[2] < 0) + B.table(x[4] for x in of if x[2] >= 0)
-        return B.docx(body)
-
+        body, table = [], None
+        for _, element, row_no, markup in rows:
+            if table is not None and (row_no < 0 or element != table):
+                body.append(close)
+                table = None
+            if row_no >= 0 and table is None:
+                body.append(open_)
+                table = element
+            body.append(markup)
+        return B.docx("".join([*body, close] if table is not None else body))
+
+    # the rows' own markup is made by built-ins
+    open_, close = "<w:tbl>", "</w:tbl>"
+    before, after = B.paragraph(B.run("{}")).split("{}")
+    cells = F.array_join(F.transform("cells", escaped), f"{after}</w:tc><w:tc>{before}")
+    row = F.concat(F.lit(f"<w:tr><w:tc>{before}"), cells, F.lit(f"{after}</w:tc></w:tr>"))
+    markup = F.when(F.col("row_no") < 0, F.concat(F.lit(before), escaped(F.col("text")), F.lit(after))).otherwise(row).alias("markup")
     paragraphs = load(spark, d, "paragraphs").select("doc_id", "element_no", F.lit(-1).cast("long").alias("row_no"), "text", F.lit(None).cast("array<string>").alias("cells"))
     rows = load(spark, d, "table_rows").select("doc_id", "element_no", F.col("row_no").cast("long").alias("row_no"), F.lit(None).cast("string").alias("text"), "cells")
-    return office.decode(files(paragraphs.unionByName(rows), "docx", write, "element_no", "row_no"), kinds=office.BODY).body_texts()
+    made = files(paragraphs.unionByName(rows), "docx", write, "element_no", "row_no", read=["element_no", "row_no", markup])
+    return office.decode(made, kinds=office.ELEMENTS).body_texts()
 
 
 @query("s3_masked_workbooks", S.with_("cells", "cell_values", more=CELLS) + " select doc_id, sheet, row_no, col_no, masked from done")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from maskwright.operators import assemble as D
 from maskwright.operators import mask as M
 from maskwright.plans import office_bytes as B
-from maskwright.sources import office
+from maskwright.sources import archive, office
 
 FILE = "doc_id long, filename string, file_type string, content binary"
 HREF = '<w:hyperlink r:id="{}">{}</w:hyperlink>'
@@ -115,3 +115,68 @@ def test_plain_text_takes_one_row_a_paragraph(spark):
     assert sorted((r.kind, r.text) for r in parts.parts.collect()) == [("paragraph", t) for t in ("", "ab", "x", "y", "z")]
     start, end = D.TABLE_START, D.TABLE_END
     assert parts.body_texts().first().text == "\n".join(["ab", start, "x | y", " | z", end])
+
+
+def test_plain_tables_are_one_row_each(spark):
+    """A table of plain cells is a row, whatever its size; one with a merged cell, a link or a note comes by its paragraphs. The texts are the same."""
+    plain = B.table([["x", " y\n&z "], ["", "<w"]])
+    two = "<w:tbl><w:tr><w:tc><w:tcPr><w:tcW w:w=\"9\"/></w:tcPr>" + B.paragraph(B.run(" a ")) + B.paragraph("") + B.paragraph(B.run("b") + B.run("c")) + "</w:tc></w:tr></w:tbl>"
+    merged = '<w:tbl><w:tr><w:tc><w:tcPr><w:gridSpan w:val="2"/></w:tcPr>' + B.paragraph(B.run("wide")) + "</w:tc></w:tr></w:tbl>"
+    linked = "<w:tbl><w:tr><w:tc>" + B.paragraph(HREF.format("r1", B.run("site"))) + "</w:tc></w:tr></w:tbl>"
+    body = B.paragraph(B.run("a") + B.run("b")) + plain + two + merged + linked + "<w:tbl></w:tbl>" + B.paragraph(B.run("end"))
+    files = spark.createDataFrame([(1, "a.docx", "docx", B.docx(body, [("r1", "u")]))], FILE)
+    by = {r.kind: r.n for r in office.decode(files, kinds=office.ELEMENTS).parts.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    assert by == {"link": 1, "paragraph": 4, "table": 3, "grid": 1, "piece": 1}
+    start, end = D.TABLE_START, D.TABLE_END
+    lines = ["ab", start, "x | y &z", " | <w", end, start, "a  bc", end, start, "wide | wide", end, start, '<a href="u">site</a>', end, "end"]
+    for kinds in (office.ELEMENTS, office.BODY, None):
+        assert office.decode(files, kinds=kinds).body_texts().first().text == "\n".join(lines)
+
+
+@pytest.mark.parametrize("name_space", ["w:", ""])
+def test_plain_blocks_are_what_the_events_give(monkeypatch, name_space):
+    """Plain blocks are cut out before the parser sees a part; where they aren't blocks, or don't mean the format's own names, nothing is."""
+    box = "<w:r><w:pict><w:txbxContent>" + B.paragraph(B.run("in")) + B.table([["t"]]) + "</w:txbxContent></w:pict></w:r>"
+    nested = "<w:tbl><w:tr><w:tc>" + B.table([["deep"]]) + B.paragraph(B.run("x")) + "</w:tc></w:tr></w:tbl>"
+    bodies = [
+        B.paragraph(B.run("a") + B.run("") + B.run("b\r\n&amp;")) + B.table([["x", ""], ["y"]]) + B.paragraph(box + B.run("after")) + nested,
+        '<w:p w:rsidR="1"><w:pPr><w:jc w:val="left"/></w:pPr><w:r><w:rPr><w:b/></w:rPr><w:t>one</w:t><w:t>two</w:t></w:r></w:p><w:p/>' + B.paragraph("<w:r><w:tab/></w:r>"),
+        "<!-- " + B.paragraph(B.run("no")) + " -->" + B.paragraph(B.run("yes")) + '<x xmlns:w="other">' + B.paragraph(B.run("other")) + "</x>",
+        "<w:sdt><w:sdtContent>" + B.paragraph(B.run("inner")) + B.table([["c"]]) + "</w:sdtContent></w:sdt>" + B.paragraph(B.run("&#65;")) + "<w:tbl><w:tr></w:tr></w:tbl>",
+        '<x xmlns:w="other">' + B.paragraph(B.run("other")) + "</x>" + B.paragraph("<w:r><w:t>\x01</w:t></w:r>" if name_space else B.run("fine")),
+    ]
+
+    def read(data):
+        try:
+            return list(office._docx(office.Archive(data), None))
+        except office.expat.ExpatError:
+            return "broken"
+
+    files = [B.docx(x) for x in bodies]
+    if not name_space:
+        files = [B.zipped({n: z.read(n).decode().replace("<w:", "<").replace("</w:", "</").replace("xmlns:w=", "xmlns=", 1) for n in z.namelist()}) for z in (zipfile.ZipFile(io.BytesIO(x)) for x in files)]
+    found = [read(x) for x in files]
+    assert any(office._without_blocks(zipfile.ZipFile(io.BytesIO(x)).read("word/document.xml"))[1] for x in files[:2])
+    monkeypatch.setattr(office, "_without_blocks", lambda data: None)
+    monkeypatch.setattr(office, "SMALL", -1)  # so events alone
+    assert found == [read(x) for x in files] and found[0] != "broken"
+
+
+def test_archives_are_read_as_zipfile_reads_them():
+    def outcome(opened):
+        try:
+            z = opened()
+            return [(n, z.read(n)) for n in (z.names() if isinstance(z, archive.Archive) else z.namelist())]
+        except Exception as e:  # noqa: BLE001
+            return type(e), str(e)
+
+    parts = {"a.xml": b"abcabc" * 9, "empty": b"", "b/c.xml": b"xyz" * 30}
+    made = archive.zipped(parts)
+    assert dict(outcome(lambda: zipfile.ZipFile(io.BytesIO(made)))) == parts
+    for i in range(len(made)):  # whichever byte is damaged
+        bad = made[:i] + bytes([made[i] ^ 0x55]) + made[i + 1 :]
+        assert outcome(lambda: archive.Archive(bad)) == outcome(lambda: zipfile.ZipFile(io.BytesIO(bad))), i
+    for data in (made, made[:-5], b"", made[:-22] + made[-22:-2] + b"\3\0abc"):
+        assert outcome(lambda: archive.Archive(data)) == outcome(lambda: zipfile.ZipFile(io.BytesIO(data)))
+    new = archive.Archive(made).with_parts({"a.xml": b"new", "b/c.xml": b""})
+    assert dict(outcome(lambda: zipfile.ZipFile(io.BytesIO(new)))) == parts | {"a.xml": b"new", "b/c.xml": b""}
