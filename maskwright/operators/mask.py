@@ -138,6 +138,17 @@ def mask_cells(cells: DataFrame, replacements: DataFrame, salt: int = 1, spans:
     return meet(cells, _ranked(replacements), Masks, use, ["value", "is_formula"], add, salt=salt)
 
 
+def changed_cells(cells: DataFrame, replacements: DataFrame, salt: int = 1) -> DataFrame:
+    """M7: of ``cells`` those that get a mask, with all columns but ``value`` and ``is_formula``, and ``fragments``."""
+
+    def use(held: Masks, value: str) -> list[tuple]:
+        kept = held.kept(value)
+        return [(fragments(value, kept),)] if kept else []
+
+    texts = cells.filter("length(value) > 0 and not startswith(value, '=') and not coalesce(is_formula, false)").drop("is_formula")
+    return meet(texts, _ranked(replacements), Masks, use, ["value"], T.StructType([MASKED["fragments"]]), keep=[c for c in texts.columns if c != "value"], salt=salt, left=False)
+
+
 def cell_stats(masked: DataFrame) -> DataFrame:
     """M8: (doc_id, n_fragments, n_cells) replaced."""
     return masked.groupBy("doc_id").agg(F.sum(F.size("spans")).cast("long").alias("n_fragments"), F.sum(F.col("modified").cast("long")).alias("n_cells"))

@@ -74,11 +74,18 @@ def workbooks(spark, d) -> DataFrame:
     def write(rows: list[tuple]) -> bytes:
         strings, sheets = [], {}
         for _, sheet, row_no, col_no, text, is_formula in rows:
-            if text is not None and not is_formula:
+            by_row = sheets.get(sheet)
+            if by_row is None:
+                by_row = sheets[sheet] = {}
+            cells = by_row.get(row_no)
+            if cells is None:
+                cells = by_row[row_no] = []
+            if is_formula or text is None:
+                cells.append(B.cell(row_no, col_no, "f" if is_formula else "n", text))
+            else:
+                cells.append(B.cell(row_no, col_no, "s", str(len(strings))))
                 strings.append(text)
-            kind = "f" if is_formula else "s" if text is not None else "n"
-            sheets.setdefault(sheet, {}).setdefault(row_no, {})[col_no] = (kind, text if kind == "f" or text is None else str(len(strings) - 1), 0)
-        return B.xlsx(sheets, strings)
+        return B.workbook({sheet: [(r, "".join(cells)) for r, cells in by_row.items()] for sheet, by_row in sheets.items()}, strings)
 
     rows = load(spark, d, "cells").select("doc_id", "sheet", "row_no", "col_no", "value", "is_formula")
     return files(rows, "xlsx", write, "sheet", "row_no", "col_no")
@@ -122,8 +129,9 @@ def s2d(spark, d):
 @query("s3_masked_workbooks", S.with_("cells", "cell_values", more=CELLS) + " select doc_id, sheet, row_no, col_no, masked from done")
 def s3x(spark, d):
     given = stored(workbooks(spark, d))
-    masked = M.mask_cells(office.decode(given, kinds=["cell"]).cells, load(spark, d, "cell_values"))
-    again = office.decode(office.masked_files(given, cells=masked).drop("content").withColumnRenamed("masked", "content"), kinds=["cell"])
+    cells = office.decode(given, kinds=["cell"]).cells.select("doc_id", "part", "row_no", "col_no", "value", "is_formula")
+    masked = office.masked_files(given, cells=M.changed_cells(cells, load(spark, d, "cell_values")))
+    again = office.decode(masked.drop("content").withColumnRenamed("masked", "content"), kinds=["cell"])
     return again.cells.select("doc_id", "sheet", "row_no", "col_no", F.col("value").alias("masked"))
 
 

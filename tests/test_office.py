@@ -180,3 +180,56 @@ def test_archives_are_read_as_zipfile_reads_them():
         assert outcome(lambda: archive.Archive(data)) == outcome(lambda: zipfile.ZipFile(io.BytesIO(data)))
     new = archive.Archive(made).with_parts({"a.xml": b"new", "b/c.xml": b""})
     assert dict(outcome(lambda: zipfile.ZipFile(io.BytesIO(new)))) == parts | {"a.xml": b"new", "b/c.xml": b""}
+
+
+def test_a_single_kind_is_not_stored(files):
+    cells = office.decode(files, kinds=["cell"])
+    assert cells.cells.inputFiles() == [] and cells.cells.count() == office.decode(files).cells.count() > 0
+
+
+def test_changed_cells_are_those_with_a_mask(spark, files, decoded):
+    values = spark.createDataFrame([(2, "Ivan", "[P]", 1)], "doc_id long, original_text string, mask string, ord long")
+    every = M.mask_cells(decoded.cells, values).filter("size(spans) > 0")
+    few = M.changed_cells(decoded.cells, values)
+    assert few.columns == ["doc_id", "sheet", "sheet_no", "part", "row_no", "col_no", "fragments"]
+    assert sorted(few.collect()) == sorted(every.select(*few.columns).collect()) and few.count() == 2
+    given = files.filter("doc_id = 2")
+    old, new = (zipfile.ZipFile(io.BytesIO(office.masked_files(given, cells=x).first().masked)) for x in (every, few))
+    assert {n: old.read(n) for n in old.namelist()} == {n: new.read(n) for n in new.namelist()}
+
+
+def test_plain_rows_are_what_the_tree_gives(monkeypatch):
+    """Plain rows are read without a tree, wanted cells found by their names; any other sheet goes the general way, with the same cells and places."""
+    rich = '<c r="B1" s="1" t="inlineStr"><is><r><rPr><b/></rPr><t>a &amp; b</t></r><r><t xml:space="preserve"> c</t></r></is></c>'
+    row = '<row r="1" spans="1:3"><c r="A1" s="0" t="s"><v>0</v></c>' + rich + '<c r="C1"><f>A1&gt;2</f><v>2.50</v></c></row>'
+    sheets = [
+        row + '<row r="7"><c r="AB7" t="str"><v>x</v></c><c r="AC7"/></row>',
+        row + '<row><c><v>1</v></c><c t="inlineStr"><is><t>q</t></is></c></row>',
+        row + '<!-- <row r="3"><c r="A3"><v>9</v></c></row> -->' + "<row r='4'><c r='A4'><v>4</v></c></row>",
+        row + "\n" + row.replace("1", "2") + '<row r="3"><c s="1" r="B3"><v>&#49;</v></c></row>',
+        row + '<x xmlns="other"><row r="9"><c r="A9"><v>9</v></c></row></x>',
+        row + row,
+        "",
+    ]
+    parts = [f"<worksheet {B.S}><cols><col min=\"1\" max=\"2\"/></cols><sheetData>{x}</sheetData></worksheet>".encode() for x in sheets]
+    parts.append(parts[0].replace(b"<c", b"<z:c").replace(b"</c", b"</z:c").replace(b"xmlns=", b'xmlns:z="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns=', 1))
+
+    def read():
+        cells = [office._cells(x) for x in parts]
+        places = [office._placed_cells(x, {(r, c[0]) for r, of in rows for c in of}) for x, rows in zip(parts, cells, strict=True)]
+        return cells, [sorted(x, key=lambda c: c["from"]) for x in places]
+
+    found = read()
+    assert office._plain_rows(parts[0]) == found[0][0] and office._ordinary_cells(parts[0], {(1, 2)})[0]["ref"] == "B1"
+    assert [c[3] for _, of in found[0][0] for c in of] == ["0", "a & b c", "2.50", "x", None] and found[0][0][0][1][2][4]
+    monkeypatch.setattr(office, "_plain_rows", lambda data: None)
+    monkeypatch.setattr(office, "_ordinary_cells", lambda data, wanted: None)
+    assert found == read()
+
+
+def test_plain_strings(spark):
+    for strings in (["a", "", " b & <c> "], []):
+        data = B.xlsx({"One": {1: {1: ("s", "0", 0)}} if strings else {}}, strings)
+        assert office._strings(office.Archive(data)) == strings
+        odd = zipfile.ZipFile(io.BytesIO(data)).read("xl/sharedStrings.xml").replace(b"</sst>", b"<si><t>x</t><rPh><t>no</t></rPh></si></sst>")
+        assert office._strings(office.Archive(office.Archive(data).with_parts({"xl/sharedStrings.xml": odd}))) == [*strings, "x"]
